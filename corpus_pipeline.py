@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import packing, quality_rules, queries, toxicity
+from factloom.llm import ngram_join, packing, quality_rules, queries, suffix_dedup, toxicity
 from factloom.llm.common import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,12 +28,25 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates, that of the smallest id."""
+    return ngram_join.one_of_each(docs)
+
+
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts out of every text the passages that repeat anywhere, and counts its characters anew."""
+    left = suffix_dedup.without_repeats(docs)
+    if "n_chars" not in docs.columns:
+        return left
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents, packed into sequences."""
     return packing.best_fit_packing(docs, queries.byte_bpe())
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality), ("toxicity", civil), ("packing", packed)]
+STAGES: list[tuple[str, Stage]] = [("quality_rules", quality), ("toxicity", civil), ("ngram_jaccard_join", distinct), ("suffix_array_dedup", unrepeated), ("best_fit_packing", packed)]
 
 ORACLE_SQL: str | None = None
 
