@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import nearest, ngram_join, packing, quality_rules, suffix_dedup, toxicity, url_filters
+from factloom.llm import co_training, html_extraction, nearest, ngram_join, packing, pieces, quality_rules, suffix_dedup, toxicity, url_filters
 from factloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.html_extraction(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,6 +49,21 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_array_dedup(table(spark, sf_dir, "documents"))
 
 
+def piece_model() -> str:
+    """Place of the model that the piece query uses; the operator takes any."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(table(spark, sf_dir, "documents"), piece_model())
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co_training.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: Rules of the URL query: host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -94,7 +113,7 @@ FROM p LEFT JOIN best ON best.host = p.host AND best.path = p.path LEFT JOIN bou
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard_join, op3_nearest, op4_best_fit_packing, op6_toxicity, op7_suffix_array_dedup, op10_url_filters)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard_join, op3_nearest, op4_best_fit_packing, op5_html_extraction, op6_toxicity, op7_suffix_array_dedup, op8_sentencepiece, op9_quality_classifier, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
