@@ -106,7 +106,7 @@ def test_suffix_dedup_rows_keep_columns(spark):
 def test_long_texts_in_parts(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BUFFER", 1000)
     data = np.random.default_rng(1).integers(0, 4, 5000).astype(np.uint8)
-    rank, e1, e2, low, high = suffix_dedup.extents(data, np.ones(len(data), bool))
+    _, _, low, high = suffix_dedup.extents(data, np.ones(len(data), bool))
     assert low[0] == 0 and high[-1] == len(data) - 200 and (low[1:] == high[:-1] + 1).all()
 
 
