@@ -11,9 +11,10 @@ that can link, and few others; none of them loses a link:
    one part at least is equal in both. A text's parts, named by hash, are sent to tasks in blocks of bytes; equal names
    make buckets of texts. (That all parts of a text but a quarter of its size are empty has a chance below 1e-8; texts
    of up to ``SMALL`` shingles send each shingle instead.)
-2. Sketches. The counts of shingles by 64 hash values of two sets differ by at most as much as the sets do. Buckets keep
-   the pairs that the counts allow, which leaves out texts that only share a common passage.
-3. Groups. Components of those pairs are the groups. Each text's set is sent to its group once; groups of over ``BLOCK``
+2. Sketches. The counts of shingles by hash value of two sets (64 values, more for large sets; those of a larger sketch
+   are folded) differ by at most as much as the sets do. Buckets keep the pairs that the counts allow, which leaves out
+   texts that only share a common passage.
+3. Groups. Components of those pairs are the groups. Each text is sent to its group once; groups of over ``BLOCK``
    shingles are dealt in blocks, and each pair of blocks is a task.
 
 In a group, the shingles' lists of texts are ordered by length. For each text, the L longest lists are set apart; the
@@ -27,7 +28,7 @@ component is named by its smallest id that isn't null (null if it has none); rep
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -37,13 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import byte_texts, small_batches, written
-from factloom.llm.suffix_dedup import keyed, mixed
+from factloom.llm.suffix_dedup import grouped_rows, keyed, mixed, rows_of
 
 WORDS = 5
 #: Sets up to this size are searched by single shingles; those up to SMALL / 0.8 can link with them.
 SMALL = 32
 LEVEL = 1.6
 SKETCH = 64
+DENSITY = 8
 #: Signatures that a task collects, shingles of a block in a group, texts of a block in a bucket.
 ENTRIES = 1_000_000
 BLOCK = 500_000
@@ -104,22 +106,26 @@ def signatures(names: np.ndarray) -> np.ndarray:
 
 
 def sketch(names: np.ndarray) -> bytes:
-    return np.bincount((mixed(names) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).clip(0, 255).astype(np.uint8).tobytes()
+    """Counts of the set's shingles by hash value, about ``DENSITY`` or less to a value; so larger sets have more values."""
+    size = SKETCH
+    while size * DENSITY < len(names):
+        size *= 2
+    return np.bincount((mixed(names) & np.uint64(size - 1)).astype(np.int64), minlength=size).clip(0, 255).astype(np.uint8).tobytes()
 
 
 def summaries(docs: DataFrame) -> DataFrame:
-    """doc_id, doc, uid, n, node (the set's name), sketch of docs (doc_id, doc, uid, text)."""
+    """doc_id, uid, n, node (the set's name), sketch of docs (doc_id, uid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = WordNames()
         for b in batches:
             sets = [shingles(t, names) for t in byte_texts(b.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in ("doc_id", "doc", "uid")), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)), pa.array([sketch(s) for s in sets], pa.binary())],
-                ["doc_id", "doc", "uid", "n", "node", "sketch"],
+                [*(b.column(c) for c in ("doc_id", "uid")), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)), pa.array([sketch(s) for s in sets], pa.binary())],
+                ["doc_id", "uid", "n", "node", "sketch"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, doc long, uid long, n long, node long, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, uid long, n long, node long, sketch binary")
 
 
 def sent(docs: DataFrame, tasks: int) -> DataFrame:
@@ -137,13 +143,14 @@ def sent(docs: DataFrame, tasks: int) -> DataFrame:
             to = (sign >> np.uint64(40)) % np.uint64(tasks)
             order = np.lexsort((sign, to))
             sign, at, to = sign[order], at[order], to[order]
+            sign &= ~np.uint64(0xFFFF)  # 48 bits of the name, 16 of the text's place in its block
             cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
             table = np.fromiter(nodes, np.uint64, len(nodes))
             rows = []
             for i, j in zip(cut, cut[1:], strict=False):
                 used, own = np.unique(at[i:j], return_inverse=True)
-                rows.append((int(to[i]), sign[i:j].tobytes(), own.astype(np.uint32).tobytes(), table[used].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], ["task", "names", "at", "nodes"])
+                rows.append((int(to[i]), (sign[i:j] | own.astype(np.uint64)).tobytes(), table[used].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], ["task", "names", "nodes"])
 
         for b in batches:
             for text in byte_texts(b.column("text")):
@@ -153,13 +160,13 @@ def sent(docs: DataFrame, tasks: int) -> DataFrame:
                 nodes[node] = len(signs)
                 signs.append(signatures(s))
                 size += len(signs[-1])
-                if size >= ENTRIES:
+                if size >= ENTRIES or len(signs) == 1 << 16:
                     yield flush()
                     signs, nodes, size = [], {}, 0
         if signs:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "task int, names binary, at binary, nodes binary")
+    return docs.select("text").mapInArrow(run, "task int, names binary, nodes binary")
 
 
 def bucketed(blocks: DataFrame, tasks: int) -> DataFrame:
@@ -208,60 +215,65 @@ def bucketed(blocks: DataFrame, tasks: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(i), pa.array(j), pa.array(node.view(np.int64))], ["bucket", "i", "j", "node"])
 
         for b in batches:
-            for t, names, at, nodes in zip(*(b.column(c).to_pylist() for c in ("task", "names", "at", "nodes")), strict=True):
+            for t, names, nodes in zip(*(b.column(c).to_pylist() for c in ("task", "names", "nodes")), strict=True):
                 if t != task and parts:
                     yield from flush()
                     parts, seen = [], set()
                 task = t
-                parts.append((np.frombuffer(names, np.uint64), np.frombuffer(nodes, np.uint64)[np.frombuffer(at, np.uint32)]))
+                entry = np.frombuffer(names, np.uint64)
+                parts.append((entry >> np.uint64(16), np.frombuffer(nodes, np.uint64)[(entry & np.uint64(0xFFFF)).astype(np.int64)]))
         if parts:
             yield from flush()
 
     return blocks.repartition(tasks, "task").sortWithinPartitions("task").mapInArrow(run, "bucket long, i int, j int, node long")
 
 
-def allowed(sketches: np.ndarray, sizes: np.ndarray, own: np.ndarray, size: int) -> np.ndarray:
-    """Whether the sketches leave room for enough overlap: the sets' differences are at most a ninth of both sizes."""
-    differ = np.abs(sketches - own).sum(1, dtype=np.int64)
-    return (9 * differ <= sizes + size) & (5 * np.minimum(sizes, size) >= 4 * np.maximum(sizes, size))
-
-
-def connected(sketches: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+class Sketches:
+    """Sketches of a bucket's texts, in matrices by size; those of twice the size are folded into the same matrix."""
+
+    def __init__(self, sketches: list[bytes], sizes: list[int]):
+        self.sizes = np.array(sizes, np.int64)
+        self.width = np.array([len(x) for x in sketches])
+        self.place = {int(w): np.zeros(len(sketches), np.int64) for w in np.unique(self.width)}
+        self.rows: dict[int, np.ndarray] = {}
+        for w, place in self.place.items():
+            own = np.flatnonzero(self.width == w)
+            twice = np.flatnonzero(self.width == 2 * w)
+            rows = [np.frombuffer(b"".join(sketches[i] for i in own), np.uint8).reshape(-1, w).astype(np.int16)]
+            if len(twice):
+                large = np.frombuffer(b"".join(sketches[i] for i in twice), np.uint8).reshape(-1, 2 * w).astype(np.int16)
+                rows.append(large[:, :w] + large[:, w:])
+            self.rows[w] = np.concatenate(rows)
+            place[own], place[twice] = np.arange(len(own)), np.arange(len(own), len(own) + len(twice))
+
+    def allowed(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Which of others leave room for enough overlap with x: differences of at most a ninth of both sizes."""
+        n, sizes = self.sizes[x], self.sizes[others]
+        out = 5 * np.minimum(sizes, n) >= 4 * np.maximum(sizes, n)
+        least = np.minimum(self.width[others], self.width[x])
+        out &= np.maximum(self.width[others], self.width[x]) <= 2 * least
+        for w in np.unique(least[out]):
+            at = np.flatnonzero(out & (least == w))
+            rows, place = self.rows[int(w)], self.place[int(w)]
+            differ = np.abs(rows[place[others[at]]] - rows[place[x]]).sum(1, dtype=np.int64)
+            out[at] = 9 * differ <= sizes[at] + n
+        return out
+
+
+def connected(sketches: Sketches) -> Iterator[tuple[int, int]]:
     """Pairs (a text, its component's first) of the allowed pairs' components: each text searches what is left outside."""
-    left = np.arange(len(sizes))
+    left = np.arange(len(sketches.sizes))
     while len(left) > 1:
         first, left = left[0], left[1:]
         queue = [first]
         while queue and len(left):
             x = queue.pop()
-            ok = allowed(sketches[left], sizes[left], sketches[x], sizes[x])
+            ok = sketches.allowed(x, left)
             queue.extend(new := left[ok])
             left = left[~ok]
             yield from ((int(i), int(first)) for i in new)
 
 
-def grouped_rows(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict[str, list]]]:
-    """Runs of rows with equal keys, which follow each other."""
-    key, rows = None, {}
-    for b in batches:
-        columns = b.to_pydict()
-        own = list(zip(*(columns[k] for k in keys), strict=True))
-        i = 0
-        while i < len(own):
-            j = i
-            while j < len(own) and own[j] == own[i]:
-                j += 1
-            if own[i] != key:
-                if key is not None:
-                    yield key, rows
-                key, rows = own[i], {c: [] for c in columns}
-            for c, v in columns.items():
-                rows[c] += v[i:j]
-            i = j
-    if key is not None:
-        yield key, rows
-
-
 def edge_batches(pairs: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
     """Edges (larger, smaller) without repeats within some thousands."""
     held: set[tuple[int, int]] = set()
@@ -283,8 +295,7 @@ def candidates(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs() -> Iterator[tuple[int, int]]:
             for _, rows in grouped_rows(batches, key):
-                sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, SKETCH).astype(np.int16)
-                for x, y in connected(sketches, np.array(rows["n"])):
+                for x, y in connected(Sketches(rows["sketch"], rows["n"])):
                     yield rows["node"][x], rows["node"][y]
 
         yield from edge_batches(pairs())
@@ -381,49 +392,45 @@ def search(sets: list[np.ndarray], sides: list[int]) -> Iterator[tuple[int, int]
 
 
 def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Edges a > b that connect the linked nodes of each group; groups: doc, uid, node, root, i, j, side."""
+    """Edges a > b that connect the linked nodes of each group; groups: uid, node, root, i, j, side."""
     key = ["root", "i", "j"]
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = WordNames()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("places"), pa.array([shingles(t, names).tobytes() for t in byte_texts(b.column("text"))], pa.binary())], ["node", "places", "names"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordNames()
+
         def pairs() -> Iterator[tuple[int, int]]:
             for _, rows in grouped_rows(batches, key):
                 once = list({x: k for k, x in enumerate(rows["node"])}.values())  # repeated rows are one node
-                for x, y in search([np.frombuffer(rows["names"][k], np.uint64) for k in once], [rows["side"][k] for k in once]):
+                for x, y in search([shingles((rows["text"][k] or "").encode(), words) for k in once], [rows["side"][k] for k in once]):
                     yield rows["node"][once[x]], rows["node"][once[y]]
 
         yield from edge_batches(pairs())
 
-    places = groups.groupBy("doc", "uid", "node").agg(F.collect_list(F.struct(*key, "side")).alias("places"))
-    placed = docs.select("doc", "uid", "text").join(places, ["doc", "uid"]).select("node", "places", "text")
-    found = placed.mapInArrow(sets, places.select("node", "places").schema.add("names", "binary")).select("node", "names", F.inline("places"))
-    return found.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(run, "a long, b long")
+    places = groups.groupBy("uid", "node").agg(F.collect_list(F.struct(*key, "side")).alias("places"))
+    placed = docs.select("uid", "text").join(places, "uid").select("node", "text", F.inline("places"))
+    return placed.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, doc, uid, n_shingles, component_id, first (whether the row's class and key come first) of keyed docs."""
-    own = written(summaries(docs.select("doc_id", "doc", "uid", "text")), "summaries")
+    """doc_id, uid, n_shingles, component_id, first (whether the row's class and uid come first) of keyed docs."""
+    own = written(summaries(docs.select("doc_id", "uid", "text")), "summaries")
     total = own.agg(F.sum("n")).first()[0] or 0
     tasks = max(16, -(-int(total) // (2 * ENTRIES)))
-    nodes = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc", "uid")).alias("own"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("uid"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = written(nodes, "nodes")
     near = components(candidates(bucketed(sent(docs, tasks), tasks), nodes), "near")
-    group = near.join(nodes.select("node", "own", "n"), "node")
+    group = near.join(nodes.select("node", "uid", "n"), "node")
     blocks = group.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     spread = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "mine").alias("i"), F.greatest(o, "mine").alias("j"), F.when(F.col("mine") <= o, 0).otherwise(1).alias("side")))
-    places = group.join(blocks, "root").withColumn("mine", mine).select("root", "node", "own.*", F.inline(spread))
+    places = group.join(blocks, "root").withColumn("mine", mine).select("root", "node", "uid", F.inline(spread))
     linked = components(links(docs, places), "linked")
     named = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min("own").alias("head"))
-    named = named.join(least, "root").select("node", "component_id", F.col("head.doc").alias("head_doc"), F.col("head.uid").alias("head_uid"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min_by("uid", F.struct(F.col("least").isNull(), "least", "uid")).alias("head"))
+    named = named.join(least, "root").select("node", "component_id", "head")
     joined = own.join(named, "node", "left")
     alone = F.col("n") == 0
-    return joined.select("doc_id", "doc", "uid", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | ((F.col("doc") == F.col("head_doc")) & (F.col("uid") == F.col("head_uid")))).alias("first"))
+    return joined.select("doc_id", "uid", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("uid") == F.col("head"))).alias("first"))
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -436,7 +443,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row of docs, with all its columns, of each component: that of the smallest id; all rows without shingles."""
     small_batches(docs.sparkSession)
     own = keyed(docs, id_col, text_col)
-    first = written(classes(own).where("first").select("doc", "uid", (F.col("n_shingles") == 0).alias("empty")), "first").distinct()
-    kept = own.select("doc", "uid", "row").join(first, ["doc", "uid"])
-    full = kept.where("not empty").groupBy("doc", "uid").agg(F.first("row").alias("row")).select("row.*")
-    return full.unionByName(kept.where("empty").select("row.*"))
+    first = written(classes(own).where("first").select("uid", (F.col("n_shingles") == 0).alias("empty")).distinct(), "first")
+    kept = own.select("uid", "row", "text").join(first, "uid")
+    full = kept.where("not empty").groupBy("uid").agg(F.first(F.struct("row", "text")).alias("x")).select("x.*")  # repeated rows
+    return rows_of(full.unionByName(kept.where("empty").select("row", "text")), docs, text_col)
