@@ -1,11 +1,228 @@
-"""Registered queries of the security-fact engine and their oracles."""
+"""Registered queries of the security-fact engine: every operator over the made repositories, with its oracle."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import fields
+from functools import cached_property, lru_cache
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.functions import expressions as E
+from factloom.operators import chains, overlay, signals, surfaces, threats
+from factloom.plans.oracles import AUTH_LIKE, EVIDENCE, low, low_ext, oracle, rank
+from factloom.sources.adapters import FAMILIES, Scan, load
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+class Analysis:
+    """Everything derived from one data directory, each relation built when asked for.
+
+    What several relations read is persisted: that cuts their plans short, and it is computed once. It stays lineage, so
+    a lost executor's part is computed again.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        scan = load(spark, sf_dir)
+        self.scan = Scan(*(getattr(scan, f.name).persist() for f in fields(scan)))
+
+    @cached_property
+    def clean(self):
+        filtered = signals.auth_filtered(self.scan)
+        return filtered.with_hints(filtered.hint.persist())
+
+    @cached_property
+    def surfaces(self) -> DataFrame:
+        return surfaces.identify_attack_surfaces(self.clean).persist()
+
+    @cached_property
+    def raw_surfaces(self) -> DataFrame:
+        return surfaces.identify_attack_surfaces(self.scan).persist()
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        return threats.generate_findings(self.clean, self.surfaces).persist()
+
+    @cached_property
+    def paths(self) -> DataFrame:
+        return threats.generate_attack_paths(self.scan, self.raw_surfaces).persist()
+
+    @cached_property
+    def assets(self) -> DataFrame:
+        return overlay.detect_assets(self.clean).persist()
+
+    @cached_property
+    def controls(self) -> DataFrame:
+        return overlay.detect_controls(self.clean, self.surfaces, self.assets).persist()
+
+    @cached_property
+    def insights(self) -> DataFrame:
+        return overlay.generate_insights(self.clean, self.surfaces, self.paths, self.assets, self.controls).persist()
+
+
+@lru_cache(4)
+def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
+    """One analysis of a directory for all queries of a session."""
+    return Analysis(spark, sf_dir)
+
+
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def add(name: str, build: Callable[[Analysis], DataFrame], sql: str | None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: build(analysis(spark, sf_dir))
+    if sql:
+        ORACLES[name] = oracle(sql)
+
+
+c = F.col
+
+
+def text_of(*names: str) -> list[Column]:
+    return [F.array_join(n, ", ").alias(n) for n in names]
+
+
+# Merging and the stream of all signals
+
+for key, table, columns in (
+    ("mrg_routes", "route", "path, method, file"),
+    ("mrg_external_calls", "external_call", "target, file"),
+    ("mrg_databases", "database_hint", "kind, file"),
+    ("mrg_secrets", "secret_hint", "name, file"),
+):
+    add(key, lambda a, t=table: getattr(signals.merged(a.scan), t).drop("seq", "confidence"), f"SELECT repo, {columns}, line FROM (SELECT *, row_number() OVER (PARTITION BY repo, {columns} ORDER BY seq) AS rn FROM {table}) WHERE rn = 1")
+for name in FAMILIES:
+    add(f"mrg_{name}", lambda a, n=name: signals.family(signals.merged(a.scan), n).select("repo", "hint", "file", "line", "confidence"), f"SELECT repo, hint, file, line, confidence FROM (SELECT *, row_number() OVER (PARTITION BY repo, hint, file ORDER BY seq) AS rn FROM hint WHERE family = '{name}') WHERE rn = 1")
+add("mrg_initial_seen", lambda a: signals.with_earlier(a.scan.secret_hint, a.scan.secret_hint.where("seq % 2 = 0"), ["name", "file"]).select("repo", "name", "file", "line"), "SELECT repo, name, file, line FROM (SELECT *, row_number() OVER (PARTITION BY repo, name, file ORDER BY seq) AS rn FROM secret_hint) x WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM secret_hint e WHERE e.seq % 2 = 0 AND e.repo = x.repo AND e.name = x.name AND e.file = x.file)")
+add("mrg_results", lambda a: signals.scan_meta(signals.merged(a.scan)), """SELECT r.repo, (SELECT count(DISTINCT file) FROM (SELECT repo, file FROM route UNION ALL SELECT repo, file FROM external_call UNION ALL SELECT repo, file FROM database_hint UNION ALL SELECT repo, file FROM hint UNION ALL SELECT repo, file FROM secret_hint) f WHERE f.repo = r.repo) AS n_files,
+  (SELECT count(DISTINCT (path, method, file)) FROM route x WHERE x.repo = r.repo) AS n_routes, (SELECT count(DISTINCT (target, file)) FROM external_call x WHERE x.repo = r.repo) AS n_calls, (SELECT count(DISTINCT (kind, file)) FROM database_hint x WHERE x.repo = r.repo) AS n_databases,
+  (SELECT count(DISTINCT (family, hint, file)) FROM hint x WHERE x.repo = r.repo) AS n_hints, (SELECT count(DISTINCT (name, file)) FROM secret_hint x WHERE x.repo = r.repo) AS n_secrets FROM repo r""")
+PLACE = "file || CASE WHEN line IS NULL THEN '' ELSE ':' || line END"
+STREAM = f"""SELECT repo, 'route' AS kind, method || ' ' || path AS label, {PLACE} AS place, 0.7::DOUBLE AS confidence, method, path, NULL AS db_kind FROM route UNION ALL SELECT repo, 'external_call', target, {PLACE}, 0.7::DOUBLE, NULL, NULL, NULL FROM external_call
+  UNION ALL SELECT repo, 'database', kind, {PLACE}, 0.7::DOUBLE, NULL, NULL, kind FROM database_hint UNION ALL SELECT repo, family, hint, {PLACE}, confidence, NULL, NULL, NULL FROM hint UNION ALL SELECT repo, 'secret', name, {PLACE}, confidence, NULL, NULL, NULL FROM secret_hint"""
+add("mrg_all_signals", lambda a: signals.all_signals(a.scan).drop("file", "line", "seq"), STREAM)
+add("mrg_file_signals", lambda a: signals.all_signals(a.scan).groupBy("repo", "file", "kind").agg(F.count("*").alias("n"), F.count_distinct("label").alias("n_labels")), "SELECT repo, file, kind, count(*) AS n, count(DISTINCT label) AS n_labels FROM (SELECT repo, file, 'route' AS kind, method || ' ' || path AS label FROM route UNION ALL SELECT repo, file, 'external_call', target FROM external_call UNION ALL SELECT repo, file, 'database', kind FROM database_hint UNION ALL SELECT repo, file, family, hint FROM hint UNION ALL SELECT repo, file, 'secret', name FROM secret_hint) GROUP BY ALL")
+add("mrg_location", lambda a: a.scan.route.select("repo", "path", "method", E.location(c("file"), c("line")).alias("place")), f"SELECT repo, path, method, {PLACE} AS place FROM route")
+
+# Translation
+
+add("xlt_is_auth_signal", lambda a: a.scan.hint.select("hint", signals.is_auth_signal(c("hint")).alias("is_auth")).distinct(), "SELECT DISTINCT hint, " + AUTH_LIKE + " AS is_auth FROM hint")
+add("xlt_auth_filter", lambda a: a.clean.hint.select("repo", "family", "hint", "file", "line", "confidence"), "SELECT repo, family, hint, file, line, confidence FROM clean")
+
+# Surfaces
+
+SURFACE = ("repo", "route", "method", "file", "line", "category", "exposure", "risk", "data_store", "outbound", "rationale")
+
+
+def whole(df: DataFrame) -> DataFrame:
+    return df.select(*SURFACE, *text_of("auth_signals"))
+
+
+SURFACE_SQL = f"SELECT {', '.join(SURFACE)}, array_to_string(auth_signals, ', ') AS auth_signals FROM "
+add("identify_attack_surfaces", lambda a: whole(a.raw_surfaces), SURFACE_SQL + "surf_raw")
+add("xlt_to_surface", lambda a: whole(a.surfaces), SURFACE_SQL + "surf")
+for key, columns in (("sur_category", "category"), ("sur_risk", "category, risk"), ("sur_exposure", "exposure"), ("sur_internal_override", "category, exposure, risk"), ("sur_flags", "data_store, outbound"), ("sur_rationale", "rationale")):
+    add(key, lambda a, k=columns: a.surfaces.groupBy("repo", *k.split(", ")).agg(F.count("*").alias("n")), f"SELECT repo, {columns}, count(*) AS n FROM surf GROUP BY ALL")
+add("sur_auth_attribution", lambda a: surfaces.attributed(a.clean, ("auth",), "h").select("repo", "path", "method", "file", F.array_join("h", ",").alias("hints")), "SELECT repo, route AS path, method, file, array_to_string(auth_signals, ',') AS hints FROM surf")
+add("sur_supporting_attribution", lambda a: surfaces.attributed(a.scan, FAMILIES, "h").select("repo", "path", "method", "file", F.array_join("h", ",").alias("hints")), "SELECT r.repo, path, method, r.file, coalesce(f.h, g.h, '') AS hints FROM route r LEFT JOIN (SELECT repo, file, array_to_string(list_sort(list(DISTINCT hint)), ',') AS h FROM hint GROUP BY ALL) f ON f.repo = r.repo AND f.file = r.file LEFT JOIN (SELECT repo, array_to_string(list_sort(list(DISTINCT hint)), ',') AS h FROM hint GROUP BY ALL) g ON g.repo = r.repo")
+NODES = "SELECT repo, 'repo' AS node, 'repository' AS label FROM repo UNION ALL SELECT DISTINCT repo, 'web', 'web_app' FROM route UNION ALL SELECT DISTINCT repo, 'db_' || kind, kind FROM database_hint UNION ALL SELECT repo, 'external_' || row_number() OVER (PARTITION BY repo ORDER BY seq), target FROM external_call"
+add("arch_graph", lambda a: surfaces.architecture_graph(a.scan)[0], NODES)
+add("arch_graph_edges", lambda a: surfaces.architecture_graph(a.scan)[1], "SELECT DISTINCT repo, 'repo' AS source, 'web' AS target, 'contains' AS relation FROM route UNION ALL SELECT DISTINCT repo, 'repo', 'db_' || kind, 'uses' FROM database_hint UNION ALL SELECT repo, 'repo', 'external_' || row_number() OVER (PARTITION BY repo ORDER BY seq), 'calls' FROM external_call")
+add("arch_summary", lambda a: surfaces.architecture_summary(a.scan), """SELECT r.repo, (SELECT count(*) FROM route x WHERE x.repo = r.repo) AS n_routes, (SELECT count(*) FROM secret_hint x WHERE x.repo = r.repo) AS n_secrets,
+  coalesce((SELECT array_to_string(list_sort(list(DISTINCT kind)), ', ') FROM database_hint x WHERE x.repo = r.repo), 'none') AS datastores, coalesce((SELECT array_to_string(list_sort(list(DISTINCT target)), ', ') FROM external_call x WHERE x.repo = r.repo), 'none') AS targets,
+  coalesce((SELECT array_to_string(list_sort(list(DISTINCT hint)), ', ') FROM hint x WHERE x.repo = r.repo AND family = 'auth'), 'none') AS auth,
+  coalesce((SELECT string_agg(file || ':' || n, ', ' ORDER BY n DESC, s) FROM (SELECT file, count(*) AS n, min(seq) AS s FROM route x WHERE x.repo = r.repo GROUP BY file ORDER BY n DESC, s LIMIT 3)), 'none') AS busiest FROM repo r""")
+SECTIONS = {"highest_risk": "risk = 'high'", "auth_and_admin": "category IN ('auth', 'admin')", "public": "exposure = 'public' AND category NOT IN ('auth', 'admin', 'health')", "operational": "category IN ('health', 'internal')"}
+TRAITS = "CASE WHEN len(auth_signals) > 0 THEN 'auth signals: ' || array_to_string(auth_signals, ', ') ELSE 'no auth signals observed' END || CASE WHEN data_store THEN '; data store reachable' ELSE '' END || CASE WHEN outbound THEN '; external trust boundary' ELSE '' END"
+add("surface_summary", lambda a: surfaces.surface_summary(a.surfaces), " UNION ALL ".join(f"SELECT repo, '{k}' AS section, rn::INTEGER AS place, method, route, file, {TRAITS} AS traits FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {rank('risk', surfaces.RISKS)}, route, method, seq) AS rn FROM surf WHERE {w}) WHERE rn <= 10" for k, w in SECTIONS.items()))
+add("surface_counts", lambda a: surfaces.surface_counts(a.surfaces), "SELECT repo, count(*) FILTER (WHERE risk = 'high') AS n_high, count(*) FILTER (WHERE exposure = 'public') AS n_public, count(*) FILTER (WHERE exposure = 'internal') AS n_internal, count(*) FILTER (WHERE data_store) AS n_data, count(*) FILTER (WHERE outbound) AS n_outbound FROM surf GROUP BY repo")
+add("surface_traits", lambda a: surfaces.traits(a.surfaces).select("repo", "traits").distinct(), f"SELECT DISTINCT repo, {TRAITS} AS traits FROM surf")
+
+# Chains
+
+for key, prefix in (("chn_prefixed_hints", "service_name:"), ("chn_prefixed_protocol", "atproto_lexicon:"), ("chn_prefixed_framework", "controller:")):
+    add(key, lambda a, p=prefix: signals.prefixed_hints(a.scan, p).select("repo", "value", "file"), f"SELECT DISTINCT repo, substr(hint, {len(prefix) + 1}) AS value, file FROM hint WHERE starts_with(hint, '{prefix}') AND family IN ('auth', '{next(f for p, f in signals.PREFIX_FAMILY if prefix.startswith(p))}')")
+add("chn_low_quality", lambda a: a.scan.route.select("file", E.low_quality(c("file")).alias("low")).distinct(), f"SELECT DISTINCT file, {low('file')} AS low FROM route")
+add("chn_low_quality_ext", lambda a: a.scan.secret_hint.select("file", E.low_quality_ext(c("file")).alias("low")).distinct(), f"SELECT DISTINCT file, {low_ext('file')} AS low FROM secret_hint")
+add("chn_runtime_routes", lambda a: chains.runtime_routes(a.scan).select("repo", "path", "method", "file"), f"SELECT repo, path, method, file FROM route WHERE NOT {low('file')}")
+add("chn_edge_hints", lambda a: signals.edge_hints(a.scan).select("repo", "source", "target", "file"), "SELECT repo, source, target, file FROM edge WHERE source <> '' AND target <> ''")
+add("chn_service_from_path", lambda a: a.scan.route.select("file", E.service_from_path(c("file")).alias("service")).distinct(), "SELECT DISTINCT file, CASE WHEN regexp_matches(file, '(^|/)services/') THEN regexp_extract(file, '(?:^|/)services/([^/]+)', 1) WHEN regexp_matches(file, '(^|/)packages/') THEN regexp_extract(file, '(?:^|/)packages/([^/]+)', 1) WHEN regexp_matches(file, '(^|/)apps/') THEN regexp_extract(file, '(?:^|/)apps/([^/]+)', 1) END AS service FROM route")
+add("chn_file_service_map", lambda a: signals.file_services(a.scan).select("repo", "file", "service"), "SELECT repo, file, service FROM services")
+add("chn_is_atproto", lambda a: a.scan.hint.groupBy("repo").agg(F.bool_or(c("family").isin("protocol", "auth") & c("hint").startswith("atproto_")).alias("gate")), "SELECT repo, bool_or(family IN ('protocol', 'auth') AND starts_with(hint, 'atproto_')) AS gate FROM hint GROUP BY repo")
+add("chn_is_mvc", lambda a: a.scan.hint.groupBy("repo").agg(F.bool_or(c("family").isin("framework", "auth") & c("hint").rlike("^(controller:|service:|omeka_|laminas_)")).alias("gate")), "SELECT repo, bool_or(family IN ('framework', 'auth') AND (starts_with(hint, 'controller:') OR starts_with(hint, 'service:') OR starts_with(hint, 'omeka_') OR starts_with(hint, 'laminas_'))) AS gate FROM hint GROUP BY repo")
+add("chn_xrpc_namespace", lambda a: a.scan.route.select("path", E.xrpc_namespace(c("path")).alias("namespace")).distinct(), "SELECT DISTINCT path, CASE WHEN contains(path, '/xrpc/com.atproto.') THEN 'com.atproto' WHEN contains(path, '/xrpc/app.bsky.') THEN 'app.bsky' END AS namespace FROM route")
+add("chn_module_key", lambda a: a.scan.route.select("file", E.module_key(c("file")).alias("module")).distinct(), "SELECT DISTINCT file, CASE WHEN contains(file, '/module/') THEN 'module/' || lower(string_split(string_split(file, '/module/')[2], '/')[1]) ELSE lower(string_split(file, '/')[1]) END AS module FROM route")
+add("chn_guess_action", lambda a: a.scan.route.select("path", E.guess_action(c("path")).alias("action")).distinct(), "SELECT DISTINCT path, CASE WHEN contains(path, '/admin') THEN 'admin action' WHEN contains(path, '/api') THEN 'api action' WHEN starts_with(path, '/s/') OR contains(path, '/site') THEN 'site action' END AS action FROM route")
+for key, build, name, own in (("chn_service", chains.service_chains, "service", "entry_service, next_service, env_risk"), ("chn_atproto", chains.atproto_chains, "atproto", "namespace, entry_service, next_service, env_risk"), ("chn_framework", chains.framework_chains, "framework", "controller, action, service")):
+    add(key, lambda a, b=build, k=own: b(a.scan).select("repo", "method", "path", "file", "sink", "confidence", *k.split(", "), F.array_join("evidence", " | ").alias("evidence")), f"SELECT repo, method, path, file, sink, confidence, {own}, array_to_string(evidence, ' | ') AS evidence FROM {name}_chain")
+    add(f"{key}_top", lambda a, b=build: chains.top_chain(b(a.scan)).select("repo", "method", "path", "file", "confidence"), f"SELECT repo, method, path, file, confidence FROM top_{name}")
+
+# Findings and paths
+
+add("xlt_to_findings", lambda a: a.findings, "SELECT repo, rule, title, severity, confidence, evidence FROM finding")
+for rule, key in {**{k: f"fnd_{k}" for k in threats.FINDINGS}, **{k: f"fnd_{k}_chain" for k in threats.CHAIN_FINDINGS}}.items():
+    add(key, lambda a, r=rule: a.findings.where(c("rule") == r).drop("rule"), f"SELECT repo, title, severity, confidence, evidence FROM finding WHERE rule = '{rule}'")
+add("fnd_evidence_text", lambda a: a.surfaces.select("repo", threats.evidence_of().alias("evidence")), "SELECT repo, " + EVIDENCE + " AS evidence FROM surf")
+add("fnd_order", lambda a: E.first_rows(a.findings, ["repo"], threats.finding_order(), 50).select("repo", c("rn").alias("place"), "title"), f"SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY {rank('severity', threats.SEVERITIES)}, title)::INTEGER AS place, title FROM finding")
+add("xlt_to_paths", lambda a: a.paths.select("repo", "place", "kind", "name", F.array_join("steps", " | ").alias("steps")), "SELECT repo, place, kind, name, array_to_string(steps, ' | ') AS steps FROM path")
+for kind in threats.PATHS:
+    add(f"pth_{kind}", lambda a, k=kind: a.paths.where(c("kind") == k).select("repo", "name", F.array_join("steps", " | ").alias("steps")), f"SELECT repo, name, array_to_string(steps, ' | ') AS steps FROM path WHERE kind = '{kind}'")
+add("pth_cap", lambda a: a.paths.groupBy("repo").agg(F.count("*").alias("n"), F.max("place").alias("last")), "SELECT repo, count(*) AS n, max(place) AS last FROM path GROUP BY repo")
+add("pth_claim_dedup", lambda a: a.paths.select("repo", F.regexp_extract(c("steps")[0], "^Entry: An attacker [a-z ]+ ([A-Z]+ .*? in [^,]+?)(,| as a| *$)", 1).alias("at")).where("at <> ''").groupBy("repo", "at").agg(F.count("*").alias("n")), "SELECT repo, at, count(*) AS n FROM (SELECT repo, regexp_extract(steps[1], '^Entry: An attacker [a-z ]+ ([A-Z]+ .*? in [^,]+?)(,| as a| *$)', 1) AS at FROM path) WHERE at <> '' GROUP BY ALL")
+
+# Assets
+
+ASSET_SQL = "SELECT repo, id, kind, name, criticality, array_to_string(locations, ', ') AS locations, array_to_string(evidence, ', ') AS evidence FROM "
+
+
+def asset_text(df: DataFrame) -> DataFrame:
+    return df.select("repo", "id", "kind", "name", "criticality", *text_of("locations", "evidence"))
+
+
+add("ast_rules", lambda a: asset_text(overlay.rule_assets(a.clean)), ASSET_SQL + "rule_asset")
+add("ast_gather", lambda a: overlay.asset_matches(a.clean).groupBy("repo", "kind").agg(F.count_distinct("file").alias("n_files")), "SELECT repo, kind, len(locations) AS n_files FROM rule_asset")
+add("ast_secret_assets", lambda a: asset_text(overlay.secret_assets(a.clean)), ASSET_SQL + "secret_asset")
+add("ast_business_fallback", lambda a: asset_text(a.assets.where("kind = 'business_data'")), ASSET_SQL + "asset WHERE kind = 'business_data'")
+add("ast_detect", lambda a: asset_text(a.assets), ASSET_SQL + "asset")
+add("ast_order", lambda a: E.first_rows(a.assets, ["repo"], [E.rank_of(c("criticality"), overlay.CRITICALITY), "kind", "id"], 1000).select("repo", c("rn").alias("place"), "id"), f"SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY {rank('criticality', overlay.CRITICALITY)}, kind, id)::INTEGER AS place, id FROM asset")
+
+# Controls
+
+add("ctl_signal_text", lambda a: overlay.signal_text(a.clean), "SELECT repo, hint AS label, file, line FROM clean UNION ALL SELECT repo, path, file, line FROM route")
+add("ctl_present", lambda a: overlay.present_controls(a.clean).select("repo", "id", "kind", "name", "strength", "scope", *text_of("placements", "evidence")), "SELECT repo, id, kind, name, strength, scope, array_to_string(placements, ', ') AS placements, array_to_string(evidence, ', ') AS evidence FROM present")
+add("ctl_patterns", lambda a: overlay.present_controls(a.clean).groupBy("kind", "strength").agg(F.count("*").alias("n")), "SELECT kind, strength, count(*) AS n FROM present GROUP BY ALL")
+for kind, _ in overlay.ABSENT:
+    add(f"ctl_absent_{kind}", lambda a, k=kind: a.controls.where((c("strength") == "absent") & (c("kind") == k)).select("repo", "id", "name"), f"SELECT repo, id, name FROM absent WHERE kind = '{kind}'")
+add("ctl_detect", lambda a: a.controls.select("repo", "id", "kind", "name", "strength", "scope"), "SELECT repo, id, kind, name, strength, scope FROM control")
+
+# Insights
+
+INSIGHTS = {"shared_secret": "shared_secret_blast_radius", "asset_reachability": "sensitive_asset_reachability", "defense_gap": "defense_gap_in_chain", "strength_mismatch": "control_strength_mismatch", "asymmetric": "asymmetric_protection", "audit_gap": "audit_gap", "spof": "single_point_of_failure", "admin_no_auth": "admin_action_without_auth", "control_bypass": "control_bypass", "trust_boundary": "trust_boundary_violation", "stale_signal": "stale_or_contradictory_signal"}
+for key, kind in INSIGHTS.items():
+    add(f"ins_{key}", lambda a, k=kind: a.insights.where(c("kind") == k), f"SELECT repo, id, kind, title, severity, confidence, evidence FROM ins_{key}")
+add("ins_generate", lambda a: a.insights.select("repo", "id", "kind", "severity", "confidence"), "SELECT repo, id, kind, severity, confidence FROM insight")
+add("ins_context", lambda a: a.controls.groupBy("repo", "kind").agg(F.count_if(c("strength") != "absent").alias("present"), F.count_if(c("strength") == "absent").alias("absent")), "SELECT repo, kind, count(*) FILTER (WHERE strength <> 'absent') AS present, count(*) FILTER (WHERE strength = 'absent') AS absent FROM control GROUP BY ALL")
+add("ins_module_of", lambda a: a.scan.route.select("file", E.module_of(c("file")).alias("module")).distinct(), "SELECT DISTINCT file, CASE WHEN contains(file, '/') THEN array_to_string(string_split(file, '/')[:-2], '/') ELSE file END AS module FROM route")
+
+# Techniques and detections
+
+add("tax_insight_map", lambda a: overlay.insight_techniques(a.insights).select("repo", "id", F.array_join("techniques", ",").alias("techniques")), "SELECT repo, id, array_to_string(techniques, ',') AS techniques FROM ins_tech")
+add("tax_finding_map", lambda a: overlay.finding_techniques(a.findings).select("repo", "rule", F.array_join("techniques", ",").alias("techniques")), "SELECT repo, rule, array_to_string(techniques, ',') AS techniques FROM fnd_tech")
+add("tax_flatten", lambda a: overlay.technique_use(a.insights, a.findings), "SELECT repo, technique, count(*) AS n FROM (SELECT repo, unnest(techniques) AS technique FROM ins_tech UNION ALL SELECT repo, unnest(techniques) FROM fnd_tech) GROUP BY ALL")
+ONE_A_KIND = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, kind ORDER BY {rank('severity', overlay.INSIGHT_SEVERITIES)}, {rank('confidence', ('high', 'medium', 'low'))}, kind, id) AS rn FROM ins_tech) WHERE rn = 1)"
+SIGNAL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in overlay.SIGNALS.items()) + " END"
+add("det_generators", lambda a: overlay.detection_opportunities(a.insights, a.findings).select("repo", "id", "signal", "insight", "techniques"), f"SELECT repo, 'detect:' || id AS id, {SIGNAL} AS signal, id AS insight, array_to_string(techniques, ',') AS techniques FROM {ONE_A_KIND}")
+add("det_first_per_kind", lambda a: overlay.detection_opportunities(a.insights, a.findings).select("repo", "insight"), f"SELECT repo, id AS insight FROM {ONE_A_KIND}")
+TITLES = f"(SELECT DISTINCT repo, title, {rank('severity', threats.SEVERITIES)} AS r FROM finding)"
+add("det_fold_findings", lambda a: overlay.detection_opportunities(a.insights, a.findings).select("repo", "insight", "findings"), f"SELECT o.repo, o.id AS insight, coalesce((SELECT string_agg(title, ' | ' ORDER BY r, title) FROM (SELECT t.* FROM {TITLES} t WHERE t.repo = o.repo AND len(list_filter(string_split_regex(lower(o.title), '\\s+'), lambda w: length(w) > 4 AND contains(lower(t.title), w))) > 0 ORDER BY r, title LIMIT 3)), '') AS findings FROM {ONE_A_KIND} o")
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
