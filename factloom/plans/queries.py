@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import expressions as E
-from factloom.operators import chains, overlay, signals, surfaces, threats
+from factloom.operators import chains, extract, overlay, ranking, rubric, signals, surfaces, threats
 from factloom.plans.oracles import AUTH_LIKE, EVIDENCE, low, low_ext, oracle, rank
 from factloom.sources.adapters import FAMILIES, Scan, load
 
@@ -171,7 +171,7 @@ add("xlt_to_paths", lambda a: a.paths.select("repo", "place", "kind", "name", F.
 for kind in threats.PATHS:
     add(f"pth_{kind}", lambda a, k=kind: a.paths.where(c("kind") == k).select("repo", "name", F.array_join("steps", " | ").alias("steps")), f"SELECT repo, name, array_to_string(steps, ' | ') AS steps FROM path WHERE kind = '{kind}'")
 add("pth_cap", lambda a: a.paths.groupBy("repo").agg(F.count("*").alias("n"), F.max("place").alias("last")), "SELECT repo, count(*) AS n, max(place) AS last FROM path GROUP BY repo")
-add("pth_claim_dedup", lambda a: a.paths.select("repo", F.regexp_extract(c("steps")[0], "^Entry: An attacker [a-z ]+ ([A-Z]+ .*? in [^,]+?)(,| as a| *$)", 1).alias("at")).where("at <> ''").groupBy("repo", "at").agg(F.count("*").alias("n")), "SELECT repo, at, count(*) AS n FROM (SELECT repo, regexp_extract(steps[1], '^Entry: An attacker [a-z ]+ ([A-Z]+ .*? in [^,]+?)(,| as a| *$)', 1) AS at FROM path) WHERE at <> '' GROUP BY ALL")
+add("pth_claim_dedup", lambda a: a.paths.select("repo", F.regexp_extract(c("steps")[0], "^Entry: An attacker [a-z ]+ ([A-Z]+ .*? in [^,]+?)(,| as a| *$)", 1).alias("entry")).where("entry <> ''").groupBy("repo", "entry").agg(F.count("*").alias("n")), "SELECT repo, entry, count(*) AS n FROM (SELECT repo, regexp_extract(steps[1], '^Entry: An attacker [a-z ]+ ([A-Z]+ .*? in [^,]+?)(,| as a| *$)', 1) AS entry FROM path) WHERE entry <> '' GROUP BY ALL")
 
 # Assets
 
@@ -220,6 +220,78 @@ TITLES = f"(SELECT DISTINCT repo, title, {rank('severity', threats.SEVERITIES)}
 add("det_fold_findings", lambda a: overlay.detection_opportunities(a.insights, a.findings).select("repo", "insight", "findings"), f"SELECT o.repo, o.id AS insight, coalesce((SELECT string_agg(title, ' | ' ORDER BY r, title) FROM (SELECT t.* FROM {TITLES} t WHERE t.repo = o.repo AND len(list_filter(string_split_regex(lower(o.title), '\\s+'), lambda w: length(w) > 4 AND contains(lower(t.title), w))) > 0 ORDER BY r, title LIMIT 3)), '') AS findings FROM {ONE_A_KIND} o")
 
 
+# Ranking
+
+PROTOCOL = "(contains(lower(file), 'lexicon') OR contains(lower(route), '/xrpc/') OR contains(lower(array_to_string(auth_signals, ' ')), 'atproto_'))"
+CLASS = f"CASE WHEN {low('file')} THEN 'low_quality' WHEN {PROTOCOL} THEN 'protocol_derived' WHEN exposure = 'public' THEN 'observed_runtime' ELSE 'other' END"
+POINTS = " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in ranking.PRIVILEGE)
+SCORE = f"round_even(CASE WHEN exposure = 'public' THEN 6::DOUBLE ELSE 2::DOUBLE END + (CASE category {POINTS} ELSE 1::DOUBLE END) * 2 + CASE WHEN exposure = 'public' THEN 3::DOUBLE ELSE 1.5::DOUBLE END + (CASE WHEN data_store THEN 2::DOUBLE ELSE 0::DOUBLE END + CASE WHEN outbound THEN 2::DOUBLE ELSE 0::DOUBLE END) * 1.5::DOUBLE + CASE WHEN data_store AND outbound THEN 2::DOUBLE ELSE 1::DOUBLE END + CASE WHEN len(auth_signals) > 0 THEN 2::DOUBLE ELSE 1::DOUBLE END + CASE WHEN {low('file')} THEN -8::DOUBLE WHEN {PROTOCOL} THEN -3::DOUBLE WHEN exposure = 'public' THEN 1::DOUBLE ELSE 0::DOUBLE END, 2)"
+COUNTED = f"SELECT repo, count(*) AS n, count(*) FILTER (WHERE {CLASS} = 'observed_runtime') AS o, count(*) FILTER (WHERE {CLASS} = 'protocol_derived') AS p, count(*) FILTER (WHERE {CLASS} = 'low_quality') AS l FROM surf GROUP BY repo"
+add("rnk_protocol_derived", lambda a: a.surfaces.groupBy("repo").agg(F.count_if(ranking.protocol_derived()).alias("n")), f"SELECT repo, count(*) FILTER (WHERE {PROTOCOL}) AS n FROM surf GROUP BY repo")
+add("rnk_provenance", lambda a: ranking.provenance_shares(a.surfaces).drop("basis"), f"SELECT repo, round_even(o / n * 100, 0)::INTEGER AS observed, round_even(p / n * 100, 0)::INTEGER AS protocol, round_even(l / n * 100, 0)::INTEGER AS low FROM ({COUNTED})")
+add("rnk_basis_label", lambda a: ranking.provenance_shares(a.surfaces).select("repo", "basis"), f"SELECT repo, CASE WHEN o / t * 100 >= 50 THEN 'observed' WHEN p / t * 100 >= 50 THEN 'inferred-protocol' WHEN l / t * 100 >= 50 THEN 'low-quality-evidence' ELSE 'mixed-evidence' END AS basis FROM (SELECT *, greatest(o + p + l, 1) AS t FROM ({COUNTED}))")
+add("rnk_entrypoint_counts", lambda a: a.surfaces.groupBy("repo", ranking.entrypoint_class().alias("class")).agg(F.count("*").alias("n")), f"SELECT repo, CASE WHEN {low('file')} THEN 'low_quality' WHEN exposure = 'internal' THEN 'internal_only' WHEN {PROTOCOL} THEN 'protocol_derived' WHEN exposure = 'public' THEN 'runtime_public' END AS class, count(*) AS n FROM surf GROUP BY ALL")
+add("rnk_surface", lambda a: ranking.surface_scores(a.surfaces).select("repo", "route", "method", "file", "score"), f"SELECT repo, route, method, file, {SCORE} AS score FROM surf")
+add("rnk_hotspots", lambda a: ranking.top_hotspots(a.surfaces), f"SELECT repo, rn::INTEGER AS place, method, route, category, score FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, {rank('risk', surfaces.RISKS)}, route DESC, seq) AS rn FROM (SELECT *, {SCORE} AS score FROM surf)) WHERE rn <= 2")
+add("rnk_path", lambda a: ranking.path_scores(a.paths).select("repo", "place", "name", "score"), None)
+
+# Review evaluation
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A review for each conversation: its turns under headings, with citations made from the turn numbers."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    head = F.when(c("turn") % 3 == 0, "Strengths").when(c("turn") % 3 == 1, "Weaknesses").otherwise("Recommendations")
+    cite = F.concat(F.when(c("turn") % 5 == 4, "[path:").otherwise("[surface:"), (c("turn") % 4 + 1).cast("string"), F.lit("]"))
+    said = F.concat(F.lit("## "), head, F.lit("\n- observed, may add "), cite, F.lit(" inferred\n"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("s")))), lambda x: x["s"]), "")
+    return turns.groupBy(c("conv_id").alias("review_id")).agg(text.alias("text")).withColumn("allowed", F.array(*(F.lit(f"[surface:{i}]") for i in (1, 2, 3))))
+
+
+REVIEW_SQL = """SELECT *, round_even((grounding::INTEGER + observed_inferred::INTEGER + strengths::INTEGER + weaknesses::INTEGER + recommendations::INTEGER + false_positive::INTEGER) * 100::DOUBLE / 6, 2) AS score, grounding AND observed_inferred AND strengths AND weaknesses AND recommendations AND false_positive AS passed FROM (
+  SELECT conv_id AS review_id, bool_and(turn % 5 <> 4 AND turn % 4 <> 3) AS grounding, true AS observed_inferred, bool_or(turn % 3 = 0) AS strengths, bool_or(turn % 3 = 1) AS weaknesses, bool_or(turn % 3 = 2) AS recommendations, true AS false_positive FROM conversations GROUP BY conv_id)"""
+QUERIES["evl_score"] = lambda spark, sf_dir: rubric.evaluate(reviews(spark, sf_dir))
+ORACLES["evl_score"] = REVIEW_SQL
+QUERIES["evl_suite"] = lambda spark, sf_dir: rubric.evaluate(reviews(spark, sf_dir)).agg(F.count("*").alias("n"), F.count_if("passed").alias("n_passed"))
+ORACLES["evl_suite"] = f"SELECT count(*) AS n, count(*) FILTER (WHERE passed) AS n_passed FROM ({REVIEW_SQL})"
+for check in rubric.CHECKS:
+    QUERIES[f"evl_{check}"] = lambda spark, sf_dir, k=check: rubric.evaluate(reviews(spark, sf_dir)).select("review_id", k)
+    ORACLES[f"evl_{check}"] = f"SELECT review_id, {check} FROM ({REVIEW_SQL})"
+
+
+# Extraction from made source files
+
+PYTHON = "root = APIRouter(prefix='/v{k}')\nchild = APIRouter()\nroot.include_router(child, prefix='/c')\n@child.get('/items')\ndef f(): pass\n@root.api_route('x//y', methods=['GET', 'POST'])\nos.getenv('API_TOKEN')\nrequests.get('https://h')\n@login_required\nsqlite3.connect('a')\n# "
+SCRIPT = "const app = e();\napp.use('/m{k}', r);\nr.all('/z', h);\nr.route('/w').get(a).post(b)\napp.get('/top', process.env.APP_KEY)\nfetch('https://f')\nnew Pool(1)\n// "
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source file for each document: template lines chosen by its id, then its text as a comment."""
+    k = c("doc_id")
+    template = F.replace(F.when(k % 2 == 0, PYTHON).otherwise(SCRIPT), F.lit("{k}"), (k % 3).cast("string"))
+    suffix = F.when(k % 2 == 0, ".py").otherwise(".js")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.concat(F.lit("r"), (k % 20).cast("string")).alias("repo"), F.concat(F.lit("f"), k.cast("string"), suffix).alias("file"), suffix.alias("suffix"), F.concat(template, F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))).alias("content"))
+
+
+FILE = "'f' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.js' END"
+REPO = "'r' || doc_id % 20"
+MADE = (("'/v' || doc_id % 3 || '/c/items'", "GET", 4, 0), ("'/v' || doc_id % 3 || '/x/y'", "GET", 6, 0), ("'/v' || doc_id % 3 || '/x/y'", "POST", 6, 0), ("'/m' || doc_id % 3 || '/z'", "ANY", 3, 1), ("'/m' || doc_id % 3 || '/w'", "GET", 4, 1), ("'/m' || doc_id % 3 || '/w'", "POST", 4, 1), ("'/top'", "GET", 5, 1))
+EXTRACTS: tuple[tuple[str, Callable[[DataFrame], DataFrame], str], ...] = (
+    ("ext_routes", lambda f: extract.extract_routes(f).drop("seq"), " UNION ALL ".join(f"SELECT {REPO} AS repo, {path} AS path, '{m}' AS method, {FILE} AS file, {line} AS line FROM documents WHERE doc_id % 2 = {odd}" for path, m, line, odd in MADE)),
+    ("ext_external_calls", lambda f: extract.extract_calls(f).drop("evidence"), f"SELECT {REPO} AS repo, CASE WHEN doc_id % 2 = 0 THEN 'https://h' ELSE 'https://f' END AS target, {FILE} AS file, CASE WHEN doc_id % 2 = 0 THEN 8 ELSE 6 END AS line FROM documents"),
+    ("ext_line_snippet", lambda f: extract.extract_secrets(f).select("file", "evidence"), f"SELECT {FILE} AS file, CASE WHEN doc_id % 2 = 0 THEN 'os.getenv(''API_TOKEN'')' ELSE 'app.get(''/top'', process.env.APP_KEY)' END AS evidence FROM documents"),
+    ("ext_secrets", lambda f: extract.extract_secrets(f).drop("evidence"), f"SELECT {REPO} AS repo, CASE WHEN doc_id % 2 = 0 THEN 'API_TOKEN' ELSE 'APP_KEY' END AS name, {FILE} AS file, CASE WHEN doc_id % 2 = 0 THEN 7 ELSE 5 END AS line FROM documents"),
+    ("ext_db_patterns", extract.extract_databases, f"SELECT {REPO} AS repo, CASE WHEN doc_id % 2 = 0 THEN 'sqlite' ELSE 'postgresql' END AS kind, {FILE} AS file, CASE WHEN doc_id % 2 = 0 THEN 10 ELSE 7 END AS line FROM documents"),
+    ("ext_auth_patterns", lambda f: extract.extract_auth(f).where("confidence > 0.8"), f"SELECT {REPO} AS repo, 'login_required' AS hint, {FILE} AS file, 9 AS line, 0.85::DOUBLE AS confidence FROM documents WHERE doc_id % 2 = 0"),
+    ("ext_prefix_fixpoint", extract.prefixes, f"SELECT {REPO} AS repo, {FILE} AS file, 'root' AS router, '/v' || doc_id % 3 AS prefix FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT {REPO}, {FILE}, 'child', '/v' || doc_id % 3 || '/c' FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT {REPO}, {FILE}, 'r', '/m' || doc_id % 3 FROM documents WHERE doc_id % 2 = 1"),
+    ("src_language_tag", lambda f: extract.with_language(extract.accepted(f)).groupBy("repo").agg(F.array_join(F.array_sort(F.collect_set("language")), ", ").alias("languages"), F.count("*").alias("files_scanned")), f"SELECT {REPO} AS repo, array_to_string(list_sort(list(DISTINCT CASE WHEN doc_id % 2 = 0 THEN 'python' ELSE 'javascript' END)), ', ') AS languages, count(*) AS files_scanned FROM documents GROUP BY ALL"),
+)
+for key, build, sql in EXTRACTS:
+    QUERIES[key] = lambda spark, sf_dir, b=build: b(source_files(spark, sf_dir))
+    ORACLES[key] = sql
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
