@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import expressions as E
 from factloom.operators import chains, extract, overlay, ranking, rubric, signals, surfaces, threats
+from factloom.plans import reviews as review_plans
 from factloom.plans.oracles import AUTH_LIKE, EVIDENCE, low, low_ext, oracle, rank
 from factloom.sources.adapters import FAMILIES, Scan, load
 
@@ -224,6 +225,7 @@ add("det_fold_findings", lambda a: overlay.detection_opportunities(a.insights, a
 
 PROTOCOL = "(contains(lower(file), 'lexicon') OR contains(lower(route), '/xrpc/') OR contains(lower(array_to_string(auth_signals, ' ')), 'atproto_'))"
 CLASS = f"CASE WHEN {low('file')} THEN 'low_quality' WHEN {PROTOCOL} THEN 'protocol_derived' WHEN exposure = 'public' THEN 'observed_runtime' ELSE 'other' END"
+CLASS_OF_EVIDENCE = f"CASE WHEN {low('file')} THEN 'low_quality' WHEN {PROTOCOL} THEN 'inferred_protocol' WHEN exposure = 'public' THEN 'observed_runtime_public' WHEN exposure = 'internal' THEN 'observed_runtime_internal' ELSE 'inferred' END"
 POINTS = " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in ranking.PRIVILEGE)
 SCORE = f"round_even(CASE WHEN exposure = 'public' THEN 6::DOUBLE ELSE 2::DOUBLE END + (CASE category {POINTS} ELSE 1::DOUBLE END) * 2 + CASE WHEN exposure = 'public' THEN 3::DOUBLE ELSE 1.5::DOUBLE END + (CASE WHEN data_store THEN 2::DOUBLE ELSE 0::DOUBLE END + CASE WHEN outbound THEN 2::DOUBLE ELSE 0::DOUBLE END) * 1.5::DOUBLE + CASE WHEN data_store AND outbound THEN 2::DOUBLE ELSE 1::DOUBLE END + CASE WHEN len(auth_signals) > 0 THEN 2::DOUBLE ELSE 1::DOUBLE END + CASE WHEN {low('file')} THEN -8::DOUBLE WHEN {PROTOCOL} THEN -3::DOUBLE WHEN exposure = 'public' THEN 1::DOUBLE ELSE 0::DOUBLE END, 2)"
 COUNTED = f"SELECT repo, count(*) AS n, count(*) FILTER (WHERE {CLASS} = 'observed_runtime') AS o, count(*) FILTER (WHERE {CLASS} = 'protocol_derived') AS p, count(*) FILTER (WHERE {CLASS} = 'low_quality') AS l FROM surf GROUP BY repo"
@@ -235,6 +237,10 @@ add("rnk_surface", lambda a: ranking.surface_scores(a.surfaces).select("repo", "
 add("rnk_hotspots", lambda a: ranking.top_hotspots(a.surfaces), f"SELECT repo, rn::INTEGER AS place, method, route, category, score FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, {rank('risk', surfaces.RISKS)}, route DESC, seq) AS rn FROM (SELECT *, {SCORE} AS score FROM surf)) WHERE rn <= 2")
 add("rnk_path", lambda a: ranking.path_scores(a.paths).select("repo", "place", "name", "score"), None)
 
+# Review views
+
+review_plans.register(add, CLASS_OF_EVIDENCE)
+
 # Review evaluation
 
 
