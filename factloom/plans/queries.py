@@ -14,6 +14,7 @@ from factloom.operators import chains, extract, overlay, ranking, rubric, signal
 from factloom.plans import reviews as review_plans
 from factloom.plans.oracles import AUTH_LIKE, EVIDENCE, low, low_ext, oracle, rank
 from factloom.sources.adapters import FAMILIES, Scan, load
+from factloom.sources.staged import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 class Analysis:
     """Everything derived from one data directory, each relation built when asked for.
 
-    What several relations read is persisted: that cuts their plans short, and it is computed once. It stays lineage, so
-    a lost executor's part is computed again.
+    The scan is persisted; relations derived from it that others read are written to the shared folder, so they are
+    computed once, plans over them are short, and a lost executor loses none of them.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -36,31 +37,31 @@ class Analysis:
 
     @cached_property
     def surfaces(self) -> DataFrame:
-        return surfaces.identify_attack_surfaces(self.clean).persist()
+        return settled(surfaces.identify_attack_surfaces(self.clean), "surfaces")
 
     @cached_property
     def raw_surfaces(self) -> DataFrame:
-        return surfaces.identify_attack_surfaces(self.scan).persist()
+        return settled(surfaces.identify_attack_surfaces(self.scan), "raw_surfaces")
 
     @cached_property
     def findings(self) -> DataFrame:
-        return threats.generate_findings(self.clean, self.surfaces).persist()
+        return settled(threats.generate_findings(self.clean, self.surfaces), "findings")
 
     @cached_property
     def paths(self) -> DataFrame:
-        return threats.generate_attack_paths(self.scan, self.raw_surfaces).persist()
+        return settled(threats.generate_attack_paths(self.scan, self.raw_surfaces), "paths")
 
     @cached_property
     def assets(self) -> DataFrame:
-        return overlay.detect_assets(self.clean).persist()
+        return settled(overlay.detect_assets(self.clean), "assets")
 
     @cached_property
     def controls(self) -> DataFrame:
-        return overlay.detect_controls(self.clean, self.surfaces, self.assets).persist()
+        return settled(overlay.detect_controls(self.clean, self.surfaces, self.assets), "controls")
 
     @cached_property
     def insights(self) -> DataFrame:
-        return overlay.generate_insights(self.clean, self.surfaces, self.paths, self.assets, self.controls).persist()
+        return settled(overlay.generate_insights(self.clean, self.surfaces, self.paths, self.assets, self.controls), "insights")
 
 
 @lru_cache(4)
