@@ -2,8 +2,8 @@
 
 Pages of a host are aligned with each other: simple tree matching finds the largest ordered mapping of two trees that
 keeps parents, and a host's wrapper is what its trees have in common. Every wrapper node remembers up to two different
-texts and up to three different pages that it was seen with, so it tells constant nodes (one text on three pages or
-more: template) from varying slots. Runs of like siblings are one node, which keeps wrappers small. Tasks fold their
+texts and up to three different pages on which it had text, so it tells constant nodes (one text on three pages or
+more, and the page's own text is that one: template) from varying slots. Runs of like siblings are one node, which keeps wrappers small. Tasks fold their
 pages into a wrapper for each host and send those, not the pages; wrappers of a host are merged in the same way. They
 are sent to all tasks if they are small together (``BROADCAST``), otherwise joined by host, salted, as a host may have
 a third of the pages.
@@ -14,7 +14,8 @@ are known by their elements, roles and class or id names.
 
 Edge cases: a null or empty page has an empty text; broken markup never fails (unclosed elements end with their parent,
 unclosed comments and scripts with the page); pages without a host are aligned with each other; a host with fewer than
-three different pages has no template; repeated rows are extracted each; white space is what Unicode says.
+three different pages has no template; the same article on three different pages (as print or mobile versions) is
+template if nothing else fills its slot; repeated rows are extracted each; white space is what Unicode says.
 """
 
 from __future__ import annotations
@@ -166,7 +167,8 @@ def parse(text: str) -> Node:
     return root
 
 
-# A wrapper node is (key, texts, pages, children): texts and pages are sorted tuples of hashes, the two and three smallest.
+# A wrapper node is (key, texts, pages, children): texts and pages are sorted tuples of hashes, the two and three smallest;
+# pages are those on which the node has text.
 Wrapper = tuple
 
 
@@ -184,7 +186,7 @@ def shape(node: Node, page: int, index: dict[int, Wrapper] | None = None) -> Wra
             else:
                 kids.append(k)
                 members.append([x])
-    return (node.key, (xxhash.xxh3_64_intdigest(said),) if said else (), (page,), tuple(kids))
+    return (node.key, (signature(said),) if said else (), (page,) if said else (), tuple(kids))
 
 
 def score(a: Wrapper, b: Wrapper) -> int:
@@ -228,8 +230,8 @@ def merge(a: Wrapper, b: Wrapper) -> Wrapper:
 
 
 def constants(node: Node, wrapper: Wrapper, out: set[int]) -> None:
-    """Adds the ids of the page's nodes that the wrapper has as template: one text on as many different pages."""
-    if len(wrapper[1]) == 1 and len(wrapper[2]) == SEEN_PAGES and node.texts():
+    """Adds the ids of the page's nodes that the wrapper has as template: one text, the node's own, on as many different pages."""
+    if len(wrapper[1]) == 1 and len(wrapper[2]) == SEEN_PAGES and (said := node.texts()) and signature(said) == wrapper[1][0]:
         out.add(id(node))
     own = [x for x in node.items if isinstance(x, Node)]
     runs: list[list[Node]] = []

@@ -144,6 +144,24 @@ def test_wrapper_drops_what_a_host_repeats(spark):
     assert sorted(r.text for r in got) == [f"Story {i}" for i in range(6)]
 
 
+def test_wrapper_keeps_a_slot_filled_on_one_page(spark):
+    filled = "<p>a</p><article>Bare text<br>with a break</article><div class=end>All rights</div>"
+    rows = [(i, "http://a.org/x", f"<body><article><p>Story {i}</p></article><div class=end>All rights</div>") for i in range(5)] + [(9, "http://a.org/y", f"<body>{filled}")]
+    got = {r.page_id: r.text for r in html_extraction.html_extraction(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {**{i: f"Story {i}" for i in range(5)}, 9: "Bare text with a break"}
+
+
+def test_only_the_wrappers_own_text_is_template():
+    pages = [f"<div>Same</div><!--{i}-->" for i in range(4)]
+    wrapper = html_extraction.shape(html_extraction.parse(pages[0]), 0)
+    for i, text in enumerate(pages[1:], 1):
+        wrapper = html_extraction.merge(wrapper, html_extraction.shape(html_extraction.parse(text), i))
+    for text, n in ((pages[0], 1), ("<div>Other</div>", 0)):
+        template = set()
+        html_extraction.constants(html_extraction.parse(text), wrapper, template)
+        assert len(template) == n
+
+
 def test_html_table(spark):
     """The pages' articles, cut out by a plainer path that knows these pages' one form."""
     import html
