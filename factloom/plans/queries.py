@@ -216,10 +216,13 @@ add("tax_finding_map", lambda a: overlay.finding_techniques(a.findings).select("
 add("tax_flatten", lambda a: overlay.technique_use(a.insights, a.findings), "SELECT repo, technique, count(*) AS n FROM (SELECT repo, unnest(techniques) AS technique FROM ins_tech UNION ALL SELECT repo, unnest(techniques) FROM fnd_tech) GROUP BY ALL")
 ONE_A_KIND = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, kind ORDER BY {rank('severity', overlay.INSIGHT_SEVERITIES)}, {rank('confidence', ('high', 'medium', 'low'))}, kind, id) AS rn FROM ins_tech) WHERE rn = 1)"
 SIGNAL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in overlay.SIGNALS.items()) + " END"
-add("det_generators", lambda a: overlay.detection_opportunities(a.insights, a.findings).select("repo", "id", "signal", "insight", "techniques"), f"SELECT repo, 'detect:' || id AS id, {SIGNAL} AS signal, id AS insight, array_to_string(techniques, ',') AS techniques FROM {ONE_A_KIND}")
-add("det_first_per_kind", lambda a: overlay.detection_opportunities(a.insights, a.findings).select("repo", "insight"), f"SELECT repo, id AS insight FROM {ONE_A_KIND}")
+add("det_generators", lambda a: overlay.detection_opportunities(a.insights, a.findings).where("insight is not null").select("repo", "id", "signal", "insight", "techniques"), f"SELECT repo, 'detect:' || id AS id, {SIGNAL} AS signal, id AS insight, array_to_string(techniques, ',') AS techniques FROM {ONE_A_KIND}")
+add("det_first_per_kind", lambda a: overlay.detection_opportunities(a.insights, a.findings).where("insight is not null").select("repo", "insight"), f"SELECT repo, id AS insight FROM {ONE_A_KIND}")
 TITLES = f"(SELECT DISTINCT repo, title, {rank('severity', threats.SEVERITIES)} AS r FROM finding)"
-add("det_fold_findings", lambda a: overlay.detection_opportunities(a.insights, a.findings).select("repo", "insight", "findings"), f"SELECT o.repo, o.id AS insight, coalesce((SELECT string_agg(title, ' | ' ORDER BY r, title) FROM (SELECT t.* FROM {TITLES} t WHERE t.repo = o.repo AND len(list_filter(string_split_regex(lower(o.title), '\\s+'), lambda w: length(w) > 4 AND contains(lower(t.title), w))) > 0 ORDER BY r, title LIMIT 3)), '') AS findings FROM {ONE_A_KIND} o")
+add("det_fold_findings", lambda a: overlay.detection_opportunities(a.insights, a.findings).where("insight is not null").select("repo", "insight", "findings"), f"SELECT o.repo, o.id AS insight, coalesce((SELECT string_agg(title, ' | ' ORDER BY r, title) FROM (SELECT t.* FROM {TITLES} t WHERE t.repo = o.repo AND len(list_filter(string_split_regex(lower(o.title), '\\s+'), lambda w: length(w) > 4 AND contains(lower(t.title), w))) > 0 ORDER BY r, title LIMIT 3)), '') AS findings FROM {ONE_A_KIND} o")
+PLACED_FINDING = f"(SELECT repo, title, techniques, row_number() OVER (PARTITION BY repo ORDER BY {rank('severity', threats.SEVERITIES)}, title, rule) AS rn FROM fnd_tech WHERE repo NOT IN (SELECT repo FROM ins_tech))"
+FIRST_TECHNIQUES = f"(SELECT repo, t, row_number() OVER (PARTITION BY repo ORDER BY min(rn * 100 + i)) AS p FROM (SELECT repo, rn, unnest(techniques) AS t, generate_subscripts(techniques, 1) AS i FROM {PLACED_FINDING}) GROUP BY repo, t)"
+add("det_residual", lambda a: overlay.detection_opportunities(a.insights, a.findings).where("insight is null").select("repo", "id", "signal", "techniques", "findings"), f"SELECT * FROM (SELECT repo, 'detect:findings:residual' AS id, 'log' AS signal, string_agg(t, ',' ORDER BY p) FILTER (WHERE p <= 6) AS techniques FROM {FIRST_TECHNIQUES} GROUP BY repo) JOIN (SELECT repo, string_agg(title, ' | ' ORDER BY rn) FILTER (WHERE rn <= 5) AS findings FROM {PLACED_FINDING} GROUP BY repo) USING (repo)")
 
 
 # Ranking

@@ -71,6 +71,30 @@ def test_assets_and_missing_controls(spark):
     assert sorted(r.kind for r in missing.collect()) == ["audit_logging", "authentication", "csrf_protection", "encryption_at_rest", "mfa", "rate_limiting"]
 
 
+FOUND = "repo string, rule string, title string, severity string, confidence string, evidence string"
+INSIGHT = "repo string, id string, kind string, title string, severity string, confidence string, evidence string"
+
+
+def test_findings_without_insights_give_the_residual_detection(spark):
+    titles = [("high", "b webhook"), ("high", "a admin secret"), ("low", "z command"), ("medium", "c plain"), ("medium", "d upload"), ("medium", "e login")]
+    found = [("r", f"x{i}", t, s, "high", "") for i, (s, t) in enumerate(titles)] + [("q", "x", "admin", "high", "high", ""), ("p", "x", "nothing", "high", "high", "")]
+    findings = spark.createDataFrame(found, FOUND)
+    insights = spark.createDataFrame([("q", "insight:a", "audit_gap", "no admin logging", "high", "high", "")], INSIGHT)
+    got = {(r.repo, r.id): r for r in overlay.detection_opportunities(insights, findings).collect()}
+    assert set(got) == {("r", "detect:findings:residual"), ("q", "detect:insight:a")}
+    row = got["r", "detect:findings:residual"]
+    assert row.signal == "log" and row.insight is None and row.findings == "a admin secret | b webhook | c plain | d upload | e login"
+    assert row.techniques == "T1078,T1068,T1098,T1552,T1528,T1190"
+    con = duckdb.connect()
+    con.execute("create table fnd_tech(repo text, rule text, title text, severity text, techniques text[]); create table ins_tech(repo text)")
+    for r in overlay.finding_techniques(findings).collect():
+        con.execute("insert into fnd_tech values (?, ?, ?, ?, ?)", [r.repo, r.rule, r.title, r.severity, r.techniques])
+    con.execute("insert into ins_tech values ('q')")
+    sql = plans.oracle_sql()["det_residual"]
+    want = con.sql(f"select repo, id, signal, techniques, findings {sql[sql.rindex('SELECT * FROM (SELECT repo,') + 8 :]}").fetchall()
+    assert want == [("r", row.id, row.signal, row.techniques, row.findings)]
+
+
 def test_mounted_routes(spark):
     text = "api = APIRouter(prefix='/api')\nv1 = APIRouter(prefix='v1/')\nusers = APIRouter()\napi.include_router(v1)\nv1.include_router(users, prefix='/users')\n@users.get('list')\n@api.api_route('/x', methods=['POST', 'ALL'])\n@lone.post('/y')\n"
     files = spark.createDataFrame([("r", "a.py", ".py", text)], "repo string, file string, suffix string, content string")
