@@ -5,7 +5,8 @@ name). Each level's bad rate is shrunk towards the level above through a beta-bi
 level's shrunk rate and whose strength is estimated from how much the level's rates spread beyond chance (by moments).
 The host's posterior is a beta distribution; a page is blocked where even the lower bound of its host's bad rate,
 ``Z`` standard deviations below the mean, is above ``limit``. Only counts are shuffled, after partial counts; hosts
-without labelled pages have their domain's rate, and unknown domains their suffix's, with wide bounds.
+without labelled pages have their domain's rate, and unknown domains their suffix's, and unknown suffixes the overall
+rate, with wide bounds: those of the prior, whose variance adds up the spread of every level that wasn't seen.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, which no rule fits, and the overall rate
 alone; repeated rows are judged each; several labels of a page count each; without labels nothing is blocked but by
@@ -14,6 +15,7 @@ rules; pages without an id count as not labelled.
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -51,26 +53,40 @@ def strength(level: DataFrame) -> float:
     return 1 / min(max((s - chance) / room, 0.001), 1 / 3) - 1 if room else 999.0
 
 
-def reputations(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, float]:
-    """Of outcomes (host, bad): by host, domain, suffix, and overall, the shrunk bad rate (and each host's bound)."""
+def lower(mean: Column, weight: Column | float) -> Column:
+    """Z standard deviations below the mean of a beta distribution of so much weight."""
+    return mean - Z * F.sqrt(mean * (1 - mean) / (weight + 1))
+
+
+def unseen(*strengths: float) -> float:
+    """The weight of the one prior with the variance of nested priors: 1 / (weight + 1) is 1 less the product of m / (m + 1)."""
+    kept = math.prod(m / (m + 1) for m in strengths)
+    return kept / (1 - kept)
+
+
+def reputations(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
+    """Of outcomes (host, bad): by host, domain, suffix, and overall, the shrunk bad rate and the lower bound of a host's."""
     hosts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("k")).withColumns({"domain": domain(F.col("host")), "suffix": F.substring_index("host", ".", -1)})
     hosts = written(hosts, "hosts")
     n, k = hosts.agg(F.sum("n"), F.sum("k")).first()
     overall = ((k or 0) + 0.5) / ((n or 0) + 1)
 
-    def rate(level: DataFrame) -> Column:
-        m = strength(level)
+    def rate(m: float) -> Column:
         return (F.col("k") + m * F.col("mean")) / (F.col("n") + m)
 
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("mean", F.lit(overall))
-    suffixes = suffixes.select("suffix", rate(suffixes).alias("suffix_rate"))
+    of_suffix = strength(suffixes)
+    suffixes = suffixes.select("suffix", rate(of_suffix).alias("suffix_rate"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).join(suffixes, "suffix").withColumnRenamed("suffix_rate", "mean")
-    domains = domains.select("domain", rate(domains).alias("domain_rate"))
+    of_domain = strength(domains)
+    domains = domains.select("domain", rate(of_domain).alias("domain_rate"))
     own = hosts.join(domains, "domain").withColumnRenamed("domain_rate", "mean")
     m = strength(own)
-    a, b = F.col("k") + m * F.col("mean"), F.col("n") - F.col("k") + m * (1 - F.col("mean"))
-    bound = a / (a + b) - Z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return own.select("host", (a / (a + b)).alias("host_rate"), bound.alias("bound")), domains, suffixes, overall
+    own = own.select("host", rate(m).alias("host_rate"), lower(rate(m), F.col("n") + m).alias("host_bound"))
+    domains = domains.withColumn("domain_bound", lower(F.col("domain_rate"), m))
+    suffixes = suffixes.withColumn("suffix_bound", lower(F.col("suffix_rate"), unseen(m, of_domain)))
+    any_bound = overall - Z * math.sqrt(overall * (1 - overall) / (unseen(m, of_domain, of_suffix) + 1))
+    return own, domains, suffixes, (overall, any_bound if n else None)
 
 
 def domain(host: Column) -> Column:
@@ -82,11 +98,12 @@ def url_filters(pages: DataFrame, labels: DataFrame, rules: list[Rule], id_col:
     host, path = parts(F.col("url"))
     judged = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     outcomes = judged.select("page_id", "host").join(labels.select(F.col("page_id").cast("long").alias("page_id"), F.col("bad").cast("long").alias("bad")).where("bad is not null"), "page_id")
-    hosts, domains, suffixes, overall = reputations(outcomes)
+    hosts, domains, suffixes, (overall, any_bound) = reputations(outcomes)
     # The rate and bound belong to the host: they are joined to the distinct hosts, then to the pages.
     known = judged.select("host").distinct().withColumns({"domain": domain(F.col("host")), "suffix": F.substring_index("host", ".", -1)})
     known = known.join(hosts, "host", "left").join(domains, "domain", "left").join(suffixes, "suffix", "left")
-    known = known.select("host", F.coalesce("host_rate", "domain_rate", "suffix_rate", F.lit(overall)).alias("bad_rate"), "bound")
+    bound = F.coalesce("host_bound", "domain_bound", "suffix_bound", F.lit(any_bound).cast("double"))
+    known = known.select("host", F.coalesce("host_rate", "domain_rate", "suffix_rate", F.lit(overall)).alias("bad_rate"), bound.alias("bound"))
     name, verdict = fitting(F.col("host"), F.col("path"), rules)
     blocked = F.when(F.col("bound") > limit, "block").otherwise("allow")
     return judged.join(known, "host").select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, blocked).alias("verdict"), "bad_rate", "bound")

@@ -191,6 +191,25 @@ def test_url_reputation_blocks_bad_hosts(spark):
     assert {(r.host, r.verdict) for r in got if r.verdict == "block"} == {("bad.org", "block")}
 
 
+def test_unlabelled_hosts_have_the_bound_of_their_prior(spark):
+    hosts = ["a.evil.com"] * 3000 + [f"h{i % 30}.good{i % 10}.com" for i in range(3000)] + ["b.evil.com", "new.good1.com", "x.new.com", "x.new.net", "a.evil.com"]
+    pages = spark.createDataFrame([(i, f"http://{h}/{i}") for i, h in enumerate(hosts)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i < 3000)) for i in range(6000)], "page_id long, bad long")
+    got = {r.host: r for r in url_filters.url_filters(pages, labels, []).where("page_id >= 6000").collect()}
+    assert {h for h, r in got.items() if r.verdict == "block"} == {"a.evil.com", "b.evil.com"}
+    assert got["a.evil.com"].bound > got["b.evil.com"].bound > 0.2
+    assert got["new.good1.com"].bound is not None and got["x.new.com"].bound is not None and got["x.new.net"].bound is not None
+    none = url_filters.url_filters(pages, labels.limit(0), [])
+    assert none.where("verdict = 'block' or bound is not null").count() == 0
+
+
+def test_nested_priors_add_their_spread():
+    r, mean = np.random.default_rng(1), 0.3
+    suffix = r.beta(9 * mean, 9 * (1 - mean), 400_000)
+    host = r.beta(5 * suffix, 5 * (1 - suffix))
+    assert mean * (1 - mean) / (url_filters.unseen(5, 9) + 1) == pytest.approx(host.var(), rel=0.02)
+
+
 def test_co_training_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = co_training.quality_classifier(docs, labels).join(labels, "doc_id").where("held_out").selectExpr("avg(int(predicted = quality))").first()[0]
