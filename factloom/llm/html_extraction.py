@@ -10,7 +10,8 @@ a third of the pages.
 
 A page's text is that of its varying slots within its articles (or its main element, or its body if it has neither),
 without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, which
-are known by their elements, roles and class or id names.
+are known by their elements, roles and class or id names: by the first word of a name, but within an article or main
+element by all its words, so that share-buttons go and a share-price stays. Formulas keep all their text.
 
 Edge cases: a null or empty page has an empty text; broken markup never fails (unclosed elements end with their parent,
 unclosed comments and scripts with the page); pages without a host are aligned with each other; a host with fewer than
@@ -48,11 +49,14 @@ ATTRIBUTE = re.compile(r"\s(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^'
 BLOCK = frozenset("html body article section nav aside header footer main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption form fieldset blockquote pre figure figcaption address hr details summary dialog menu center".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
-DROPPED = frozenset("nav aside footer header form fieldset dialog menu head svg math button select option label object audio video canvas map".split())
+DROPPED = frozenset("nav aside footer header form fieldset dialog menu head svg button select option label object audio video canvas map".split())
 ENDS_PARAGRAPH = BLOCK - {"html", "body"}
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 HOLDERS = frozenset("ul ol dl table thead tbody tfoot menu".split())
 FURNITURE = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar aside cookie cookies consent gdpr notice notices popup modal overlay share sharing social comment comments respond disqus related newsletter subscribe subscription signup login toolbar pagination pager widget skip copyright".split())
+# What may follow a furniture word in a name within an article, as in share-buttons or related-posts.
+HOLDING = frozenset("area articles badge banner bar block box btn button buttons container form icon icons links panel placeholder posts row slot stories unit wrap wrapper zone".split())
+COMPOUNDS = frozenset("comment-list comments-list menu-list nav-list social-list skip-to-content".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 ARTICLE = ("article", "main")
 
@@ -70,13 +74,19 @@ class Node:
         return "\n".join(x for x in self.items if isinstance(x, str))
 
 
+def compound(name: str) -> bool:
+    """Whether all of a name is furniture: a furniture word, then such words, holding words and numbers only."""
+    first, *more = re.split(r"[-_]+", name)
+    return name.replace("_", "-") in COMPOUNDS or first in FURNITURE and all(x in FURNITURE or x in HOLDING or not x.isalpha() for x in more)
+
+
 def furniture(tag: str, names: str, role: str, hidden: bool, inside: bool) -> bool:
-    """Whether an element is page furniture; an article's own header is not."""
+    """Whether an element is page furniture; an article's own header is not. Within an article, names count as a whole."""
     if tag in DROPPED and not (tag == "header" and inside) or hidden or role in ROLES:
         return True
     if tag in ("html", "body", "main"):
         return False
-    found = [n for n in names.lower().split() if n in FURNITURE or re.split(r"[-_]", n)[0] in FURNITURE]
+    found = [n for n in names.lower().split() if (compound(n) if inside else re.split(r"[-_]", n)[0] in FURNITURE)]
     return any(not (inside and n.startswith("header")) for n in found) and not (tag == "article" and not any(n.startswith("comment") for n in found))
 
 

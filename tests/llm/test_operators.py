@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -162,6 +163,14 @@ def test_only_the_wrappers_own_text_is_template():
         assert len(template) == n
 
 
+def test_articles_lose_whole_furniture_names_only():
+    kept = ["<p class=share-price>Up 3 %", "<section class=related-work>Others found", "<div class=notice-period>Two months", "<p id=skip_list>Levels", "<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold"]
+    gone = ["<div class=share-buttons>Share", "<div class='box related'>More", "<div id=ad_12>Buy", "<div class=newsletter-signup-form>Sign up", "<ul class=social__links>Follow"]
+    close = lambda x: x + "</" + re.match(r"<(\w+)", x)[1] + ">"
+    page = "<body><article>" + "".join(map(close, kept + gone)) + "</article>"
+    assert html_extraction.main_text(html_extraction.parse(page), set()) == "Up 3 %\nOthers found\nTwo months\nLevels\nLet x=1 hold"
+
+
 def test_html_table(spark):
     """The pages' articles, cut out by a plainer path that knows these pages' one form."""
     import html
