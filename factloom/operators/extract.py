@@ -56,7 +56,6 @@ AUTH = (
 )
 AUTH_WORDS = ("jwt", "oauth", "auth0", "apikey", "api_key", "bearer", "session", "password", "token", "mfa")
 SECRETS = (r"""(?i)os\.getenv\(['"]([^'"]*(?:SECRET|TOKEN|KEY|PASSWORD)[^'"]*)['"]""", r"(?i)process\.env\.([A-Z0-9_]*(?:SECRET|TOKEN|KEY|PASSWORD)[A-Z0-9_]*)")
-MOUNT_ROUNDS = 16
 
 
 def accepted(files: DataFrame) -> DataFrame:
@@ -118,25 +117,25 @@ def mounts(files: DataFrame) -> DataFrame:
     return rows.groupBy("repo", "file", "router").agg(F.max_by(F.struct("parent", "extra"), "o").alias("m")).select("repo", "file", "router", "m.*")
 
 
-def prefixes(files: DataFrame, rounds: int = MOUNT_ROUNDS) -> DataFrame:
+def prefixes(files: DataFrame) -> DataFrame:
     """repo, file, router, prefix: what the mounts above a router and its own prefix make together.
 
-    A router's mounts are walked up to the one that is mounted nowhere, at most ``rounds`` levels, which also ends cycles.
+    A router's mounts are walked up to the one that is mounted nowhere. Every round doubles the mounts that a walk has
+    passed; one that has passed more than its file has is in a cycle, and the router keeps its own prefix.
     """
+    key = ["repo", "file"]
     local = local_prefixes(files.where("suffix = '.py'"))
-    edges = mounts(files).join(local, ["repo", "file", "router"], "left").withColumn("own", join_route_parts(F.col("extra"), F.coalesce("prefix", F.lit("")))).select("repo", "file", "router", "parent", "own").persist()
-    walk = edges.select("repo", "file", "router", F.col("parent").alias("at"), F.col("own").alias("path"))
-    done = []
-    up = edges.select("repo", "file", F.col("router").alias("at"), F.col("parent").alias("above"), F.col("own").alias("more"))
-    for _ in range(rounds):
-        step = walk.join(up, ["repo", "file", "at"], "left").persist()
-        top = step.where("above is null").join(local.select("repo", "file", F.col("router").alias("at"), "prefix"), ["repo", "file", "at"], "left")
-        done.append(top.select("repo", "file", "router", join_route_parts(F.coalesce("prefix", F.lit("")), F.col("path")).alias("prefix")))
-        walk = step.where("above is not null and above <> router").select("repo", "file", "router", F.col("above").alias("at"), join_route_parts(F.col("more"), F.col("path")).alias("path"))
-        if walk.isEmpty():
-            break
-    mounted = reduce(DataFrame.unionByName, done)
-    return mounted.unionByName(local.join(mounted.select("repo", "file", "router"), ["repo", "file", "router"], "left_anti"))
+    own = join_route_parts(F.col("extra"), F.coalesce("prefix", F.lit("")))
+    edges = mounts(files).join(local, [*key, "router"], "left").select(*key, "router", F.col("parent").alias("at"), own.alias("path")).persist()
+    most = edges.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+    walk = edges
+    for _ in range(most.bit_length()):
+        up = walk.select(*key, F.col("router").alias("at"), F.col("at").alias("above"), F.col("path").alias("more"))
+        further = F.when(F.col("above").isNull(), F.col("path")).otherwise(join_route_parts(F.col("more"), F.col("path")))
+        walk = walk.join(up, [*key, "at"], "left").select(*key, "router", F.coalesce("above", "at").alias("at"), further.alias("path")).persist()
+    top = walk.join(edges.select(*key, F.col("router").alias("at")), [*key, "at"], "left_anti").join(local.select(*key, F.col("router").alias("at"), "prefix"), [*key, "at"], "left")
+    mounted = top.select(*key, "router", join_route_parts(F.coalesce("prefix", F.lit("")), F.col("path")).alias("prefix"))
+    return mounted.unionByName(local.join(mounted.select(*key, "router"), [*key, "router"], "left_anti"))
 
 
 def methods(args: Column, default: str) -> Column:

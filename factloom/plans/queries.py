@@ -189,7 +189,7 @@ add("ast_gather", lambda a: overlay.asset_matches(a.clean).groupBy("repo", "kind
 add("ast_secret_assets", lambda a: asset_text(overlay.secret_assets(a.clean)), ASSET_SQL + "secret_asset")
 add("ast_business_fallback", lambda a: asset_text(a.assets.where("kind = 'business_data'")), ASSET_SQL + "asset WHERE kind = 'business_data'")
 add("ast_detect", lambda a: asset_text(a.assets), ASSET_SQL + "asset")
-add("ast_order", lambda a: E.first_rows(a.assets, ["repo"], [E.rank_of(c("criticality"), overlay.CRITICALITY), "kind", "id"], 1000).select("repo", c("rn").alias("place"), "id"), f"SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY {rank('criticality', overlay.CRITICALITY)}, kind, id)::INTEGER AS place, id FROM asset")
+add("ast_order", lambda a: overlay.ordered_assets(a.assets), f"SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY {rank('criticality', overlay.CRITICALITY)}, kind, id)::INTEGER AS place, id FROM asset")
 
 # Controls
 

@@ -108,6 +108,19 @@ def test_mount_cycles_end(spark):
     assert extract.extract_routes(files).count() == 1
 
 
+@pytest.mark.parametrize("depth", [1, 2, 17, 40])
+def test_mounts_of_any_depth(spark, depth):
+    text = "".join(f"r{i}.use('/p{i}', r{i + 1});\n" for i in range(depth)) + f"r{depth}.get('/x', f)\na.use('/a', b);\nb.use('/b', a);\nb.use('/c', d);\nd.get('/y', f)\n"
+    files = spark.createDataFrame([("r", "a.js", ".js", text), ("r", "b.js", ".js", "r0.use('/q', r1);\nr1.get('/z', f)\n")], "repo string, file string, suffix string, content string")
+    got = sorted(r.path for r in extract.extract_routes(files).collect())
+    assert got == sorted(["".join(f"/p{i}" for i in range(depth)) + "/x", "/y", "/q/z"])
+
+
+def test_all_assets_are_numbered(spark):
+    rows = spark.range(1005).selectExpr("'r' AS repo", "lpad(id, 5, '0') AS id", "'internal_secret' AS kind", "'high' AS criticality")
+    assert [(r.place, r.id) for r in overlay.ordered_assets(rows).orderBy("place").collect()] == [(i + 1, f"{i:05}") for i in range(1005)]
+
+
 def test_snippets_and_lines(spark):
     text = "\n\n   os.getenv('API_KEY')" + "x" * 300 + "\nos.getenv('B_TOKEN')"
     files = spark.createDataFrame([("r", "a.py", ".py", text)], "repo string, file string, suffix string, content string")
