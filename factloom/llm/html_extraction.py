@@ -1,22 +1,30 @@
 """HTML extraction: wrappers induced by simple tree matching, and the main text of every page.
 
-Pages of a host are aligned with each other: simple tree matching finds the largest ordered mapping of two trees that
-keeps parents, and a host's wrapper is what its trees have in common. Every wrapper node remembers up to two different
-texts and up to three different pages on which it had text, so it tells constant nodes (one text on three pages or
-more, and the page's own text is that one: template) from varying slots. Runs of like siblings are one node, which keeps wrappers small. Tasks fold their
-pages into a wrapper for each host and send those, not the pages; wrappers of a host are merged in the same way. They
-are sent to all tasks if they are small together (``BROADCAST``), otherwise joined by host, salted, as a host may have
-a third of the pages.
-
-A page's text is that of its varying slots within its articles (or its main element, or its body if it has neither),
-without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, which
-are known by their elements, roles and class or id names: by the first word of a name, but within an article or main
-element by all its words, so that share-buttons go and a share-price stays. Formulas keep all their text.
+Pages of a host are aligned with ``REFERENCES`` pages of it, those of the smallest hashes, by simple tree matching: the
+largest ordered mapping of two trees that keeps parents, where equal texts count as one more node. For each node of a
+reference tree, the wrapper holds what the pages aligned with it say there: up to two different texts, up to three
+different pages, and counts. All of these are sums or smallest values, so a wrapper doesn't depend on how pages are dealt
+to tasks. A node is template if it says one text, on three different pages and on half of the host's pages or more;
+the others are varying slots. Tasks fold their pages into small tables for each host and send those, not the pages;
+a host's tables are merged in two steps, as a host may have a third of the pages. Wrappers are sent to all tasks if they
+are small together (``BROADCAST``); beyond that, pages are dealt by host and a salt, the wrapper ahead of its pages.
+
+A page's text is that within its articles (or its main element), without menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and reader comments. Two things tell them. Names do: elements, roles, and class or id
+names, by the first word of a name, but within an article or main element by all its words, so that share-buttons go and a
+share-price stays; formulas keep all their text. And the wrapper does: within an article, template blocks that are nothing but links
+go. In pages without an article or main element, the region is the smallest element with nine tenths of the page's varying text;
+template outside it goes, and so does template that is nothing but links within it; if that is the whole body,
+template before the first and after the last varying slot goes too, save headings. Template in between is the
+article's own, as headings like "Introduction" are. Where template would be more than half of what a host's pages say
+and has blocks of ``PROSE`` characters or more, as with one article in print and mobile versions, none of it goes.
 
 Edge cases: a null or empty page has an empty text; broken markup never fails (unclosed elements end with their parent,
-unclosed comments and scripts with the page); pages without a host are aligned with each other; a host with fewer than
-three different pages has no template; the same article on three different pages (as print or mobile versions) is
-template if nothing else fills its slot; repeated rows are extracted each; white space is what Unicode says.
+unclosed comments and scripts with the page); trees of any depth are walked without recursion; alignment is exact for
+up to ``CELLS`` pairs of children, beyond that equal subtrees that occur once are aligned first and what is left
+between them in order; pages without a host are aligned with each other; a host with fewer than three different pages
+has no template; repeated rows are extracted each and count as one page, save for the half; other columns don't matter;
+an empty table gives no rows; white space is what Unicode says.
 """
 
 from __future__ import annotations
@@ -24,6 +32,8 @@ from __future__ import annotations
 import html
 import pickle
 import re
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,15 +45,24 @@ from pyspark.sql import functions as F
 from factloom.llm.common import small_batches, written
 from factloom.llm.url_filters import parts
 
+#: Pages of a host that the others are aligned with.
+REFERENCES = 2
 #: Total bytes of wrappers up to which they are sent to every task.
 BROADCAST = 16_000_000
-SALTS = 16
-#: Nodes of a wrapper's level: runs of like siblings are one node, so no page comes near; beyond it, children merge by key.
+SALTS = 64
+#: Different pages that a template text must be on.
 SEEN_PAGES = 3
+#: Characters of a block that is prose.
+PROSE = 200
+#: Pairs of children up to which alignment is exact, and pairs of nodes looked at for two pages.
+CELLS, PAIRS = 4096, 50_000
+#: Hosts and bytes of reference pages that a task holds before it sends them on.
+HELD_HOSTS, HELD_BYTES = 2000, 64_000_000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^>\"'])*>?", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-ATTRIBUTE = re.compile(r"\s(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Attributes one by one; a quoted text without a name is taken whole, so that nothing within it is read as an attribute.
+ATTRIBUTE = re.compile(r"\"[^\"]*\"|'[^']*'|([^\s=>/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 # Element names of HTML, and common class and id names of page furniture.
 BLOCK = frozenset("html body article section nav aside header footer main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption form fieldset blockquote pre figure figcaption address hr details summary dialog menu center".split())
@@ -51,6 +70,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 DROPPED = frozenset("nav aside footer header form fieldset dialog menu head svg button select option label object audio video canvas map".split())
 ENDS_PARAGRAPH = BLOCK - {"html", "body"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 HOLDERS = frozenset("ul ol dl table thead tbody tfoot menu".split())
 FURNITURE = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar aside cookie cookies consent gdpr notice notices popup modal overlay share sharing social comment comments respond disqus related newsletter subscribe subscription signup login toolbar pagination pager widget skip copyright".split())
@@ -62,16 +82,18 @@ ARTICLE = ("article", "main")
 
 
 class Node:
-    """A block element: key (element, class and id names), children, and the texts between them."""
+    """A block element: key (element, class and id names), children, and the texts between them.
 
-    __slots__ = ("dropped", "items", "key", "parent", "tag")
+    After ``finish``: its children, own text, signature and size of its subtree (texts count), and whether its own text is
+    nothing but links.
+    """
+
+    __slots__ = ("dropped", "items", "key", "kids", "parent", "plain", "said", "sign", "size", "tag")
 
     def __init__(self, tag: str, key: str, parent: Node | None, dropped: bool):
         self.tag, self.key, self.parent, self.dropped = tag, key, parent, dropped
         self.items: list[Node | str] = []
-
-    def texts(self) -> str:
-        return "\n".join(x for x in self.items if isinstance(x, str))
+        self.plain = False
 
 
 def compound(name: str) -> bool:
@@ -90,23 +112,43 @@ def furniture(tag: str, names: str, role: str, hidden: bool, inside: bool) -> bo
     return any(not (inside and n.startswith("header")) for n in found) and not (tag == "article" and not any(n.startswith("comment") for n in found))
 
 
+def attributes(token: str) -> tuple[str, str, bool]:
+    """Class and id names, role, and whether hidden, of a start tag."""
+    names, role, hidden = "", "", False
+    for m in ATTRIBUTE.finditer(token, NAME.match(token).end()):
+        name = (m[1] or "").lower()
+        if name in ("class", "id"):
+            names += " " + (m[2] or m[3] or m[4] or "")
+        elif name == "role":
+            role = (m[2] or m[3] or m[4] or "").strip().lower()
+        elif name == "hidden":
+            hidden = True
+    return names, role, hidden
+
+
 def parse(text: str) -> Node:
     """The tree of block elements; the text of inline elements belongs to the block around them."""
     root = Node("#", "#", None, False)
     at, words, pos = root, [], 0
     inside = 0  # articles that are open
+    opened: Counter[str] = Counter()
+    link = plain = False
 
     def flush() -> None:
+        nonlocal plain
         if words:
             if said := " ".join(html.unescape("".join(words)).split()):
                 at.items.append(said)
+                at.plain = at.plain or plain
             words.clear()
+        plain = False
 
     def close(to: Node) -> None:
         nonlocal at, inside
         flush()
         while at is not to:
             inside -= at.tag in ARTICLE
+            opened[at.tag] -= 1
             at = at.parent
 
     for m in TOKEN.finditer(text):
@@ -114,21 +156,26 @@ def parse(text: str) -> Node:
             continue  # within raw text
         if m.start() > pos:
             words.append(text[pos : m.start()])
+            plain = plain or not link and not words[-1].isspace()
         token, pos = m.group(), m.end()
         if token[1] in "!?":
             if token.startswith("<![CDATA["):
                 words.append(html.escape(token[9:].removesuffix("]]>")))
+                plain = True
             continue
         tag = NAME.match(token)[1].lower()
         if token[1] == "/":
             if tag in BLOCK:
+                link = False
+                if not opened[tag]:
+                    flush()
+                    continue
                 node = at
-                while node is not root and node.tag != tag:
+                while node.tag != tag:
                     node = node.parent
-                if node is not root:
-                    close(node.parent)
-                else:
-                    flush()
+                close(node.parent)
+            elif tag == "a":
+                link = False
             continue
         if tag in RAW or tag in DROPPED and tag not in BLOCK and tag not in ("label", "object"):
             if not token.endswith("/>"):
@@ -137,17 +184,15 @@ def parse(text: str) -> Node:
             words.append(" ")
             continue
         if tag == "br" or tag not in BLOCK:
-            if tag in ("br", "img", "input", "td"):
+            if tag in ("br", "img", "input"):
                 words.append(" ")
+            link = link or tag == "a"
             continue
         flush()
-        if tag in ENDS_PARAGRAPH:
-            node = at
-            while node is not root and node.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and node.tag not in BLOCK - {"p"}:
-                node = node.parent
-            if node.tag == "p" or re.fullmatch("h[1-6]", node.tag) and re.fullmatch("h[1-6]", tag):
-                close(node.parent)
-        if tag in SAME_LEVEL:
+        link = False
+        if tag in ENDS_PARAGRAPH and (at.tag == "p" or at.tag in HEADINGS and tag in HEADINGS):
+            close(at.parent)
+        if tag in SAME_LEVEL and any(opened[x] for x in SAME_LEVEL[tag]):
             node = at
             while node is not root and node.tag not in HOLDERS and node.tag not in SAME_LEVEL[tag]:
                 node = node.parent
@@ -156,197 +201,414 @@ def parse(text: str) -> Node:
                 if tag == "tr":
                     while at.tag in ("tr", "td", "th"):
                         close(at.parent)
-        names, role, hidden = "", "", False
-        if " " in token or "\n" in token or "\t" in token:
-            for a in ATTRIBUTE.finditer(token):
-                value = a[2] or a[3] or a[4] or ""
-                if a[1].lower() == "role":
-                    role = value.strip().lower()
-                elif a[1].lower() == "hidden":
-                    hidden = True
-                else:
-                    names += " " + value
+        names, role, hidden = attributes(token) if " " in token or "\n" in token or "\t" in token else ("", "", False)
         node = Node(tag, tag + re.sub(r"\d+", "0", names), at, furniture(tag, names, role, hidden, inside > 0))
         at.items.append(node)
         if tag not in VOID:
             at = node
             inside += tag in ARTICLE
+            opened[tag] += 1
     if pos < len(text):
         words.append(text[pos:])
+        plain = plain or not link
     close(root)
     return root
 
 
-# A wrapper node is (key, texts, pages, children): texts and pages are sorted tuples of hashes, the two and three smallest;
-# pages are those on which the node has text.
-Wrapper = tuple
-
-
-def shape(node: Node, page: int, index: dict[int, Wrapper] | None = None) -> Wrapper:
-    """A page's tree as a wrapper; runs of like siblings are one node. index: of each node's id, its wrapper node."""
-    said = node.texts()
-    kids: list[Wrapper] = []
-    members: list[list[Node]] = []
-    for x in node.items:
-        if isinstance(x, Node):
-            k = shape(x, page, index)
-            if kids and kids[-1][0] == k[0]:
-                kids[-1] = merge(kids[-1], k)
-                members[-1].append(x)
-            else:
-                kids.append(k)
-                members.append([x])
-    return (node.key, (signature(said),) if said else (), (page,) if said else (), tuple(kids))
-
-
-def score(a: Wrapper, b: Wrapper) -> int:
-    """Simple tree matching: size of the largest mapping of two trees."""
-    return 0 if a[0] != b[0] else 1 + sum(s for _, _, s in mapping(a[3], b[3]))
-
-
-def mapping(a: tuple, b: tuple) -> list[tuple[int, int, int]]:
-    """The best ordered mapping of two lists of trees, as (i, j, score)."""
-    n, m = len(a), len(b)
-    if n == m and all(x[0] == y[0] for x, y in zip(a, b, strict=True)) and len({x[0] for x in a}) == n:
-        return [(i, i, 1) for i in range(n)]  # no other mapping keeps as many
-    w = {(i, j): score(a[i], b[j]) for i in range(n) for j in range(m) if a[i][0] == b[j][0]}
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n):
-        for j in range(m):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w.get((i, j), 0))
-    out, i, j = [], n, m
-    while i and j:
-        if (s := w.get((i - 1, j - 1))) and best[i][j] == best[i - 1][j - 1] + s:
-            out.append((i - 1, j - 1, s))
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return out[::-1]
-
-
-def merge(a: Wrapper, b: Wrapper) -> Wrapper:
-    """What two aligned trees make together; children that aren't aligned stay, in order."""
-    kids: list[Wrapper] = []
-    i = j = 0
-    for p, q, _ in [*mapping(a[3], b[3]), (len(a[3]), len(b[3]), 0)]:
-        known = {k[0] for k in kids}
-        kids += a[3][i:p] + tuple(x for x in b[3][j:q] if x[0] not in known and all(x[0] != y[0] for y in a[3]))
-        if p < len(a[3]):
-            kids.append(merge(a[3][p], b[3][q]))
-        i, j = p + 1, q + 1
-    return (a[0], tuple(sorted({*a[1], *b[1]})[:2]), tuple(sorted({*a[2], *b[2]})[:SEEN_PAGES]), tuple(kids))
-
-
-def constants(node: Node, wrapper: Wrapper, out: set[int]) -> None:
-    """Adds the ids of the page's nodes that the wrapper has as template: one text, the node's own, on as many different pages."""
-    if len(wrapper[1]) == 1 and len(wrapper[2]) == SEEN_PAGES and (said := node.texts()) and signature(said) == wrapper[1][0]:
-        out.add(id(node))
-    own = [x for x in node.items if isinstance(x, Node)]
-    runs: list[list[Node]] = []
-    for x in own:
-        if runs and runs[-1][0].key == x.key:
-            runs[-1].append(x)
-        else:
-            runs.append([x])
-    flat = tuple((r[0].key, (), (), ()) for r in runs)
-    for i, j, _ in mapping(flat, tuple((w[0], (), (), ()) for w in wrapper[3])):
-        for x in runs[i]:
-            constants(x, wrapper[3][j], out)
+def finish(root: Node) -> list[Node]:
+    """The tree's nodes, parents first; fills in what alignment needs."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        node.kids = [x for x in node.items if type(x) is Node]
+        stack += reversed(node.kids)
+    for node in reversed(out):
+        node.said = "\n".join(x for x in node.items if type(x) is str)
+        node.sign = hash((node.key, node.said, *(k.sign for k in node.kids)))
+        node.size = 1 + bool(node.said) + sum(k.size for k in node.kids)
+    return out
+
+
+def own_score(a: Node, b: Node) -> int:
+    """What two nodes of one key count by themselves."""
+    return 1 + (a.said == b.said != "")
+
+
+def gaps(a: list[Node], b: list[Node], room: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
+    """Children aligned at once, and the ranges left: equal subtrees at either end are aligned in some best mapping."""
+    i, n, m = 0, len(a), len(b)
+    while i < n and i < m and a[i].sign == b[i].sign:
+        i += 1
+    k = 0
+    while n - k > i and m - k > i and a[n - k - 1].sign == b[m - k - 1].sign:
+        k += 1
+    sure = [(x, x) for x in range(i)] + [(n - x, m - x) for x in range(k, 0, -1)]
+    if i == n - k or i == m - k:
+        return sure, []
+    if (n - k - i) * (m - k - i) <= min(CELLS, room):
+        return sure, [(i, n - k, i, m - k)]
+    left, right = (Counter(x.sign for x in c[i : len(c) - k]) for c in (a, b))
+    place = {x.sign: j for j, x in enumerate(b[: m - k]) if j >= i and right[x.sign] == 1}
+    tails: list[int] = []  # the longest rising run of places
+    best: list[tuple[int, int, int]] = []
+    held: list[int] = []
+    for x in range(i, n - k):
+        if left[a[x].sign] == 1 and (y := place.get(a[x].sign)) is not None:
+            at = bisect_left(tails, y)
+            best.append((x, y, held[at - 1] if at else -1))
+            tails[at : at + 1] = [y]
+            held[at : at + 1] = [len(best) - 1]
+    chain, at = [], held[-1] if held else -1
+    while at >= 0:
+        chain.append(best[at][:2])
+        at = best[at][2]
+    ranges, x0, y0 = [], i, i
+    for x, y in [*reversed(chain), (n - k, m - k)]:
+        if x > x0 and y > y0:
+            if (x - x0) * (y - y0) <= min(CELLS, room):
+                ranges.append((x0, x, y0, y))
+            else:  # in order, each with the next of its key
+                where = defaultdict(list)
+                for j in range(y0, y):
+                    where[b[j].key].append(j)
+                j = y0
+                for v in range(x0, x):
+                    own = where[a[v].key]
+                    if (q := bisect_left(own, j)) < len(own):
+                        sure.append((v, own[q]))
+                        j = own[q] + 1
+        x0, y0 = x + 1, y + 1
+    return sure + chain, ranges
+
+
+def align(a: Node, b: Node) -> Iterator[tuple[Node, Node]]:
+    """Simple tree matching: the pairs of the largest mapping of two finished trees whose roots are mapped."""
+    plans: list[tuple[Node, Node, list, list]] = []
+    number: dict[tuple[int, int], int] = {}
+    stack, room = [(a, b)], PAIRS
+    while stack:
+        x, y = stack.pop()
+        number[id(x), id(y)] = len(plans)
+        sure, left = gaps(x.kids, y.kids, room)
+        plans.append((x, y, sure, left))
+        asked = [(x.kids[i], y.kids[j]) for i, j in sure]
+        for i0, i1, j0, j1 in left:
+            room -= (i1 - i0) * (j1 - j0)
+            asked += [(u, v) for u in x.kids[i0:i1] for v in y.kids[j0:j1] if u.key == v.key]
+        stack += [(u, v) for u, v in asked if u.sign != v.sign and u.kids and v.kids]
+    scores = [0] * len(plans)
+
+    def score(u: Node, v: Node) -> int:
+        if u.sign == v.sign:
+            return u.size
+        return scores[number[id(u), id(v)]] if u.kids and v.kids else own_score(u, v)
+
+    for at in range(len(plans) - 1, -1, -1):
+        x, y, sure, left = plans[at]
+        total = own_score(x, y) + sum(score(x.kids[i], y.kids[j]) for i, j in sure)
+        for i0, i1, j0, j1 in left:
+            rows = [[0] * (j1 - j0 + 1)]
+            weights = {}
+            for i in range(i0, i1):
+                above, row, u = rows[-1], [0], x.kids[i]
+                for j in range(j0, j1):
+                    best = max(above[j - j0 + 1], row[-1])
+                    if u.key == y.kids[j].key:
+                        weights[i, j] = w = score(u, y.kids[j])
+                        best = max(best, above[j - j0] + w)
+                    row.append(best)
+                rows.append(row)
+            total += rows[-1][-1]
+            i, j = i1, j1
+            while i > i0 and j > j0:
+                now = rows[i - i0][j - j0]
+                if (w := weights.get((i - 1, j - 1))) and now == rows[i - i0 - 1][j - j0 - 1] + w:
+                    i, j = i - 1, j - 1
+                    sure.append((i, j))
+                elif now == rows[i - i0 - 1][j - j0]:
+                    i -= 1
+                else:
+                    j -= 1
+        scores[at] = total
+    stack = [(a, b)]
+    while stack:
+        x, y = stack.pop()
+        yield x, y
+        if x.sign == y.sign:
+            stack += zip(x.kids, y.kids, strict=True)
+        elif x.kids and y.kids:
+            stack += [(x.kids[i], y.kids[j]) for i, j in plans[number[id(x), id(y)]][2]]
 
 
 def signature(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text)
 
 
-def main_text(root: Node, template: set[int]) -> str:
-    """The blocks of the page's content, one to a line."""
+@lru_cache(64)
+def reference(text: str) -> tuple[Node, dict[int, int]]:
+    """A reference page's tree, and the number of each of its nodes (by id)."""
+    nodes = finish(parse(text))
+    return nodes[0], {id(x): i for i, x in enumerate(nodes)}
 
-    def find(node: Node, tag: str, skip: bool = False) -> Iterator[Node]:
-        for x in node.items:
-            if isinstance(x, Node) and not x.dropped:
-                if x.tag == tag:
-                    yield x
-                else:
-                    yield from find(x, tag)
 
-    regions = list(find(root, "article")) or list(find(root, "main")) or [root]
-    out: list[str] = []
-    stack: list[tuple[Node | str, Node | None]] = [(x, None) for x in reversed(regions)]
+#: Of a host: pages, their characters, and for each reference by node: texts, pages, count, characters.
+Table = tuple[int, int, tuple[dict[int, tuple[tuple, tuple, int, int]], ...]]
+
+
+def tabled(text: str, references: list[str]) -> Table:
+    """A page's own table."""
+    page, nodes = signature(text), finish(parse(text))
+    rows = []
+    for r in references:
+        root, number = reference(r)
+        rows.append({number[id(x)]: ((signature(y.said),), (page,), 1, len(y.said)) for x, y in align(root, nodes[0]) if y.said})
+    return 1, sum(len(said) for _, said in blocks(nodes[0])), tuple(rows)
+
+
+def added(a: Table, b: Table) -> Table:
+    """Two tables of a host as one: sums, and the smallest of what is kept; in any order the same."""
+    out = []
+    for x, y in zip(a[2], b[2], strict=True):
+        own = dict(x)
+        for k, (texts, pages, n, size) in y.items():
+            if (old := own.get(k)) is None:
+                own[k] = (texts, pages, n, size)
+            else:
+                own[k] = (tuple(sorted({*old[0], *texts})[:2]), tuple(sorted({*old[1], *pages})[:SEEN_PAGES]), old[2] + n, old[3] + size)
+        out.append(own)
+    return a[0] + b[0], a[1] + b[1], tuple(out)
+
+
+#: Of a host: whether template may go, and for each reference its html and the text of each template node.
+Wrapper = tuple[bool, tuple[tuple[str, dict[int, int]], ...]]
+
+
+def wrapper(table: Table, references: list[str]) -> Wrapper:
+    """The template of a host."""
+    found, whole = [], False
+    for text, rows in zip(references, table[2], strict=True):
+        root, number = reference(text)
+        constant = {k: t[0] for k, (t, pages, n, _) in rows.items() if len(t) == 1 and len(pages) == SEEN_PAGES and 2 * n >= table[0]}
+        found.append((text, constant))
+        said = [rows[k][2:] for k in {number[id(x)] for x, _ in blocks(root)} & constant.keys()]
+        whole |= 2 * sum(size for _, size in said) > table[1] and any(size >= PROSE * n for n, size in said)
+    return not whole, tuple(found)
+
+
+def constants(nodes: list[Node], own: Wrapper) -> set[int]:
+    """Ids of the page's nodes that are template: aligned with a template node, and of its text."""
+    out: set[int] = set()
+    for text, constant in own[1]:
+        if constant:
+            root, number = reference(text)
+            for x, y in align(root, nodes[0]):
+                if y.said and (t := constant.get(number[id(x)])) is not None and signature(y.said) == t:
+                    out.add(id(y))
+    return out
+
+
+def blocks(root: Node) -> Iterator[tuple[Node, str]]:
+    """The texts below a node that names don't tell to be furniture, in order, each with the element it is in."""
+    stack: list[tuple[Node, Node | str]] = [(root, x) for x in reversed(root.items)]
     while stack:
-        x, owner = stack.pop()
-        if isinstance(x, str):
-            if id(owner) not in template:
-                out.append(x)
+        owner, x = stack.pop()
+        if type(x) is str:
+            yield owner, x
         elif not x.dropped:
-            stack += [(y, x) for y in reversed(x.items)]
-    return "\n".join(out)
+            stack += [(x, y) for y in reversed(x.items)]
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper of pages (host, html): each task folds its pages, then a host's wrappers are merged."""
+def regions(root: Node) -> list[Node]:
+    """The articles, or the main elements, that aren't within one another."""
+    for tag in ARTICLE:
+        out, stack = [], [root]
+        while stack:
+            node = stack.pop()
+            if node.tag == tag:
+                out.append(node)
+            else:
+                stack += [x for x in reversed(node.kids) if not x.dropped]
+        if out:
+            return out
+    return []
+
+
+def main_text(nodes: list[Node], own: Wrapper | None) -> tuple[str, int]:
+    """The blocks of the page's content, one to a line, and how many the wrapper left out."""
+    root = nodes[0]
+    found = regions(root)
+    said = [x for region in found or [root] for x in blocks(region)]
+    template = constants(nodes, own) if own and own[0] else set()
+    if not template:
+        return "\n".join(t for _, t in said), 0
+    goes = {i for i, (x, _) in enumerate(said) if id(x) in template and not x.plain}
+    if not found and (varying := [i for i, (x, _) in enumerate(said) if id(x) not in template]):
+        size: Counter[int] = Counter()
+        for i in varying:
+            size[id(said[i][0])] += len(said[i][1])
+        for node in reversed(nodes):
+            if node.parent is not None:
+                size[id(node.parent)] += size[id(node)]
+        region, whole = root, size[id(root)]
+        while (inner := next((x for x in region.kids if 10 * size[id(x)] >= 9 * whole), None)) is not None:
+            region = inner
+        within, stack = set(), [region]
+        while stack:
+            node = stack.pop()
+            within.add(id(node))
+            stack += node.kids
+        edges = region.tag in ("#", "html", "body")
+        for i, (x, _) in enumerate(said):
+            if id(x) in template and (id(x) not in within or edges and x.tag not in HEADINGS and not varying[0] < i < varying[-1]):
+                goes.add(i)
+    if len(goes) == len(said):
+        goes = set()
+    return "\n".join(t for i, (_, t) in enumerate(said) if i not in goes), len(goes)
+
+
+def references(pages: DataFrame) -> DataFrame:
+    """host, pages (of the smallest hashes, by REFERENCES hashes) of pages (host, html): a task sends one page a host and hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], tuple[int, str]] = {}
+        size = 0
+
+        def batch() -> pa.RecordBatch:
+            columns = [[h for h, _ in held], [r for _, r in held], [x for x, _ in held.values()], [t for _, t in held.values()]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["host", "r", "hash", "html"])
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Wrapper] = {}
         for b in batches:
             for host, text in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                if text:
-                    own = shape(parse(text), signature(text))
-                    held[host] = merge(held[host], own) if host in held else own
-            if len(held) > 2000:
-                yield batch(held)
-                held = {}
+                if not text:
+                    continue
+                for r in range(REFERENCES):
+                    x = xxhash.xxh3_64_intdigest(text, r) >> 1
+                    old = held.get((host, r))
+                    if old is None or (x, text) < old:
+                        size += len(text) - (len(old[1]) if old else 0)
+                        held[host, r] = (x, text)
+            if len(held) > HELD_HOSTS or size > HELD_BYTES:
+                yield batch()
+                held, size = {}, 0
         if held:
-            yield batch(held)
+            yield batch()
 
-    def batch(held: dict[str, Wrapper]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([pickle.dumps(w) for w in held.values()], pa.binary())], ["host", "wrapper"])
+    made = pages.mapInArrow(run, "host string, r int, hash long, html string")
+    best = made.groupBy("host", "r").agg(F.min(F.struct("hash", "html")).alias("x"))
+    return best.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("r", F.col("x.html").alias("html")))).alias("x")).select("host", F.col("x.html").alias("references"))
+
+
+def beside(pages: DataFrame, known: DataFrame, columns: str) -> DataFrame:
+    """Rows of pages dealt by host and salt, after the row of known (host, blob) of their host; pages have no blob."""
+    salts = known.select("host", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "blob")
+    dealt = pages.withColumn("salt", F.pmod(F.xxhash64(*columns.split()), F.lit(SALTS)).cast("int"))
+    both = salts.withColumn("first", F.lit(0)).unionByName(dealt.withColumn("first", F.lit(1)), allowMissingColumns=True)
+    return both.repartition("host", "salt").sortWithinPartitions("host", "salt", "first").drop("salt", "first")
+
+
+def attended(batches: Iterator[pa.RecordBatch], known: dict[str, bytes] | None) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Batches of pages with what is known of their hosts: from a dictionary, or from the rows ahead of theirs."""
+    last: tuple[str | None, bytes | None] = (None, None)
+    for b in batches:
+        hosts = b.column("host").to_pylist()
+        if known is not None:
+            yield b, [known.get(h) for h in hosts]
+            continue
+        out, rows = [], []
+        for i, (h, blob) in enumerate(zip(hosts, b.column("blob").to_pylist(), strict=True)):
+            if blob is not None:
+                last = (h, blob)
+            else:
+                rows.append(i)
+                out.append(last[1] if last[0] == h else None)
+        yield b.take(pa.array(rows, pa.int64())), out
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, wrapper = None, None
-        for b in batches:
-            for h, w in zip(b.column("host").to_pylist(), b.column("wrapper").to_pylist(), strict=True):
-                if h != host and wrapper is not None:
-                    yield batch({host: wrapper})
-                    wrapper = None
-                host, wrapper = h, pickle.loads(w) if wrapper is None else merge(wrapper, pickle.loads(w))
-        if wrapper is not None:
-            yield batch({host: wrapper})
 
-    made = pages.mapInArrow(fold, "host string, wrapper binary")
-    return made.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(join, "host string, wrapper binary")
+def held_by_all(known: DataFrame) -> dict[str, bytes] | None:
+    """known (host, blob) as a dictionary if it is small, else None."""
+    size = known.agg(F.sum(F.length("blob"))).first()[0] or 0
+    return {r.host: bytes(r.blob) for r in known.collect()} if size <= BROADCAST else None
 
 
 @lru_cache(256)
-def opened(blob: bytes) -> Wrapper:
+def opened_blob(blob: bytes):
     return pickle.loads(blob)
 
 
+PICKLED = "host string, blob binary"
+
+
+def wrappers(pages: DataFrame, columns: str) -> DataFrame:
+    """host, blob (a pickled wrapper) of pages (host, html and more columns)."""
+    spark = pages.sparkSession
+
+    def pickled(rows: dict[str, object]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array([pickle.dumps(x) for x in rows.values()], pa.binary())], ["host", "blob"])
+
+    def to_blob(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for host, found in zip(b.column("host").to_pylist(), b.column("references").to_pylist(), strict=True):
+                yield pickled({host: found})
+
+    picked = written(references(pages).mapInArrow(to_blob, PICKLED), "references")
+    small = held_by_all(picked)
+    sent = spark.sparkContext.broadcast(small)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Table] = {}
+        for b, blobs in attended(batches, sent.value):
+            for host, text, blob in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), blobs, strict=True):
+                if text and blob is not None:
+                    own = tabled(text, opened_blob(blob))
+                    held[host] = added(held[host], own) if host in held else own
+            if len(held) > HELD_HOSTS:
+                yield pickled(held)
+                held = {}
+        if held:
+            yield pickled(held)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host, own = None, None
+        for b in batches:
+            for h, blob in zip(b.column("host").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                if h != host and own is not None:
+                    yield pickled({host: own})
+                    own = None
+                host, own = h, pickle.loads(blob) if own is None else added(own, pickle.loads(blob))
+        if own is not None:
+            yield pickled({host: own})
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for host, table, found in zip(*(b.column(c).to_pylist() for c in ("host", "table", "blob")), strict=True):
+                yield pickled({host: wrapper(pickle.loads(table), pickle.loads(found))})
+
+    tables = (beside(pages, picked, columns) if small is None else pages).mapInArrow(fold, PICKLED)
+    salted = tables.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    some = salted.repartition("host", "salt").sortWithinPartitions("host", "salt").select("host", "blob").mapInArrow(join, PICKLED)
+    whole = some.repartition("host").sortWithinPartitions("host").mapInArrow(join, PICKLED)
+    return whole.withColumnRenamed("blob", "table").join(picked, "host").select("host", "table", "blob").mapInArrow(close, PICKLED)
+
+
 def html_extraction(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every row of pages."""
+    """page_id, url, text, n_chars, n_template (blocks that the wrapper left out) of every row of pages."""
     spark = pages.sparkSession
     small_batches(spark)
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), parts(F.col(url_col))[0].alias("host"), F.col(html_col).cast("string").alias("html"))
-    made = written(wrappers(own.select("host", "html")), "wrappers")
-    size = made.agg(F.sum(F.length("wrapper"))).first()[0] or 0
-    if size <= BROADCAST:
-        joined = own.join(F.broadcast(made), "host", "left")
-    else:
-        salted = made.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    made = written(wrappers(own, "page_id url"), "wrappers")
+    small = held_by_all(made)
+    sent = spark.sparkContext.broadcast(small)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b, blobs in attended(batches, sent.value):
             out = []
-            for text, blob in zip(b.column("html").to_pylist(), b.column("wrapper").to_pylist(), strict=True):
-                if not text:
-                    out.append("")
-                    continue
-                root, template = parse(text), set()
-                if blob is not None:
-                    constants(root, opened(blob), template)
-                out.append(main_text(root, template))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+            for text, blob in zip(b.column("html").to_pylist(), blobs, strict=True):
+                out.append(main_text(finish(parse(text)), opened_blob(blob) if blob is not None else None) if text else ("", 0))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("page_id"), b.column("url"), pa.array([t for t, _ in out], pa.string()), pa.array([len(t) for t, _ in out], pa.int64()), pa.array([n for _, n in out], pa.int64())],
+                ["page_id", "url", "text", "n_chars", "n_template"],
+            )
+
+    rows = own if small is not None else beside(own, made, "page_id url")
+    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_template long")

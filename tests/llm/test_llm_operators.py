@@ -154,13 +154,12 @@ def test_wrapper_keeps_a_slot_filled_on_one_page(spark):
 
 def test_only_the_wrappers_own_text_is_template():
     pages = [f"<div>Same</div><!--{i}-->" for i in range(4)]
-    wrapper = html_extraction.shape(html_extraction.parse(pages[0]), 0)
-    for i, text in enumerate(pages[1:], 1):
-        wrapper = html_extraction.merge(wrapper, html_extraction.shape(html_extraction.parse(text), i))
+    table = html_extraction.tabled(pages[0], pages[:2])
+    for text in pages[1:]:
+        table = html_extraction.added(table, html_extraction.tabled(text, pages[:2]))
+    wrapper = html_extraction.wrapper(table, pages[:2])
     for text, n in ((pages[0], 1), ("<div>Other</div>", 0)):
-        template = set()
-        html_extraction.constants(html_extraction.parse(text), wrapper, template)
-        assert len(template) == n
+        assert len(html_extraction.constants(html_extraction.finish(html_extraction.parse(text)), wrapper)) == n
 
 
 def test_articles_lose_whole_furniture_names_only():
@@ -168,7 +167,7 @@ def test_articles_lose_whole_furniture_names_only():
     gone = ["<div class=share-buttons>Share", "<div class='box related'>More", "<div id=ad_12>Buy", "<div class=newsletter-signup-form>Sign up", "<ul class=social__links>Follow"]
     close = lambda x: x + "</" + re.match(r"<(\w+)", x)[1] + ">"
     page = "<body><article>" + "".join(map(close, kept + gone)) + "</article>"
-    assert html_extraction.main_text(html_extraction.parse(page), set()) == "Up 3 %\nOthers found\nTwo months\nLevels\nLet x=1 hold"
+    assert html_extraction.main_text(html_extraction.finish(html_extraction.parse(page)), None)[0] == "Up 3 %\nOthers found\nTwo months\nLevels\nLet x=1 hold"
 
 
 def test_html_table(spark):
