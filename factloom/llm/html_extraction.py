@@ -439,7 +439,8 @@ def main_text(nodes: list[Node], own: Wrapper | None) -> tuple[str, int]:
     root = nodes[0]
     found = regions(root)
     said = [x for region in found or [root] for x in blocks(region)]
-    template = constants(nodes, own) if own and own[0] else set()
+    asked = own and own[0] and not (found and all(x.plain for x, _ in said))  # within articles, only blocks of links may go
+    template = constants(nodes, own) if asked else set()
     if not template:
         return "\n".join(t for _, t in said), 0
     goes = {i for i, (x, _) in enumerate(said) if id(x) in template and not x.plain}
