@@ -1,12 +1,13 @@
 """Nearest neighbours by block matrix join: int8 product tiles bound every distance, survivors are computed exactly.
 
-Queries go to the tasks in chunks of at most ``CHUNK`` rows; each pass over the table holds one chunk against all
-candidates, batch by batch. A vector is its int8 codes times a scale plus a remainder of known length, so the product of
+Queries go to the tasks in the order of their ids, in chunks of at most ``CHUNK`` rows and ``CHUNK_BYTES`` bytes; each
+pass over the table holds one chunk against all candidates, batch by batch. A vector is its int8 codes times a scale plus a remainder of known length, so the product of
 two tiles of codes (whole numbers, exact in 32-bit floats up to 1040 components, in 64-bit ones beyond) gives each
 distance up to the two remainders' lengths. Candidates whose lower bound is above the k-th smallest upper bound, or
 above the k-th distance found so far, are out; for the others the Euclidean distance of the original vectors is
 computed in double precision, component by component in order, and heaps keep the k nearest of each query. The tasks'
-heaps are merged by rank. The bounds lose nothing, so the result is exact.
+heaps are merged by rank. The bounds lose nothing, so the result is exact. Vectors whose squares leave the range of
+doubles have no bounds and are always computed; a distance beyond that range is infinite.
 
 Edge cases: vectors that are null, empty or zero, or that hold a null or non-finite component, take no part; vectors
 of another length than the query's aren't its candidates; rows with the query's own id are its own row, and one of
@@ -25,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import small_batches
+from factloom.llm.common import small_batches, written
 
-#: Queries that a pass sends to every task.
-CHUNK = 32_768
+#: Queries that a pass sends to every task, and their bytes.
+CHUNK, CHUNK_BYTES = 32_768, 256_000_000
 TILE = 1024
+#: Scales of codes between which squares and their sums stay within the range of doubles.
+LEAST, MOST = 1e-140, 1e140
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -45,9 +48,13 @@ class Tile:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
         self.scale = np.abs(vectors).max(1) / 127
-        codes = np.rint(vectors / self.scale[:, None])
+        wild = (self.scale < LEAST) | (self.scale > MOST)
+        self.scale[wild] = 1.0
+        tame = np.where(wild[:, None], 0.0, vectors)
+        codes = np.rint(tame / self.scale[:, None])
         self.codes = codes.astype(np.int8)
-        self.rest = np.sqrt(((vectors - codes * self.scale[:, None]) ** 2).sum(1))
+        self.rest = np.sqrt(((tame - codes * self.scale[:, None]) ** 2).sum(1))
+        self.rest[wild] = np.inf  # anything may be near them
         self.square = (codes**2).sum(1) * self.scale**2
 
     def floats(self) -> np.ndarray:
@@ -57,8 +64,9 @@ class Tile:
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of paired rows; squares are added one after another, so that any engine gets the same doubles."""
     total = np.zeros(len(a))
-    for x, y in zip(a.T, b.T, strict=True):
-        total = total + (x - y) * (x - y)
+    with np.errstate(over="ignore", under="ignore"):
+        for x, y in zip(a.T, b.T, strict=True):
+            total = total + (x - y) * (x - y)
     return np.sqrt(total)
 
 
@@ -102,12 +110,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     spark = vectors.sparkSession
     small_batches(spark)
     rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n = asked.count()
-    passes = max(1, -(-n // chunk))
-    found = None
-    for p in range(passes):
-        mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == p).orderBy("vec_id").limit(2 * chunk)
-        got = mine.toPandas()
+    asked = written(asked, "queries")
+    width = asked.agg(F.max(F.size("v"))).first()[0] or 1
+    step = max(1, min(chunk, CHUNK_BYTES // (8 * width)))
+    found, last = None, None
+    while True:
+        got = (asked if last is None else asked.where(F.col("vec_id") > last)).orderBy("vec_id").limit(step).toPandas()
+        if not len(got) and found is not None:
+            break
         by_size = defaultdict(list)
         for i, v in zip(got.vec_id, got.v, strict=True):
             by_size[len(v)].append((i, v))
@@ -130,5 +140,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
 
         part = rows.mapInArrow(run, "query_id long, vec_id long, score double")
         found = part if found is None else found.union(part)
+        if len(got) < step:
+            break
+        last = int(got.vec_id.iloc[-1])
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
