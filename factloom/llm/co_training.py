@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import byte_texts, in_fold, small_batches
-from factloom.llm.quality_rules import FEATURES, text_stats
+from factloom.llm.quality_rules import FEATURES, one_an_id, text_stats
 
 #: Bounds on the labelled rows, and on the pool of unlabelled ones.
 TRAIN_ROWS = 12_000
@@ -168,8 +168,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
     asked = F.broadcast(few.unionByName(pool))  # at most train_rows + pool_rows ids
-    got = own.join(asked, "doc_id").mapInArrow(run, "doc_id long, label int, x array<double>").limit(2 * (train_rows + pool_rows)).toPandas()
-    got = got.assign(k=[tuple(x) for x in got.x]).sort_values(["doc_id", "label", "k"])
+    rows = own.join(asked, "doc_id").mapInArrow(run, "doc_id long, label int, x array<double>")
+    got = one_an_id(rows, "label", "x").toPandas().sort_values("doc_id")
+    got = got.assign(k=[tuple(x) for x in got.x])
     x = np.array(got.k.tolist(), float).reshape(len(got), len(FEATURES) + 64 + LANGS + SOURCES + 3)
     label, cut = got.label.to_numpy(), len(FEATURES) + 64
     known = label >= 0

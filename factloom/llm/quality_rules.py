@@ -1,6 +1,7 @@
 """Quality rules: text statistics, base rules, and gradient-boosted trees with monotonic constraints.
 
-The trees are fitted on a bounded sample of labelled rows (``TRAIN_ROWS``, taken in the order of a hash of the id) and
+The trees are fitted on a bounded sample of labelled rows (``TRAIN_ROWS``, taken in the order of a hash of the id; of rows that
+share an id, one) and
 flattened into arrays of nodes; scoring steps all rows of a batch down all trees with array operations.
 
 Edge cases: a null or empty text has no words and fails the base rules; a null id is kept as it is; without labelled
@@ -137,7 +138,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, signs: list[int], rounds: int = 60,
     n, width = x.shape if x.ndim == 2 else (0, len(signs))
     ones = float(y.sum()) if n else 0.0
     if not n or ones in (0.0, float(n)):
-        return Trees(*(np.array([v]) for v in (-1, 0.0, 0, 0, 0.0)), np.array([0]), 0, 0.0 if not n else math.copysign(20, ones - 0.5))
+        return Trees(*(np.array([v]) for v in (-1, 0.0, 0, 0, 0.0)), np.array([0]), 0, 0.0)
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for j in range(width)]
     binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1)
     base = math.log(ones / (n - ones))
@@ -188,6 +189,11 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_c
     return texts_of(docs, id_col, text_col).join(F.broadcast(few.groupBy("doc_id").agg(F.max("label").alias("label"))), "doc_id")
 
 
+def one_an_id(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row of each doc_id, that with the smallest columns: so many rows as ids were sampled, however often ids repeat."""
+    return rows.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("x")).select("doc_id", "x.*")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Trees:
     """Trees fitted on at most train_rows labelled rows; only their features come to the driver."""
 
@@ -196,8 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             f = [text_stats(t)[1] for t in byte_texts(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(f, pa.list_(pa.float64()))], ["doc_id", "label", "features"])
 
-    got = label_sample(docs, labels, "quality", train_rows, id_col, text_col).mapInArrow(features, "doc_id long, label int, features array<double>").limit(2 * train_rows).toPandas()
-    got = got.assign(k=[tuple(f) for f in got.features]).sort_values(["doc_id", "label", "k"])
+    rows = label_sample(docs, labels, "quality", train_rows, id_col, text_col).mapInArrow(features, "doc_id long, label int, features array<double>")
+    got = one_an_id(rows, "label", "features").toPandas().sort_values("doc_id")
+    got = got.assign(k=[tuple(f) for f in got.features])
     return fit_trees(np.array(got.k.tolist(), float).reshape(len(got), len(FEATURES)), got.label.to_numpy(float), [s for _, s in FEATURES])
 
 
