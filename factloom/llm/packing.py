@@ -30,8 +30,10 @@ from factloom.llm.common import small_batches, texts_of, written
 
 CAPACITY = 1024
 END = 2
-#: Pieces of a length are ranked in so many groups, so that the commonest length doesn't meet in one task.
-GROUPS = 64
+#: Pieces of a length are ranked in groups of about so many, so that no length meets in one task.
+GROUP_ROWS = 200_000
+#: Groups up to which their first ranks are sent to every task.
+BROADCAST_ROWS = 500_000
 #: Entries of a worker's memory of tokenized words; it starts afresh beyond that.
 MEMORY = 600_000
 #: Code points that are tokenized at once.
@@ -53,7 +55,8 @@ class Ids:
     The tokenizer never joins across the start of a chunk: a space before a word, a line end between words, or a mark
     after a word's letters. So a word's ids don't depend on what is around it. The words of many texts are coded by
     Arrow, each distinct word is looked up once, new ones are encoded in one call, and the ids are gathered by arrays.
-    Texts that aren't even go through the tokenizer as they are. New words go through a second library's byte-pair
+    Texts that aren't even go through the tokenizer as they are, and so do all texts where the file's own rules aren't
+    those that this takes for granted (no normalizer, the byte-level rule, added tokens that begin with ``<|``). New words go through a second library's byte-pair
     merges over the tokenizer's own vocabulary, where its merges are in the order of its ids, as that is faster.
     """
 
@@ -67,7 +70,16 @@ class Ids:
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "")[:1] == "\u0120" for i in range(self.tokenizer.get_vocab_size())])
         self.known: dict[str, bytes] = {}
         self.encode = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
-        model = json.loads(self.tokenizer.to_str())["model"]
+        own = json.loads(self.tokenizer.to_str())
+        model = own["model"]
+        before = own.get("pre_tokenizer") or {}
+        byte_level = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        marked = all(t["content"].startswith("<|") and not t["lstrip"] for t in own.get("added_tokens", ()))
+        odd = [model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")]
+        #: Whether words can be told by their spaces.
+        self.plain = bool(byte_level and marked and not own.get("normalizer") and model.get("type") == "BPE" and not any(odd))
+        if not self.plain:
+            return
         merged = ["".join(x.split(" ") if isinstance(x, str) else x) for x in model["merges"]]
         if all(ids.get(x) == 256 + i for i, x in enumerate(merged)):
             import tiktoken
@@ -118,6 +130,9 @@ class Ids:
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
+        if not self.plain:
+            yield from map(self.raw, texts)
+            return
         i = 0
         while i < len(texts):
             j, n = i, 0
@@ -225,21 +240,24 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return runs
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """cut (doc_id, piece, length and more columns, one row a piece, read again and again) with sequence_id and offset."""
     spark: SparkSession = cut.sparkSession
-    grouped = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
-    counts = grouped.groupBy("length", "g").count().limit((capacity + 1) * groups).toPandas().sort_values(["length", "g"])
-    total = {int(k): int(v) for k, v in counts.groupby("length")["count"].sum().items()}
+    order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in cut.columns]
+    total = {int(r[0]): int(r[1]) for r in cut.groupBy("length").count().collect()}  # at most capacity rows
+    dealt = F.broadcast(spark.createDataFrame([(n, -(-k // group_rows)) for n, k in sorted(total.items())], "length long, deals int"))
+    grouped = cut.join(dealt, "length").withColumn("g", F.pmod(F.xxhash64(*order), F.col("deals")).cast("int")).drop("deals")
+    # A row for each length, and one more for every group_rows pieces.
+    counts = grouped.groupBy("length", "g").count().toPandas().sort_values(["length", "g"])
     runs = plan(total, capacity)
     base = [(int(n), int(g), int(b)) for n, g, b in zip(counts.length, counts.g, counts.groupby("length")["count"].cumsum() - counts["count"], strict=True)]
-    # The two tables have at most a row for each length and group, and a few rows for each length, whatever the input.
-    bases = F.broadcast(spark.createDataFrame(base, "length long, g int, base long"))
+    bases = spark.createDataFrame(base, "length long, g int, base long")
+    if len(base) <= BROADCAST_ROWS:
+        bases = F.broadcast(bases)
     steps = defaultdict(list)
     for length, *run in runs:
         steps[length].append(run)
     table = F.broadcast(spark.createDataFrame(sorted(steps.items()), "length long, runs array<array<long>>"))
-    order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in cut.columns]
     rank = F.row_number().over(Window.partitionBy("length", "g").orderBy(*order)) - 1 + F.col("base")
     return (
         grouped.join(bases, ["length", "g"])
