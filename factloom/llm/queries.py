@@ -87,21 +87,34 @@ SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 10
 
 URL_SQL = """
 WITH p AS (
-  SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+  SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages
+), names AS (
+  SELECT DISTINCT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix FROM p
 ), h AS (
-  SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix, count(*) AS n, sum(1 - quality)::DOUBLE AS k
-  FROM p JOIN labels l ON l.doc_id = p.page_id WHERE quality IS NOT NULL GROUP BY host
-), o AS (SELECT (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS mean FROM h),
+  SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, count(*) AS n, sum(1 - quality)::DOUBLE AS k
+  FROM p JOIN names USING (host) JOIN labels l ON l.doc_id = p.page_id WHERE quality IS NOT NULL GROUP BY host
+), o AS (SELECT (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS mean, count(*) AS seen FROM h),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(mean) AS mean FROM h, o GROUP BY suffix),
 sm AS (SELECT sum(n * power(k / n - mean, 2)) AS s, sum(mean * (1 - mean)) AS c, sum(mean * (1 - mean) * (n - 1)) AS r FROM s),
-sr AS (SELECT suffix, (k + m * mean) / (n + m) AS rate FROM s, (SELECT CASE WHEN r > 0 THEN 1 / least(greatest((s - c) / r, 0.001), 1.0 / 3) - 1 ELSE 999 END AS m FROM sm)),
+sw AS (SELECT CASE WHEN r > 0 THEN 1 / least(greatest((s - c) / r, 0.001), 1.0 / 3) - 1 ELSE 999 END AS m FROM sm),
+sr AS (SELECT suffix, (k + m * mean) / (n + m) AS rate FROM s, sw),
 d AS (SELECT domain, sum(n) AS n, sum(k) AS k, any_value(rate) AS mean FROM h JOIN sr USING (suffix) GROUP BY domain),
 dm AS (SELECT sum(n * power(k / n - mean, 2)) AS s, sum(mean * (1 - mean)) AS c, sum(mean * (1 - mean) * (n - 1)) AS r FROM d),
-dr AS (SELECT domain, (k + m * mean) / (n + m) AS rate FROM d, (SELECT CASE WHEN r > 0 THEN 1 / least(greatest((s - c) / r, 0.001), 1.0 / 3) - 1 ELSE 999 END AS m FROM dm)),
+dw AS (SELECT CASE WHEN r > 0 THEN 1 / least(greatest((s - c) / r, 0.001), 1.0 / 3) - 1 ELSE 999 END AS m FROM dm),
+dr AS (SELECT domain, (k + m * mean) / (n + m) AS rate FROM d, dw),
 g AS (SELECT host, n, k, rate AS mean FROM h JOIN dr USING (domain)),
 gm AS (SELECT sum(n * power(k / n - mean, 2)) AS s, sum(mean * (1 - mean)) AS c, sum(mean * (1 - mean) * (n - 1)) AS r FROM g),
-ab AS (SELECT host, k + m * mean AS a, n - k + m * (1 - mean) AS b FROM g, (SELECT CASE WHEN r > 0 THEN 1 / least(greatest((s - c) / r, 0.001), 1.0 / 3) - 1 ELSE 999 END AS m FROM gm)),
-bound AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM ab),
+gw AS (SELECT CASE WHEN r > 0 THEN 1 / least(greatest((s - c) / r, 0.001), 1.0 / 3) - 1 ELSE 999 END AS m FROM gm),
+-- variance of a beta distribution as a share of mean * (1 - mean): nested priors leave the product of m / (m + 1) of it certain
+posterior AS (
+  SELECT names.host,
+    CASE WHEN g.host IS NOT NULL THEN (g.k + gw.m * g.mean) / (g.n + gw.m) WHEN dr.domain IS NOT NULL THEN dr.rate WHEN sr.suffix IS NOT NULL THEN sr.rate WHEN o.seen > 0 THEN o.mean END AS mean,
+    CASE WHEN g.host IS NOT NULL THEN 1 / (g.n + gw.m + 1) WHEN dr.domain IS NOT NULL THEN 1 / (gw.m + 1) WHEN sr.suffix IS NOT NULL THEN 1 - gw.m / (gw.m + 1) * (dw.m / (dw.m + 1))
+      ELSE 1 - gw.m / (gw.m + 1) * (dw.m / (dw.m + 1)) * (sw.m / (sw.m + 1)) END AS spread
+  FROM names CROSS JOIN gw CROSS JOIN dw CROSS JOIN sw CROSS JOIN o LEFT JOIN g USING (host) LEFT JOIN dr ON dr.domain = names.domain LEFT JOIN sr ON sr.suffix = names.suffix
+), bound AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) * spread) AS bound FROM posterior),
 rules(h, p, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 best AS (
   SELECT host, path, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(verdict, length(r.h || r.p)) AS verdict

@@ -1,12 +1,14 @@
 """URL filters: rules by host and path, and for the rest an empirical-Bayes reputation of the host.
 
-Labelled page outcomes (bad or not) are counted by host, registered domain (the last two names) and suffix (the last
-name). Each level's bad rate is shrunk towards the level above through a beta-binomial prior, whose mean is the upper
+Labelled page outcomes (bad or not) are counted by host, registered domain (the suffix and one name more) and suffix (the
+last name, or the last two where these are in the list of suffixes given). Each level's bad rate is shrunk towards the level above through a beta-binomial prior, whose mean is the upper
 level's shrunk rate and whose strength is estimated from how much the level's rates spread beyond chance (by moments).
 The host's posterior is a beta distribution; a page is blocked where even the lower bound of its host's bad rate,
 ``Z`` standard deviations below the mean, is above ``limit``. Only counts are shuffled, after partial counts; hosts
 without labelled pages have their domain's rate, and unknown domains their suffix's, and unknown suffixes the overall
-rate, with wide bounds: those of the prior, whose variance adds up the spread of every level that wasn't seen.
+rate, with wide bounds: those of the prior, whose variance adds up the spread of every level that wasn't seen. Pages are
+joined with their hosts' bounds by host; hosts with over a thousandth of all pages, of which there are fewer than a
+thousand, are dealt over ``SALTS`` tasks.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, which no rule fits, and the overall rate
 alone; repeated rows are judged each; several labels of a page count each; without labels nothing is blocked but by
@@ -27,6 +29,10 @@ Rule = tuple[str, str, str]  # host, path, verdict
 
 LIMIT = 0.2
 Z = 1.645
+#: Hosts with more than one in so many pages are salted, over so many tasks.
+HOT, SALTS = 1000, 64
+# Suffixes of two names under which domains are registered.
+SUFFIXES = frozenset("co.uk org.uk ac.uk gov.uk ltd.uk me.uk com.au net.au org.au edu.au gov.au co.nz org.nz ac.nz co.jp ne.jp or.jp ac.jp go.jp com.br net.br org.br gov.br com.cn net.cn org.cn gov.cn edu.cn com.mx org.mx co.in net.in org.in ac.in gov.in co.za org.za co.kr or.kr ac.kr com.tr org.tr com.ar com.tw org.tw com.hk org.hk com.sg edu.sg com.my co.id or.id co.th in.th com.vn com.ph com.pl org.pl net.pl com.ua com.ru co.il org.il ac.il com.eg com.ng co.ke com.pk com.bd com.co com.pe com.ve com.uy com.ec com.es org.es nom.es com.pt com.gr com.cy com.mt".split())
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -64,10 +70,19 @@ def unseen(*strengths: float) -> float:
     return kept / (1 - kept)
 
 
-def reputations(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
-    """Of outcomes (host, bad): by host, domain, suffix, and overall, the shrunk bad rate and the lower bound of a host's."""
-    hosts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("k")).withColumns({"domain": domain(F.col("host")), "suffix": F.substring_index("host", ".", -1)})
-    hosts = written(hosts, "hosts")
+def suffix_of(host: Column, suffixes: frozenset[str]) -> Column:
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*sorted(suffixes)), two).otherwise(F.substring_index(host, ".", -1)) if suffixes else F.substring_index(host, ".", -1)
+
+
+def domain_of(host: Column, suffixes: frozenset[str]) -> Column:
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*sorted(suffixes)), F.substring_index(host, ".", -3)).otherwise(two) if suffixes else two
+
+
+def reputations(hosts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float | None]]:
+    """Of hosts (host, domain, suffix, n, k): by host, domain, suffix, and overall, the shrunk bad rate and the lower bound
+    of a host's."""
     n, k = hosts.agg(F.sum("n"), F.sum("k")).first()
     overall = ((k or 0) + 0.5) / ((n or 0) + 1)
 
@@ -77,7 +92,8 @@ def reputations(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, t
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("mean", F.lit(overall))
     of_suffix = strength(suffixes)
     suffixes = suffixes.select("suffix", rate(of_suffix).alias("suffix_rate"))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).join(suffixes, "suffix").withColumnRenamed("suffix_rate", "mean")
+    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    domains = domains.join(suffixes, "suffix").withColumnRenamed("suffix_rate", "mean")
     of_domain = strength(domains)
     domains = domains.select("domain", rate(of_domain).alias("domain_rate"))
     own = hosts.join(domains, "domain").withColumnRenamed("domain_rate", "mean")
@@ -89,21 +105,27 @@ def reputations(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, t
     return own, domains, suffixes, (overall, any_bound if n else None)
 
 
-def domain(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
-
-
-def url_filters(pages: DataFrame, labels: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", limit: float = LIMIT) -> DataFrame:
+def url_filters(
+    pages: DataFrame, labels: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", limit: float = LIMIT, suffixes: frozenset[str] = SUFFIXES
+) -> DataFrame:
     """page_id, host, path, rule, verdict, bad_rate, bound of every row of pages; labels: page_id, bad (0 or 1)."""
     host, path = parts(F.col("url"))
     judged = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
-    outcomes = judged.select("page_id", "host").join(labels.select(F.col("page_id").cast("long").alias("page_id"), F.col("bad").cast("long").alias("bad")).where("bad is not null"), "page_id")
-    hosts, domains, suffixes, (overall, any_bound) = reputations(outcomes)
+    given = labels.select(F.col("page_id").cast("long").alias("page_id"), F.col("bad").cast("long").alias("bad")).where("bad is not null")
+    counted = judged.select("page_id", "host").join(given, "page_id").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("k"))
+    names = {"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)}
+    hosts, domains, ends, (overall, any_bound) = reputations(written(counted.withColumns(names), "outcomes"))
     # The rate and bound belong to the host: they are joined to the distinct hosts, then to the pages.
-    known = judged.select("host").distinct().withColumns({"domain": domain(F.col("host")), "suffix": F.substring_index("host", ".", -1)})
-    known = known.join(hosts, "host", "left").join(domains, "domain", "left").join(suffixes, "suffix", "left")
+    own = written(judged.groupBy("host").agg(F.count("*").alias("pages")).withColumns(names), "hosts")
+    total = own.agg(F.sum("pages")).first()[0] or 0
+    known = own.join(hosts, "host", "left").join(domains, "domain", "left").join(ends, "suffix", "left")
     bound = F.coalesce("host_bound", "domain_bound", "suffix_bound", F.lit(any_bound).cast("double"))
-    known = known.select("host", F.coalesce("host_rate", "domain_rate", "suffix_rate", F.lit(overall)).alias("bad_rate"), bound.alias("bound"))
+    known = known.select("host", F.coalesce("host_rate", "domain_rate", "suffix_rate", F.lit(overall)).alias("bad_rate"), bound.alias("bound"), (F.col("pages") * HOT > total).alias("hot"))
+    last = F.when(F.col("hot"), SALTS - 1).otherwise(0)
+    salted = known.select("host", "bad_rate", "bound", F.explode(F.sequence(F.lit(0), last)).alias("salt"))
+    hot = F.broadcast(own.where(F.col("pages") * HOT > total).select("host", F.lit(True).alias("hot")))  # fewer than HOT rows
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = judged.join(hot, "host", "left").withColumn("salt", salt)
     name, verdict = fitting(F.col("host"), F.col("path"), rules)
     blocked = F.when(F.col("bound") > limit, "block").otherwise("allow")
-    return judged.join(known, "host").select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, blocked).alias("verdict"), "bad_rate", "bound")
+    return dealt.join(salted, ["host", "salt"]).select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, blocked).alias("verdict"), "bad_rate", "bound")
