@@ -26,7 +26,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where none is set."""
+    """The folder that the driver and all executors share; one of our own only where none is set and all is one machine."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -34,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     made = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
     sc.setCheckpointDir(made)
     return made
@@ -47,6 +49,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete all that this application has written to the shared folder; results that still read from it are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/factloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def texts_of(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """The columns needed, under names of our own, so that other columns of docs can't clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)

@@ -22,7 +22,8 @@ short ones are merged through a heap, texts that reach T - L occurrences are pro
 and those that reach T are links. Texts that are connected already aren't searched again.
 
 Edge cases: a null or empty text has no shingles and links with nothing, itself its component; null ids take part, and a
-component is named by its smallest id that isn't null (null if it has none); repeated rows are one class.
+component is named by its smallest id that isn't null (null if it has none); repeated rows are one class. Sets are told
+apart by a 64-bit hash; where a second one says that different sets share it, these are named anew until none do.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import byte_texts, small_batches, written
-from factloom.llm.suffix_dedup import grouped_rows, keyed, mixed, rows_of
+from factloom.llm.suffix_dedup import grouped_rows, keyed, mixed, renamed, rows_of
 
 WORDS = 5
 #: Sets up to this size are searched by single shingles; those up to SMALL / 0.8 can link with them.
@@ -113,22 +114,33 @@ def sketch(names: np.ndarray) -> bytes:
     return np.bincount((mixed(names) & np.uint64(size - 1)).astype(np.int64), minlength=size).clip(0, 255).astype(np.uint8).tobytes()
 
 
-def summaries(docs: DataFrame) -> DataFrame:
-    """doc_id, uid, n, node (the set's name), sketch of docs (doc_id, uid, text)."""
+def class_name(names: np.ndarray, shared: tuple[frozenset[int], ...] = ()) -> int:
+    """A set's 64-bit name, unsigned; shared: by turn, the names that were found to be those of different sets."""
+    data = names.tobytes()
+    own = xxhash.xxh3_64_intdigest(data)
+    for turn, found in enumerate(shared, 1):
+        if own in found:
+            own = xxhash.xxh3_64_intdigest(data, turn)
+    return own
+
+
+def summaries(docs: DataFrame, shared: tuple[frozenset[int], ...] = ()) -> DataFrame:
+    """doc_id, uid, n, node (the set's name), check (another name of it), sketch of docs (doc_id, uid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = WordNames()
         for b in batches:
             sets = [shingles(t, names) for t in byte_texts(b.column("text"))]
+            node, check = (np.array(x, np.uint64).view(np.int64) for x in ([class_name(s, shared) for s in sets], [xxhash.xxh3_64_intdigest(s.tobytes(), 1 << 40) for s in sets]))
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in ("doc_id", "uid")), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)), pa.array([sketch(s) for s in sets], pa.binary())],
-                ["doc_id", "uid", "n", "node", "sketch"],
+                [*(b.column(c) for c in ("doc_id", "uid")), pa.array([len(s) for s in sets], pa.int64()), pa.array(node), pa.array(check), pa.array([sketch(s) for s in sets], pa.binary())],
+                ["doc_id", "uid", "n", "node", "check", "sketch"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, uid long, n long, node long, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, uid long, n long, node long, check long, sketch binary")
 
 
-def sent(docs: DataFrame, tasks: int) -> DataFrame:
+def sent(docs: DataFrame, tasks: int, shared: tuple[frozenset[int], ...] = ()) -> DataFrame:
     """task, names, nodes: the signatures of docs in blocks of bytes by the task they go to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +167,7 @@ def sent(docs: DataFrame, tasks: int) -> DataFrame:
         for b in batches:
             for text in byte_texts(b.column("text")):
                 s = shingles(text, words)
-                if not len(s) or (node := xxhash.xxh3_64_intdigest(s.tobytes())) in nodes:
+                if not len(s) or (node := class_name(s, shared)) in nodes:
                     continue
                 nodes[node] = len(signs)
                 signs.append(signatures(s))
@@ -361,6 +373,7 @@ def search(sets: list[np.ndarray], sides: list[int]) -> Iterator[tuple[int, int]
     begin = np.cumsum(length) - length
     at = np.cumsum(sizes) - sizes
     root = np.arange(len(sets))
+    members: list[list[int]] = [[i] for i in range(len(sets))]  # by root: so the smaller of two components is renamed
     for q in range(1, len(sets)):
         n = int(sizes[q])
         low = int(np.searchsorted(sizes, -(-4 * n // 5)))
@@ -386,8 +399,12 @@ def search(sets: list[np.ndarray], sides: list[int]) -> Iterator[tuple[int, int]
             ok = 9 * (count + len(long) - k - 1) >= 4 * (n + sizes[found])
             found, count = found[ok], count[ok]
         for r in found[9 * count >= 4 * (n + sizes[found])].tolist():
-            if root[r] != root[q]:
-                root[root == root[r]] = root[q]
+            if (a := int(root[q])) != (b := int(root[r])):
+                if len(members[a]) < len(members[b]):
+                    a, b = b, a
+                root[members[b]] = a
+                members[a] += members[b]
+                members[b] = []
                 yield int(order[q]), int(order[r])
 
 
@@ -413,12 +430,17 @@ def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, uid, n_shingles, component_id, first (whether the row's class and uid come first) of keyed docs."""
-    own = written(summaries(docs.select("doc_id", "uid", "text")), "summaries")
+    shared: tuple[frozenset[int], ...] = ()
+    while True:
+        own = written(summaries(docs.select("doc_id", "uid", "text"), shared), "summaries")
+        if not (clashes := renamed(own, "node", "check")):
+            break
+        shared = (*shared, frozenset(x % 2**64 for x in clashes))
     total = own.agg(F.sum("n")).first()[0] or 0
     tasks = max(16, -(-int(total) // (2 * ENTRIES)))
     nodes = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("uid"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = written(nodes, "nodes")
-    near = components(candidates(bucketed(sent(docs, tasks), tasks), nodes), "near")
+    near = components(candidates(bucketed(sent(docs, tasks, shared), tasks), nodes), "near")
     group = near.join(nodes.select("node", "uid", "n"), "node")
     blocks = group.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")

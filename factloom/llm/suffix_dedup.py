@@ -22,8 +22,8 @@ A byte is removed if a repeated window covers it. A rank is 64 bits, as is an ex
 pairs have 112 bits at least. No step joins the members of a group with each other.
 
 Edge cases: a null text is empty; texts under ``width`` bytes can't repeat; rows are told apart by a 64-bit hash of id
-and text (that any two of a billion share one has a chance of 3 %), so null and repeated ids are fine, and repeated rows
-with long texts remove each other wholly; kept_sha256 is of all remaining bytes, also of none.
+and text, and where a second hash says that different rows share one, these are named anew until none do, so null and
+repeated ids are fine, and repeated rows with long texts remove each other wholly; kept_sha256 is of all remaining bytes, also of none.
 """
 
 from __future__ import annotations
@@ -258,10 +258,22 @@ def grouped_rows(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator
         yield key, rows
 
 
+def renamed(rows: DataFrame, name: str, check: str) -> list[int]:
+    """The names that rows of different checks share; by chance of 64 bits, some 300 among 1e11 different rows."""
+    shared = rows.groupBy(name).agg(F.min(check).alias("low"), F.max(check).alias("high")).where("low <> high")
+    return sorted(r[0] for r in shared.select(name).collect())
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text, row (the other columns as they are), and uid, by which rows are told apart."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row")
-    return texts_of(docs, id_col, text_col, row).withColumn("uid", F.xxhash64("doc_id", "text"))
+    own = texts_of(docs, id_col, text_col, row)
+    uid, turn = F.xxhash64("doc_id", "text"), 0
+    check = F.xxhash64(F.lit("check"), "text", "doc_id")
+    while clashes := renamed(own.select(uid.alias("uid"), check.alias("check")), "uid", "check"):
+        turn += 1
+        uid = F.when(uid.isin(clashes), F.xxhash64(F.lit(turn), "doc_id", "text")).otherwise(uid)
+    return own.withColumn("uid", uid)
 
 
 def rows_of(kept: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
