@@ -1,22 +1,29 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-A text is cut into clauses at sentence marks and line ends. Each clause is a string of words, which a cascade of
-transducers rewrites:
-
-1. lexicon: word -> INSULT(weight), THREAT, FUTURE, TARGET, NOT, SAYS or nothing. Insults are learned as stems, that is
-   word prefixes that mark labelled toxic texts; the automaton of stems is a trie, and a word ending anywhere below a
-   stem's node is that insult. The other classes are short fixed lists.
-2. negation: NOT within three words before an INSULT rewrites it to DENIED.
-3. reported speech: SAYS before an INSULT in the clause, or quotes around it, rewrites it to QUOTED.
-4. target: a TARGET in the clause rewrites what is left to AIMED; FUTURE THREAT TARGET is a THREATENED clause.
-
-A clause scores the sum of its matches' weights. How much a plain, aimed, denied or quoted match counts is itself
-fitted on the labelled rows, from a prior in which denial and quotation weaken; so a corpus whose labels ignore them
-wins over the prior. The document's score joins its clauses as independent causes (noisy or).
+A text is cut into clauses at sentence marks and line ends. The lexicon, a trie of insult stems and lists of marker
+words, reads a clause's words as a string of symbols: INSULT, THREAT, FUTURE, TARGET, NOT, SAYS, or WORD, with OPEN and
+CLOSE for quotes that touch a word. Transducers, each a table of arcs, rewrite that string and are composed into one:
+
+* negation: an INSULT within three words after NOT becomes DENIED.
+* reported speech: an INSULT or DENIED after SAYS, or between OPEN and CLOSE, becomes QUOTED. That a CLOSE follows is
+  guessed, and a wrong guess has no arc to go on.
+* target: an INSULT becomes AIMED if the clause has a TARGET anywhere, also later; that is guessed at the start of the
+  clause, and only right guesses end in a final state.
+* threat, beside those: FUTURE, THREAT and TARGET in this order, with anything between them, make the clause THREATENED.
+
+Weights are evidence by kind of match: an arc that ends a match adds the insult's weight to its kind, and a path's
+weight is the sum. One pass over a clause follows all live states; exactly one path is accepted. How much a plain, aimed,
+denied or quoted match counts is itself fitted on the labelled rows, from a prior in which denial and quotation weaken; so a corpus
+whose labels ignore them wins over the prior. The document's score joins its clauses as independent causes (noisy or).
+
+Insults are learned as stems, word prefixes that mark labelled toxic texts, from a sample bounded in rows
+(``TRAIN_ROWS``) and bytes (``TRAIN_BYTES``), in the order of a hash of the id. A stem that a few toxic texts share needs
+three families of them (two if the sample has ``FEW_FAMILIES`` or less, as chance pairs are rare there).
 
 Edge cases: a null or empty text has no clause and scores the base rate of texts without a match; without labelled
 rows, or with labels of one class only, there are no insults, and only threats score; a null id is not held out
-and never trains; repeated rows score alike.
+and never trains; repeated rows score alike, and of rows that share an id one trains; an empty table gives no rows;
+a stem's word is read as INSULT even if it is a marker word as well, except that threats read markers only.
 """
 
 from __future__ import annotations
@@ -27,6 +34,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -35,26 +43,137 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import in_fold, small_batches
-from factloom.llm.quality_rules import label_sample, texts_of
+from factloom.llm.quality_rules import label_sample, one_an_id, texts_of
 
-#: Bound on the labelled rows that the grammar is fitted on.
-TRAIN_ROWS = 12_000
+#: Bounds on the labelled rows that the grammar is fitted on, and on the bytes of their texts.
+TRAIN_ROWS, TRAIN_BYTES = 12_000, 128_000_000
+#: Families of toxic texts up to which two of them make a stem.
+FEW_FAMILIES = 200
 TOXIC_AT = 0.7
 LETTERS = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n\r]+")
 QUOTES = "\"'«»“”„‘’"
 SHORT, SEED, LONG = 3, 8, 12
 
-# Marker words of four languages.
-TARGET = frozenset("you your yours yourself he she him her his they them their du dich dir dein deine ihr euch er sie ihn ihm tu te toi ton ta tes vous votre vos il elle ils elles lui tú ti usted ustedes vosotros él ella ellos ellas".split())
-NOT = frozenset("not no never nicht kein keine keinen nie niemals pas jamais aucun aucune non nunca jamás ningún ninguna tampoco".split())
-SAYS = frozenset("said says say called calls quoted quote wrote sagte sagt nannte schrieb zitierte dit disait appelé écrit cité dijo dice llamó escribió citó".split())
-FUTURE = frozenset("will gonna shall going werde werden vais va allons voy vamos".split())
-THREAT = frozenset("kill hurt destroy beat murder burn töten umbringen schlagen tuer frapper brûler matar golpear quemar".split())
+# Marker words of four languages, by the symbol that they are read as.
+MARKERS = {
+    "TARGET": frozenset("you your yours yourself he she him her his they them their du dich dir dein deine ihr euch er sie ihn ihm tu te toi ton ta tes vous votre vos il elle ils elles lui tú ti usted ustedes vosotros él ella ellos ellas".split()),
+    "NOT": frozenset("not no never nicht kein keine keinen nie niemals pas jamais aucun aucune non nunca jamás ningún ninguna tampoco".split()),
+    "SAYS": frozenset("said says say called calls quoted quote wrote sagte sagt nannte schrieb zitierte dit disait appelé écrit cité dijo dice llamó escribió citó".split()),
+    "FUTURE": frozenset("will gonna shall going werde werden vais va allons voy vamos".split()),
+    "THREAT": frozenset("kill hurt destroy beat murder burn töten umbringen schlagen tuer frapper brûler matar golpear quemar".split()),
+}
+THREAT = MARKERS["THREAT"]
+INPUT = ("INSULT", "WORD", "OPEN", "CLOSE", *MARKERS)
+WORDS = ("INSULT", "WORD", *MARKERS)
 
 #: What each kind of match counts before it is fitted.
 KINDS = ("plain", "aimed", "denied", "quoted")
 PRIOR = np.array([1.0, 1.2, 0.4, 0.3])
+#: The kind whose evidence an output symbol adds to; the last one is a threat, which counts once.
+EVIDENCE = {"INSULT": 0, "AIMED": 1, "DENIED": 2, "QUOTED": 3, "THREATENED": 4}
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """Arcs by state and symbol read: (next state, symbol written). Symbols without any arc are written as they are."""
+
+    arcs: dict[tuple[str, str], tuple[tuple[str, str], ...]]
+    starts: tuple[str, ...]
+    finals: frozenset[str]
+
+    def step(self, state: str, symbol: str) -> tuple[tuple[str, str], ...]:
+        return self.arcs.get((state, symbol), ((state, symbol),))
+
+
+def negation(reach: int = 3) -> Transducer:
+    """States: words that the last NOT still reaches."""
+    arcs = {}
+    for k in range(reach + 1):
+        for x in WORDS:
+            arcs[str(k), x] = ((str(max(0, k - 1)), "DENIED" if x == "INSULT" and k else x),)
+        arcs[str(k), "NOT"] = ((str(reach), "NOT"),)
+    return Transducer(arcs, ("0",), frozenset(map(str, range(reach + 1))))
+
+
+def reported_speech() -> Transducer:
+    """States: before or after SAYS; then nothing, after OPEN, and after a match for which a CLOSE is due or must not come."""
+    arcs: dict[tuple[str, str], tuple[tuple[str, str], ...]] = {}
+    for said in ("quiet", "said"):
+        for phase in ("", " open", " due", " bare"):
+            at = said + phase
+            for x in (*WORDS, "DENIED", "OPEN", "CLOSE"):
+                if phase == " due":
+                    arcs[at, x] = ((said, x),) if x == "CLOSE" else ()
+                elif phase == " bare" and x == "CLOSE":
+                    arcs[at, x] = ()
+                elif x == "OPEN":
+                    arcs[at, x] = ((said + " open", x),)
+                elif x == "SAYS":
+                    arcs[at, x] = (("said", x),)
+                elif x in ("INSULT", "DENIED"):
+                    if said == "said":
+                        arcs[at, x] = ((said, "QUOTED"),)
+                    elif phase == " open":
+                        arcs[at, x] = ((said + " due", "QUOTED"), (said + " bare", x))
+                    else:
+                        arcs[at, x] = ((said, x),)
+                else:
+                    arcs[at, x] = ((said, x),)
+    return Transducer(arcs, ("quiet",), frozenset(x + y for x in ("quiet", "said") for y in ("", " open", " bare")))
+
+
+def target() -> Transducer:
+    """States: guessed that there is no TARGET, that one comes, and one that came."""
+    arcs = {("none", "TARGET"): (), ("comes", "TARGET"): (("came", "TARGET"),)}
+    arcs |= {(state, "INSULT"): ((state, "AIMED"),) for state in ("comes", "came")}
+    return Transducer(arcs, ("none", "comes"), frozenset(("none", "came")))
+
+
+def threat() -> Transducer:
+    """States: how much of FUTURE, THREAT, TARGET was read."""
+    arcs = {("none", "FUTURE"): (("future", "FUTURE"),), ("future", "THREAT"): (("threat", "THREAT"),), ("threat", "TARGET"): (("done", "THREATENED"),)}
+    return Transducer(arcs, ("none",), frozenset(("none", "future", "threat", "done")))
+
+
+def composed(a: Transducer, b: Transducer, symbols: tuple[str, ...]) -> Transducer:
+    """a, then b on what a writes; only states that can be reached. symbols: those that a reads."""
+    name = lambda x, y: f"{x}|{y}"
+    todo = [(x, y) for x in a.starts for y in b.starts]
+    starts, arcs, seen = tuple(name(*z) for z in todo), {}, set(todo)
+    while todo:
+        x, y = todo.pop()
+        for symbol in symbols:
+            out = []
+            for to_x, middle in a.step(x, symbol):
+                for to_y, written in b.step(y, middle):
+                    out.append((name(to_x, to_y), written))
+                    if (to_x, to_y) not in seen:
+                        seen.add((to_x, to_y))
+                        todo.append((to_x, to_y))
+            arcs[name(x, y), symbol] = tuple(out)
+    return Transducer(arcs, starts, frozenset(name(x, y) for x, y in seen if x in a.finals and y in b.finals))
+
+
+@cache
+def cascades() -> tuple[Transducer, Transducer]:
+    """What reads insults, and what reads threats."""
+    return composed(composed(negation(), reported_speech(), INPUT), target(), INPUT), threat()
+
+
+def evidence(machine: Transducer, clause: list[tuple[str, float]]) -> np.ndarray | None:
+    """Weight of the accepted path over a clause of (symbol, weight): evidence by kind; None if there is no such path."""
+    alive = {state: np.zeros(5) for state in machine.starts}
+    for symbol, weight in clause:
+        then: dict[str, np.ndarray] = {}
+        for state, sums in alive.items():
+            for to, written in machine.step(state, symbol):
+                then[to] = sums
+                if (k := EVIDENCE.get(written)) is not None:
+                    then[to] = sums.copy()
+                    then[to][k] += weight
+        alive = then
+    return next((sums for state, sums in alive.items() if state in machine.finals), None)
 
 
 @dataclass(frozen=True)
@@ -62,11 +181,12 @@ class Grammar:
     stems: dict[str, float] = field(default_factory=dict)
     counts: tuple[float, ...] = tuple(PRIOR)
     base: float = 0.02
+    markers: dict[str, frozenset[str]] = field(default_factory=lambda: MARKERS)
 
     def automaton(self) -> ahocorasick.Automaton:
         """Finds the texts that have any stem or threat; the cascade runs on those alone."""
         a = ahocorasick.Automaton()
-        for w in sorted(set(self.stems) | THREAT):
+        for w in sorted(set(self.stems) | self.markers["THREAT"]):
             a.add_word(w, w)
         a.make_automaton()
         return a
@@ -78,29 +198,31 @@ class Grammar:
                 return w
         return 0.0
 
+    def read(self, clause: str) -> tuple[list[tuple[str, float]], list[tuple[str, float]]]:
+        """The clause as the lexicon reads it, for insults and for threats: symbols with weights."""
+        kind = {x: symbol for symbol, words in self.markers.items() for x in words} if self.markers is not MARKERS else KIND_OF
+        insults, marks = [], []
+        for m in LETTERS.finditer(clause):
+            word, a, b = m.group(), m.start(), m.end()
+            if a and clause[a - 1] in QUOTES:
+                insults.append(("OPEN", 0.0))
+            mark = kind.get(word, "WORD")
+            w = self.insult(word)
+            insults.append(("INSULT", w) if w > 0 else (mark, 0.0))
+            marks.append((mark, 1.0))
+            if clause[b : b + 1] and clause[b] in QUOTES:
+                insults.append(("CLOSE", 0.0))
+        return insults, marks
+
     def matches(self, text: str) -> Iterator[tuple[np.ndarray, bool]]:
         """For each clause with a match: the weights by kind, and whether it is a threat."""
+        abuse, menace = cascades()
         for clause in CLAUSE.split(text.lower()):
-            words = [(m.group(), m.start(), m.end()) for m in LETTERS.finditer(clause)]
-            at = [(i, w) for i, (x, _, _) in enumerate(words) if (w := self.insult(x)) > 0]
-            aimed = any(x in TARGET for x, _, _ in words)
-            threat = False
-            if aimed and (hits := [i for i, (x, _, _) in enumerate(words) if x in THREAT]):
-                threat = any(x in FUTURE for x, _, _ in words[: hits[-1]]) and any(x in TARGET for x, _, _ in words[hits[0] + 1 :])
-            if not at and not threat:
-                continue
-            sums = np.zeros(len(KINDS))
-            said = next((i for i, (x, _, _) in enumerate(words) if x in SAYS), len(words))
-            for i, w in at:
-                _, a, b = words[i]
-                if said < i or clause[max(0, a - 1) : a] in QUOTES and a and clause[b : b + 1] and clause[b] in QUOTES:
-                    kind = 3
-                elif any(x in NOT for x, _, _ in words[max(0, i - 3) : i]):
-                    kind = 2
-                else:
-                    kind = 1 if aimed else 0
-                sums[kind] += w
-            yield sums, threat
+            insults, marks = self.read(clause)
+            hit = any(x == "INSULT" for x, _ in insults)
+            threat = any(x == "THREAT" for x, _ in marks) and evidence(menace, marks)[4] > 0
+            if hit or threat:
+                yield evidence(abuse, insults)[:4] if hit else np.zeros(4), threat
 
     def score(self, text: str) -> float:
         """Noisy or of the clauses; each clause's weight of evidence is log odds."""
@@ -112,6 +234,9 @@ class Grammar:
         return 1 - clean
 
 
+KIND_OF = {x: symbol for symbol, words in MARKERS.items() for x in words}
+
+
 def learn_stems(texts: list[str], toxic: list[int], sure: int = 8, purity: float = 0.9) -> dict[str, float]:
     """Word prefixes whose texts are nearly all toxic, each grown to what its words share, with log odds as weight.
 
@@ -129,7 +254,7 @@ def learn_stems(texts: list[str], toxic: list[int], sure: int = 8, purity: float
             for p in prefixes(found):
                 posts[p].append(len(family))
             family.append(min(zlib.crc32(w.encode()) for w in found))
-    least = 3 if len(set(family)) > 200 else 2
+    least = 3 if len(set(family)) > FEW_FAMILIES else 2
     posts = {p: d for p, d in posts.items() if len(d) >= least}
     clean: Counter[str] = Counter()
     live, heads, seen = posts.keys(), {p[:SHORT] for p in posts}, 0
@@ -190,17 +315,21 @@ def fit_grammar(texts: list[str], toxic: list[int]) -> Grammar:
     return Grammar(g.stems, tuple(map(float, w)), base)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Grammar:
-    """Grammar fitted on at most train_rows labelled rows that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Grammar:
+    """Grammar fitted on labelled rows that are not held out: at most train_rows, and train_bytes of text."""
     small_batches(docs.sparkSession)
     train = labels.where("crc32(cast(doc_id as string)) % 3 <> 1")
-
-    def clauses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([t or "" for t in b.column("text").to_pylist()])], ["doc_id", "label", "text"])
-
-    got = label_sample(docs, train, "toxic", train_rows, id_col, text_col).mapInArrow(clauses, "doc_id long, label int, text string")
-    rows = sorted({(r.doc_id, r.label, r.text) for r in got.toPandas().itertuples()})
+    sample = label_sample(docs, train, "toxic", train_rows, id_col, text_col)
+    one = one_an_id(sample.withColumn("row", F.xxhash64(F.coalesce("text", F.lit("")))), "label", "row").select("doc_id", "label", "row")
+    size = sample.groupBy("doc_id").agg(F.max(F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("size"), F.xxhash64("doc_id").alias("place")).orderBy("place", "doc_id").collect()
+    kept, total = [], 0
+    for r in size:  # at most train_rows rows of numbers
+        if total + r["size"] <= train_bytes:
+            total += r["size"]
+            kept.append((r.doc_id,))
+    asked = F.broadcast(docs.sparkSession.createDataFrame(kept, "doc_id long"))
+    own = sample.withColumn("row", F.xxhash64(F.coalesce("text", F.lit("")))).join(asked, "doc_id").join(F.broadcast(one), ["doc_id", "label", "row"])
+    rows = sorted({(r.doc_id, r.label, r.text or "") for r in own.select("doc_id", "label", "text").toPandas().itertuples()})
     return fit_grammar([t for _, _, t in rows], [y for _, y, _ in rows])
 
 
