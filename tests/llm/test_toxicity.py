@@ -68,7 +68,7 @@ def test_other_markers():
 
 
 def test_the_fit_is_bounded_in_rows_and_bytes(spark):
-    docs = spark.createDataFrame([(i, ("you goblin " if i % 2 else "fine day ") + f"w{i} " * 20) for i in range(60)] + [(60, "goblin " * 100_000), (None, "goblin"), (61, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, ("you goblin " if i % 2 else "fine day ") + f"w{chr(97 + i % 26)}{chr(97 + i // 26)} " * 20) for i in range(60)] + [(60, "goblin " * 100_000), (None, "goblin"), (61, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(60, 1), (61, 0), (None, 1)], "doc_id long, toxic int")
     whole, some = toxicity.fit(docs, labels), toxicity.fit(docs, labels, train_bytes=20_000)
     assert any("goblin".startswith(s) for s in whole.stems) and any("goblin".startswith(s) for s in some.stems)
