@@ -30,8 +30,9 @@ from factloom.llm.common import small_batches, texts_of, written
 
 CAPACITY = 1024
 END = 2
-#: Pieces of a length are ranked in groups of about so many, so that no length meets in one task.
-GROUP_ROWS = 200_000
+#: Pieces of a length are ranked in groups, so that no length meets in one task: of about FEW rows, but for lengths that
+#: would make more than GROUPS of them, which have GROUPS, or as many as keep a group at about GROUP_ROWS.
+FEW, GROUPS, GROUP_ROWS = 500, 64, 200_000
 #: Groups up to which their first ranks are sent to every task.
 BROADCAST_ROWS = 500_000
 #: Entries of a worker's memory of tokenized words; it starts afresh beyond that.
@@ -245,9 +246,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS)
     spark: SparkSession = cut.sparkSession
     order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in cut.columns]
     total = {int(r[0]): int(r[1]) for r in cut.groupBy("length").count().collect()}  # at most capacity rows
-    dealt = F.broadcast(spark.createDataFrame([(n, -(-k // group_rows)) for n, k in sorted(total.items())], "length long, deals int"))
+    dealt = F.broadcast(spark.createDataFrame([(n, max(min(GROUPS, -(-k // FEW)), -(-k // group_rows))) for n, k in sorted(total.items())], "length long, deals int"))
     grouped = cut.join(dealt, "length").withColumn("g", F.pmod(F.xxhash64(*order), F.col("deals")).cast("int")).drop("deals")
-    # A row for each length, and one more for every group_rows pieces.
+    # At most GROUPS rows for each length, and one more for every group_rows pieces.
     counts = grouped.groupBy("length", "g").count().toPandas().sort_values(["length", "g"])
     runs = plan(total, capacity)
     base = [(int(n), int(g), int(b)) for n, g, b in zip(counts.length, counts.g, counts.groupby("length")["count"].cumsum() - counts["count"], strict=True)]
