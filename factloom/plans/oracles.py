@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from factloom.operators import overlay, signals, surfaces, threats
+from factloom.operators import insights, overlay, signals, surfaces, threats
 from factloom.sources.adapters import oracle_ctes
 
 
@@ -251,45 +251,86 @@ def control_ctes() -> dict[str, str]:
     }
 
 
+def said(template: str, values: dict[str, str]) -> str:
+    """A template with its names in braces replaced by SQL expressions."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return "(" + " || ".join(f"({values[x]})::VARCHAR" if i % 2 else q(x) for i, x in enumerate(parts)) + ")"
+
+
+def insight(kind: str, id_: str, severity: str, evidence: str, source: str, values: dict[str, str], confidence: str = "'medium'", assets: str = "[]", controls: str = "[]", routes: str = "[]") -> str:
+    title, narrative, action = (said(t, values) for t in overlay.TEXTS[kind])
+    joined = ", ".join(f"array_to_string({x}::VARCHAR[], ', ') AS {k}" for k, x in (("assets", assets), ("controls", controls), ("routes", routes)))
+    return (
+        f"SELECT repo, {id_} AS id, {q(kind)} AS kind, {title} AS title, {narrative} AS narrative, {severity} AS severity, {confidence} AS confidence, "
+        f"{evidence} AS evidence, {joined}, {action} AS action FROM {source}"
+    )
+
+
+def lines(source: str, keys: str, note: str, n: int) -> str:
+    """keys, n, evidence, routes: a count of source's rows by keys, and its first lines in the order of seq."""
+    line = f"method || ' ' || route || ' (' || {place()} || ')' || {q(note)}"
+    return (
+        f"SELECT {keys}, max(n) AS n, string_agg(v, ' | ' ORDER BY rn) AS evidence, list(route ORDER BY rn) AS routes FROM (SELECT {keys}, route, {line} AS v, "
+        f"row_number() OVER (PARTITION BY {keys} ORDER BY seq) AS rn, count(*) OVER (PARTITION BY {keys}) AS n FROM ({source})) WHERE rn <= {n} GROUP BY {keys}"
+    )
+
+
 def insight_ctes() -> dict[str, str]:
-    line = lambda note: f"(method || ' ' || route || ' (' || {place()} || ')' || {q(note)})"
     there = lambda kind: f"repo IN (SELECT repo FROM control WHERE kind = {q(kind)} AND strength <> 'absent')"
     public = "exposure = 'public'"
+    of = lambda *names: {k: k for k in names}
+    near = f"SELECT s.repo, s.name, list(DISTINCT a.id) AS ids FROM secret_hint s JOIN (SELECT repo, id, unnest(locations) AS file FROM asset) a ON a.repo = s.repo AND a.file = s.file WHERE NOT {low_ext('s.file')} GROUP BY ALL"
+    secret = f"""(SELECT f.*, x.ids FROM (SELECT *, row_number() OVER (PARTITION BY repo, lower(name) ORDER BY first) AS rn FROM (
+      SELECT repo, name, count(DISTINCT {module("file")}) AS modules, count(DISTINCT file) AS files, min(seq) AS first, list_slice(list_sort(list(DISTINCT {place()})), 1, 8) AS e
+      FROM secret_hint WHERE NOT {low_ext("file")} GROUP BY repo, name) WHERE modules >= 3) f LEFT JOIN ({near}) x USING (repo, name) WHERE rn = 1)"""
+    open_ = f"""SELECT s.*, m.asset, m.asset_name, m.criticality FROM surf s JOIN (SELECT DISTINCT repo, id AS asset, name AS asset_name, criticality, {module("l")} AS module
+      FROM (SELECT *, unnest(locations) AS l FROM asset WHERE {SENSITIVE})) m ON m.repo = s.repo AND m.module = {module("s.file")} WHERE {public} AND len(auth_signals) = 0"""
+    missing = " || ".join(f"CASE WHEN {there(k)} THEN '' ELSE ', {k}' END" for k in insights.ON_THE_WAY)
+    gap = f"(SELECT *, name AS path, substr(m, 3) AS missing FROM (SELECT *, {missing} AS m FROM path WHERE place <= 8 AND {any_of("lower(array_to_string(steps, ' '))", insights.DATA_WORDS)}) WHERE m <> '')"
     expected = " UNION ALL ".join(f"SELECT {q(a)} AS akind, {i} AS o, {q(k)} AS ckind" for a, ks in overlay.EXPECTED.items() for i, k in enumerate(ks))
-    admin = f"{public} AND (upper(method) IN ('POST', 'PUT', 'PATCH', 'DELETE') OR category = 'admin') AND len(auth_signals) = 0 AND (category = 'admin' OR {any_of('lower(route)', overlay.ADMIN_PARTS)})"
-    inside = f"{public} AND {any_of(wrap('file'), overlay.INTERNAL_PARTS)}"
-    stale = f"len(auth_signals) > 0 AND {any_of('lower(route)', overlay.BENIGN_PARTS)}"
-    counted = lambda w, note, n: f"(SELECT * FROM ({top(f'(SELECT * FROM surf WHERE {w})', 'repo', 'seq', line(note), n)}) JOIN (SELECT repo, count(*) AS n FROM surf WHERE {w} GROUP BY repo) USING (repo))"
-    missing = " || ".join(f"CASE WHEN {there(k)} THEN '' ELSE ', {k}' END" for k in ("authentication", "input_validation", "rate_limiting"))
+    mismatch = f"""(SELECT a.repo, a.id AS asset_id, a.name AS asset, a.criticality, string_agg(x.ckind, ', ' ORDER BY x.o) AS expected, string_agg('asset:' || a.id || ' expects ' || x.ckind, ' | ' ORDER BY x.o) AS e,
+      string_agg(CASE WHEN c.weak IS NULL THEN x.ckind || ' (absent)' WHEN c.weak THEN x.ckind || ' (weak only)' END, ', ' ORDER BY x.o) AS gaps FROM asset a JOIN ({expected}) x ON x.akind = a.kind
+      LEFT JOIN (SELECT repo, kind, bool_and(strength = 'weak') AS weak FROM control WHERE strength <> 'absent' GROUP BY ALL) c ON c.repo = a.repo AND c.kind = x.ckind
+      WHERE a.criticality IN ('critical', 'high') GROUP BY a.repo, a.id, a.name, a.criticality HAVING gaps IS NOT NULL)"""
+    methods = lambda w: f"array_to_string(list_sort(list(DISTINCT method) FILTER (WHERE {w})), ', ')"
+    safe, bare = "len(auth_signals) > 0", "len(auth_signals) = 0"
+    split = f'(SELECT repo, route, count(*) FILTER (WHERE {safe}) AS guarded, count(*) FILTER (WHERE {bare}) AS open, {methods(safe)} AS w, {methods(bare)} AS o FROM surf GROUP BY ALL HAVING count(*) FILTER (WHERE {safe}) > 0 AND count(*) FILTER (WHERE {bare}) > 0)'
+    order = rank("criticality", overlay.CRITICALITY)
+    unlogged = f"""(SELECT repo, count(*) AS n, left(array_to_string(list_sort(list(DISTINCT name)), ', '), 160) AS names, list(id ORDER BY {order}, kind, id) AS ids,
+      list('asset:' || id || ' (' || criticality || ')' ORDER BY {order}, kind, id) AS e FROM asset WHERE (criticality IN ('critical', 'high') OR {isin("kind", insights.PROTECTED_KINDS)}) AND NOT {there("audit_logging")} GROUP BY repo)"""
+    alone = f"(SELECT repo, min(name) AS name FROM secret_hint WHERE NOT {low_ext('file')} AND {any_of('lower(name)', overlay.AUTH_SECRET_WORDS)} GROUP BY repo HAVING count(DISTINCT name) = 1)"
+    admin = f"SELECT * FROM surf WHERE {public} AND (upper(method) IN ('POST', 'PUT', 'PATCH', 'DELETE') OR category = 'admin') AND {bare} AND (category = 'admin' OR {any_of('lower(route)', overlay.ADMIN_PARTS)})"
+    inside = f"SELECT * FROM surf WHERE {public} AND {any_of(wrap('file'), overlay.INTERNAL_PARTS)}"
+    stale = f"SELECT * FROM surf WHERE {safe} AND {any_of('lower(route)', overlay.BENIGN_PARTS)}"
+    there_placed = f"SELECT DISTINCT repo, kind AS control, unnest(placements) AS file FROM control WHERE {isin('kind', insights.BYPASSED)} AND strength <> 'absent'"
+    prone = f"""SELECT s.*, b.control, b.files FROM surf s JOIN (SELECT repo, control, count(*) AS files FROM ({there_placed}) GROUP BY ALL HAVING count(*) >= 2) b ON b.repo = s.repo
+      WHERE {public} AND {any_of("lower(route)", overlay.BYPASS_PARTS)} AND NOT EXISTS (SELECT 1 FROM ({there_placed}) p WHERE p.repo = s.repo AND p.control = b.control AND p.file = s.file)"""
+    bypass = f"(SELECT * FROM ({lines(prone, 'repo, control, files', ' - not in this file', 5)}) JOIN (SELECT repo, kind AS control, list_sort(list(DISTINCT id)) AS ids FROM control WHERE strength <> 'absent' GROUP BY ALL) USING (repo, control))"
     return {
-        "ins_shared_secret": f"SELECT repo, 'insight:shared-secret:' || lower(name) AS id, 'shared_secret_blast_radius' AS kind, 'Shared secret `' || name || '` referenced in ' || n || ' modules' AS title, CASE WHEN {any_of('lower(name)', overlay.SECRET_WORDS)} THEN 'high' ELSE 'medium' END AS severity, CASE WHEN n >= 4 THEN 'high' ELSE 'medium' END AS confidence, array_to_string(list_transform(e, lambda x: name || ' (' || x || ')'), ' | ') AS evidence FROM (SELECT repo, name, count(DISTINCT {module('file')}) AS n, list_slice(list_sort(list(DISTINCT {place()})), 1, 8) AS e FROM secret_hint WHERE NOT {low_ext('file')} GROUP BY repo, name) WHERE n >= 3",
-        "ins_asset_reachability": f"SELECT repo, 'insight:asset-reachable:' || asset AS id, 'sensitive_asset_reachability' AS kind, 'Public route reaches ' || asset_name || ' without observed auth' AS title, CASE WHEN criticality = 'critical' THEN 'critical' ELSE 'high' END AS severity, 'medium' AS confidence, evidence FROM ({top(f'(SELECT s.*, m.asset, m.asset_name, m.criticality FROM surf s JOIN (SELECT DISTINCT repo, id AS asset, name AS asset_name, criticality, {module("l")} AS module FROM (SELECT *, unnest(locations) AS l FROM asset WHERE {SENSITIVE})) m ON m.repo = s.repo AND m.module = {module("s.file")} WHERE {public} AND len(auth_signals) = 0)', 'repo, asset, asset_name, criticality', 'seq', line(' - public, no auth'), 5)})",
-        "ins_defense_gap": f"SELECT repo, 'insight:defense-gap:' || place AS id, 'defense_gap_in_chain' AS kind, 'Chain `' || name || '` reaches a data store with no ' || substr(m, 3) || ' signals along the way' AS title, CASE WHEN contains(m, 'authentication') THEN 'high' ELSE 'medium' END AS severity, 'medium' AS confidence, array_to_string(list_slice(steps, 1, 6), ' | ') AS evidence FROM (SELECT *, {missing} AS m FROM path WHERE place <= 8 AND {any_of("lower(array_to_string(steps, ' '))", ('database', 'datastore', 'data_store', 'db:', 'kind='))}) WHERE m <> ''",
-        "ins_strength_mismatch": f"SELECT repo, 'insight:strength-mismatch:' || id AS id, 'control_strength_mismatch' AS kind, name || ' has gaps in expected controls: ' || gaps AS title, CASE WHEN criticality = 'critical' THEN 'high' ELSE 'medium' END AS severity, 'medium' AS confidence, 'asset:' || id AS evidence FROM (SELECT a.repo, a.id, a.name, a.criticality, string_agg(CASE WHEN c.weak IS NULL THEN x.ckind || ' (absent)' WHEN c.weak THEN x.ckind || ' (weak only)' END, ', ' ORDER BY x.o) AS gaps FROM asset a JOIN ({expected}) x ON x.akind = a.kind LEFT JOIN (SELECT repo, kind, bool_and(strength = 'weak') AS weak FROM control WHERE strength <> 'absent' GROUP BY ALL) c ON c.repo = a.repo AND c.kind = x.ckind WHERE a.criticality IN ('critical', 'high') GROUP BY a.repo, a.id, a.name, a.criticality) WHERE gaps IS NOT NULL",
-        "ins_asymmetric": "SELECT repo, 'insight:asymmetric:' || route AS id, 'asymmetric_protection' AS kind, 'Route `' || route || '` is protected on some methods but not others' AS title, 'medium' AS severity, 'medium' AS confidence, p || ' protected, ' || u || ' not' AS evidence FROM (SELECT repo, route, count(*) FILTER (WHERE len(auth_signals) > 0) AS p, count(*) FILTER (WHERE len(auth_signals) = 0) AS u FROM surf GROUP BY ALL) WHERE p > 0 AND u > 0",
-        "ins_audit_gap": f"SELECT repo, 'insight:audit-gap:global' AS id, 'audit_gap' AS kind, 'Sensitive assets present, no audit-logging signals detected' AS title, 'medium' AS severity, 'medium' AS confidence, evidence FROM ({top(f"(SELECT * FROM asset WHERE (criticality IN ('critical', 'high') OR kind IN ('payment', 'credentials', 'user_pii')) AND NOT {there('audit_logging')})", 'repo', rank('criticality', overlay.CRITICALITY) + ', kind, id', "'asset:' || id || ' (' || criticality || ')'", 6)})",
-        "ins_spof": f"SELECT repo, 'insight:spof:' || lower(name) AS id, 'single_point_of_failure' AS kind, 'Authentication appears to depend on a single secret: `' || name || '`' AS title, 'high' AS severity, 'medium' AS confidence, 'secret:' || name AS evidence FROM (SELECT repo, min(name) AS name FROM secret_hint WHERE NOT {low_ext('file')} AND {any_of('lower(name)', overlay.AUTH_SECRET_WORDS)} GROUP BY repo HAVING count(DISTINCT name) = 1) WHERE {there('authentication')}",
-        "ins_admin_no_auth": f"SELECT repo, 'insight:admin-without-auth' AS id, 'admin_action_without_auth' AS kind, n || ' admin/role-mutation route(s) reachable without observed auth' AS title, 'critical' AS severity, 'medium' AS confidence, evidence FROM {counted(admin, ' - public, no auth', 6)}",
-        "ins_control_bypass": f"SELECT repo, 'insight:control-bypass:' || control AS id, 'control_bypass' AS kind, '`' || control || '` is observed broadly but ' || n || ' route(s) appear to bypass it' AS title, 'medium' AS severity, 'medium' AS confidence, evidence FROM (WITH placed AS (SELECT DISTINCT repo, kind AS control, unnest(placements) AS file FROM control WHERE kind IN ('authentication', 'csrf_protection', 'rate_limiting') AND strength <> 'absent'), prone AS (SELECT s.*, b.control FROM surf s JOIN (SELECT repo, control FROM placed GROUP BY ALL HAVING count(*) >= 2) b ON b.repo = s.repo WHERE {public} AND {any_of('lower(route)', overlay.BYPASS_PARTS)} AND NOT EXISTS (SELECT 1 FROM placed p WHERE p.repo = s.repo AND p.control = b.control AND p.file = s.file)) SELECT * FROM ({top('prone', 'repo, control', 'seq', line(' - not in this file'), 5)}) JOIN (SELECT repo, control, count(*) AS n FROM prone GROUP BY ALL) USING (repo, control))",
-        "ins_trust_boundary": f"SELECT repo, 'insight:trust-boundary-violation' AS id, 'trust_boundary_violation' AS kind, n || ' handler(s) tagged internal-only by file path are publicly exposed' AS title, 'high' AS severity, 'medium' AS confidence, evidence FROM {counted(inside, ' - internal by path, public', 5)}",
-        "ins_stale_signal": f"SELECT repo, 'insight:stale-signal' AS id, 'stale_or_contradictory_signal' AS kind, n || ' obviously-benign route(s) carry auth signals — likely scanner false positives' AS title, 'informational' AS severity, 'medium' AS confidence, evidence FROM {counted(stale, ' - auth on a benign route', 5)}",
+        "ins_shared_secret": insight("shared_secret_blast_radius", "'insight:shared-secret:' || lower(name)", f"CASE WHEN {any_of('lower(name)', overlay.SECRET_WORDS)} THEN 'high' ELSE 'medium' END", "array_to_string(list_transform(e, lambda x: name || ' (' || x || ')'), ' | ')", secret, of("name", "modules", "files"), "CASE WHEN modules >= 4 THEN 'high' ELSE 'medium' END", "list_sort(coalesce(ids, []))"),
+        "ins_asset_reachability": insight("sensitive_asset_reachability", "'insight:asset-reachable:' || asset", "CASE WHEN criticality = 'critical' THEN 'critical' ELSE 'high' END", "evidence", f"({lines(open_, 'repo, asset, asset_name, criticality', ' - public, no auth', 5)})", {"asset": "asset_name", "criticality": "criticality", "n": "n"}, assets="[asset]", routes="routes"),
+        "ins_defense_gap": insight("defense_gap_in_chain", "'insight:defense-gap:' || place", "CASE WHEN contains(missing, 'authentication') THEN 'high' ELSE 'medium' END", "array_to_string(list_slice(steps, 1, 6), ' | ')", gap, of("path", "missing")),
+        "ins_strength_mismatch": insight("control_strength_mismatch", "'insight:strength-mismatch:' || asset_id", "CASE WHEN criticality = 'critical' THEN 'high' ELSE 'medium' END", "e", mismatch, of("asset", "criticality", "gaps", "expected"), assets="[asset_id]"),
+        "ins_asymmetric": insight("asymmetric_protection", "'insight:asymmetric:' || route", "'medium'", "'guarded: ' || w || ' | open: ' || o", split, {"route": "route", "guarded": "guarded", "with": "w", "open": "open", "without": "o"}, routes="[route]"),
+        "ins_audit_gap": insight("audit_gap", "'insight:audit-gap:global'", "'medium'", "array_to_string(list_slice(e, 1, 6), ' | ')", unlogged, of("n", "names"), assets="ids"),
+        "ins_spof": insight("single_point_of_failure", "'insight:spof:' || lower(name)", "'high'", "'secret:' || name", f"(SELECT * FROM {alone} WHERE {there('authentication')})", of("name")),
+        "ins_admin_no_auth": insight("admin_action_without_auth", "'insight:admin-without-auth'", "'critical'", "evidence", f"({lines(admin, 'repo', ' - public, no auth', 6)})", of("n"), routes="routes"),
+        "ins_control_bypass": insight("control_bypass", "'insight:control-bypass:' || control", "'medium'", "evidence", bypass, of("n", "control", "files"), controls="ids", routes="routes"),
+        "ins_trust_boundary": insight("trust_boundary_violation", "'insight:trust-boundary-violation'", "'high'", "evidence", f"({lines(inside, 'repo', ' - internal by path, public', 5)})", of("n"), routes="routes"),
+        "ins_stale_signal": insight("stale_or_contradictory_signal", "'insight:stale-signal'", "'informational'", "evidence", f"({lines(stale, 'repo', ' - auth on a benign route', 5)})", of("n"), routes="routes"),
     }
 
 
 def technique_ctes() -> dict[str, str]:
     of_kind = "CASE kind " + " ".join(f"WHEN {q(k)} THEN [{', '.join(map(q, v))}]" for k, v in overlay.INSIGHT_TECHNIQUES.items()) + " ELSE [] END"
-    said = "lower(title || ' ' || replace(evidence, ' | ', ' '))"
-    groups = "list_concat(" * (len(overlay.FINDING_TECHNIQUES) - 1)
-    first = True
-    for words, ids in overlay.FINDING_TECHNIQUES:
-        part = f"CASE WHEN {any_of(said, words)} THEN [{', '.join(map(q, ids))}] ELSE [] END"
-        groups += part if first else f", {part})"
-        first = False
+    words = "lower(title || ' ' || replace(evidence, ' | ', ' '))"
+    groups = [f"CASE WHEN {any_of(words, parts)} THEN [{', '.join(map(q, ids))}] ELSE [] END" for parts, ids in overlay.FINDING_TECHNIQUES]
+    all_ids = f"flatten([{', '.join(groups)}])"
     # distinct in the order of first appearance
     distinct = "list_transform(list_filter(list_zip(g, range(1, len(g) + 1)), lambda z: list_position(g, z[1]) = z[2]), lambda z: z[1])"
     return {
         "ins_tech": f"SELECT *, {of_kind} AS techniques FROM insight",
-        "fnd_tech": f"SELECT * EXCLUDE (g), {distinct} AS techniques FROM (SELECT *, {groups} AS g FROM finding)",
+        "fnd_tech": f"SELECT * EXCLUDE (g), {distinct} AS techniques FROM (SELECT *, {all_ids} AS g FROM finding)",
     }
 
 
@@ -308,7 +349,7 @@ def library() -> dict[str, str]:
     out["finding"] = f"SELECT * FROM found UNION ALL SELECT repo, 'fallback', {q(title)}, {q(severity)}, {q(confidence)}, 'No strong pattern was found.' FROM repo WHERE repo NOT IN (SELECT repo FROM found)"
     out["path"] = path_cte()
     out |= asset_ctes() | control_ctes() | insight_ctes()
-    out["insight"] = " UNION ALL ".join(f"SELECT repo, id, kind, title, severity, confidence, evidence FROM {n}" for n in insight_ctes())
+    out["insight"] = " UNION ALL ".join(f"SELECT * FROM {n}" for n in insight_ctes())
     out |= technique_ctes()
     return out
 

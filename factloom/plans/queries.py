@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import expressions as E
 from factloom.operators import chains, extract, overlay, ranking, rubric, signals, surfaces, threats
+from factloom.plans import overlays as overlay_plans
 from factloom.plans import reviews as review_plans
 from factloom.plans.oracles import AUTH_LIKE, EVIDENCE, low, low_ext, oracle, rank
 from factloom.sources.adapters import FAMILIES, Scan, load
@@ -63,6 +64,10 @@ class Analysis:
     def insights(self) -> DataFrame:
         return settled(overlay.generate_insights(self.clean, self.surfaces, self.paths, self.assets, self.controls), "insights")
 
+    @cached_property
+    def opportunities(self) -> DataFrame:
+        return settled(overlay.detection_opportunities(self.insights, self.findings), "opportunities")
+
 
 @lru_cache(4)
 def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
@@ -200,29 +205,9 @@ for kind, _ in overlay.ABSENT:
     add(f"ctl_absent_{kind}", lambda a, k=kind: a.controls.where((c("strength") == "absent") & (c("kind") == k)).select("repo", "id", "name"), f"SELECT repo, id, name FROM absent WHERE kind = '{kind}'")
 add("ctl_detect", lambda a: a.controls.select("repo", "id", "kind", "name", "strength", "scope"), "SELECT repo, id, kind, name, strength, scope FROM control")
 
-# Insights
-
-INSIGHTS = {"shared_secret": "shared_secret_blast_radius", "asset_reachability": "sensitive_asset_reachability", "defense_gap": "defense_gap_in_chain", "strength_mismatch": "control_strength_mismatch", "asymmetric": "asymmetric_protection", "audit_gap": "audit_gap", "spof": "single_point_of_failure", "admin_no_auth": "admin_action_without_auth", "control_bypass": "control_bypass", "trust_boundary": "trust_boundary_violation", "stale_signal": "stale_or_contradictory_signal"}
-for key, kind in INSIGHTS.items():
-    add(f"ins_{key}", lambda a, k=kind: a.insights.where(c("kind") == k), f"SELECT repo, id, kind, title, severity, confidence, evidence FROM ins_{key}")
-add("ins_generate", lambda a: a.insights.select("repo", "id", "kind", "severity", "confidence"), "SELECT repo, id, kind, severity, confidence FROM insight")
-add("ins_context", lambda a: a.controls.groupBy("repo", "kind").agg(F.count_if(c("strength") != "absent").alias("present"), F.count_if(c("strength") == "absent").alias("absent")), "SELECT repo, kind, count(*) FILTER (WHERE strength <> 'absent') AS present, count(*) FILTER (WHERE strength = 'absent') AS absent FROM control GROUP BY ALL")
-add("ins_module_of", lambda a: a.scan.route.select("file", E.module_of(c("file")).alias("module")).distinct(), "SELECT DISTINCT file, CASE WHEN contains(file, '/') THEN array_to_string(string_split(file, '/')[:-2], '/') ELSE file END AS module FROM route")
-
-# Techniques and detections
-
-add("tax_insight_map", lambda a: overlay.insight_techniques(a.insights).select("repo", "id", F.array_join("techniques", ",").alias("techniques")), "SELECT repo, id, array_to_string(techniques, ',') AS techniques FROM ins_tech")
-add("tax_finding_map", lambda a: overlay.finding_techniques(a.findings).select("repo", "rule", F.array_join("techniques", ",").alias("techniques")), "SELECT repo, rule, array_to_string(techniques, ',') AS techniques FROM fnd_tech")
-add("tax_flatten", lambda a: overlay.technique_use(a.insights, a.findings), "SELECT repo, technique, count(*) AS n FROM (SELECT repo, unnest(techniques) AS technique FROM ins_tech UNION ALL SELECT repo, unnest(techniques) FROM fnd_tech) GROUP BY ALL")
-ONE_A_KIND = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, kind ORDER BY {rank('severity', overlay.INSIGHT_SEVERITIES)}, {rank('confidence', ('high', 'medium', 'low'))}, kind, id) AS rn FROM ins_tech) WHERE rn = 1)"
-SIGNAL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in overlay.SIGNALS.items()) + " END"
-add("det_generators", lambda a: overlay.detection_opportunities(a.insights, a.findings).where("insight is not null").select("repo", "id", "signal", "insight", "techniques"), f"SELECT repo, 'detect:' || id AS id, {SIGNAL} AS signal, id AS insight, array_to_string(techniques, ',') AS techniques FROM {ONE_A_KIND}")
-add("det_first_per_kind", lambda a: overlay.detection_opportunities(a.insights, a.findings).where("insight is not null").select("repo", "insight"), f"SELECT repo, id AS insight FROM {ONE_A_KIND}")
-TITLES = f"(SELECT DISTINCT repo, title, {rank('severity', threats.SEVERITIES)} AS r FROM finding)"
-add("det_fold_findings", lambda a: overlay.detection_opportunities(a.insights, a.findings).where("insight is not null").select("repo", "insight", "findings"), f"SELECT o.repo, o.id AS insight, coalesce((SELECT string_agg(title, ' | ' ORDER BY r, title) FROM (SELECT t.* FROM {TITLES} t WHERE t.repo = o.repo AND len(list_filter(string_split_regex(lower(o.title), '\\s+'), lambda w: length(w) > 4 AND contains(lower(t.title), w))) > 0 ORDER BY r, title LIMIT 3)), '') AS findings FROM {ONE_A_KIND} o")
-PLACED_FINDING = f"(SELECT repo, title, techniques, row_number() OVER (PARTITION BY repo ORDER BY {rank('severity', threats.SEVERITIES)}, title, rule) AS rn FROM fnd_tech WHERE repo NOT IN (SELECT repo FROM ins_tech))"
-FIRST_TECHNIQUES = f"(SELECT repo, t, row_number() OVER (PARTITION BY repo ORDER BY min(rn * 100 + i)) AS p FROM (SELECT repo, rn, unnest(techniques) AS t, generate_subscripts(techniques, 1) AS i FROM {PLACED_FINDING}) GROUP BY repo, t)"
-add("det_residual", lambda a: overlay.detection_opportunities(a.insights, a.findings).where("insight is null").select("repo", "id", "signal", "techniques", "findings"), f"SELECT * FROM (SELECT repo, 'detect:findings:residual' AS id, 'log' AS signal, string_agg(t, ',' ORDER BY p) FILTER (WHERE p <= 6) AS techniques FROM {FIRST_TECHNIQUES} GROUP BY repo) JOIN (SELECT repo, string_agg(title, ' | ' ORDER BY rn) FILTER (WHERE rn <= 5) AS findings FROM {PLACED_FINDING} GROUP BY repo) USING (repo)")
+# Insights, techniques and detections
+
+overlay_plans.register(add)
 
 
 # Ranking
