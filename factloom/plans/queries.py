@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import expressions as E
-from factloom.operators import chains, extract, overlay, ranking, rubric, signals, surfaces, threats
+from factloom.operators import chains, extract, overlay, ranking, signals, surfaces, threats
 from factloom.plans import overlays as overlay_plans
 from factloom.plans import reviews as review_plans
+from factloom.plans import rubrics as rubric_plans
 from factloom.plans.oracles import AUTH_LIKE, EVIDENCE, low, low_ext, oracle, rank
 from factloom.sources.adapters import FAMILIES, Scan, load
 from factloom.sources.staged import settled
@@ -232,26 +233,7 @@ review_plans.register(add, CLASS_OF_EVIDENCE)
 
 # Review evaluation
 
-
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A review for each conversation: its turns under headings, with citations made from the turn numbers."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    head = F.when(c("turn") % 3 == 0, "Strengths").when(c("turn") % 3 == 1, "Weaknesses").otherwise("Recommendations")
-    cite = F.concat(F.when(c("turn") % 5 == 4, "[path:").otherwise("[surface:"), (c("turn") % 4 + 1).cast("string"), F.lit("]"))
-    said = F.concat(F.lit("## "), head, F.lit("\n- observed, may add "), cite, F.lit(" inferred\n"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("s")))), lambda x: x["s"]), "")
-    return turns.groupBy(c("conv_id").alias("review_id")).agg(text.alias("text")).withColumn("allowed", F.array(*(F.lit(f"[surface:{i}]") for i in (1, 2, 3))))
-
-
-REVIEW_SQL = """SELECT *, round_even((grounding::INTEGER + observed_inferred::INTEGER + strengths::INTEGER + weaknesses::INTEGER + recommendations::INTEGER + false_positive::INTEGER) * 100::DOUBLE / 6, 2) AS score, grounding AND observed_inferred AND strengths AND weaknesses AND recommendations AND false_positive AS passed FROM (
-  SELECT conv_id AS review_id, bool_and(turn % 5 <> 4 AND turn % 4 <> 3) AS grounding, true AS observed_inferred, bool_or(turn % 3 = 0) AS strengths, bool_or(turn % 3 = 1) AS weaknesses, bool_or(turn % 3 = 2) AS recommendations, true AS false_positive FROM conversations GROUP BY conv_id)"""
-QUERIES["evl_score"] = lambda spark, sf_dir: rubric.evaluate(reviews(spark, sf_dir))
-ORACLES["evl_score"] = REVIEW_SQL
-QUERIES["evl_suite"] = lambda spark, sf_dir: rubric.evaluate(reviews(spark, sf_dir)).agg(F.count("*").alias("n"), F.count_if("passed").alias("n_passed"))
-ORACLES["evl_suite"] = f"SELECT count(*) AS n, count(*) FILTER (WHERE passed) AS n_passed FROM ({REVIEW_SQL})"
-for check in rubric.CHECKS:
-    QUERIES[f"evl_{check}"] = lambda spark, sf_dir, k=check: rubric.evaluate(reviews(spark, sf_dir)).select("review_id", k)
-    ORACLES[f"evl_{check}"] = f"SELECT review_id, {check} FROM ({REVIEW_SQL})"
+rubric_plans.register(QUERIES, ORACLES)
 
 
 # Extraction from made source files
