@@ -1,67 +1,110 @@
 """Extraction: routes, calls, datastores, auth marks and secrets from source files by regular expressions, in Spark alone.
 
-``source_file`` rows are (repo, file, suffix, content). A pattern's matches and the text between them come from
-``regexp_extract_all`` and ``split``; the k-th match begins after the first k pieces and k - 1 matches, so every match
-knows its offset, line and source line without any Python on the executors.
+``source_file`` rows are (repo, file, suffix, content). Each file is one row until its facts are known: a pattern's
+matches are marked in the text by one replacement, the marked text is cut, and one aggregate over the pieces keeps the
+offset and line of each match. Prefixes of routers are found among the matches of the file. So all that a file says is
+one projection, without a join or shuffle and without Python on the executors, and only facts are exploded.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.expressions import join_route_parts
+from factloom.sources.adapters import Scan
+from factloom.sources.staged import settled
 
+# Suffixes with their languages, folders that aren't scanned.
 LANGUAGES = {".py": "python", ".js": "javascript", ".ts": "typescript", ".tsx": "typescript"}
 SKIPPED = ("node_modules", ".git", ".venv", "dist", "build")
 VERBS = "get|post|put|delete|patch|options|head"
-
-# The patterns of each framework; group 1 is the router, group 2 the path or prefix, where there are any.
-ROUTER = r"""(?is)(\w+)\s*=\s*APIRouter\(\s*(?:[^)]*?\bprefix\s*=\s*['"]([^'"]*)['"])?"""
-BLUEPRINT = r"""(?is)(\w+)\s*=\s*Blueprint\(\s*['"][^'"]+['"]\s*,\s*[^,]+(?:,\s*url_prefix\s*=\s*['"]([^'"]*)['"])?"""
-INCLUDE = r"""(?i)(\w+)\.include_router\(\s*(\w+)(?:\s*,\s*prefix\s*=\s*['"]([^'"]*)['"])?"""
-REGISTER = r"""(?i)(\w+)\.register_blueprint\(\s*(\w+)(?:\s*,\s*url_prefix\s*=\s*['"]([^'"]*)['"])?"""
-USE = r"""(?i)\b(\w+)\.use\(\s*['"]([^'"]+)['"]\s*,\s*(\w+)\s*\)"""
-DECORATOR = rf"""(?i)@(\w+)\.({VERBS})\(\s*['"]([^'"]+)['"]"""
-API_ROUTE = r"""(?is)@(\w+)\.api_route\(\s*['"]([^'"]+)['"](.*?)\)"""
-FLASK_ROUTE = r"""(?is)@(\w+)\.route\(\s*['"]([^'"]+)['"](.*?)\)"""
-DIRECT = rf"""(?i)\b(\w+)\.({VERBS}|all)\(\s*['"]([^'"]+)['"]"""
-CHAIN = r"""(?i)\b(\w+)\.route\(\s*['"]([^'"]+)['"]\s*\)([\s\S]*?)(?=(?:\n\s*\w+\.)|\z)"""
-CHAIN_VERB = rf"""(?i)\.({VERBS}|all)\s*\("""
-METHOD = r"""(?i)['"](GET|POST|PUT|DELETE|PATCH|OPTIONS|HEAD|ALL)['"]"""
-CALLS = (r"""requests\.(?:get|post|put|delete|patch)\(['"]([^'"]+)['"]""", r"""axios\.(?:get|post|put|delete|patch)\(['"]([^'"]+)['"]""", r"""fetch\(['"]([^'"]+)['"]""")
+SCRIPTS = (".js", ".ts", ".tsx")
+#: Characters that mark matches; texts that hold them have another control character there.
+MARK, FIELD, END = "\u0001", "\u0002", "\u0003"
+SNIPPET = 160
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A pattern, its flags (i: any case, s: dots match line ends), and how many groups it has."""
+
+    pattern: str
+    flags: str = ""
+    groups: int = 1
+
+    def java(self) -> str:
+        """The pattern for Spark; classes are those of Unicode."""
+        return f"(?U{self.flags}){self.pattern}"
+
+    def plain(self) -> str:
+        """The pattern for engines without that flag."""
+        return f"(?{self.flags}){self.pattern}" if self.flags else self.pattern
+
+
+# The patterns of each framework; group 1 is the router, then come verb, path, prefix or arguments.
+ROUTER = Rule(r"""(\w+)\s*=\s*APIRouter\(\s*(?:[^)]*?\bprefix\s*=\s*['"]([^'"]*)['"])?""", "is", 2)
+BLUEPRINT = Rule(r"""(\w+)\s*=\s*Blueprint\(\s*['"][^'"]+['"]\s*,\s*[^,]+(?:,\s*url_prefix\s*=\s*['"]([^'"]*)['"])?""", "is", 2)
+INCLUDE = Rule(r"""(\w+)\.include_router\(\s*(\w+)(?:\s*,\s*prefix\s*=\s*['"]([^'"]*)['"])?""", "i", 3)
+REGISTER = Rule(r"""(\w+)\.register_blueprint\(\s*(\w+)(?:\s*,\s*url_prefix\s*=\s*['"]([^'"]*)['"])?""", "i", 3)
+USE = Rule(r"""\b(\w+)\.use\(\s*['"]([^'"]+)['"]\s*,\s*(\w+)\s*\)""", "i", 3)
+DECORATOR = Rule(rf"""@(\w+)\.({VERBS})\(\s*['"]([^'"]+)['"]""", "i", 3)
+API_ROUTE = Rule(r"""@(\w+)\.api_route\(\s*['"]([^'"]+)['"](.*?)\)""", "is", 3)
+FLASK_ROUTE = Rule(r"""@(\w+)\.route\(\s*['"]([^'"]+)['"](.*?)\)""", "is", 3)
+DIRECT = Rule(rf"""\b(\w+)\.({VERBS}|all)\(\s*['"]([^'"]+)['"]""", "i", 3)
+CHAIN = Rule(r"""\b(\w+)\.route\(\s*['"]([^'"]+)['"]\s*\)([\s\S]*?)(?=(?:\n\s*\w+\.)|\z)""", "i", 3)
+CHAIN_VERB = Rule(rf"""\.({VERBS}|all)\s*\(""", "i", 1)
+METHOD = Rule(r"""['"](GET|POST|PUT|DELETE|PATCH|OPTIONS|HEAD|ALL)['"]""", "i", 1)
+# The patterns of outbound calls, and of secret names that code asks its environment for.
+CALLS = (
+    Rule(r"""requests\.(?:get|post|put|delete|patch)\(['"]([^'"]+)['"]"""),
+    Rule(r"""axios\.(?:get|post|put|delete|patch)\(['"]([^'"]+)['"]"""),
+    Rule(r"""fetch\(['"]([^'"]+)['"]"""),
+)
+SECRETS = (
+    Rule(r"""os\.getenv\(['"]([^'"]*(?:SECRET|TOKEN|KEY|PASSWORD)[^'"]*)['"]""", "i"),
+    Rule(r"process\.env\.([A-Z0-9_]*(?:SECRET|TOKEN|KEY|PASSWORD)[A-Z0-9_]*)", "i"),
+)
+# Patterns and words of datastores and of authentication, with the labels they stand for.
 DATABASES = (
-    (r"""(?i)create_engine\(\s*['"](?:postgresql|mysql|sqlite|mssql|oracle)\+?""", "sql"),
-    (r"(?i)sqlite3\.connect\(", "sqlite"),
-    (r"(?i)psycopg(?:2)?\.connect\(", "postgresql"),
-    (r"(?i)(?:AsyncIOMotorClient|MongoClient)\(", "mongodb"),
-    (r"(?i)redis\.(?:Redis|StrictRedis)\(", "redis"),
-    (r"(?i)new\s+PrismaClient\(", "sql"),
-    (r"(?i)mongoose\.connect\(", "mongodb"),
-    (r"(?i)new\s+Pool\(", "postgresql"),
+    (Rule(r"""create_engine\(\s*['"](?:postgresql|mysql|sqlite|mssql|oracle)\+?""", "i"), "sql"),
+    (Rule(r"sqlite3\.connect\(", "i"), "sqlite"),
+    (Rule(r"psycopg(?:2)?\.connect\(", "i"), "postgresql"),
+    (Rule(r"(?:AsyncIOMotorClient|MongoClient)\(", "i"), "mongodb"),
+    (Rule(r"redis\.(?:Redis|StrictRedis)\(", "i"), "redis"),
+    (Rule(r"new\s+PrismaClient\(", "i"), "sql"),
+    (Rule(r"mongoose\.connect\(", "i"), "mongodb"),
+    (Rule(r"new\s+Pool\(", "i"), "postgresql"),
 )
-DATABASE_WORDS = (("postgres", "postgresql"), ("psycopg", "postgresql"), ("sqlalchemy", "sql"), ("mongodb", "mongodb"), ("mongo", "mongodb"), ("redis", "redis"), ("sqlite", "sqlite"), ("mysql", "mysql"))
+DATABASE_WORDS = (
+    ("postgres", "postgresql"), ("psycopg", "postgresql"), ("sqlalchemy", "sql"), ("mongodb", "mongodb"), ("mongo", "mongodb"), ("redis", "redis"),
+    ("sqlite", "sqlite"), ("mysql", "mysql"),
+)
 AUTH = (
-    (r"(?i)@login_required\b", "login_required"),
-    (r"(?i)@jwt_required\b", "jwt"),
-    (r"(?i)Depends\(\s*(?:oauth2_scheme|get_current_user|current_user|verify_token)\s*\)", "depends_auth"),
-    (r"(?i)OAuth2PasswordBearer\(", "oauth"),
-    (r"(?i)request\.authorization\b", "authorization"),
-    (r"""(?i)Authorization['"]?\s*\]""", "authorization"),
-    (r"(?i)passport\.authenticate\(", "passport"),
-    (r"(?i)\b(?:verify|require)Token\b", "token"),
-    (r"(?i)\bauthMiddleware\b", "auth_middleware"),
+    (Rule(r"@login_required\b", "i"), "login_required"),
+    (Rule(r"@jwt_required\b", "i"), "jwt"),
+    (Rule(r"Depends\(\s*(?:oauth2_scheme|get_current_user|current_user|verify_token)\s*\)", "i"), "depends_auth"),
+    (Rule(r"OAuth2PasswordBearer\(", "i"), "oauth"),
+    (Rule(r"request\.authorization\b", "i"), "authorization"),
+    (Rule(r"""Authorization['"]?\s*\]""", "i"), "authorization"),
+    (Rule(r"passport\.authenticate\(", "i"), "passport"),
+    (Rule(r"\b(?:verify|require)Token\b", "i"), "token"),
+    (Rule(r"\bauthMiddleware\b", "i"), "auth_middleware"),
 )
 AUTH_WORDS = ("jwt", "oauth", "auth0", "apikey", "api_key", "bearer", "session", "password", "token", "mfa")
-SECRETS = (r"""(?i)os\.getenv\(['"]([^'"]*(?:SECRET|TOKEN|KEY|PASSWORD)[^'"]*)['"]""", r"(?i)process\.env\.([A-Z0-9_]*(?:SECRET|TOKEN|KEY|PASSWORD)[A-Z0-9_]*)")
+SURE, UNSURE, SECRET_SURE, STORE_SURE = 0.85, 0.5, 0.85, 0.7
 
+MATCH = "struct<o: int, offset: int, line: int, g1: string, g2: string, g3: string, whole: string>"
 
-def accepted(files: DataFrame) -> DataFrame:
-    """Files of known suffixes that aren't hidden or in a folder of other people's or built code."""
+
+def accepted(files: DataFrame, suffixes: tuple[str, ...] | None = None) -> DataFrame:
+    """Files of known suffixes (or of those given) that aren't hidden or in a folder of other people's or built code."""
     parts = F.split("file", "/")
-    return files.where(~F.get(parts, F.size(parts) - 1).startswith(".") & ~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED))) & F.col("suffix").isin(*LANGUAGES))
+    known = [s for s in LANGUAGES if suffixes is None or s in suffixes]
+    return files.where(~F.get(parts, F.size(parts) - 1).startswith(".") & ~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED))) & F.col("suffix").isin(*known))
 
 
 def with_language(files: DataFrame) -> DataFrame:
@@ -73,122 +116,232 @@ def decoded(files: DataFrame) -> DataFrame:
     return files.withColumn("content", F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "\r\n?", "\n"))
 
 
-def matches(content: Column, pattern: str, *groups: int) -> Column:
-    """array<struct<offset, g0, g1, ...>> of a pattern's matches: offsets count code points from 0."""
-    p = F.lit(pattern)
-    whole = F.regexp_extract_all(content, p, F.lit(0))
-    sizes = F.transform(whole, F.length)
-    between = F.transform(F.split(content, pattern, -1), F.length)
-    total = lambda xs, n: F.aggregate(F.slice(xs, 1, n), F.lit(0), lambda a, x: a + x)
-    at = F.transform(sizes, lambda _, i: total(between, i + 1) + total(sizes, i))
-    return F.arrays_zip(at.alias("offset"), whole.alias("g0"), *(F.regexp_extract_all(content, p, F.lit(g)).alias(f"g{g}") for g in groups))
+def scanned(files: DataFrame) -> DataFrame:
+    """repo, languages (sorted, distinct), files_scanned of accepted files, also of those that can't be decoded."""
+    rows = with_language(files).groupBy("repo")
+    return rows.agg(F.array_sort(F.collect_set("language")).alias("languages"), F.count("*").alias("files_scanned"))
 
 
-def found(files: DataFrame, pattern: str, *groups: int) -> DataFrame:
-    """A row for each match: repo, file, content, offset, g0 and the groups."""
-    rows = files.where(F.col("content").rlike(pattern)).select("repo", "file", "content", F.explode(matches(F.col("content"), pattern, *groups)).alias("m"))
-    names = ["offset", "g0", *(f"g{g}" for g in groups)]
-    return rows.select("repo", "file", "content", *(F.col("m")[n].alias(n) for n in names))
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once: as the only element of an array."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def line_of(content: Column, offset: Column) -> Column:
-    before = F.substring(content, F.lit(1), offset)
-    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+def newlines(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def line_snippet(content: Column, offset: Column, most: int = 160) -> Column:
-    """The trimmed line at an offset; over most characters, its last is an ellipsis."""
-    before, after = F.substring(content, F.lit(1), offset), F.substring(content, offset + 1, F.length(content))
-    line = F.regexp_replace(F.concat(F.substring_index(before, "\n", -1), F.substring_index(after, "\n", 1)), r"^\s+|\s+$", "")
-    return F.when(F.length(line) > most, F.concat(F.left(line, F.lit(most - 1)), F.lit("…"))).otherwise(line)
+def clean(content: Column) -> Column:
+    return F.translate(F.coalesce(content, F.lit("")), MARK + FIELD + END, "\u0004" * 3)
 
 
-def local_prefixes(files: DataFrame) -> DataFrame:
-    """repo, file, router, prefix of Python routers and blueprints; the last assignment counts, blueprints over routers."""
-    rows = [found(files, p, 1, 2).select("repo", "file", F.col("g1").alias("router"), F.coalesce("g2", F.lit("")).alias("prefix"), F.struct(F.lit(o), "offset").alias("o")) for o, p in enumerate((ROUTER, BLUEPRINT))]
-    return rows[0].unionByName(rows[1]).groupBy("repo", "file", "router").agg(F.max_by("prefix", "o").alias("prefix"))
+def none() -> Column:
+    return F.array().cast(f"array<{MATCH}>")
 
 
-def mounts(files: DataFrame) -> DataFrame:
-    """repo, file, parent, router, extra: where routers are mounted; the last mount of a router counts."""
-    python = [found(files.where("suffix = '.py'"), p, 1, 2, 3).select("repo", "file", F.col("g1").alias("parent"), F.col("g2").alias("router"), F.coalesce("g3", F.lit("")).alias("extra"), F.struct(F.lit(o), "offset").alias("o")) for o, p in enumerate((INCLUDE, REGISTER))]
-    express = found(files.where("suffix <> '.py'"), USE, 1, 2, 3).select("repo", "file", F.col("g1").alias("parent"), F.col("g3").alias("router"), F.col("g2").alias("extra"), F.struct(F.lit(2), "offset").alias("o"))
-    rows = reduce(DataFrame.unionByName, [*python, express])
-    return rows.groupBy("repo", "file", "router").agg(F.max_by(F.struct("parent", "extra"), "o").alias("m")).select("repo", "file", "router", "m.*")
+def matches(content: Column, rule: Rule, o: int = 0) -> Column:
+    """The pattern's matches in a clean text, in order: rule's number o, offset in code points from 0, line from 1, groups."""
+    fields = FIELD.join([f"${i + 1}" for i in range(rule.groups)] + ["$0"])
+    cut = F.split(F.regexp_replace(content, F.lit(rule.java()), F.lit(MARK + fields + END)), MARK, -1)
 
+    def step(state: Column, piece: Column) -> Column:
+        def with_fields(x: Column) -> Column:
+            rest = F.get(x, F.lit(rule.groups))
+            whole = F.substring_index(rest, END, 1)
+            size = F.length(rest) - 1  # without the end mark
+            group = [F.get(x, F.lit(i)) if i < rule.groups else F.lit(None).cast("string") for i in range(3)]
+            found = F.struct(F.lit(o).alias("o"), state["offset"].alias("offset"), (state["lines"] + 1).alias("line"), *(g.alias(f"g{i + 1}") for i, g in enumerate(group)), whole.alias("whole"))
+            return F.struct((state["offset"] + size).alias("offset"), (state["lines"] + newlines(rest)).alias("lines"), F.concat(state["found"], F.array(found.cast(MATCH))).alias("found"))
 
-def prefixes(files: DataFrame) -> DataFrame:
-    """repo, file, router, prefix: what the mounts above a router and its own prefix make together.
+        return let(F.split(piece, FIELD, -1), with_fields)
+
+    def walked(pieces: Column) -> Column:
+        first = F.get(pieces, F.lit(0))
+        start = F.struct(F.length(first).alias("offset"), newlines(first).alias("lines"), none().alias("found"))
+        return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, step)["found"]
+
+    return let(cut, walked)
+
+
+def line_snippet(lines: Column, line: Column, most: int = SNIPPET) -> Column:
+    """A line of a text, trimmed; over most characters, its last is an ellipsis."""
+    own = F.regexp_replace(F.get(lines, line - 1), r"(?U)^\s+|\s+$", "")
+    return let(own, lambda x: F.when(F.length(x) > most, F.concat(F.left(x, F.lit(most - 1)), F.lit("…"))).otherwise(x))
+
+
+# Prefixes of routers, among the matches of one file
 
-    A router's mounts are walked up to the one that is mounted nowhere. Every round doubles the mounts that a walk has
-    passed; one that has passed more than its file has is in a cycle, and the router keeps its own prefix.
+
+def last(found: Column, name: Column) -> Column:
+    """Group 2 of the last match whose group 1 is name, else null."""
+    return F.get(F.reverse(F.filter(found, lambda x: x["g1"] == name)), F.lit(0))["g2"]
+
+
+def resolved(local: Column, mounts: Column) -> Column:
+    """array<struct<router, prefix>> of a file's routers, from their own prefixes and their mounts (parent, router, extra).
+
+    The last mount of a router counts. A router's mounts are walked up to the one that is mounted nowhere: every round
+    doubles the mounts that a walk has passed. One that ends at a mounted router is in a cycle, and keeps its own prefix.
     """
-    key = ["repo", "file"]
-    local = local_prefixes(files.where("suffix = '.py'"))
-    own = join_route_parts(F.col("extra"), F.coalesce("prefix", F.lit("")))
-    edges = mounts(files).join(local, [*key, "router"], "left").select(*key, "router", F.col("parent").alias("at"), own.alias("path")).persist()
-    most = edges.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
-    walk = edges
-    for _ in range(most.bit_length()):
-        up = walk.select(*key, F.col("router").alias("at"), F.col("at").alias("above"), F.col("path").alias("more"))
-        further = F.when(F.col("above").isNull(), F.col("path")).otherwise(join_route_parts(F.col("more"), F.col("path")))
-        walk = walk.join(up, [*key, "at"], "left").select(*key, "router", F.coalesce("above", "at").alias("at"), further.alias("path")).persist()
-    top = walk.join(edges.select(*key, F.col("router").alias("at")), [*key, "at"], "left_anti").join(local.select(*key, F.col("router").alias("at"), "prefix"), [*key, "at"], "left")
-    mounted = top.select(*key, "router", join_route_parts(F.coalesce("prefix", F.lit("")), F.col("path")).alias("prefix"))
-    return mounted.unionByName(local.join(mounted.select(*key, "router"), [*key, "router"], "left_anti"))
+    own = lambda r: F.coalesce(last(local, r), F.lit(""))
+    counting = F.filter(mounts, lambda x, i: ~F.exists(F.slice(mounts, i + 2, F.size(mounts)), lambda y: y["router"] == x["router"]))
+
+    def with_edges(edges: Column) -> Column:
+        walk = F.transform(edges, lambda x: F.struct(x["router"].alias("router"), x["parent"].alias("at"), join_route_parts(x["extra"], own(x["router"])).alias("path")))
+        rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(edges) + F.lit(2))).cast("int"))
+
+        def further(w: Column, _: Column) -> Column:
+            def one(x: Column) -> Column:
+                up = F.get(F.filter(w, lambda y: y["router"] == x["at"]), F.lit(0))
+                return let(up, lambda u: F.when(u.isNull(), x).otherwise(F.struct(x["router"].alias("router"), u["at"].alias("at"), join_route_parts(u["path"], x["path"]).alias("path"))))
+
+            return F.transform(w, one)
+
+        done = F.aggregate(rounds, walk, further)
+        ended = lambda x: ~F.exists(edges, lambda e: e["router"] == x["at"])
+        return F.transform(done, lambda x: F.struct(x["router"].alias("router"), F.when(ended(x), join_route_parts(own(x["at"]), x["path"])).otherwise(own(x["router"])).alias("prefix")))
+
+    mounted = let(counting, with_edges)
+    alone = F.transform(F.array_distinct(F.transform(local, lambda x: x["g1"])), lambda r: F.struct(r.alias("router"), own(r).alias("prefix")))
+    return let(mounted, lambda m: F.concat(m, F.filter(alone, lambda a: ~F.exists(m, lambda x: x["router"] == a["router"]))))
+
+
+def of_file(content: Column) -> Column:
+    """A file's routers with their prefixes."""
+    python = F.col("suffix") == ".py"
+    script = F.col("suffix").isin(*SCRIPTS)
+    some = lambda on, *found: F.when(on, F.concat(*found)).otherwise(none())
+    local = some(python, matches(content, ROUTER, 0), matches(content, BLUEPRINT, 1))
+    mount = lambda x, router, extra: F.struct(x["g1"].alias("parent"), x[router].alias("router"), F.coalesce(x[extra], F.lit("")).alias("extra"))
+    nested = F.transform(some(python, matches(content, INCLUDE, 0), matches(content, REGISTER, 1)), lambda x: mount(x, "g2", "g3"))
+    used = F.transform(some(script, matches(content, USE, 2)), lambda x: mount(x, "g3", "g2"))
+    return let(local, lambda loc: let(F.concat(nested, used), lambda m: resolved(loc, m)))
+
+
+def prefixes(files: DataFrame) -> DataFrame:
+    """repo, file, router, prefix: what the mounts above a router and its own prefix make together."""
+    return files.select("repo", "file", F.inline(of_file(clean(F.col("content")))))
+
+
+# Routes
+
+
+def verb(m: Column) -> Column:
+    return F.when(F.upper(m) == "ALL", "ANY").otherwise(F.upper(m))
 
 
 def methods(args: Column, default: str) -> Column:
     """Upper-case verbs listed in args, ALL as ANY; the default where none is."""
-    listed = F.transform(F.regexp_extract_all(args, F.lit(METHOD), F.lit(1)), lambda m: F.when(F.upper(m) == "ALL", "ANY").otherwise(F.upper(m)))
-    return F.when(F.size(listed) > 0, listed).otherwise(F.array(F.lit(default)))
+    found = F.transform(F.regexp_extract_all(args, F.lit(METHOD.java()), F.lit(1)), verb)
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(default)))
+
+
+def routes_of(content: Column) -> Column:
+    """array<struct<path, method, line, o, offset>> of a file's routes."""
+    python, script = F.col("suffix") == ".py", F.col("suffix").isin(*SCRIPTS)
+    row = lambda x, raw, method, o, line=None, offset=None: F.struct(x["g1"].alias("router"), raw.alias("raw"), method.alias("method"), (x["line"] if line is None else line).alias("line"), F.lit(o).alias("o"), (x["offset"] if offset is None else offset).alias("offset"))
+    listed = lambda rule, default, o: F.flatten(F.transform(matches(content, rule), lambda x: F.transform(methods(x["g3"], default), lambda m: row(x, x["g2"], m, o))))
+
+    def chained(x: Column) -> Column:
+        begin, lines = x["offset"] + F.length(x["whole"]) - F.length(x["g3"]), x["line"] - 1 + newlines(x["whole"]) - newlines(x["g3"])
+        return F.transform(matches(x["g3"], CHAIN_VERB), lambda v: row(x, x["g2"], verb(v["g1"]), 4, lines + v["line"], begin + v["offset"]))
+
+    nothing = F.array().cast("array<struct<router: string, raw: string, method: string, line: int, o: int, offset: int>>")
+    rows = F.concat(
+        F.when(python, F.transform(matches(content, DECORATOR), lambda x: row(x, x["g3"], F.upper(x["g2"]), 0))).otherwise(nothing),
+        F.when(python, listed(API_ROUTE, "ANY", 1)).otherwise(nothing),
+        F.when(python, listed(FLASK_ROUTE, "GET", 2)).otherwise(nothing),
+        F.when(script, F.transform(matches(content, DIRECT), lambda x: row(x, x["g3"], verb(x["g2"]), 3))).otherwise(nothing),
+        F.when(script, F.flatten(F.transform(matches(content, CHAIN), chained))).otherwise(nothing),
+    )
+    prefix = lambda known, r: F.coalesce(F.get(F.filter(known, lambda k: k["router"] == r), F.lit(0))["prefix"], F.lit(""))
+    whole = lambda known: F.transform(rows, lambda x: F.struct(join_route_parts(prefix(known, x["router"]), x["raw"]).alias("path"), x["method"].alias("method"), x["line"].alias("line"), x["o"].alias("o"), x["offset"].alias("offset")))
+    return let(of_file(content), whole)
+
+
+def listed_of(content: Column, rules: tuple[Rule, ...]) -> Column:
+    """array<struct<value, line, evidence, o, offset>>: group 1 of the rules' matches, with the line they are on."""
+    found = F.concat(*(matches(content, r, o) for o, r in enumerate(rules)))
+    row = lambda lines, x: F.struct(x["g1"].alias("value"), x["line"].alias("line"), line_snippet(lines, x["line"]).alias("evidence"), x["o"].alias("o"), x["offset"].alias("offset"))
+    return let(F.split(content, "\n", -1), lambda lines: F.transform(found, lambda x: row(lines, x)))
+
+
+def marks_of(content: Column, rules: tuple[tuple[Rule, str], ...], words: tuple[tuple[str, str], ...], sure: float, unsure: float) -> Column:
+    """array<struct<label, line, evidence, confidence, o, offset>>: the first match of each pattern, then the first place of
+    each word; of a label, the first of these counts."""
+    row = lambda label, sure_, o, before: F.struct(F.lit(label).alias("label"), (newlines(before) + 1).alias("line"), F.lit(sure_).alias("confidence"), F.lit(o).alias("o"), F.length(before).alias("offset"))
+
+    def by_rule(rule: Rule, label: str, o: int) -> Column:
+        return let(F.split(content, rule.java(), 2), lambda x: F.when(F.size(x) > 1, row(label, sure, o, F.get(x, F.lit(0)))))
+
+    def by_word(word: str, label: str, o: int) -> Column:
+        return let(F.instr(F.lower(content), word), lambda i: F.when(i > 0, row(label, unsure, o, F.substring(content, F.lit(1), i - 1))))
+
+    each = [by_rule(r, label, o) for o, (r, label) in enumerate(rules)] + [by_word(w, label, 100 + o) for o, (w, label) in enumerate(words)]
+    first = lambda xs: F.filter(xs, lambda x, i: ~F.exists(F.slice(xs, F.lit(1), i), lambda y: y["label"] == x["label"]))
+    shown = lambda lines, x: F.struct(x["label"].alias("label"), x["line"].alias("line"), line_snippet(lines, x["line"]).alias("evidence"), x["confidence"].alias("confidence"), x["o"].alias("o"), x["offset"].alias("offset"))
+    return let(F.split(content, "\n", -1), lambda lines: F.transform(let(F.array_compact(F.array(*each)), first), lambda x: shown(lines, x)))
+
+
+def place(file: Column, x: str = "") -> Column:
+    """Order of a fact in its repository: by file, rule and offset."""
+    return F.struct(file.alias("file"), F.col(f"{x}o").alias("o"), F.col(f"{x}offset").alias("offset")).alias("seq")
 
 
 def extract_routes(files: DataFrame) -> DataFrame:
     """repo, path, method, file, line, seq of all routes of both families."""
-    python, script = files.where("suffix = '.py'"), files.where("suffix in ('.js', '.ts', '.tsx')")
-    any_ = lambda m: F.when(F.upper(m) == "ALL", "ANY").otherwise(F.upper(m))
-    line = line_of(F.col("content"), F.col("offset"))
-    row = lambda df, path, method, o: df.select("repo", "file", F.col("g1").alias("router"), path.alias("raw"), method.alias("method"), line.alias("line"), F.struct(F.lit(o).alias("o"), "offset").alias("seq"))
-    chain = found(script, CHAIN, 1, 2, 3)
-    inner = chain.withColumn("v", F.explode(matches(F.col("g3"), CHAIN_VERB, 1)))
-    inner = inner.withColumn("offset", F.col("offset") + F.length("g0") - F.length("g3") + F.col("v.offset"))
-    rows = [
-        row(found(python, DECORATOR, 1, 2, 3), F.col("g3"), F.upper("g2"), 0),
-        row(found(python, API_ROUTE, 1, 2, 3).withColumn("m", F.explode(methods(F.col("g3"), "ANY"))), F.col("g2"), F.col("m"), 1),
-        row(found(python, FLASK_ROUTE, 1, 2, 3).withColumn("m", F.explode(methods(F.col("g3"), "GET"))), F.col("g2"), F.col("m"), 2),
-        row(found(script, DIRECT, 1, 2, 3), F.col("g3"), any_(F.col("g2")), 3),
-        row(inner, F.col("g2"), any_(F.col("v.g1")), 4),
-    ]
-    known = prefixes(files)
-    out = reduce(DataFrame.unionByName, rows).join(known, ["repo", "file", "router"], "left")
-    return out.select("repo", join_route_parts(F.coalesce("prefix", F.lit("")), F.col("raw")).alias("path"), "method", "file", "line", "seq")
+    rows = files.select("repo", "file", F.inline(routes_of(clean(F.col("content")))))
+    return rows.select("repo", "path", "method", "file", "line", place(F.col("file")))
 
 
 def extract_calls(files: DataFrame) -> DataFrame:
-    """repo, target, file, line of literal outbound targets."""
-    return reduce(DataFrame.unionByName, [found(files, p, 1).select("repo", F.col("g1").alias("target"), "file", line_of(F.col("content"), F.col("offset")).alias("line"), line_snippet(F.col("content"), F.col("offset")).alias("evidence")) for p in CALLS])
+    """repo, target, file, line, evidence of literal outbound targets."""
+    rows = files.select("repo", "file", F.inline(listed_of(clean(F.col("content")), CALLS)))
+    return rows.select("repo", F.col("value").alias("target"), "file", "line", "evidence")
 
 
 def extract_secrets(files: DataFrame) -> DataFrame:
-    """repo, name, file, line of secret names that code asks its environment for."""
-    return reduce(DataFrame.unionByName, [found(files, p, 1).select("repo", F.col("g1").alias("name"), "file", line_of(F.col("content"), F.col("offset")).alias("line"), line_snippet(F.col("content"), F.col("offset")).alias("evidence")) for p in SECRETS])
-
-
-def first_marks(files: DataFrame, patterns: tuple[tuple[str, str], ...], words: tuple[tuple[str, str], ...], sure: float, unsure: float) -> DataFrame:
-    """repo, label, file, line, confidence: the first match of each pattern, then of each word whose label is new."""
-    first = lambda p: F.when(F.col("content").rlike(p), F.length(F.split("content", p, 2)[0]))
-    by_pattern = [F.struct(F.lit(label).alias("label"), first(p).alias("offset"), F.lit(sure).alias("confidence"), F.lit(i).alias("o")) for i, (p, label) in enumerate(patterns)]
-    at = lambda w: F.when(F.lower("content").contains(w), F.instr(F.lower("content"), w) - 1)
-    by_word = [F.struct(F.lit(label).alias("label"), at(w).alias("offset"), F.lit(unsure).alias("confidence"), F.lit(100 + i).alias("o")) for i, (w, label) in enumerate(words)]
-    rows = files.where("content is not null").select("repo", "file", "content", F.inline(F.filter(F.array(*by_pattern, *by_word), lambda x: x["offset"].isNotNull())))
-    rows = rows.select("repo", "file", "label", line_of(F.col("content"), F.col("offset")).alias("line"), "confidence", "o")
-    return rows.groupBy("repo", "file", "label").agg(F.min_by(F.struct("line", "confidence"), "o").alias("r")).select("repo", "label", "file", "r.*")
+    """repo, name, file, line, evidence of secret names that code asks its environment for."""
+    rows = files.select("repo", "file", F.inline(listed_of(clean(F.col("content")), SECRETS)))
+    return rows.select("repo", F.col("value").alias("name"), "file", "line", "evidence")
 
 
 def extract_databases(files: DataFrame) -> DataFrame:
-    return first_marks(files, DATABASES, DATABASE_WORDS, 0.7, 0.7).select("repo", F.col("label").alias("kind"), "file", "line")
+    """repo, kind, file, line, by_word (whether a word tells, not a pattern) of datastores, each once a file."""
+    rows = files.select("repo", "file", F.inline(marks_of(clean(F.col("content")), DATABASES, DATABASE_WORDS, STORE_SURE, STORE_SURE)))
+    return rows.select("repo", F.col("label").alias("kind"), "file", "line", (F.col("o") >= 100).alias("by_word"))
 
 
 def extract_auth(files: DataFrame) -> DataFrame:
-    return first_marks(files, AUTH, tuple((w, w) for w in AUTH_WORDS), 0.85, 0.5).withColumnRenamed("label", "hint")
+    """repo, hint, file, line, confidence: sure by a pattern, unsure by a word."""
+    rows = files.select("repo", "file", F.inline(marks_of(clean(F.col("content")), AUTH, tuple((w, w) for w in AUTH_WORDS), SURE, UNSURE)))
+    return rows.select("repo", F.col("label").alias("hint"), "file", "line", "confidence")
+
+
+def facts(files: DataFrame) -> DataFrame:
+    """repo, file, and arrays of all that each file says, in one projection over its text."""
+    content = clean(F.col("content"))
+    return files.select(
+        "repo",
+        "file",
+        routes_of(content).alias("routes"),
+        listed_of(content, CALLS).alias("calls"),
+        marks_of(content, DATABASES, DATABASE_WORDS, STORE_SURE, STORE_SURE).alias("stores"),
+        marks_of(content, AUTH, tuple((w, w) for w in AUTH_WORDS), SURE, UNSURE).alias("auth"),
+        listed_of(content, SECRETS).alias("secrets"),
+    )
+
+
+def scan_files(files: DataFrame) -> Scan:
+    """The scan of accepted, decoded files. What they say is written once, so their texts are read once."""
+    known = settled(facts(files.where("content is not null")), "facts")
+    rows = lambda name, *columns: known.select("repo", "file", F.inline(name)).select("repo", *columns, place(F.col("file")))
+    hints = rows("auth", F.lit("auth").alias("family"), F.col("label").alias("hint"), "file", "line", "confidence")
+    return Scan(
+        files.select("repo").distinct(),
+        rows("routes", "path", "method", "file", "line"),
+        rows("calls", F.col("value").alias("target"), "file", "line"),
+        rows("stores", F.col("label").alias("kind"), "file", "line"),
+        hints,
+        rows("secrets", F.col("value").alias("name"), "file", "line", F.lit(SECRET_SURE).alias("confidence")),
+    )

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import expressions as E
-from factloom.operators import chains, extract, overlay, ranking, signals, surfaces, threats
+from factloom.operators import chains, overlay, ranking, signals, surfaces, threats
+from factloom.plans import extracts as extract_plans
 from factloom.plans import overlays as overlay_plans
 from factloom.plans import reviews as review_plans
 from factloom.plans import rubrics as rubric_plans
@@ -238,35 +239,7 @@ rubric_plans.register(QUERIES, ORACLES)
 
 # Extraction from made source files
 
-PYTHON = "root = APIRouter(prefix='/v{k}')\nchild = APIRouter()\nroot.include_router(child, prefix='/c')\n@child.get('/items')\ndef f(): pass\n@root.api_route('x//y', methods=['GET', 'POST'])\nos.getenv('API_TOKEN')\nrequests.get('https://h')\n@login_required\nsqlite3.connect('a')\n# "
-SCRIPT = "const app = e();\napp.use('/m{k}', r);\nr.all('/z', h);\nr.route('/w').get(a).post(b)\napp.get('/top', process.env.APP_KEY)\nfetch('https://f')\nnew Pool(1)\n// "
-
-
-def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source file for each document: template lines chosen by its id, then its text as a comment."""
-    k = c("doc_id")
-    template = F.replace(F.when(k % 2 == 0, PYTHON).otherwise(SCRIPT), F.lit("{k}"), (k % 3).cast("string"))
-    suffix = F.when(k % 2 == 0, ".py").otherwise(".js")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(F.concat(F.lit("r"), (k % 20).cast("string")).alias("repo"), F.concat(F.lit("f"), k.cast("string"), suffix).alias("file"), suffix.alias("suffix"), F.concat(template, F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))).alias("content"))
-
-
-FILE = "'f' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.js' END"
-REPO = "'r' || doc_id % 20"
-MADE = (("'/v' || doc_id % 3 || '/c/items'", "GET", 4, 0), ("'/v' || doc_id % 3 || '/x/y'", "GET", 6, 0), ("'/v' || doc_id % 3 || '/x/y'", "POST", 6, 0), ("'/m' || doc_id % 3 || '/z'", "ANY", 3, 1), ("'/m' || doc_id % 3 || '/w'", "GET", 4, 1), ("'/m' || doc_id % 3 || '/w'", "POST", 4, 1), ("'/top'", "GET", 5, 1))
-EXTRACTS: tuple[tuple[str, Callable[[DataFrame], DataFrame], str], ...] = (
-    ("ext_routes", lambda f: extract.extract_routes(f).drop("seq"), " UNION ALL ".join(f"SELECT {REPO} AS repo, {path} AS path, '{m}' AS method, {FILE} AS file, {line} AS line FROM documents WHERE doc_id % 2 = {odd}" for path, m, line, odd in MADE)),
-    ("ext_external_calls", lambda f: extract.extract_calls(f).drop("evidence"), f"SELECT {REPO} AS repo, CASE WHEN doc_id % 2 = 0 THEN 'https://h' ELSE 'https://f' END AS target, {FILE} AS file, CASE WHEN doc_id % 2 = 0 THEN 8 ELSE 6 END AS line FROM documents"),
-    ("ext_line_snippet", lambda f: extract.extract_secrets(f).select("file", "evidence"), f"SELECT {FILE} AS file, CASE WHEN doc_id % 2 = 0 THEN 'os.getenv(''API_TOKEN'')' ELSE 'app.get(''/top'', process.env.APP_KEY)' END AS evidence FROM documents"),
-    ("ext_secrets", lambda f: extract.extract_secrets(f).drop("evidence"), f"SELECT {REPO} AS repo, CASE WHEN doc_id % 2 = 0 THEN 'API_TOKEN' ELSE 'APP_KEY' END AS name, {FILE} AS file, CASE WHEN doc_id % 2 = 0 THEN 7 ELSE 5 END AS line FROM documents"),
-    ("ext_db_patterns", extract.extract_databases, f"SELECT {REPO} AS repo, CASE WHEN doc_id % 2 = 0 THEN 'sqlite' ELSE 'postgresql' END AS kind, {FILE} AS file, CASE WHEN doc_id % 2 = 0 THEN 10 ELSE 7 END AS line FROM documents"),
-    ("ext_auth_patterns", lambda f: extract.extract_auth(f).where("confidence > 0.8"), f"SELECT {REPO} AS repo, 'login_required' AS hint, {FILE} AS file, 9 AS line, 0.85::DOUBLE AS confidence FROM documents WHERE doc_id % 2 = 0"),
-    ("ext_prefix_fixpoint", extract.prefixes, f"SELECT {REPO} AS repo, {FILE} AS file, 'root' AS router, '/v' || doc_id % 3 AS prefix FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT {REPO}, {FILE}, 'child', '/v' || doc_id % 3 || '/c' FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT {REPO}, {FILE}, 'r', '/m' || doc_id % 3 FROM documents WHERE doc_id % 2 = 1"),
-    ("src_language_tag", lambda f: extract.with_language(extract.accepted(f)).groupBy("repo").agg(F.array_join(F.array_sort(F.collect_set("language")), ", ").alias("languages"), F.count("*").alias("files_scanned")), f"SELECT {REPO} AS repo, array_to_string(list_sort(list(DISTINCT CASE WHEN doc_id % 2 = 0 THEN 'python' ELSE 'javascript' END)), ', ') AS languages, count(*) AS files_scanned FROM documents GROUP BY ALL"),
-)
-for key, build, sql in EXTRACTS:
-    QUERIES[key] = lambda spark, sf_dir, b=build: b(source_files(spark, sf_dir))
-    ORACLES[key] = sql
+extract_plans.register(QUERIES, ORACLES)
 
 
 def queries() -> dict[str, Query]:
