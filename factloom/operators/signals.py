@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.expressions import first_rows, location, service_from_path, starts_with_any
 from factloom.sources.adapters import FAMILIES, Scan
 
+@dataclass(frozen=True)
+class MergeRule:
+    """A family of a scan, and the columns by which its rows are one."""
+
+    attr: str
+    keys: tuple[str, ...]
+
+    def __post_init__(self) -> None:
+        if not all(x.isidentifier() for x in (self.attr, *self.keys)):
+            raise ValueError(f"{self.attr!r} by {self.keys!r}: names of families and columns must be identifiers")
+
+
+MERGE = (
+    MergeRule("route", ("path", "method", "file")),
+    MergeRule("external_call", ("target", "file")),
+    MergeRule("database_hint", ("kind", "file")),
+    MergeRule("hint", ("family", "hint", "file")),
+    MergeRule("secret_hint", ("name", "file")),
+)
 #: Keys by which the rows of a family are one.
-KEYS = {"route": ["path", "method", "file"], "external_call": ["target", "file"], "database_hint": ["kind", "file"], "hint": ["family", "hint", "file"], "secret_hint": ["name", "file"]}
+KEYS = {r.attr: list(r.keys) for r in MERGE}
 
 # Hints that are kept among auth hints but say nothing of auth.
 NOT_AUTH = ("service_name:", "service_role:", "entrypoint:", "edge:", "handler_type:", "handler_visibility:", "handler_visibility_basis:", "controller:", "service:", "omeka_", "laminas_", "atproto_namespace:", "atproto_namespace_ref:", "atproto_xrpc_ref:", "atproto_lexicon:", "atproto_event_stream:", "atproto_service_note:", "atproto_service_edge:", "atproto_repo:")
@@ -27,6 +49,47 @@ def merged(scan: Scan) -> Scan:
     return Scan(scan.repo, *(first_seen(getattr(scan, t), KEYS[t]) for t in ("route", "external_call", "database_hint", "hint", "secret_hint")))
 
 
+@dataclass(frozen=True)
+class Result:
+    """What one analyzer found: a scan, and meta (repo, languages, files_scanned)."""
+
+    scan: Scan
+    meta: DataFrame
+
+
+def in_turn(scans: list[Scan], attr: str) -> DataFrame:
+    """A family's rows of all scans, one below the other; seq is the scan's place, then the row's own."""
+    rows = [getattr(s, attr).withColumn("seq", F.struct(F.lit(i).alias("turn"), F.col("seq").alias("own"))) for i, s in enumerate(scans)]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def merge_results(results: list[Result], repos: DataFrame) -> Result:
+    """The results as one: rows first seen by key, languages together and sorted, files summed. Every repository of repos is
+    in it, with an empty result if there is none at all."""
+    if not results:
+        none = repos.select("repo", F.array().cast("array<string>").alias("languages"), F.lit(0).cast("long").alias("files_scanned"))
+        empty = {"route": "path string, method string", "external_call": "target string", "database_hint": "kind string", "hint": "family string, hint string", "secret_hint": "name string"}
+        more = {"hint": ", confidence double", "secret_hint": ", confidence double"}
+        spark = repos.sparkSession
+        parts = {k: spark.createDataFrame([], f"repo string, {v}, file string, line int{more.get(k, '')}, seq long") for k, v in empty.items()}
+        return Result(Scan(repos, **parts), none)
+    scans = [r.scan for r in results]
+    merged_parts = {rule.attr: first_seen(in_turn(scans, rule.attr), list(rule.keys)) for rule in MERGE}
+    meta = reduce(DataFrame.unionByName, [r.meta.select("repo", "languages", "files_scanned") for r in results])
+    total = meta.groupBy("repo").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("languages")))).alias("languages"), F.sum("files_scanned").alias("files_scanned"))
+    every = repos.join(total, "repo", "left")
+    known = every.select("repo", F.coalesce("languages", F.array().cast("array<string>")).alias("languages"), F.coalesce("files_scanned", F.lit(0).cast("long")).alias("files_scanned"))
+    return Result(Scan(repos, **merged_parts), known)
+
+
+def file_signals(scans: list[Scan]) -> Scan:
+    """Scans of single files put together: datastores and auth hints first seen by key, the other families as they are."""
+    parts = {r.attr: in_turn(scans, r.attr) for r in MERGE}
+    once = {attr: first_seen(parts[attr], KEYS[attr]) for attr in ("database_hint", "hint")}
+    repos = reduce(DataFrame.union, [s.repo for s in scans]).distinct()
+    return Scan(repos, **parts | once)
+
+
 def with_earlier(df: DataFrame, earlier: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of df whose key earlier doesn't have, first seen."""
     return first_seen(df, keys).join(earlier.select("repo", *keys).distinct(), ["repo", *keys], "left_anti")

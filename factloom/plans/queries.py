@@ -13,6 +13,7 @@ from factloom.functions import expressions as E
 from factloom.operators import chains, overlay, ranking, signals, surfaces, threats
 from factloom.plans import extracts as extract_plans
 from factloom.plans import overlays as overlay_plans
+from factloom.plans import registries as registry_plans
 from factloom.plans import reviews as review_plans
 from factloom.plans import rubrics as rubric_plans
 from factloom.plans.oracles import AUTH_LIKE, EVIDENCE, low, low_ext, oracle, rank
@@ -106,14 +107,13 @@ for key, table, columns in (
 for name in FAMILIES:
     add(f"mrg_{name}", lambda a, n=name: signals.family(signals.merged(a.scan), n).select("repo", "hint", "file", "line", "confidence"), f"SELECT repo, hint, file, line, confidence FROM (SELECT *, row_number() OVER (PARTITION BY repo, hint, file ORDER BY seq) AS rn FROM hint WHERE family = '{name}') WHERE rn = 1")
 add("mrg_initial_seen", lambda a: signals.with_earlier(a.scan.secret_hint, a.scan.secret_hint.where("seq % 2 = 0"), ["name", "file"]).select("repo", "name", "file", "line"), "SELECT repo, name, file, line FROM (SELECT *, row_number() OVER (PARTITION BY repo, name, file ORDER BY seq) AS rn FROM secret_hint) x WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM secret_hint e WHERE e.seq % 2 = 0 AND e.repo = x.repo AND e.name = x.name AND e.file = x.file)")
-add("mrg_results", lambda a: signals.scan_meta(signals.merged(a.scan)), """SELECT r.repo, (SELECT count(DISTINCT file) FROM (SELECT repo, file FROM route UNION ALL SELECT repo, file FROM external_call UNION ALL SELECT repo, file FROM database_hint UNION ALL SELECT repo, file FROM hint UNION ALL SELECT repo, file FROM secret_hint) f WHERE f.repo = r.repo) AS n_files,
+add("mrg_counts", lambda a: signals.scan_meta(signals.merged(a.scan)), """SELECT r.repo, (SELECT count(DISTINCT file) FROM (SELECT repo, file FROM route UNION ALL SELECT repo, file FROM external_call UNION ALL SELECT repo, file FROM database_hint UNION ALL SELECT repo, file FROM hint UNION ALL SELECT repo, file FROM secret_hint) f WHERE f.repo = r.repo) AS n_files,
   (SELECT count(DISTINCT (path, method, file)) FROM route x WHERE x.repo = r.repo) AS n_routes, (SELECT count(DISTINCT (target, file)) FROM external_call x WHERE x.repo = r.repo) AS n_calls, (SELECT count(DISTINCT (kind, file)) FROM database_hint x WHERE x.repo = r.repo) AS n_databases,
   (SELECT count(DISTINCT (family, hint, file)) FROM hint x WHERE x.repo = r.repo) AS n_hints, (SELECT count(DISTINCT (name, file)) FROM secret_hint x WHERE x.repo = r.repo) AS n_secrets FROM repo r""")
 PLACE = "file || CASE WHEN line IS NULL THEN '' ELSE ':' || line END"
 STREAM = f"""SELECT repo, 'route' AS kind, method || ' ' || path AS label, {PLACE} AS place, 0.7::DOUBLE AS confidence, method, path, NULL AS db_kind FROM route UNION ALL SELECT repo, 'external_call', target, {PLACE}, 0.7::DOUBLE, NULL, NULL, NULL FROM external_call
   UNION ALL SELECT repo, 'database', kind, {PLACE}, 0.7::DOUBLE, NULL, NULL, kind FROM database_hint UNION ALL SELECT repo, family, hint, {PLACE}, confidence, NULL, NULL, NULL FROM hint UNION ALL SELECT repo, 'secret', name, {PLACE}, confidence, NULL, NULL, NULL FROM secret_hint"""
 add("mrg_all_signals", lambda a: signals.all_signals(a.scan).drop("file", "line", "seq"), STREAM)
-add("mrg_file_signals", lambda a: signals.all_signals(a.scan).groupBy("repo", "file", "kind").agg(F.count("*").alias("n"), F.count_distinct("label").alias("n_labels")), "SELECT repo, file, kind, count(*) AS n, count(DISTINCT label) AS n_labels FROM (SELECT repo, file, 'route' AS kind, method || ' ' || path AS label FROM route UNION ALL SELECT repo, file, 'external_call', target FROM external_call UNION ALL SELECT repo, file, 'database', kind FROM database_hint UNION ALL SELECT repo, file, family, hint FROM hint UNION ALL SELECT repo, file, 'secret', name FROM secret_hint) GROUP BY ALL")
 add("mrg_location", lambda a: a.scan.route.select("repo", "path", "method", E.location(c("file"), c("line")).alias("place")), f"SELECT repo, path, method, {PLACE} AS place FROM route")
 
 # Translation
@@ -242,6 +242,9 @@ rubric_plans.register(QUERIES, ORACLES)
 extract_plans.register(QUERIES, ORACLES)
 
 
+registry_plans.register(add, QUERIES, ORACLES)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
