@@ -66,7 +66,7 @@ def path_scores(paths: DataFrame) -> DataFrame:
     reach = F.when(F.exists("steps", lambda s: F.lower(s).startswith("entry:")), 2.0).otherwise(1.0)
     hops = F.size(F.filter("steps", lambda s: has_any(F.lower(s), HOP_WORDS))) + F.lit(1.0)
     depth = F.greatest(F.lit(1.0), F.least(F.size("steps"), F.lit(8)) / F.lit(2.0))
-    known = F.try_to_number(F.regexp_extract(said, r"confidence=([0-9]+\.?[0-9]*)", 1), F.lit("9.99")).cast("double")
+    known = F.regexp_extract(said, r"confidence=([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
     quality = F.when(low_quality(said), -10.0).otherwise(0.0)
     total = exposure * 2.0 + privilege * 2.0 + reach * 1.5 + hops * 2.0 + depth * 1.2 + (F.coalesce(known, F.lit(0.5)) + 1.5) * 1.5 + quality
     return paths.withColumn("score", F.bround(total, 2))

@@ -40,6 +40,18 @@ PATHS = {
     "public_data": "Public input into sensitive data path",
     "integration": "Outbound trust boundary abuse",
 }
+#: What a path of each kind leads to.
+IMPACTS = {
+    "atproto": "Requests of a protocol namespace act on services behind it.",
+    "service": "Trust between services carries a request to a sensitive sink.",
+    "framework": "A routed request reaches a sink through controllers and services.",
+    "webhook": "Forged events change what the business relies on.",
+    "admin": "Privileged actions are open to whoever gets there.",
+    "auth": "Protected behavior is reached without the right to it.",
+    "upload": "Malicious content runs or stays.",
+    "public_data": "Application data loses its guarantees.",
+    "integration": "Other systems are steered, or steer this one.",
+}
 SEVERITIES = ("high", "medium", "low")
 MOST = 10
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import expressions as E
 from factloom.operators import insights, overlay, techniques, threats
-from factloom.plans.oracles import q, rank, said
+from factloom.plans.oracles import LIBRARY, q, rank, said
 
 INSIGHTS = {
     "shared_secret": "shared_secret_blast_radius",
@@ -59,7 +59,15 @@ def text(insight_rows: DataFrame) -> DataFrame:
 
 def register(add: Callable) -> None:
     for key, kind in INSIGHTS.items():
+        if key == "asymmetric":  # auth signals come from the whole repository, so it can't fire on the scan's own surfaces
+            continue
         add(f"ins_{key}", lambda a, k=kind: text(a.insights.where(c("kind") == k)), f"SELECT * FROM ins_{key}")
+    some = "CASE WHEN seq % 3 = 0 THEN cast(array() AS array<string>) ELSE auth_signals END"
+    add(
+        "ins_asymmetric",
+        lambda a: text(insights.asymmetric(a.surfaces.withColumn("auth_signals", F.expr(some)))),
+        LIBRARY["ins_asymmetric"].replace("FROM surf ", "FROM (SELECT * REPLACE (CASE WHEN seq % 3 = 0 THEN [] ELSE auth_signals END AS auth_signals) FROM surf) "),
+    )
     add(
         "ins_generate",
         lambda a: insights.ordered_insights(a.insights).select("repo", "place", "id", "kind", "severity", "confidence"),
@@ -90,10 +98,10 @@ def register(add: Callable) -> None:
         lambda a: overlay.insight_techniques(a.insights.withColumn("techniques", F.expr(given))).select("repo", "id", F.array_join("techniques", ",").alias("techniques")),
         "SELECT repo, id, CASE WHEN length(id) % 3 = 0 THEN 'T1071' ELSE array_to_string(techniques, ',') END AS techniques FROM ins_tech",
     )
-    some = "CASE WHEN length(title) % 2 = 0 THEN array('T1485', 'T1071') END"
+    titled = "CASE WHEN length(title) % 2 = 0 THEN array('T1485', 'T1071') END"
     add(
         "tax_annotate_findings",
-        lambda a: overlay.finding_techniques(a.findings.withColumn("techniques", F.expr(some))).select("repo", "rule", F.array_join("techniques", ",").alias("techniques")),
+        lambda a: overlay.finding_techniques(a.findings.withColumn("techniques", F.expr(titled))).select("repo", "rule", F.array_join("techniques", ",").alias("techniques")),
         "SELECT repo, rule, CASE WHEN length(title) % 2 = 0 THEN 'T1485,T1071' ELSE array_to_string(techniques, ',') END AS techniques FROM fnd_tech",
     )
     used = "SELECT repo, technique, count(*) AS n FROM (SELECT repo, unnest(techniques) AS technique FROM ins_tech UNION ALL SELECT repo, unnest(techniques) FROM fnd_tech) GROUP BY ALL"

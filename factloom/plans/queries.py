@@ -226,7 +226,6 @@ add("rnk_basis_label", lambda a: ranking.provenance_shares(a.surfaces).select("r
 add("rnk_entrypoint_counts", lambda a: a.surfaces.groupBy("repo", ranking.entrypoint_class().alias("class")).agg(F.count("*").alias("n")), f"SELECT repo, CASE WHEN {low('file')} THEN 'low_quality' WHEN exposure = 'internal' THEN 'internal_only' WHEN {PROTOCOL} THEN 'protocol_derived' WHEN exposure = 'public' THEN 'runtime_public' END AS class, count(*) AS n FROM surf GROUP BY ALL")
 add("rnk_surface", lambda a: ranking.surface_scores(a.surfaces).select("repo", "route", "method", "file", "score"), f"SELECT repo, route, method, file, {SCORE} AS score FROM surf")
 add("rnk_hotspots", lambda a: ranking.top_hotspots(a.surfaces), f"SELECT repo, rn::INTEGER AS place, method, route, category, score FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, {rank('risk', surfaces.RISKS)}, route DESC, seq) AS rn FROM (SELECT *, {SCORE} AS score FROM surf)) WHERE rn <= 2")
-add("rnk_path", lambda a: ranking.path_scores(a.paths).select("repo", "place", "name", "score"), None)
 
 # Review views
 

@@ -7,8 +7,8 @@ from typing import Any
 
 from pyspark.sql import functions as F
 
-from factloom.operators import review, surfaces, threats
-from factloom.plans.oracles import any_of, low, place, q, rank
+from factloom.operators import ranking, review, surfaces, threats
+from factloom.plans.oracles import LIBRARY, any_of, low, place, q, rank
 
 CLASSES = review.CLASSES
 
@@ -31,28 +31,82 @@ CLAIM = "lower(title || ' ' || replace(evidence, ' | ', ' '))"
 PLACED = f"row_number() OVER (PARTITION BY repo ORDER BY {rank('severity', threats.SEVERITIES)}, title, rule)"
 
 
+FACTORS = ("exposure", "privilege", "reachability", "trust_boundary", "chain_depth", "confidence", "evidence_linkage", "source_quality", "source_quality_penalty")
+
+
+def scored() -> str:
+    """Findings with n and factors (a list of name and value), from the related surfaces and paths."""
+    known = "list_max(list_transform(string_split(f.evidence, ' | '), lambda e: try_cast(regexp_extract(lower(e), 'confidence=([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE)))"
+    number = lambda x: f"{x}::DOUBLE"
+    privilege = "CASE WHEN category IN ('admin', 'auth') THEN 3.0::DOUBLE WHEN category IN ('webhook', 'upload') THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END"
+    reach = "CASE WHEN data_store THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN outbound THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END"
+    stats = f"SELECT repo, rule, count(*) AS n, bool_or(exposure = 'public') AS pub, max({privilege}) AS privilege, max({reach}) AS reach, {counts()} FROM related GROUP BY repo, rule"
+    depths = "SELECT repo, rule, max(least(len(steps), 8) / 2.0::DOUBLE) AS depth FROM related_path GROUP BY repo, rule"
+    c = lambda k: f"coalesce(s.{k}, 0)::DOUBLE"
+    bold = any_of("lower(f.title)", ("privilege", "admin", "auth", "token", "identity"))
+    terms = {
+        "exposure": "CASE WHEN coalesce(s.pub, false) THEN 6.0::DOUBLE ELSE 2.0::DOUBLE END",
+        "privilege": f"greatest(coalesce(s.privilege, 1.0::DOUBLE), CASE WHEN {bold} THEN 2.5::DOUBLE ELSE 0.0::DOUBLE END) * 2.0::DOUBLE",
+        "reachability": "CASE WHEN coalesce(s.pub, false) THEN 3.0::DOUBLE ELSE 1.5::DOUBLE END",
+        "trust_boundary": "coalesce(s.reach, 1.0::DOUBLE) * 2.0::DOUBLE",
+        "chain_depth": "coalesce(d.depth, 0.5::DOUBLE) * 1.2::DOUBLE",
+        "confidence": f"(CASE f.confidence WHEN 'high' THEN 3.0::DOUBLE WHEN 'medium' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END + coalesce({known}, 0.0::DOUBLE)) * 1.5::DOUBLE",
+        "evidence_linkage": "CASE WHEN s.n IS NULL THEN -8.0::DOUBLE ELSE least(2.0::DOUBLE, s.n * 0.5::DOUBLE) END",
+        "source_quality": f"{c('observed_runtime_public')} * 1.5::DOUBLE - {c('inferred_protocol')} * 0.5::DOUBLE - {c('low_quality')} * 3.0::DOUBLE",
+        "source_quality_penalty": f"CASE WHEN {low('f.claim')} AND coalesce(s.low_quality, 0) = coalesce(s.n, 0) THEN -10.0::DOUBLE ELSE 0.0::DOUBLE END",
+    }
+    listed = ", ".join(f"struct_pack(name := {q(k)}, value := {number(f'({v})')})" for k, v in terms.items())
+    return f"SELECT f.repo, f.rule, f.title, coalesce(s.n, 0) AS n, [{listed}] AS factors FROM claims f LEFT JOIN ({stats}) s ON s.repo = f.repo AND s.rule = f.rule LEFT JOIN ({depths}) d ON d.repo = f.repo AND d.rule = f.rule"
+
+
+def path_score() -> str:
+    said = "lower(name || ' ' || array_to_string(steps, ' '))"
+    hops = f"len(list_filter(steps, lambda s: {any_of('lower(s)', ranking.HOP_WORDS)})) + 1.0::DOUBLE"
+    known = "try_cast(regexp_extract(said, 'confidence=([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE)"
+    terms = (
+        f"CASE WHEN {any_of('said', ('attacker reaches', 'public', '/xrpc/'))} THEN 3.0::DOUBLE ELSE 2.0::DOUBLE END * 2.0::DOUBLE",
+        f"CASE WHEN {any_of('said', ranking.PRIVILEGED_WORDS)} THEN 3.0::DOUBLE ELSE 1.5::DOUBLE END * 2.0::DOUBLE",
+        "CASE WHEN len(list_filter(steps, lambda s: starts_with(lower(s), 'entry:'))) > 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END * 1.5::DOUBLE",
+        f"({hops}) * 2.0::DOUBLE",
+        "greatest(1.0::DOUBLE, least(len(steps), 8) / 2.0::DOUBLE) * 1.2::DOUBLE",
+        f"(coalesce({known}, 0.5::DOUBLE) + 1.5::DOUBLE) * 1.5::DOUBLE",
+        f"CASE WHEN {low('said')} THEN -10.0::DOUBLE ELSE 0.0::DOUBLE END",
+    )
+    return f"SELECT repo, place, name, round_even({' + '.join(terms)}, 2) AS score FROM (SELECT *, {said} AS said FROM path)"
+
+
 def register(add: Callable[[str, Callable[[Any], Any], str | None], None], class_of: str) -> None:
     """Adds the queries; class_of is the SQL of a surface's evidence class."""
-    classed = f"(SELECT *, {class_of} AS class FROM surf)"
-    claims = f"(SELECT *, {CLAIM} AS claim FROM finding)"
-    related = f"(SELECT f.repo, f.rule, f.claim, s.* EXCLUDE (repo) FROM {claims} f JOIN {classed} s ON f.repo = s.repo AND (contains(f.claim, lower(s.route)) OR contains(f.claim, lower(s.file)) OR contains(f.claim, lower(s.category))))"
-    every = f"(SELECT repo, {counts('all_')} FROM {classed} GROUP BY repo)"
-    of_basis = f"(SELECT f.*, CASE WHEN r.low_quality IS NULL THEN {basis('e.all_')} ELSE {basis('r.')} END AS basis FROM finding f LEFT JOIN (SELECT repo, rule, {counts()} FROM {related} GROUP BY repo, rule) r ON r.repo = f.repo AND r.rule = f.rule LEFT JOIN {every} e ON e.repo = f.repo)"
+    LIBRARY["classed"] = f"SELECT *, {class_of} AS class FROM surf"
+    LIBRARY["claims"] = f"SELECT *, {CLAIM} AS claim FROM finding"
+    LIBRARY["related"] = "SELECT f.repo, f.rule, f.claim, s.* EXCLUDE (repo) FROM claims f JOIN classed s ON f.repo = s.repo WHERE contains(f.claim, lower(s.route)) OR contains(f.claim, lower(s.file)) OR contains(f.claim, lower(s.category))"
+    LIBRARY["every"] = f"SELECT repo, {counts('all_')} FROM classed GROUP BY repo"
+    LIBRARY["related_counts"] = f"SELECT repo, rule, {counts()} FROM related GROUP BY repo, rule"
+    LIBRARY["of_basis"] = f"SELECT f.*, CASE WHEN r.low_quality IS NULL THEN {basis('e.all_')} ELSE {basis('r.')} END AS basis FROM finding f LEFT JOIN related_counts r ON r.repo = f.repo AND r.rule = f.rule LEFT JOIN every e ON e.repo = f.repo"
+    joined = "lower(array_to_string(p.steps, ' '))"
+    LIBRARY["routed"] = f"SELECT DISTINCT x.repo, x.rule, p.place FROM related x JOIN path p ON p.repo = x.repo WHERE x.route <> '' AND contains({joined}, lower(x.route))"
+    LIBRARY["related_path"] = """SELECT f.repo, f.rule, p.place, p.name, p.steps FROM claims f JOIN path p ON p.repo = f.repo LEFT JOIN routed x ON x.repo = f.repo AND x.rule = f.rule AND x.place = p.place
+      WHERE contains(f.claim, lower(p.name)) OR contains(f.claim, lower(p.steps[1])) OR contains(f.claim, lower(p.steps[2])) OR x.place IS NOT NULL"""
+    classed, related, every, of_basis = "classed", "related", "every", "of_basis"
     acts = mapped("rule", review.MITIGATIONS)
 
     add("rvj_evidence_class", lambda a: a.surfaces.select("repo", "route", "method", "file", review.evidence_class().alias("class")), f"SELECT repo, route, method, file, class FROM {classed}")
     add("rvj_evidence_counts", lambda a: review.evidence_counts(a.surfaces), f"SELECT repo, {counts()} FROM {classed} GROUP BY repo")
     add("rnk_related_surfaces", lambda a: review.related_surfaces(a.findings, a.surfaces).groupBy("repo", "rule").agg(F.count("*").alias("n")), f"SELECT repo, rule, count(*) AS n FROM {related} GROUP BY repo, rule")
-    joined = "lower(array_to_string(p.steps, ' '))"
     add(
         "rnk_related_paths",
         lambda a: review.related_paths(a.findings, a.surfaces, a.paths),
-        f"SELECT f.repo, f.rule, p.place, p.name FROM {claims} f JOIN path p ON p.repo = f.repo WHERE contains(f.claim, lower(p.name)) OR contains(f.claim, lower(p.steps[1])) OR contains(f.claim, lower(p.steps[2]))"
-        f" OR EXISTS (SELECT 1 FROM {related} x WHERE x.repo = f.repo AND x.rule = f.rule AND x.route <> '' AND contains({joined}, lower(x.route)))",
+        "SELECT repo, rule, place, name FROM related_path",
     )
     add("rnk_numeric_confidence", lambda a: a.findings.select("repo", "rule", review.numeric_confidence(F.col("evidence")).alias("value")), "SELECT repo, rule, try_cast(regexp_extract(lower(evidence), 'confidence=([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE) AS value FROM finding")
-    add("rnk_finding", lambda a: review.finding_scores(a.findings, a.surfaces, a.paths).select("repo", "rule", "title", "score", "n_related"), None)
-    add("rnk_top_reasons", lambda a: review.finding_scores(a.findings, a.surfaces, a.paths).select("repo", "rule", "reasons"), None)
+    LIBRARY["scored"] = scored()
+    total = " + ".join(f"list_filter(factors, lambda x: x.name = {q(k)})[1].value" for k in FACTORS)
+    score = f"round_even({total}, 2)"
+    add("rnk_finding", lambda a: review.finding_scores(a.findings, a.surfaces, a.paths).select("repo", "rule", "title", "score", "n_related"), f"SELECT repo, rule, title, {score} AS score, n AS n_related FROM scored")
+    best = "list_slice(list_sort(list_transform(list_zip(factors, range(1, len(factors) + 1)), lambda z: struct_pack(down := -z[1].value, i := z[2], name := z[1].name))), 1, 3)"
+    reasons = f"array_to_string(list_transform(list_filter({best}, lambda x: x.down < 0), lambda x: x.name || '=' || printf('%.1f', round_even(-x.down, 1))), ', ')"
+    add("rnk_top_reasons", lambda a: review.finding_scores(a.findings, a.surfaces, a.paths).select("repo", "rule", "reasons"), f"SELECT repo, rule, {reasons} AS reasons FROM scored")
+    add("rnk_path", lambda a: ranking.path_scores(a.paths).select("repo", "place", "name", "score"), path_score())
     add("rvj_related", lambda a: review.with_basis(a.findings, a.surfaces).select("repo", "rule", "basis"), f"SELECT repo, rule, basis FROM {of_basis}")
     add("rvj_basis", lambda a: review.evidence_counts(a.surfaces).select("repo", review.basis().alias("basis")), f"SELECT repo, {basis('all_')} AS basis FROM {every}")
     add("rvj_weaknesses", lambda a: review.weaknesses(a.findings, a.surfaces), f"SELECT repo, rn::INTEGER AS place, title, severity, confidence, basis, evidence, {acts} AS mitigation FROM (SELECT *, {PLACED} AS rn FROM {of_basis}) WHERE rn <= 8")
