@@ -81,6 +81,11 @@ def rank_of(value: Column, order: tuple[str, ...]) -> Column:
     return out
 
 
+def even(x: Column, digits: int) -> Column:
+    """x rounded to digits, halves to even; millionths first, so that binary noise doesn't decide."""
+    return F.bround(F.bround(x, 6), digits)
+
+
 def sorted_set(value: str | Column) -> Column:
     return F.array_sort(F.collect_set(value))
 

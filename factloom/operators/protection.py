@@ -107,6 +107,7 @@ def detect_assets(scan: Scan) -> DataFrame:
 
 
 CRITICALITY = ("critical", "high", "medium", "low")
+STRENGTHS = ("strong", "moderate", "weak", "absent")
 
 
 def sensitive(kinds: tuple[str, ...] = SENSITIVE) -> Column:
@@ -136,6 +137,17 @@ def present_controls(scan: Scan) -> DataFrame:
 ABSENT = (("rate_limiting", "Rate limiting"), ("authentication", "Authentication enforcement"), ("csrf_protection", "CSRF protection"), ("audit_logging", "Audit logging"), ("encryption_at_rest", "Encryption at rest"), ("mfa", "Multi-factor authentication"))
 
 
+#: Why a control is missed.
+MISSED = {
+    "rate_limiting": "There are public routes, but no sign of limits.",
+    "authentication": "There are routes of authentication or administration, but no sign of a guard.",
+    "csrf_protection": "Public routes change state, but nothing tells forged requests.",
+    "audit_logging": "There are sensitive assets, but no sign of audit logs.",
+    "encryption_at_rest": "There are sensitive assets, but no sign of encryption at rest.",
+    "mfa": "There are routes of authentication or administration, but no sign of a second factor.",
+}
+
+
 def absent_controls(surfaces: DataFrame, assets: DataFrame, present: DataFrame) -> DataFrame:
     """repo, id, kind, name of the controls that surfaces and assets ask for and nothing shows."""
     public = F.col("exposure") == "public"
@@ -152,4 +164,5 @@ def detect_controls(scan: Scan, surfaces: DataFrame, assets: DataFrame) -> DataF
     present = present_controls(scan)
     none = F.array().cast("array<string>")
     missing = absent_controls(surfaces, assets, present).select("repo", "id", "kind", "name", F.lit("absent").alias("strength"), F.lit("global").alias("scope"), none.alias("placements"), none.alias("evidence"))
-    return present.unionByName(missing)
+    notes = F.create_map(*(F.lit(x) for kv in MISSED.items() for x in kv))[F.col("kind")]
+    return present.withColumn("notes", F.lit(None).cast("string")).unionByName(missing.withColumn("notes", notes))

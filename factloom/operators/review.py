@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.expressions import first_rows, has_any, location, low_quality, rank_of, sorted_set, top_text
 from factloom.operators.chains import text
-from factloom.operators.ranking import protocol_derived
+from factloom.operators.ranking import protocol_derived, summed, top_reasons
 from factloom.operators.signals import family, scan_meta
 from factloom.operators.surfaces import RISKS
 from factloom.operators.threats import SEVERITIES, finding_order
@@ -119,13 +119,6 @@ def related_paths(findings: DataFrame, surfaces: DataFrame, paths: DataFrame) ->
     return linked(findings, surfaces, paths).select("repo", "rule", F.explode(each).alias("p")).select("repo", "rule", "p.place", "p.name")
 
 
-def top_reasons(factors: Column, n: int) -> Column:
-    """The n greatest factors (array of name and value), those above zero, as name=value; ties in their order."""
-    keyed = F.transform(factors, lambda x, i: F.struct((-x["value"]).alias("down"), i.alias("i"), x["name"].alias("name")))
-    best = F.filter(F.slice(F.array_sort(keyed), 1, n), lambda x: x["down"] < 0)
-    return F.array_join(F.transform(best, lambda x: F.concat(x["name"], F.lit("="), F.format_string("%.1f", F.bround(-x["down"], 1)))), ", ")
-
-
 def finding_scores(findings: DataFrame, surfaces: DataFrame, paths: DataFrame) -> DataFrame:
     """Findings with score, reasons (the three greatest factors) and basis of their related surfaces."""
     c, zero = F.col, F.lit(0.0)
@@ -150,8 +143,7 @@ def finding_scores(findings: DataFrame, surfaces: DataFrame, paths: DataFrame) -
         "source_quality": quality,
         "source_quality_penalty": F.when(weak, -10.0).otherwise(0.0),
     }
-    listed = F.array(*(F.struct(F.lit(name).alias("name"), v.cast("double").alias("value")) for name, v in factors.items()))
-    total = F.bround(F.aggregate("factors", zero, lambda a, x: a + x["value"]), 2)
+    listed, total = summed(factors)
     rows = linked(findings, surfaces, paths).withColumn("factors", listed)
     return rows.select(*findings.columns, total.alias("score"), top_reasons(c("factors"), 3).alias("reasons"), "n_related")
 

@@ -44,6 +44,13 @@ def rank(column: str, order: tuple[str, ...]) -> str:
     return "CASE " + column + " " + " ".join(f"WHEN {q(x)} THEN {i}" for i, x in enumerate(order)) + " ELSE 9 END"
 
 
+def even(x: str, digits: int) -> str:
+    """x rounded to digits, halves to even, by whole millionths, so that binary noise doesn't decide."""
+    unit, m = 10 ** (6 - digits), f"round(({x}) * 1000000)::BIGINT"
+    up = f"abs({m}) % {unit} > {unit // 2} OR (abs({m}) % {unit} = {unit // 2} AND (abs({m}) // {unit}) % 2 = 1)"
+    return f"(sign({m}) * (abs({m}) // {unit} + CASE WHEN {up} THEN 1 ELSE 0 END) / {10**digits}.0::DOUBLE)"
+
+
 def top(source: str, keys: str, order: str, value: str, n: int, name: str = "evidence") -> str:
     return f"SELECT {keys}, string_agg(v, ' | ' ORDER BY rn) AS {name} FROM (SELECT {keys}, {value} AS v, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rn FROM {source}) WHERE rn <= {n} GROUP BY {keys}"
 

@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import expressions as E
-from factloom.operators import chains, overlay, ranking, signals, surfaces, threats
+from factloom.operators import chains, markdown, overlay, ranking, signals, surfaces, threats
 from factloom.plans import extracts as extract_plans
+from factloom.plans import markdowns as markdown_plans
 from factloom.plans import overlays as overlay_plans
 from factloom.plans import registries as registry_plans
 from factloom.plans import reviews as review_plans
 from factloom.plans import rubrics as rubric_plans
-from factloom.plans.oracles import AUTH_LIKE, EVIDENCE, low, low_ext, oracle, rank
+from factloom.plans.oracles import AUTH_LIKE, EVIDENCE, even, low, low_ext, oracle, rank
 from factloom.sources.adapters import FAMILIES, Scan, load
 from factloom.sources.staged import settled
 
@@ -71,6 +72,14 @@ class Analysis:
     def opportunities(self) -> DataFrame:
         return settled(overlay.detection_opportunities(self.insights, self.findings), "opportunities")
 
+    @cached_property
+    def scored_findings(self) -> DataFrame:
+        return settled(markdown.scored_findings(self.findings, self.surfaces, self.paths), "scored_findings")
+
+    @property
+    def overlay(self) -> overlay.Overlay:
+        return overlay.Overlay(self.assets, self.controls, overlay.insight_techniques(self.insights), overlay.finding_techniques(self.findings), self.opportunities)
+
 
 @lru_cache(4)
 def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
@@ -218,7 +227,16 @@ PROTOCOL = "(contains(lower(file), 'lexicon') OR contains(lower(route), '/xrpc/'
 CLASS = f"CASE WHEN {low('file')} THEN 'low_quality' WHEN {PROTOCOL} THEN 'protocol_derived' WHEN exposure = 'public' THEN 'observed_runtime' ELSE 'other' END"
 CLASS_OF_EVIDENCE = f"CASE WHEN {low('file')} THEN 'low_quality' WHEN {PROTOCOL} THEN 'inferred_protocol' WHEN exposure = 'public' THEN 'observed_runtime_public' WHEN exposure = 'internal' THEN 'observed_runtime_internal' ELSE 'inferred' END"
 POINTS = " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in ranking.PRIVILEGE)
-SCORE = f"round_even(CASE WHEN exposure = 'public' THEN 6::DOUBLE ELSE 2::DOUBLE END + (CASE category {POINTS} ELSE 1::DOUBLE END) * 2 + CASE WHEN exposure = 'public' THEN 3::DOUBLE ELSE 1.5::DOUBLE END + (CASE WHEN data_store THEN 2::DOUBLE ELSE 0::DOUBLE END + CASE WHEN outbound THEN 2::DOUBLE ELSE 0::DOUBLE END) * 1.5::DOUBLE + CASE WHEN data_store AND outbound THEN 2::DOUBLE ELSE 1::DOUBLE END + CASE WHEN len(auth_signals) > 0 THEN 2::DOUBLE ELSE 1::DOUBLE END + CASE WHEN {low('file')} THEN -8::DOUBLE WHEN {PROTOCOL} THEN -3::DOUBLE WHEN exposure = 'public' THEN 1::DOUBLE ELSE 0::DOUBLE END, 2)"
+SURFACE_TERMS = (
+    "CASE WHEN exposure = 'public' THEN 6::DOUBLE ELSE 2::DOUBLE END",
+    f"(CASE category {POINTS} ELSE 1::DOUBLE END) * 2",
+    "CASE WHEN exposure = 'public' THEN 3::DOUBLE ELSE 1.5::DOUBLE END",
+    "(CASE WHEN data_store THEN 2::DOUBLE ELSE 0::DOUBLE END + CASE WHEN outbound THEN 2::DOUBLE ELSE 0::DOUBLE END) * 1.5::DOUBLE",
+    "CASE WHEN data_store AND outbound THEN 2::DOUBLE ELSE 1::DOUBLE END",
+    "CASE WHEN len(auth_signals) > 0 THEN 2::DOUBLE ELSE 1::DOUBLE END",
+    f"CASE WHEN {low('file')} THEN -8::DOUBLE WHEN {PROTOCOL} THEN -3::DOUBLE WHEN exposure = 'public' THEN 1::DOUBLE ELSE 0::DOUBLE END",
+)
+SCORE = even(" + ".join(SURFACE_TERMS), 2)
 COUNTED = f"SELECT repo, count(*) AS n, count(*) FILTER (WHERE {CLASS} = 'observed_runtime') AS o, count(*) FILTER (WHERE {CLASS} = 'protocol_derived') AS p, count(*) FILTER (WHERE {CLASS} = 'low_quality') AS l FROM surf GROUP BY repo"
 add("rnk_protocol_derived", lambda a: a.surfaces.groupBy("repo").agg(F.count_if(ranking.protocol_derived()).alias("n")), f"SELECT repo, count(*) FILTER (WHERE {PROTOCOL}) AS n FROM surf GROUP BY repo")
 add("rnk_provenance", lambda a: ranking.provenance_shares(a.surfaces).drop("basis"), f"SELECT repo, round_even(o / n * 100, 0)::INTEGER AS observed, round_even(p / n * 100, 0)::INTEGER AS protocol, round_even(l / n * 100, 0)::INTEGER AS low FROM ({COUNTED})")
@@ -230,6 +248,7 @@ add("rnk_hotspots", lambda a: ranking.top_hotspots(a.surfaces), f"SELECT repo, r
 # Review views
 
 review_plans.register(add, CLASS_OF_EVIDENCE)
+markdown_plans.register(add, CLASS, review_plans.factor_list(SURFACE_TERMS), review_plans.path_score()[1])
 
 # Review evaluation
 

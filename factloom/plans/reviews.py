@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import functions as F
 
 from factloom.operators import ranking, review, surfaces, threats
-from factloom.plans.oracles import LIBRARY, any_of, low, place, q, rank
+from factloom.plans.oracles import LIBRARY, any_of, even, low, place, q, rank
 
 CLASSES = review.CLASSES
 
@@ -59,7 +59,14 @@ def scored() -> str:
     return f"SELECT f.repo, f.rule, f.title, coalesce(s.n, 0) AS n, [{listed}] AS factors FROM claims f LEFT JOIN ({stats}) s ON s.repo = f.repo AND s.rule = f.rule LEFT JOIN ({depths}) d ON d.repo = f.repo AND d.rule = f.rule"
 
 
-def path_score() -> str:
+def factor_list(terms: tuple[str, ...]) -> str:
+    """Terms of a surface's or a path's score as a list of name and value."""
+    names = ("exposure", "privilege", "reachability", "trust_boundary", "chain_depth", "confidence", "source_quality")
+    return "[" + ", ".join(f"struct_pack(name := {q(k)}, value := ({t})::DOUBLE)" for k, t in zip(names, terms, strict=True)) + "]"
+
+
+def path_score() -> tuple[str, str]:
+    """The score of paths, and its factors over a relation with said, steps and name."""
     said = "lower(name || ' ' || array_to_string(steps, ' '))"
     hops = f"len(list_filter(steps, lambda s: {any_of('lower(s)', ranking.HOP_WORDS)})) + 1.0::DOUBLE"
     known = "try_cast(regexp_extract(said, 'confidence=([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE)"
@@ -72,7 +79,7 @@ def path_score() -> str:
         f"(coalesce({known}, 0.5::DOUBLE) + 1.5::DOUBLE) * 1.5::DOUBLE",
         f"CASE WHEN {low('said')} THEN -10.0::DOUBLE ELSE 0.0::DOUBLE END",
     )
-    return f"SELECT repo, place, name, round_even({' + '.join(terms)}, 2) AS score FROM (SELECT *, {said} AS said FROM path)"
+    return f"SELECT repo, place, name, {even(' + '.join(terms), 2)} AS score FROM (SELECT *, {said} AS said FROM path)", factor_list(terms)
 
 
 def register(add: Callable[[str, Callable[[Any], Any], str | None], None], class_of: str) -> None:
@@ -101,12 +108,12 @@ def register(add: Callable[[str, Callable[[Any], Any], str | None], None], class
     add("rnk_numeric_confidence", lambda a: a.findings.select("repo", "rule", review.numeric_confidence(F.col("evidence")).alias("value")), "SELECT repo, rule, try_cast(regexp_extract(lower(evidence), 'confidence=([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE) AS value FROM finding")
     LIBRARY["scored"] = scored()
     total = " + ".join(f"list_filter(factors, lambda x: x.name = {q(k)})[1].value" for k in FACTORS)
-    score = f"round_even({total}, 2)"
+    score = even(total, 2)
     add("rnk_finding", lambda a: review.finding_scores(a.findings, a.surfaces, a.paths).select("repo", "rule", "title", "score", "n_related"), f"SELECT repo, rule, title, {score} AS score, n AS n_related FROM scored")
     best = "list_slice(list_sort(list_transform(list_zip(factors, range(1, len(factors) + 1)), lambda z: struct_pack(down := -z[1].value, i := z[2], name := z[1].name))), 1, 3)"
-    reasons = f"array_to_string(list_transform(list_filter({best}, lambda x: x.down < 0), lambda x: x.name || '=' || printf('%.1f', round_even(-x.down, 1))), ', ')"
+    reasons = f"array_to_string(list_transform(list_filter({best}, lambda x: x.down < 0), lambda x: x.name || '=' || printf('%.1f', {even('-x.down', 1)})), ', ')"
     add("rnk_top_reasons", lambda a: review.finding_scores(a.findings, a.surfaces, a.paths).select("repo", "rule", "reasons"), f"SELECT repo, rule, {reasons} AS reasons FROM scored")
-    add("rnk_path", lambda a: ranking.path_scores(a.paths).select("repo", "place", "name", "score"), path_score())
+    add("rnk_path", lambda a: ranking.path_scores(a.paths).select("repo", "place", "name", "score"), path_score()[0])
     add("rvj_related", lambda a: review.with_basis(a.findings, a.surfaces).select("repo", "rule", "basis"), f"SELECT repo, rule, basis FROM {of_basis}")
     add("rvj_basis", lambda a: review.evidence_counts(a.surfaces).select("repo", review.basis().alias("basis")), f"SELECT repo, {basis('all_')} AS basis FROM {every}")
     add("rvj_weaknesses", lambda a: review.weaknesses(a.findings, a.surfaces), f"SELECT repo, rn::INTEGER AS place, title, severity, confidence, basis, evidence, {acts} AS mitigation FROM (SELECT *, {PLACED} AS rn FROM {of_basis}) WHERE rn <= 8")
