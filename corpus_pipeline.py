@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and its result is written as Parquet
 and read again as the next one's docs. ORACLE_SQL is None: boosted trees, learned grammars and byte-pair merges can't be
-written in SQL; the tests hold the pipeline against a brute-force version.
+written in SQL; tests/llm/test_plain.py holds every stage, and the whole, against plain Python on the smallest table.
+
+Edge cases: null and empty texts fail the quality rules; a null id goes through all stages like any other; repeated rows
+are one group of near duplicates, of which one stays; extra columns go along as they are, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
