@@ -9,8 +9,11 @@ that can link, and few others; none of them loses a link:
 
 1. Signatures. Shingles are dealt by hash into parts, more parts than two linking sets can have differences, so that
    one part at least is equal in both. A text's parts, named by hash, are sent to tasks in blocks of bytes; equal names
-   make buckets of texts. (That all parts of a text but a quarter of its size are empty has a chance below 1e-8; texts
-   of up to ``SMALL`` shingles send each shingle instead.)
+   make buckets of texts. (That all parts of a text but a quarter of its size are empty has a chance below 1e-8.) Texts
+   of up to ``SMALL`` shingles, and those that can link with them, send single shingles instead: the rarest n - ceil(0.8 n) + 1
+   of their n. Whatever the order, if it is the same for all, two linking sets have one of these in common: else the set
+   whose rarest end first would have fewer than 0.8 n left to share. Rare is what few small sets hold, by counts of 2^20
+   hash values; only counts far above the mean (``OFTEN``) matter, so that phrases of many texts don't make buckets.
 2. Sketches. The counts of shingles by hash value of two sets (64 values, more for large sets; those of a larger sketch
    are folded) differ by at most as much as the sets do. Buckets keep the pairs that the counts allow, which leaves out
    texts that only share a common passage.
@@ -47,6 +50,9 @@ SMALL = 32
 LEVEL = 1.6
 SKETCH = 64
 DENSITY = 8
+#: Hash values by which shingles of small sets are counted, and how far above the mean a count must be to matter; so at most
+#: VALUES / OFTEN counts are sent to the tasks, whatever the input.
+VALUES, OFTEN, LEAST_OFTEN = 1 << 20, 4, 64
 #: Signatures that a task collects, shingles of a block in a group, texts of a block in a bucket.
 ENTRIES = 1_000_000
 BLOCK = 500_000
@@ -88,13 +94,30 @@ def level_of(size: int) -> tuple[int, int]:
     return j, high
 
 
-def signatures(names: np.ndarray) -> np.ndarray:
+def values_of(names: np.ndarray) -> np.ndarray:
+    """The hash values by which shingles are counted."""
+    return (mixed(names ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(VALUES)).astype(np.int64)
+
+
+def rarest(names: np.ndarray, often: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 of a set's n shingles, those of small counts first; often: values and counts, sorted."""
+    n = len(names)
+    first = n - -(-4 * n // 5) + 1
+    if often is None or not len(often[0]):
+        return np.sort(names)[:first]
+    value = values_of(names)
+    at = np.minimum(np.searchsorted(often[0], value), len(often[0]) - 1)
+    count = np.where(often[0][at] == value, often[1][at], 0)
+    return names[np.lexsort((names, count))[:first]]
+
+
+def signatures(names: np.ndarray, often: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Names of the set's parts at its own level, and at the level of the smallest set that it can link with."""
     n = len(names)
     out = []
     for j, high in dict.fromkeys((level_of(n), level_of(-(-4 * n // 5)))):
         if j == 0:
-            out.append(mixed(names + np.uint64(1)))
+            out.append(mixed(rarest(names, often) + np.uint64(1)))
             continue
         parts = -(-28 * high // 100) + 8
         own = mixed(names ^ np.uint64(0xD6E8FEB86659FD93 * j % 2**64))
@@ -125,24 +148,44 @@ def class_name(names: np.ndarray, shared: tuple[frozenset[int], ...] = ()) -> in
 
 
 def summaries(docs: DataFrame, shared: tuple[frozenset[int], ...] = ()) -> DataFrame:
-    """doc_id, uid, n, node (the set's name), check (another name of it), sketch of docs (doc_id, uid, text)."""
+    """doc_id, uid, n, node (the set's name), check (another name of it), sketch, values (of the shingles of sets that go by
+    single shingles, else empty) of docs (doc_id, uid, text)."""
+    most = SMALL * 5 // 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = WordNames()
         for b in batches:
             sets = [shingles(t, names) for t in byte_texts(b.column("text"))]
             node, check = (np.array(x, np.uint64).view(np.int64) for x in ([class_name(s, shared) for s in sets], [xxhash.xxh3_64_intdigest(s.tobytes(), 1 << 40) for s in sets]))
+            few = [values_of(s).astype(np.int32) if len(s) <= most else [] for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in ("doc_id", "uid")), pa.array([len(s) for s in sets], pa.int64()), pa.array(node), pa.array(check), pa.array([sketch(s) for s in sets], pa.binary())],
-                ["doc_id", "uid", "n", "node", "check", "sketch"],
+                [
+                    *(b.column(c) for c in ("doc_id", "uid")),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(node),
+                    pa.array(check),
+                    pa.array([sketch(s) for s in sets], pa.binary()),
+                    pa.array(few, pa.list_(pa.int32())),
+                ],
+                ["doc_id", "uid", "n", "node", "check", "sketch", "values"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, uid long, n long, node long, check long, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, uid long, n long, node long, check long, sketch binary, values array<int>")
+
 
+def frequent(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hash values that far more small sets have than the mean, and how many: at most VALUES / OFTEN of them."""
+    counts = own.select(F.explode("values").alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    few = counts.where(F.col("n") >= max(LEAST_OFTEN, -(-OFTEN * total // VALUES))).orderBy("value").toPandas()
+    return few.value.to_numpy(np.int64), few.n.to_numpy(np.int64)
 
-def sent(docs: DataFrame, tasks: int, shared: tuple[frozenset[int], ...] = ()) -> DataFrame:
+
+def sent(docs: DataFrame, tasks: int, shared: tuple[frozenset[int], ...] = (), often: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """task, names, nodes: the signatures of docs in blocks of bytes by the task they go to."""
 
+    held = docs.sparkSession.sparkContext.broadcast(often)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordNames()
         signs: list[np.ndarray] = []
@@ -170,7 +213,7 @@ def sent(docs: DataFrame, tasks: int, shared: tuple[frozenset[int], ...] = ()) -
                 if not len(s) or (node := class_name(s, shared)) in nodes:
                     continue
                 nodes[node] = len(signs)
-                signs.append(signatures(s))
+                signs.append(signatures(s, held.value))
                 size += len(signs[-1])
                 if size >= ENTRIES or len(signs) == 1 << 16:
                     yield flush()
@@ -440,7 +483,7 @@ def classes(docs: DataFrame) -> DataFrame:
     tasks = max(16, -(-int(total) // (2 * ENTRIES)))
     nodes = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("uid"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = written(nodes, "nodes")
-    near = components(candidates(bucketed(sent(docs, tasks, shared), tasks), nodes), "near")
+    near = components(candidates(bucketed(sent(docs, tasks, shared, frequent(own)), tasks), nodes), "near")
     group = near.join(nodes.select("node", "uid", "n"), "node")
     blocks = group.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")

@@ -188,3 +188,35 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.ngram_jaccard_join(docs).count() == 0
     assert suffix_dedup.suffix_array_dedup(docs).count() == 0
+
+
+def test_rarest_shingles_of_linking_sets_meet():
+    """Whatever the counts, two sets that link have one of their rarest shingles in common."""
+    r = random.Random(9)
+    for turn in range(4000):
+        a = {r.getrandbits(64) for _ in range(r.randint(1, 40))}
+        b = set(a)
+        for _ in range(r.randint(0, 6)):
+            (b.discard(r.choice(sorted(b))) if b and r.random() < 0.5 else b.add(r.getrandbits(64)))
+        if not b or 100 * len(a & b) < 80 * len(a | b):
+            continue
+        x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
+        both = np.unique(np.concatenate([x, y]))
+        value = np.unique(ngram_join.values_of(both))
+        some = value[np.random.default_rng(turn).random(len(value)) < 0.6]
+        often = (some, np.random.default_rng(turn).integers(64, 70, len(some))) if turn % 3 else None
+        assert set(ngram_join.rarest(x, often).tolist()) & set(ngram_join.rarest(y, often).tolist())
+
+
+def test_a_phrase_of_all_small_texts_makes_no_bucket(spark):
+    """Texts that share a phrase and no more are brought together by no signature, near copies still are."""
+    phrase = "all of these texts begin with the same ten words"
+    texts = [f"{phrase} " + " ".join(f"w{i}x{k}" for k in range(20)) for i in range(400)] + [f"{phrase} " + " ".join(f"w{i}x{k}" for k in range(19)) + " end" for i in range(0, 400, 40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keyed = suffix_dedup.keyed(docs, "doc_id", "text")
+    own = ngram_join.summaries(keyed.select("doc_id", "uid", "text"))
+    often = ngram_join.frequent(own)
+    assert len(often[0]) >= 6
+    buckets = ngram_join.bucketed(ngram_join.sent(keyed, 4, (), often), 4).dropDuplicates(["bucket", "node"]).groupBy("bucket").count().collect()
+    assert buckets and max(r["count"] for r in buckets) == 2
+    assert ngram_join.ngram_jaccard_join(docs).where("component_id <> doc_id").count() == 10
