@@ -242,8 +242,8 @@ def prompt_counts(surfaces: DataFrame) -> DataFrame:
 
 
 def listed(df: DataFrame, name: str, *columns: str) -> DataFrame:
-    """The rows of a cut relation as one array for each repository, in order of place."""
-    return df.groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", *columns))), lambda x: F.struct(*(x[k].alias(k) for k in columns))).alias(name))
+    """The rows of a cut relation as one array for each repository, in order of place; keys are sorted by name."""
+    return df.groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", *columns))), lambda x: F.struct(*(x[k].alias(k) for k in sorted(columns)))).alias(name))
 
 
 def shown_surfaces(surfaces: DataFrame, n: int) -> DataFrame:
@@ -267,10 +267,42 @@ def review_json(scan: Scan, surfaces: DataFrame, findings: DataFrame, paths: Dat
     return rows.select("repo", F.to_json(body).alias("review"))
 
 
-def context_pack(scan: Scan, reviews: DataFrame) -> DataFrame:
-    """repo, pack: a review with domain tags and the rules by which evidence is weighed."""
-    rules = F.struct(F.array(*map(F.lit, ("/tests/", "/__tests__/", "/fixtures/", "/mocks/", "/examples/"))).alias("low_quality_path_segments"), F.lit("shown, but ranked down").alias("handling"))
-    body = F.struct(F.lit(PACK_VERSION).alias("schema_version"), F.lit("review_context_pack").alias("artifact_type"), F.parse_json("review").alias("review"), rules.alias("source_quality_rules"), F.col("tags").alias("domain_hints"))
+#: What a pack says besides its review: how weak evidence is to be taken, for whom and how to write, and what to bear in mind.
+QUALITY_RULES = {
+    "default": "Rank weak signals down when you sort and prioritize.",
+    "reporting": "Keep weak signals among the evidence, with their class.",
+    "operator_note": "What rests on weak evidence alone isn't exposure in production until something else confirms it.",
+}
+OUTPUT_HINTS = {
+    "audience": "security engineers, software engineers, tech leads",
+    "style": "defensive, concrete and plain; evidence first, and open about what isn't certain; nothing invented, no help for attacks",
+    "prioritization": "paths and trust boundaries of the highest impact and confidence first",
+}
+LIMITATIONS = ("Domain tags are inferred from routes, hints and file names.", "The analyzers named are those that were to run.")
+
+
+def texts(of: dict[str, str]) -> Column:
+    return F.struct(*(F.lit(v).alias(k) for k, v in sorted(of.items())))
+
+
+def context_pack(scan: Scan, reviews: DataFrame, analyzers: DataFrame | None = None) -> DataFrame:
+    """repo, pack: a review with domain tags, the analyzers that ran (name and more), and how evidence is to be weighed."""
+    parts = ("/tests/", "/__tests__/", "/fixtures/", "/mocks/", "/examples/")
+    rules = F.struct(texts(QUALITY_RULES).alias("handling"), F.array(*map(F.lit, parts)).alias("low_quality_path_segments"))
+    ran = "array()"
+    if analyzers is not None:
+        rows = [r.asDict() for r in analyzers.select("name", "version", "languages", "targets").collect()]  # a row for each analyzer
+        ran = "array(" + ", ".join(f"named_struct('languages', '{','.join(r['languages'])}', 'name', '{r['name']}', 'targets', '{','.join(r['targets'])}', 'version', '{r['version']}')" for r in rows) + ")"
+    body = F.struct(
+        F.expr(ran).alias("analyzers"),
+        F.lit("review_context_pack").alias("artifact_type"),
+        F.col("tags").alias("domain_hints"),
+        F.array(*map(F.lit, LIMITATIONS)).alias("limitations"),
+        texts(OUTPUT_HINTS).alias("output_hints"),
+        F.parse_json("review").alias("review"),
+        F.lit(PACK_VERSION).alias("schema_version"),
+        rules.alias("source_quality_rules"),
+    )
     return domain_hints(scan).join(reviews, "repo").select("repo", F.to_json(body).alias("pack"))
 
 
@@ -282,7 +314,7 @@ def evidence_pack(scan: Scan, surfaces: DataFrame, findings: DataFrame, paths: D
     parts = [
         listed(ways.withColumn("id", ident("path")), "attack_paths", "id", "name", "steps"),
         listed(shown_surfaces(surfaces, PROMPT_SHOWN["surfaces"]).withColumn("id", ident("surface")), "attack_surfaces", "id", "method", "route", "file", "category", "exposure", "risk", "evidence_class", "auth_signals", "data_store", "outbound"),
-        prompt_counts(surfaces).select("repo", F.struct(*(k for k in CLASSES if k != "inferred")).alias("evidence_counts")),
+        prompt_counts(surfaces).select("repo", F.struct(*sorted(k for k in CLASSES if k != "inferred")).alias("evidence_counts")),
         listed(found.withColumn("id", ident("finding")), "findings", "id", "title", "severity", "confidence", "evidence", "mitigation"),
     ]
     rows = reduce(lambda a, b: a.join(b, "repo", "left"), parts, repo_context(scan))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators import ranking, review, surfaces, threats
@@ -82,8 +84,17 @@ def path_score() -> tuple[str, str]:
     return f"SELECT repo, place, name, {even(' + '.join(terms), 2)} AS score FROM (SELECT *, {said} AS said FROM path)", factor_list(terms)
 
 
-def register(add: Callable[[str, Callable[[Any], Any], str | None], None], class_of: str) -> None:
+#: SQL of the views, by the names of their queries.
+VIEWS: dict[str, str] = {}
+
+
+def register(put: Callable[[str, Callable[[Any], Any], str | None], None], class_of: str) -> None:
     """Adds the queries; class_of is the SQL of a surface's evidence class."""
+
+    def add(name: str, build: Callable[[Any], Any], sql: str | None) -> None:
+        VIEWS[name] = sql or ""
+        put(name, build, sql)
+
     LIBRARY["classed"] = f"SELECT *, {class_of} AS class FROM surf"
     LIBRARY["claims"] = f"SELECT *, {CLAIM} AS claim FROM finding"
     LIBRARY["related"] = "SELECT f.repo, f.rule, f.claim, s.* EXCLUDE (repo) FROM claims f JOIN classed s ON f.repo = s.repo WHERE contains(f.claim, lower(s.route)) OR contains(f.claim, lower(s.file)) OR contains(f.claim, lower(s.category))"
@@ -155,7 +166,78 @@ def register(add: Callable[[str, Callable[[Any], Any], str | None], None], class
     )
     kept = ", ".join(f"count(*) FILTER (WHERE class = '{k}') AS {k}" for k in CLASSES if k != "inferred")
     add("prm_evidence_counts", lambda a: review.prompt_counts(a.surfaces), f"SELECT repo, {kept} FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY seq) AS rn FROM {classed}) WHERE rn <= 50 GROUP BY repo")
-    add("rvj_build", lambda a: review.review_json(a.clean, a.surfaces, a.findings, a.paths), None)
-    add("ctx_build", lambda a: review.context_pack(a.clean, review.review_json(a.clean, a.surfaces, a.findings, a.paths)), None)
-    add("prm_evidence_pack", lambda a: review.evidence_pack(a.clean, a.surfaces, a.findings, a.paths), None)
-    add("prm_render", lambda a: review.prompts(review.evidence_pack(a.clean, a.surfaces, a.findings, a.paths)), None)
+    documents(add)
+
+
+#: Sections of the review, each with the columns that the query shows, and of the prompt's evidence.
+SECTIONS = {
+    "surfaces": ("method", "route", "file", "category", "exposure", "risk", "evidence_class"),
+    "strengths": ("statement", "basis", "evidence"),
+    "weaknesses": ("title", "severity", "confidence", "basis", "evidence", "mitigation"),
+    "risk_hotspots": ("method", "route", "file", "category", "risk", "exposure", "class"),
+    "evidence_chains": ("name", "basis"),
+    "recommendations": ("priority", "basis", "action", "finding"),
+}
+PACKED = {
+    "attack_paths": ("id", "name"),
+    "attack_surfaces": ("id", "method", "route", "file", "category", "exposure", "risk", "evidence_class"),
+    "findings": ("id", "title", "severity", "confidence", "evidence", "mitigation"),
+}
+
+
+def opened(df: DataFrame, column: str, sections: dict[str, tuple[str, ...]]) -> DataFrame:
+    """repo, section, place, line of a JSON document's sections: its values, read back from the text."""
+    rows = []
+    for name, columns in sections.items():
+        kind = "struct<" + ", ".join(f"`{name}`: array<struct<{', '.join(f'{k}: string' for k in columns)}>>" for name, columns in ((name, columns),)) + ">"
+        each = df.select("repo", F.posexplode(F.from_json(column, kind)[name]).alias("place", "x"))
+        rows.append(each.select("repo", F.lit(name).alias("section"), F.col("place"), F.concat_ws(" | ", *(F.coalesce(F.col("x")[k], F.lit("-")) for k in columns)).alias("line")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def opened_sql(sections: dict[str, tuple[str, ...]], sources: dict[str, str]) -> str:
+    parts = []
+    for name, columns in sections.items():
+        line = " || ' | ' || ".join(f"coalesce(({k})::VARCHAR, '-')" for k in columns)
+        parts.append(f"SELECT repo, '{name}' AS section, (row_number() OVER (PARTITION BY repo ORDER BY place) - 1)::INTEGER AS place, {line} AS line FROM ({sources[name]})")
+    return " UNION ALL ".join(parts)
+
+
+def documents(add: Callable) -> None:
+    """The documents, read back from their JSON, against the views in SQL."""
+    acts = mapped("rule", review.MITIGATIONS)
+    by = rank("severity", threats.SEVERITIES)
+    view = VIEWS.__getitem__
+    few = lambda n: f"SELECT *, class AS evidence_class, rn AS place FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY seq) AS rn FROM classed) WHERE rn <= {n}"
+    sources = {
+        "surfaces": few(review.SHOWN["surfaces"]),
+        "strengths": view("rvj_strengths"),
+        "weaknesses": view("rvj_weaknesses"),
+        "risk_hotspots": view("rvj_hotspots"),
+        "evidence_chains": view("rvj_evidence_chains"),
+        "recommendations": view("rvj_recommendations"),
+    }
+    built = lambda a: review.review_json(a.clean, a.surfaces, a.findings, a.paths)
+    add("rvj_build", lambda a: opened(built(a), "review", SECTIONS), opened_sql(SECTIONS, sources))
+    said = {k: f"$.{p}" for k, p in (("artifact", "artifact_type"), ("version", "schema_version"), ("root", "review.root"), ("segment", "source_quality_rules.low_quality_path_segments[4]"), ("limits", "limitations[0]"), ("tags", "domain_hints"))}
+    tagged = VIEWS["ctx_domain_hints"]
+    pack = lambda a: review.context_pack(a.clean, built(a))
+    add(
+        "ctx_build",
+        lambda a: pack(a).select("repo", *(F.get_json_object("pack", p).alias(k) for k, p in said.items())),
+        f"SELECT r.repo, 'review_context_pack' AS artifact, {q(review.PACK_VERSION)} AS version, r.repo AS root, '/examples/' AS segment, {q(review.LIMITATIONS[0])} AS limits, '[\"' || replace(tags, ',', '\",\"') || '\"]' AS tags FROM repo r JOIN ({tagged}) t USING (repo)",
+    )
+    placed = f"SELECT *, 'finding:' || place AS id, {acts} AS mitigation FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {by}, title, rule) AS place FROM finding) WHERE place <= {review.PROMPT_SHOWN['findings']}"
+    shown = {
+        "attack_paths": f"SELECT *, 'path:' || place AS id FROM path WHERE place <= {review.PROMPT_SHOWN['paths']}",
+        "attack_surfaces": f"SELECT *, 'surface:' || place AS id FROM ({few(review.PROMPT_SHOWN['surfaces'])})",
+        "findings": placed,
+    }
+    evidence = lambda a: review.evidence_pack(a.clean, a.surfaces, a.findings, a.paths)
+    add("prm_evidence_pack", lambda a: opened(evidence(a), "evidence", PACKED), opened_sql(PACKED, shown))
+    ids = " + ".join(f"(SELECT count(*) FROM ({s}) x WHERE x.repo = r.repo)" for s in shown.values())
+    add(
+        "prm_render",
+        lambda a: review.prompts(evidence(a)).select("repo", "system", F.substring_index("user", "\n", 1).alias("first"), F.regexp_count("user", F.lit('"id":"(path|surface|finding):[0-9]+"')).cast("long").alias("n_ids")),
+        f"SELECT r.repo, {q(review.SYSTEM)} AS system, 'Repository: ' || context AS first, {ids} AS n_ids FROM repo r JOIN ({VIEWS['prm_repo_context']}) c USING (repo)",
+    )

@@ -1,16 +1,19 @@
-"""Sinks: whole relations as tables, a document for each repository, and a console summary; written by executors."""
+"""Sinks: whole relations as tables, a document or report for each repository, and a console summary; written by executors."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.expressions import first_rows
 from factloom.operators import threats
+from factloom.operators.signals import Result
 
 # Sections that every document has.
 REVIEW_SECTIONS = ("schema_version", "root", "system_overview", "evidence_class_counts", "surfaces", "strengths", "weaknesses", "risk_hotspots", "evidence_chains", "recommendations")
-PACK_SECTIONS = ("schema_version", "artifact_type", "review", "source_quality_rules", "domain_hints")
+PACK_SECTIONS = ("schema_version", "artifact_type", "review", "source_quality_rules", "domain_hints", "analyzers", "output_hints", "limitations")
 
 
 def write_tables(out: str, **relations: DataFrame) -> None:
@@ -20,7 +23,7 @@ def write_tables(out: str, **relations: DataFrame) -> None:
 
 
 def write_documents(out: str, name: str, documents: DataFrame, column: str) -> None:
-    """One JSON line for each repository, as text in a folder of its own."""
+    """A document or report of each repository, as text in a folder of its own."""
     documents.select("repo", F.col(column).alias("value")).write.mode("overwrite").partitionBy("repo").text(f"{out}/{name}")
 
 
@@ -35,3 +38,15 @@ def console_summary(findings: DataFrame, paths: DataFrame, n: int = 50) -> DataF
     found = first_rows(findings, ["repo"], [*threats.finding_order(), "rule"], n)
     lines = found.select("repo", F.col("rn").alias("place"), F.concat(F.lit("["), F.upper("severity"), F.lit("] "), "title").alias("line"))
     return lines.union(paths.select("repo", F.col("place") + n, F.concat(F.lit("path: "), "name")))
+
+
+def console_lines(found: Result, findings: DataFrame, paths: DataFrame, most: int = 200) -> Iterator[str]:
+    """What a console shows: totals of all repositories, then the first lines of the summary by repository."""
+    scan = found.scan
+    files = found.meta.agg(F.count("*").alias("n"), F.sum("files_scanned").alias("files")).first()
+    languages = [r[0] for r in found.meta.select(F.explode("languages").alias("l")).distinct().orderBy("l").collect()]  # a few
+    yield f"Repositories: {files.n}; files scanned: {files.files or 0}; languages: {', '.join(languages) or 'none'}"
+    for name, df in (("Routes", scan.route), ("External calls", scan.external_call), ("Datastores", scan.database_hint)):
+        yield f"{name}: {df.count()}"
+    for r in console_summary(findings, paths).orderBy("repo", "place").limit(most).collect():
+        yield f"{r.repo}: {r.line}"
