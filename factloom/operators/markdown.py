@@ -23,7 +23,7 @@ from factloom.operators.surfaces import RISKS, architecture_graph, traits
 from factloom.operators.techniques import catalog, technique_use
 from factloom.operators.threats import IMPACTS, SEVERITIES, finding_order
 from factloom.sources.adapters import Scan
-from factloom.sources.staged import settled
+from factloom.sources.staged import settled, settled_together
 
 # How many entries of each list a report shows, and the path score from which hops are to be validated.
 SHOWN = {"strengths": 4, "findings": 3, "hotspots": 2, "lines": 12, "chains": 3, "actions": 4, "all_actions": 5, "assets": 8, "controls": 8, "absent": 6, "insights": 6, "opportunities": 5, "edges": 10, "routes": 10, "targets": 25}
@@ -145,9 +145,11 @@ def recommendations(scan: Scan, scored: DataFrame, paths: DataFrame) -> DataFram
 
 def document(scan: Scan, headings: tuple[str, ...], parts: dict[int, tuple[DataFrame | None, tuple[str, ...]]]) -> DataFrame:
     """repo, part, place, line: headings, what parts show (repo, place, line), and their default lines where that is
-    nothing. A part without default lines goes with its heading. Parts are written one by one, which keeps plans short."""
+    nothing. A part without default lines goes with its heading. Parts are written by
+    themselves, which keeps plans short."""
     c = F.col
-    parts = {i: (shown if shown is None else settled(shown.select("repo", "place", "line"), f"part{i}"), default) for i, (shown, default) in parts.items()}
+    held = settled_together({f"part{i}": shown.select("repo", "place", "line") for i, (shown, _) in parts.items() if shown is not None})
+    parts = {i: (held.get(f"part{i}"), default) for i, (_, default) in parts.items()}
     title = F.array(*(F.struct(F.lit(i).alias("part"), F.lit(h).alias("line")) for i, h in enumerate(headings) if i == 0 or parts[i][1]))
     rows = [scan.repo.select("repo", F.inline(title)).select("repo", "part", F.lit(-1).alias("place"), "line")]
     for i, (shown, default) in parts.items():

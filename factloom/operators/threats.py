@@ -12,7 +12,7 @@ from factloom.operators.chains import atproto_chains, framework_chains, service_
 from factloom.operators.signals import auth_filtered, family
 from factloom.operators.surfaces import identify_attack_surfaces
 from factloom.sources.adapters import Scan
-from factloom.sources.staged import settled
+from factloom.sources.staged import settled_together
 
 # Titles, severities and confidences; titles are read by later steps, so their words count.
 FINDINGS = {
@@ -66,7 +66,7 @@ def evidence_of(surface: str = "") -> Column:
 def chains_of(scan: Scan) -> dict[str, DataFrame]:
     """The surest chain of each kind: a row for each repository at most, read by several rules, so written once."""
     makers = {"atproto": atproto_chains, "service": service_chains, "framework": framework_chains}
-    return {k: settled(top_chain(make(scan)), f"{k}_chain") for k, make in makers.items()}
+    return settled_together({k: top_chain(make(scan)) for k, make in makers.items()})
 
 
 def percent(confidence: Column) -> Column:

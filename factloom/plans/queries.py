@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import fields
 from functools import cached_property, lru_cache
 
@@ -19,7 +20,7 @@ from factloom.plans import reviews as review_plans
 from factloom.plans import rubrics as rubric_plans
 from factloom.plans.oracles import AUTH_LIKE, EVIDENCE, even, low, low_ext, oracle, rank
 from factloom.sources.adapters import FAMILIES, Scan, load
-from factloom.sources.staged import settled
+from factloom.sources.staged import settled, settled_together
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,18 +28,19 @@ Query = Callable[[SparkSession, str], DataFrame]
 class Analysis:
     """Everything derived from one data directory, each relation built when asked for.
 
-    The scan is persisted; relations derived from it that others read are written to the shared folder, so they are
-    computed once, plans over them are short, and a lost executor loses none of them.
+    The scan's relations, and those derived from them that others read, are written to the shared folder, so they are
+    computed once, plans over them are short, and a lost executor loses none of them; nothing is kept in memory. The
+    tables are taken as unchanged for as long as a session lasts.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         scan = load(spark, sf_dir)
-        self.scan = Scan(*(getattr(scan, f.name).persist() for f in fields(scan)))
+        self.scan = Scan(**settled_together({f.name: getattr(scan, f.name) for f in fields(scan)}))
 
     @cached_property
     def clean(self):
         filtered = signals.auth_filtered(self.scan)
-        return filtered.with_hints(filtered.hint.persist())
+        return filtered.with_hints(settled(filtered.hint, "clean_hints"))
 
     @cached_property
     def surfaces(self) -> DataFrame:
@@ -64,12 +66,20 @@ class Analysis:
     def controls(self) -> DataFrame:
         return settled(overlay.detect_controls(self.clean, self.surfaces, self.assets), "controls")
 
+    def ahead(self, *names: str) -> None:
+        """Build relations that don't read each other side by side; what they share is built before."""
+        self.clean, self.surfaces  # noqa: B018
+        with ThreadPoolExecutor(len(names)) as pool:
+            list(pool.map(self.__getattribute__, names))
+
     @cached_property
     def insights(self) -> DataFrame:
+        self.ahead("paths", "controls")
         return settled(overlay.generate_insights(self.clean, self.surfaces, self.paths, self.assets, self.controls), "insights")
 
     @cached_property
     def opportunities(self) -> DataFrame:
+        self.ahead("findings", "insights")
         return settled(overlay.detection_opportunities(self.insights, self.findings), "opportunities")
 
     @cached_property

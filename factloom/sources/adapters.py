@@ -55,9 +55,9 @@ FROM {{events}} WHERE event_id % 20 NOT IN (7, 19)
 
 #: Relation -> (its SQL, the tables it reads). Repositories 7 and 19 have no hints, 18 no routes, 5, 7 and 15 no datastores,
 #: 7 and 15 no secrets; three more show what the others can't: quiet has nothing, plain a datastore alone, and caller a route
-#: and a call alone.
+#: of two methods and a call alone.
 RELATIONS: dict[str, tuple[str, str]] = {
-    "route": (f"SELECT concat('r', page_id % 20) AS repo, {pick('page_id', PATHS)} AS path, {pick('page_id', METHODS)} AS method, {file_of('page_id')} AS file, {line_of('page_id')} AS line, page_id AS seq FROM {{pages}} WHERE page_id % 20 <> 18 UNION ALL SELECT 'caller', '/orders', 'GET', 'src/caller.py', CAST(7 AS INT), 4000000001", "pages"),
+    "route": (f"SELECT concat('r', page_id % 20) AS repo, {pick('page_id', PATHS)} AS path, {pick('page_id', METHODS)} AS method, {file_of('page_id')} AS file, {line_of('page_id')} AS line, page_id AS seq FROM {{pages}} WHERE page_id % 20 <> 18 UNION ALL SELECT 'caller', '/orders', 'GET', 'src/caller.py', CAST(7 AS INT), 4000000001 UNION ALL SELECT 'caller', '/orders', 'POST', 'src/caller.py', CAST(8 AS INT), 4000000002", "pages"),
     "external_call": (f"SELECT concat('r', page_id % 20) AS repo, CASE WHEN page_id % 9 = 0 THEN concat('env://SVC_', page_id % 4) ELSE concat('https://h', page_id % 7, '.example.com') END AS target, {file_of('page_id')} AS file, {line_of('page_id')} AS line, page_id AS seq FROM {{pages}} WHERE page_id % 3 = 0 AND page_id % 20 NOT IN (7, 15) UNION ALL SELECT 'caller', 'https://h.example.com', 'src/caller.py', CAST(9 AS INT), 4000000001", "pages"),
     "database_hint": (f"SELECT concat('r', s_suppkey % 20) AS repo, {pick('s_suppkey', ('postgresql', 'mysql', 'mongodb', 'redis', 'sqlite', 'sql', 'redis'))} AS kind, {file_of('s_suppkey')} AS file, {line_of('s_suppkey')} AS line, s_suppkey AS seq FROM {{supplier}} WHERE s_suppkey % 20 NOT IN (5, 7, 15) UNION ALL SELECT 'plain', 'redis', 'lib/store.py', CAST(3 AS INT), 4000000001", "supplier"),
     "hint": (HINT, "events"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +15,11 @@ def shared_folder(spark: SparkSession) -> str:
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = context._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='factloom-')}"
+        if held.isDefined():
+            return held.get().rstrip("/")
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
@@ -25,3 +30,18 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/factloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled_together(relations: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Relations that don't read each other, each written as settled does; planned and run side by side."""
+    if not relations:
+        return {}
+    shared_folder(next(iter(relations.values())).sparkSession)  # set once, before the threads
+    with ThreadPoolExecutor(len(relations)) as pool:
+        return dict(zip(relations, pool.map(settled, relations.values(), relations), strict=True))
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all that this application has written to the shared folder; results that still read from it are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/factloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
