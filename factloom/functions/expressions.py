@@ -95,6 +95,13 @@ def first_rows(df: DataFrame, keys: list[str], order: list[str | Column], n: int
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rn") <= n)
 
 
+def first_values(df: DataFrame, keys: list[str], value: Column, n: int, name: str) -> DataFrame:
+    """The first n distinct values of each key in their order, as an array; cut before they are gathered."""
+    distinct = df.select(*keys, value.alias("_v")).where("_v is not null").distinct()
+    few = first_rows(distinct, keys, ["_v"], n)
+    return few.groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias(name))
+
+
 def top_text(df: DataFrame, keys: list[str], order: list[str | Column], value: Column, n: int, name: str, sep: str = " | ") -> DataFrame:
     """The values of the first n rows of each key, joined in order."""
     few = first_rows(df.withColumn("_v", value), keys, order, n)

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.expressions import first_rows, has_any, location, low_quality_ext, module_of, rank_of, sorted_set, wrapped
+from factloom.functions.expressions import first_rows, first_values, has_any, location, low_quality_ext, module_of, rank_of, sorted_set, wrapped
 from factloom.operators.chains import text
 from factloom.operators.protection import CRITICALITY, STATE_CHANGING, sensitive, union
 from factloom.sources.adapters import Scan
@@ -155,10 +155,9 @@ def surface_line(note: Column | str) -> Column:
 def shared_secret(scan: Scan, assets: DataFrame) -> DataFrame:
     """Secret names in three modules or more; of names that differ in case alone, the first counts."""
     rows = scan.secret_hint.where(~low_quality_ext(F.col("file")))
-    places = F.slice(sorted_set(location(F.col("file"), F.col("line"))), 1, 8)
-    found = rows.groupBy("repo", "name").agg(
-        F.count_distinct(module_of(F.col("file"))).alias("modules"), F.count_distinct("file").alias("files"), places.alias("e"), F.min("seq").alias("seq")
-    )
+    keys = ["repo", "name"]
+    found = rows.groupBy(*keys).agg(F.count_distinct(module_of(F.col("file"))).alias("modules"), F.count_distinct("file").alias("files"), F.min("seq").alias("seq"))
+    found = found.join(first_values(rows, keys, location(F.col("file"), F.col("line")), 8, "e"), keys)
     one = first_rows(found.where("modules >= 3").withColumn("low", F.lower("name")), ["repo", "low"], ["seq"])
     held = assets.select("repo", "id", F.explode("locations").alias("file"))
     near = rows.select("repo", "name", "file").distinct().join(held, ["repo", "file"]).groupBy("repo", "name").agg(sorted_set("id").alias("assets"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.expressions import has_any, location, low_quality_ext, rank_of, sorted_set
+from factloom.functions.expressions import first_values, has_any, location, low_quality_ext, rank_of, sorted_set
 from factloom.operators.chains import text
 from factloom.operators.signals import family
 from factloom.sources.adapters import FAMILIES, Scan
@@ -81,7 +81,9 @@ def asset_matches(scan: Scan) -> DataFrame:
 
 def rule_assets(scan: Scan) -> DataFrame:
     """repo, id, kind, name, criticality, locations, evidence (the first twelve): one asset for each kind found."""
-    found = asset_matches(scan).groupBy("repo", "kind").agg(sorted_set("file").alias("locations"), F.slice(sorted_set("evidence"), 1, 12).alias("evidence"))
+    matched = asset_matches(scan)
+    keys = ["repo", "kind"]
+    found = matched.groupBy(*keys).agg(sorted_set("file").alias("locations")).join(first_values(matched, keys, F.col("evidence"), 12, "evidence"), keys)
     name, criticality = (F.create_map(*(F.lit(x) for r in ASSETS for x in (r[0], r[i])))[F.col("kind")] for i in (1, 2))
     return found.select("repo", text("asset:", F.col("kind")).alias("id"), "kind", name.alias("name"), criticality.alias("criticality"), "locations", "evidence")
 
@@ -102,7 +104,8 @@ def detect_assets(scan: Scan) -> DataFrame:
     """All assets, with one for the business data where a repository has a database but nothing more sensitive."""
     found = rule_assets(scan).unionByName(secret_assets(scan))
     db = scan.database_hint.where(~low_quality_ext(F.col("file"))).join(found.where(F.col("kind").isin(*SENSITIVE)).select("repo").distinct(), "repo", "left_anti")
-    rest = db.groupBy("repo").agg(F.slice(sorted_set("file"), 1, 8).alias("locations"), F.transform(sorted_set("kind"), lambda k: F.concat(F.lit("datastore:"), k)).alias("evidence"))
+    kinds = db.groupBy("repo").agg(F.transform(sorted_set("kind"), lambda k: F.concat(F.lit("datastore:"), k)).alias("evidence"))  # a few kinds
+    rest = kinds.join(first_values(db, ["repo"], F.col("file"), 8, "locations"), "repo")
     return found.unionByName(rest.select("repo", F.lit("asset:business_data").alias("id"), F.lit("business_data").alias("kind"), F.lit("Business / operational data store").alias("name"), F.lit("medium").alias("criticality"), "locations", "evidence"))
 
 
@@ -127,11 +130,13 @@ def present_controls(scan: Scan) -> DataFrame:
     which = F.array_compact(F.array(*(F.when(F.col("label").rlike("(?i)" + p), i) for i, (*_, p) in enumerate(CONTROLS))))
     place = text(F.col("label"), " (", location(F.col("file"), F.col("line")), ")")
     rows = signal_text(scan).select("repo", "file", place.alias("e"), F.explode(which).alias("i"))
-    found = rows.groupBy("repo", "i").agg(sorted_set("file").alias("p"), sorted_set("e").alias("e"))
+    keys = ["repo", "i"]
+    found = rows.groupBy(*keys).agg(F.count_distinct("file").alias("n"))
+    found = found.join(first_values(rows, keys, F.col("file"), 12, "p"), keys).join(first_values(rows, keys, F.col("e"), 8, "e"), keys)
     kind, name, strength = (F.array(*(F.lit(r[k]) for r in CONTROLS))[F.col("i")] for k in range(3))
     slug = F.replace(F.replace(F.lower(name), F.lit(" "), F.lit("_")), F.lit("/"), F.lit("_"))
-    scope = F.when(F.size("p") >= 3, "global").when(F.size("p") > 1, "module").otherwise("route")
-    return found.select("repo", text("control:", kind, ":", slug).alias("id"), kind.alias("kind"), name.alias("name"), strength.alias("strength"), scope.alias("scope"), F.slice("p", 1, 12).alias("placements"), F.slice("e", 1, 8).alias("evidence"))
+    scope = F.when(F.col("n") >= 3, "global").when(F.col("n") > 1, "module").otherwise("route")
+    return found.select("repo", text("control:", kind, ":", slug).alias("id"), kind.alias("kind"), name.alias("name"), strength.alias("strength"), scope.alias("scope"), F.col("p").alias("placements"), F.col("e").alias("evidence"))
 
 
 ABSENT = (("rate_limiting", "Rate limiting"), ("authentication", "Authentication enforcement"), ("csrf_protection", "CSRF protection"), ("audit_logging", "Audit logging"), ("encryption_at_rest", "Encryption at rest"), ("mfa", "Multi-factor authentication"))

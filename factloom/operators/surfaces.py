@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions.expressions import first_rows, has_any, location, rank_of, sorted_set
 from factloom.operators.signals import family
 from factloom.sources.adapters import FAMILIES, Scan
+from factloom.sources.staged import numbered
 
 # Path parts by category, in the order in which they are tried.
 CATEGORIES = (
@@ -18,6 +19,7 @@ CATEGORIES = (
     ("internal", ("/internal", "/debug")),
     ("health", ("/health", "/ready", "/live", "/metrics")),
 )
+# Hints of handlers that face inward.
 INTERNAL_HANDLERS = ("handler_visibility:internal", "handler_type:internal_handler", "service_role:worker", "service_role:event_consumer", "service_role:internal_handler")
 WHY = {
     "webhook": "Webhooks take events from anyone on the internet.",
@@ -52,14 +54,22 @@ def attributed(scan: Scan, names: tuple[str, ...], column: str) -> DataFrame:
     return joined.withColumn(column, F.coalesce("_here", "_repo", F.array().cast("array<string>"))).drop("_here", "_repo")
 
 
+def marked(scan: Scan, routes: DataFrame) -> DataFrame:
+    """routes with faces_in and faces_out: whether a hint of their file, else any of their repository, says so of handlers."""
+    hints = family(scan, *FAMILIES)
+    said = {"faces_in": F.col("hint").isin(*INTERNAL_HANDLERS), "faces_out": F.col("hint") == "handler_visibility:public"}
+    here = hints.groupBy("repo", "file").agg(*(F.bool_or(on).alias(f"{k}_here") for k, on in said.items()))
+    anywhere = hints.groupBy("repo").agg(*(F.bool_or(on).alias(f"{k}_repo") for k, on in said.items()))
+    rows = routes.join(here, ["repo", "file"], "left").join(anywhere, "repo", "left")
+    return rows.withColumns({k: F.coalesce(f"{k}_here", f"{k}_repo", F.lit(False)) for k in said})
+
+
 def identify_attack_surfaces(scan: Scan) -> DataFrame:
     """repo, route, method, file, line, category, exposure, risk, auth_signals, data_store, outbound, rationale, seq."""
-    auth = attributed(scan, ("auth",), "auth_signals")
-    both = attributed(Scan(scan.repo, auth, scan.external_call, scan.database_hint, scan.hint, scan.secret_hint), FAMILIES, "supporting")
-    rows = both.join(flags(scan), "repo", "left").na.fill(False, ["has_db", "has_call"])
+    rows = attributed(scan, ("auth",), "auth_signals").join(flags(scan), "repo", "left").na.fill(False, ["has_db", "has_call"])
+    rows = marked(scan, rows)
     first = category_of(F.col("path"))
-    markers = F.array(*map(F.lit, INTERNAL_HANDLERS))
-    inward = F.arrays_overlap("supporting", markers) & ~F.array_contains("supporting", "handler_visibility:public") & ~first.isin("admin", "auth", "webhook")
+    inward = F.col("faces_in") & ~F.col("faces_out") & ~first.isin("admin", "auth", "webhook")
     safe = F.size("auth_signals") > 0
     risk = F.when(first.isin("webhook", "admin", "upload"), "high").when(first == "auth", F.when(safe, "medium").otherwise("high")).when(first == "internal", "medium").when(first == "health", "low").otherwise(F.when(F.col("has_db") | F.col("has_call"), "medium").otherwise("low"))
     category = F.when(inward & (first == "public_api"), "internal").otherwise(first)
@@ -128,9 +138,7 @@ def architecture_graph(scan: Scan) -> tuple[DataFrame, DataFrame]:
     """Nodes (repo, node, label) and edges (repo, source, target, relation) of each repository's system graph."""
     web = scan.route.select("repo").distinct()
     db = scan.database_hint.select("repo", "kind").distinct()
-    from pyspark.sql import Window
-
-    calls = scan.external_call.withColumn("n", F.row_number().over(Window.partitionBy("repo").orderBy("seq"))).select("repo", F.concat(F.lit("external_"), F.col("n")).alias("node"), F.col("target").alias("label"))
+    calls = numbered(scan.external_call.select("repo", "target", "seq"), "seq", "n").select("repo", F.concat(F.lit("external_"), F.col("n")).alias("node"), F.col("target").alias("label"))
     nodes = scan.repo.select("repo", F.lit("repo").alias("node"), F.lit("repository").alias("label")).union(web.select("repo", F.lit("web"), F.lit("web_app"))).union(db.select("repo", F.concat(F.lit("db_"), F.col("kind")), "kind")).union(calls)
     edges = web.select("repo", F.lit("repo").alias("source"), F.lit("web").alias("target"), F.lit("contains").alias("relation"))
     edges = edges.union(db.select("repo", F.lit("repo"), F.concat(F.lit("db_"), F.col("kind")), F.lit("uses"))).union(calls.select("repo", F.lit("repo"), "node", F.lit("calls")))

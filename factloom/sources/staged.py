@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,6 +42,17 @@ def settled_together(relations: dict[str, DataFrame]) -> dict[str, DataFrame]:
         return dict(zip(relations, pool.map(settled, relations.values(), relations), strict=True))
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with each row's place in its repository by a column, from 1. The rows of one repository may be many: they are dealt
+    by ranges of the order, numbered within a range, and the ranges' sizes are added up."""
+    ranged = settled(df.repartitionByRange("repo", order).withColumn("_range", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("repo", "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("repo").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy("repo", "_range").orderBy(order))
+    return ranged.withColumn(name, own).join(sizes, ["repo", "_range"]).withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
 def forget(spark: SparkSession) -> None:
     """Delete all that this application has written to the shared folder; results that still read from it are lost."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/factloom/{spark.sparkContext.applicationId}")
