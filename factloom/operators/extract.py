@@ -318,12 +318,13 @@ def extract_auth(files: DataFrame) -> DataFrame:
     return rows.select("repo", F.col("label").alias("hint"), "file", "line", "confidence")
 
 
-def facts(files: DataFrame) -> DataFrame:
-    """repo, file, and arrays of all that each file says, in one projection over its text."""
+def facts(files: DataFrame, *more: str) -> DataFrame:
+    """repo, file, more, and arrays of all that each file says, in one projection over its text."""
     content = clean(F.col("content"))
     return files.select(
         "repo",
         "file",
+        *more,
         routes_of(content).alias("routes"),
         listed_of(content, CALLS).alias("calls"),
         marks_of(content, DATABASES, DATABASE_WORDS, STORE_SURE, STORE_SURE).alias("stores"),
@@ -334,14 +335,17 @@ def facts(files: DataFrame) -> DataFrame:
 
 def scan_files(files: DataFrame) -> Scan:
     """The scan of accepted, decoded files. What they say is written once, so their texts are read once."""
-    known = settled(facts(files.where("content is not null")), "facts")
+    return scan_of(settled(facts(files.where("content is not null")), "facts"), files.select("repo").distinct())
+
+
+def scan_of(known: DataFrame, repos: DataFrame) -> Scan:
+    """The scan that facts make."""
     rows = lambda name, *columns: known.select("repo", "file", F.inline(name)).select("repo", *columns, place(F.col("file")))
-    hints = rows("auth", F.lit("auth").alias("family"), F.col("label").alias("hint"), "file", "line", "confidence")
     return Scan(
-        files.select("repo").distinct(),
+        repos,
         rows("routes", "path", "method", "file", "line"),
         rows("calls", F.col("value").alias("target"), "file", "line"),
         rows("stores", F.col("label").alias("kind"), "file", "line"),
-        hints,
+        rows("auth", F.lit("auth").alias("family"), F.col("label").alias("hint"), "file", "line", "confidence"),
         rows("secrets", F.col("value").alias("name"), "file", "line", F.lit(SECRET_SURE).alias("confidence")),
     )

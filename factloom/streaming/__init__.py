@@ -1 +1 @@
-"""Nothing is streamed: the data model has no clock, so there is no streaming operator to provide."""
+"""Streams of source files."""
