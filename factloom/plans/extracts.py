@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions import expressions
 from factloom.operators import extract
 from factloom.operators.extract import Rule
 from factloom.plans.oracles import any_of, q
@@ -161,3 +162,28 @@ def register(queries: dict, oracles: dict) -> None:
     for name, word in (("ext_auth_patterns", False), ("ext_auth_keywords", True)):
         sure = extract.UNSURE if word else extract.SURE
         add(name, lambda f, s=sure: extract.extract_auth(f).where(F.col("confidence") == s), plain + f"SELECT repo, label AS hint, file, line, {sure}::DOUBLE AS confidence FROM ({auth}) WHERE by_word = {word}")
+    # The patterns one by one: what each makes of its groups, where each match is, and what becomes of verbs and paths.
+    for name, rule, columns, where in (
+        ("ext_fastapi_router_prefix", extract.ROUTER, ("router", "prefix"), PY),
+        ("ext_flask_blueprint_prefix", extract.BLUEPRINT, ("router", "prefix"), PY),
+        ("ext_fastapi_include_router", extract.INCLUDE, ("parent", "router", "extra"), PY),
+        ("ext_flask_register_blueprint", extract.REGISTER, ("parent", "router", "extra"), PY),
+        ("ext_express_use_prefix", extract.USE, ("parent", "extra", "router"), JS),
+    ):
+        named = ", ".join(f"coalesce(g{i + 1}, '') AS {c}" for i, c in enumerate(columns))
+        add(
+            name,
+            lambda f, r=rule, w=where, c=columns: f.where(w).select("repo", "file", F.inline(extract.matches(extract.clean(F.col("content")), r))).select("repo", "file", "line", *(F.col(f"g{i + 1}").alias(x) for i, x in enumerate(c))),
+            plain + f"SELECT repo, file, line, {named} FROM ({found(rule, where)})",
+        )
+    direct = lambda f: f.where(JS).select("repo", "file", F.inline(extract.matches(extract.clean(F.col("content")), extract.DIRECT)))
+    add("ext_line_of", lambda f: direct(f).select("repo", "file", "offset", "line"), plain + f"SELECT repo, file, length(pre)::INTEGER AS offset, line FROM ({found(extract.DIRECT, JS)})")
+    verbs = f"regexp_extract_all(g3, {q(extract.METHOD.plain())}, 1)"
+    add(
+        "ext_method_list",
+        lambda f: f.where(PY).select("repo", "file", F.inline(extract.matches(extract.clean(F.col("content")), extract.API_ROUTE))).select("repo", "file", "line", F.array_join(extract.methods(F.col("g3"), "ANY"), ",").alias("methods")),
+        plain + f"SELECT repo, file, line, CASE WHEN len({verbs}) = 0 THEN 'ANY' ELSE array_to_string(list_transform({verbs}, lambda x: {ANY.format('x')}), ',') END AS methods FROM ({found(extract.API_ROUTE, PY)})",
+    )
+    add("ext_normalize_path", lambda f: direct(f).select("repo", "file", "line", expressions.normalize_path(F.concat(F.lit("  "), "g3", F.lit("//x/ "))).alias("path")), plain + f"SELECT repo, file, line, {normal(chr(39) + '  ' + chr(39) + ' || g3 || ' + q('//x/ '))} AS path FROM ({found(extract.DIRECT, JS)})")
+    add("ext_join_route_parts", lambda f: direct(f).select("repo", "file", "line", expressions.join_route_parts(F.col("g1"), F.col("g3")).alias("path")), plain + f"SELECT repo, file, line, {joined('g1', 'g3')} AS path FROM ({found(extract.DIRECT, JS)})")
+    add("ext_route_dispatch", lambda f: extract.extract_routes(f).groupBy(F.substring_index("file", ".", -1).alias("kind"), F.when(F.col("seq.o") < 3, "python").otherwise("script").alias("family")).agg(F.count("*").alias("n")), WITH_ROUTES + "SELECT string_split(file, '.')[-1] AS kind, CASE WHEN o < 3 THEN 'python' ELSE 'script' END AS family, count(*) AS n FROM routes GROUP BY ALL")

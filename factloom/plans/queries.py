@@ -101,7 +101,11 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+QUERIES_OF: dict[str, Callable[[Analysis], DataFrame]] = {}
+
+
 def add(name: str, build: Callable[[Analysis], DataFrame], sql: str | None) -> None:
+    QUERIES_OF[name] = build
     QUERIES[name] = lambda spark, sf_dir: build(analysis(spark, sf_dir))
     if sql:
         ORACLES[name] = oracle(sql)
@@ -226,6 +230,20 @@ for kind, _ in overlay.ABSENT:
     add(f"ctl_absent_{kind}", lambda a, k=kind: a.controls.where((c("strength") == "absent") & (c("kind") == k)).select("repo", "id", "name"), f"SELECT repo, id, name FROM absent WHERE kind = '{kind}'")
 add("ctl_detect", lambda a: a.controls.select("repo", "id", "kind", "name", "strength", "scope"), "SELECT repo, id, kind, name, strength, scope FROM control")
 
+add("ctl_absent_csrf", QUERIES_OF["ctl_absent_csrf_protection"], "SELECT repo, id, name FROM absent WHERE kind = 'csrf_protection'")
+PATH = "lower(replace(file, '\\', '/'))"
+add("ast_location", lambda a: a.scan.secret_hint.select("repo", "name", E.location(c("file"), c("line")).alias("place")), f"SELECT repo, name, {PLACE} AS place FROM secret_hint")
+add("ast_normalize", lambda a: a.scan.secret_hint.select("file", E.wrapped(c("file")).alias("path")).distinct(), f"SELECT DISTINCT file, '/' || {PATH} || '/' AS path FROM secret_hint")
+
+
+def translated(a: Analysis) -> DataFrame:
+    """How many surfaces, findings and paths a repository has, when all three are made of its scan at once."""
+    made = dict(zip(("surfaces", "findings", "paths"), threats.translated(a.scan), strict=True))
+    return overlay.union([df.groupBy("repo").agg(F.count("*").alias("n")).withColumn("relation", F.lit(k)) for k, df in made.items()])
+
+
+add("xlt_translate", translated, " UNION ALL ".join(f"SELECT repo, '{k}' AS relation, count(*) AS n FROM {t} GROUP BY repo" for k, t in (("surfaces", "surf"), ("findings", "finding"), ("paths", "path"))))
+
 # Insights, techniques and detections
 
 overlay_plans.register(add)

@@ -105,3 +105,17 @@ def register(add: Callable, queries: dict, oracles: dict) -> None:
         lambda spark, sf_dir: registry.listing(spark, registry.BUILT_IN).select("place", "name", F.array_join("ecosystems", ", ").alias("ecosystems"), "priority"),
         f"SELECT * FROM (VALUES {rows}) t(place, name, ecosystems, priority)",
     )
+
+    class Wanted:
+        """An analyzer that runs where there are scripts."""
+
+        name = "wanted"
+
+        def detect(self, files: DataFrame) -> DataFrame:
+            return files.where("suffix IN ('.ts', '.tsx')").select("repo")
+
+    put(
+        "src_detect_gate",
+        lambda spark, sf_dir: registry.runs_on(Wanted(), accepted_files(spark, sf_dir)).select("repo", "file"),
+        f"WITH {SOURCE} SELECT repo, file FROM kept WHERE repo IN (SELECT repo FROM kept WHERE suffix IN ('.ts', '.tsx'))",
+    )
