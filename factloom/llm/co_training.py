@@ -1,8 +1,9 @@
 """Quality classifier by co-training: a text-content view and a page-metadata view teach each other.
 
 Both views are ridge logistic regressions, fitted on a bounded sample of labelled rows outside the held-out fold. Over
-``ROUNDS`` rounds, each view labels a bounded pool of unlabelled rows, and the rows of which it is surest join the other
-view's training rows with that label, as many of each class as the labels' share. Then each view's score is calibrated
+``ROUNDS`` rounds, each view scores all unlabelled rows, and the rows of which it is surest join the other
+view's training rows with that label, as many of each class as the labels' share; the features of all unlabelled rows are
+written once, executors score them, and only the ``SURE_PER_ROUND`` surest come to the driver. Then each view's score is calibrated
 (Platt scaling) on labelled rows that neither view was fitted on, and the calibrated views are combined with weights
 fitted on the same rows. All documents are scored.
 
@@ -11,7 +12,8 @@ metadata view sees language, source (both hashed) and length as the table gives
 
 Edge cases: a null or empty text has zero features; null metadata is a value of its own; without labelled rows of both
 classes every score is the labels' share (0.5 without labels); a null id isn't held out and never trains; repeated rows
-score alike; missing metadata columns count as null.
+score alike; missing metadata columns count as null; of unlabelled rows that share an id and are surest, each counts, and
+once one was taken none is taken again.
 """
 
 from __future__ import annotations
@@ -19,18 +21,18 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import byte_texts, in_fold, small_batches
+from factloom.llm.common import byte_texts, in_fold, small_batches, written
 from factloom.llm.quality_rules import FEATURES, one_an_id, text_stats
 
-#: Bounds on the labelled rows, and on the pool of unlabelled ones.
+#: Bound on the labelled rows.
 TRAIN_ROWS = 12_000
-POOL_ROWS = 8_000
 ROUNDS = 5
 SURE_PER_ROUND = 400
 META = ("lang", "source", "n_chars")
@@ -111,30 +113,124 @@ class Views:
         return tuple(1 / (1 + np.exp(-z)) for z in (t, m, self.both.logit(np.stack([t, m], 1))))
 
 
+#: Log odds beyond which a view is sure.
+SURE = 2.0
+#: Bins of the log odds beyond that, up to the 30 at which they are cut, and how many make one; groups in which ties are cut.
+BIN, BINS, SALTS = 100, 2800, 256
+Rows = tuple[np.ndarray, np.ndarray]  # features of both views
+
+
+class Pool(Protocol):
+    """Unlabelled rows; those that were taken aren't given again."""
+
+    def surest(self, k: int, view: Logistic, share: float, sure: int) -> tuple[Rows, Rows] | None:
+        """Of the sure rows that view k scores lowest and highest (share of them), those beyond SURE; None if none is left."""
+
+
+class Arrays:
+    """A pool in memory."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray):
+        self.views, self.free = (text, meta), np.ones(len(text), bool)
+
+    def surest(self, k: int, view: Logistic, share: float, sure: int) -> tuple[Rows, Rows] | None:
+        left = np.flatnonzero(self.free)
+        if not len(left):
+            return None
+        z = view.logit(self.views[k][left])
+        order = np.argsort(z, kind="stable")
+        n = min(sure, len(left))
+        low, high = order[: int(round(n * (1 - share)))], order[len(order) - int(round(n * share)) :]
+        out = []
+        for part in (low[z[low] < -SURE], high[z[high] > SURE]):
+            self.free[left[part]] = False
+            out.append((self.views[0][left[part]], self.views[1][left[part]]))
+        return out[0], out[1]
+
+
+class Table:
+    """A pool of any size: a table of doc_id and x (features of both views, cut at width), scored by executors."""
+
+    def __init__(self, rows: DataFrame, width: int):
+        self.rows, self.width, self.taken = rows, width, set()
+        self.size = rows.count()
+
+    def surest(self, k: int, view: Logistic, share: float, sure: int) -> tuple[Rows, Rows] | None:
+        if self.size <= len(self.taken):
+            return None
+        n, width = min(sure, self.size - len(self.taken)), self.width
+        most = {0: int(round(n * (1 - share))), 1: int(round(n * share))}
+        taken = np.array(sorted(self.taken), np.int64)  # at most 2 * ROUNDS * sure ids
+
+        def scored(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            x = b.column("x").flatten().to_numpy().reshape(b.num_rows, -1)
+            ids = b.column("doc_id").to_numpy()
+            z = view.logit((x[:, :width] if k == 0 else x[:, width:]).astype(np.float64))
+            z[np.isin(ids, taken)] = 0.0
+            return x, ids, z
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, BINS + 1), np.int64)
+            for b in batches:
+                if b.num_rows:
+                    z = scored(b)[2]
+                    for side, own in ((0, -z[z < -SURE]), (1, z[z > SURE])):
+                        total[side] += np.bincount(((own - SURE) * BIN).astype(np.int64).clip(0, BINS), minlength=BINS + 1)
+            side, at = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(side.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[side, at])], ["side", "bin", "n"])
+
+        # A threshold for each side, beyond which there are just enough rows; then the rows beyond it.
+        bins = self.rows.mapInArrow(count, "side int, bin int, n long").groupBy("side", "bin").agg(F.sum("n").alias("n")).toPandas()
+        edge = {}
+        for side in (0, 1):
+            own = bins[bins.side == side].sort_values("bin", ascending=False)
+            enough = np.flatnonzero(own.n.cumsum().to_numpy() >= most[side])
+            edge[side] = int(own.bin.to_numpy()[enough[0]]) if len(enough) else 0
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x, ids, z = scored(b)
+                for side, own in ((0, -z), (1, z)):
+                    best = np.flatnonzero((own > SURE) & (((own - SURE) * BIN).astype(np.int64).clip(0, BINS) >= edge[side]))
+                    if len(best) and most[side]:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), side, np.int32)), pa.array(own[best]), pa.array(ids[best]), pa.array(list(x[best]), pa.list_(pa.float32()))], ["side", "z", "doc_id", "x"])
+
+        # Rows at the threshold may tie in any number: they are limited in many groups, then in one.
+        found = self.rows.mapInArrow(run, "side int, z double, doc_id long, x array<float>").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+        for keys in (["side", "salt"], ["side"]):
+            first = Window.partitionBy(*keys).orderBy(F.desc("z"), "doc_id", "x")
+            found = found.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= max(most.values()))
+        limit = F.when(F.col("side") == 0, most[0]).otherwise(most[1])
+        got = found.where(F.col("rn") <= limit).toPandas().sort_values(["side", "rn"])
+        self.taken |= {int(i) for i in got.doc_id}
+        out = []
+        for side in (0, 1):
+            x = np.array(got.x[got.side == side].tolist(), float).reshape(-1, width + LANGS + SOURCES + 3)
+            out.append((x[:, :width], x[:, width:]))
+        return out[0], out[1]
+
+
 def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, spare: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS, sure: int = SURE_PER_ROUND) -> Views:
+    """Co-training with a pool in memory."""
+    return co_train_with(text, meta, y, spare, Arrays(pool_text, pool_meta), rounds, sure)
+
+
+def co_train_with(text: np.ndarray, meta: np.ndarray, y: np.ndarray, spare: np.ndarray, pool: Pool, rounds: int = ROUNDS, sure: int = SURE_PER_ROUND) -> Views:
     """spare: the labelled rows kept for calibration."""
     share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.5
     if any(len(set(part)) < 2 for part in (y[~spare].tolist(), y[spare].tolist())):
         return Views(float(share))
     own = [(x[~spare], y[~spare]) for x in (text, meta)]
-    pools = [pool_text, pool_meta]
-    free = np.ones(len(pool_text), bool)
     for _ in range(rounds):
         views = [fit_logistic(*rows) for rows in own]
-        if not free.any():
-            break
         for k, view in enumerate(views):
-            left = np.flatnonzero(free)
-            z = view.logit(pools[k][left])
-            order = np.argsort(z, kind="stable")
-            n = min(sure, len(left))
-            low = order[: int(round(n * (1 - share)))]
-            high = order[len(order) - int(round(n * share)) :]
-            low, high = low[z[low] < -2], high[z[high] > 2]
-            for part, label in ((low, 0.0), (high, 1.0)):
+            if (found := pool.surest(k, view, float(share), sure)) is None:
+                break
+            for part, label in zip(found, (0.0, 1.0), strict=True):
                 x, t = own[1 - k]
-                own[1 - k] = (np.vstack([x, pools[1 - k][left[part]]]), np.append(t, np.full(len(part), label)))
-                free[left[part]] = False
+                own[1 - k] = (np.vstack([x, part[1 - k]]), np.append(t, np.full(len(part[1 - k]), label)))
     views = [fit_logistic(*rows) for rows in own]
     raw = [v.logit(x[spare])[:, None] for v, x in zip(views, (text, meta), strict=True)]
     calibrations = tuple(fit_logistic(z, y[spare]) for z in raw)
@@ -154,28 +250,32 @@ def features(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return text, meta
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, pool_rows: int = POOL_ROWS) -> Views:
-    """Views fitted on at most train_rows labelled rows that aren't held out, with a pool of at most pool_rows others."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Views:
+    """Views fitted on at most train_rows labelled rows that aren't held out, with all unlabelled rows as the pool."""
     small_batches(docs.sparkSession)
     own = with_meta(docs, id_col, text_col)
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label is not null")
     few = given.where("crc32(cast(doc_id as string)) % 3 <> 1").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_rows).groupBy("doc_id").agg(F.max("label").alias("label"))
-    pool = own.select("doc_id").where("doc_id is not null").join(given.select("doc_id").distinct(), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool_rows).distinct().withColumn("label", F.lit(-1))
+    cut = len(FEATURES) + 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.hstack(features(b))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-    asked = F.broadcast(few.unionByName(pool))  # at most train_rows + pool_rows ids
-    rows = own.join(asked, "doc_id").mapInArrow(run, "doc_id long, label int, x array<double>")
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.hstack(features(b)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "x"])
+
+    rows = own.join(F.broadcast(few), "doc_id").mapInArrow(run, "doc_id long, label int, x array<double>")  # at most train_rows ids
     got = one_an_id(rows, "label", "x").toPandas().sort_values("doc_id")
-    got = got.assign(k=[tuple(x) for x in got.x])
-    x = np.array(got.k.tolist(), float).reshape(len(got), len(FEATURES) + 64 + LANGS + SOURCES + 3)
-    label, cut = got.label.to_numpy(), len(FEATURES) + 64
-    known = label >= 0
-    spare = np.array([zlib.crc32(f"spare {i}".encode()) % 4 == 0 for i in got.doc_id], bool)[known] if len(got) else np.zeros(0, bool)
-    return co_train(x[known, :cut], x[known, cut:], label[known].astype(float), spare, x[~known, :cut], x[~known, cut:])
+    x = np.array([tuple(v) for v in got.x], float).reshape(len(got), cut + LANGS + SOURCES + 3)
+    label = got.label.to_numpy().astype(float)
+    spare = np.array([zlib.crc32(f"spare {i}".encode()) % 4 == 0 for i in got.doc_id], bool) if len(got) else np.zeros(0, bool)
+    unlabelled = own.where("doc_id is not null").join(given.select("doc_id").distinct(), "doc_id", "left_anti")
+    pool = Table(written(unlabelled.mapInArrow(narrow, "doc_id long, x array<float>"), "pool"), cut)
+    return co_train_with(x[:, :cut], x[:, cut:], label, spare, pool)
 
 
 def score(docs: DataFrame, views: Views, id_col: str = "doc_id", text_col: str = "text", keep_at: float = 0.5) -> DataFrame:

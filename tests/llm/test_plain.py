@@ -64,6 +64,26 @@ def test_co_training_rounds():
     assert np.allclose(got.scores(x, m)[2], 1 / (1 + np.exp(-got.both.logit(zs))))
 
 
+def test_a_pool_as_a_table_is_the_pool_in_memory(spark):
+    """Ties, repeated ids and all: what executors score is what arrays would give."""
+    r = np.random.default_rng(6)
+    width, rest = len(co_training.FEATURES) + 64, co_training.LANGS + co_training.SOURCES + 3
+    y = (r.random(120) < 0.5).astype(float)
+    make = lambda labels, n: (labels[:, None] * 2.5 + r.normal(size=(len(labels), n))).astype(np.float32).astype(float)
+    hidden = (r.random(400) < 0.5).astype(float)
+    text, meta, pool_text, pool_meta = make(y, width), make(y, rest), make(hidden, width), make(hidden, rest)
+    spare = np.arange(120) % 4 == 0
+    want = co_training.co_train(text, meta, y, spare, pool_text, pool_meta, 3, 40)
+    rows = [(i, np.concatenate([a, b]).tolist()) for i, (a, b) in enumerate(zip(pool_text, pool_meta, strict=True))]
+    table = co_training.Table(spark.createDataFrame(rows, "doc_id long, x array<float>").repartition(5), width)
+    got = co_training.co_train_with(text, meta, y, spare, table, 3, 40)
+    assert len(table.taken) > 100 and np.allclose(got.text.weights, want.text.weights) and np.allclose(got.meta.weights, want.meta.weights)
+    twice = co_training.Table(spark.createDataFrame(rows[:50] + rows[:50], "doc_id long, x array<float>"), width)
+    for _ in range(6):
+        twice.surest(0, got.text, 0.5, 30)
+    assert len(twice.taken) <= 50
+
+
 def test_quality_classifier_rows(spark):
     docs, labels = documents(spark)
     views = co_training.fit(docs, labels)
