@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import byte_texts, in_fold, small_batches, written
+from factloom.llm.common import byte_texts, in_fold, small_batches, tidy, written
 from factloom.llm.quality_rules import FEATURES, one_an_id, text_stats
 
 #: Bound on the labelled rows.
@@ -180,7 +180,7 @@ class Table:
             yield pa.RecordBatch.from_arrays([pa.array(side.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[side, at])], ["side", "bin", "n"])
 
         # A threshold for each side, beyond which there are just enough rows; then the rows beyond it.
-        bins = self.rows.mapInArrow(count, "side int, bin int, n long").groupBy("side", "bin").agg(F.sum("n").alias("n")).toPandas()
+        bins = self.rows.mapInArrow(tidy(count), "side int, bin int, n long").groupBy("side", "bin").agg(F.sum("n").alias("n")).toPandas()
         edge = {}
         for side in (0, 1):
             own = bins[bins.side == side].sort_values("bin", ascending=False)
@@ -198,7 +198,7 @@ class Table:
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), side, np.int32)), pa.array(own[best]), pa.array(ids[best]), pa.array(list(x[best]), pa.list_(pa.float32()))], ["side", "z", "doc_id", "x"])
 
         # Rows at the threshold may tie in any number: they are limited in many groups, then in one.
-        found = self.rows.mapInArrow(run, "side int, z double, doc_id long, x array<float>").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+        found = self.rows.mapInArrow(tidy(run), "side int, z double, doc_id long, x array<float>").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
         for keys in (["side", "salt"], ["side"]):
             first = Window.partitionBy(*keys).orderBy(F.desc("z"), "doc_id", "x")
             found = found.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= max(most.values()))
@@ -268,13 +268,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             x = np.hstack(features(b)).astype(np.float32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "x"])
 
-    rows = own.join(F.broadcast(few), "doc_id").mapInArrow(run, "doc_id long, label int, x array<double>")  # at most train_rows ids
+    rows = own.join(F.broadcast(few), "doc_id").mapInArrow(tidy(run), "doc_id long, label int, x array<double>")  # at most train_rows ids
     got = one_an_id(rows, "label", "x").toPandas().sort_values("doc_id")
     x = np.array([tuple(v) for v in got.x], float).reshape(len(got), cut + LANGS + SOURCES + 3)
     label = got.label.to_numpy().astype(float)
     spare = np.array([zlib.crc32(f"spare {i}".encode()) % 4 == 0 for i in got.doc_id], bool) if len(got) else np.zeros(0, bool)
     unlabelled = own.where("doc_id is not null").join(given.select("doc_id").distinct(), "doc_id", "left_anti")
-    pool = Table(written(unlabelled.mapInArrow(narrow, "doc_id long, x array<float>"), "pool"), cut)
+    pool = Table(written(unlabelled.mapInArrow(tidy(narrow), "doc_id long, x array<float>"), "pool"), cut)
     return co_train_with(x[:, :cut], x[:, cut:], label, spare, pool)
 
 
@@ -290,7 +290,7 @@ def score(docs: DataFrame, views: Views, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), held, *map(pa.array, (t, m, s, (s >= keep_at).astype(np.int32), s >= keep_at))], ["doc_id", "held_out", "text_score", "meta_score", "score", "predicted", "kept"])
 
     small_batches(docs.sparkSession)
-    return with_meta(docs, id_col, text_col).mapInArrow(run, "doc_id long, held_out boolean, text_score double, meta_score double, score double, predicted int, kept boolean")
+    return with_meta(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, held_out boolean, text_score double, meta_score double, score double, predicted int, kept boolean")
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +28,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow; when a task ends, its worker, which lives on, gives the memory back that it no longer needs."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; one of our own only where none is set and all is one machine."""
     sc = spark.sparkContext
@@ -55,6 +70,23 @@ def forget(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Keys with more than one in so many rows are salted, over so many tasks.
+HOT, SALTS = 1000, 64
+
+
+def joined_hot(rows: DataFrame, keyed: DataFrame, key: str, by: tuple[str, ...], total: int) -> DataFrame:
+    """rows joined with keyed, which has a row for each key and n, how many of the total rows have it.
+
+    A key with over a thousandth of all rows is dealt over SALTS tasks by other columns; there are fewer than a thousand of
+    them, so they are sent to every task.
+    """
+    often = F.col("n") * HOT > total
+    hot = F.broadcast(keyed.where(often).select(key, F.lit(True).alias("_hot")))
+    dealt = rows.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0))
+    spread = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(often, SALTS - 1).otherwise(0))))
+    return dealt.join(spread, [key, "_salt"]).drop("_salt", "_hot")
+
+
 def texts_of(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """The columns needed, under names of our own, so that other columns of docs can't clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import small_batches, written
+from factloom.llm.common import small_batches, tidy, written
 from factloom.llm.url_filters import parts
 
 #: Pages of a host that the others are aligned with.
@@ -495,7 +495,7 @@ def references(pages: DataFrame) -> DataFrame:
         if held:
             yield batch()
 
-    made = pages.mapInArrow(run, "host string, r int, hash long, html string")
+    made = pages.mapInArrow(tidy(run), "host string, r int, hash long, html string")
     best = made.groupBy("host", "r").agg(F.min(F.struct("hash", "html")).alias("x"))
     return best.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("r", F.col("x.html").alias("html")))).alias("x")).select("host", F.col("x.html").alias("references"))
 
@@ -552,7 +552,7 @@ def wrappers(pages: DataFrame, columns: str) -> DataFrame:
             for host, found in zip(b.column("host").to_pylist(), b.column("references").to_pylist(), strict=True):
                 yield pickled({host: found})
 
-    picked = written(references(pages).mapInArrow(to_blob, PICKLED), "references")
+    picked = written(references(pages).mapInArrow(tidy(to_blob), PICKLED), "references")
     small = held_by_all(picked)
     sent = spark.sparkContext.broadcast(small)
 
@@ -585,11 +585,11 @@ def wrappers(pages: DataFrame, columns: str) -> DataFrame:
             for host, table, found in zip(*(b.column(c).to_pylist() for c in ("host", "table", "blob")), strict=True):
                 yield pickled({host: wrapper(pickle.loads(table), pickle.loads(found))})
 
-    tables = (beside(pages, picked, columns) if small is None else pages).mapInArrow(fold, PICKLED)
+    tables = (beside(pages, picked, columns) if small is None else pages).mapInArrow(tidy(fold), PICKLED)
     salted = tables.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    some = salted.repartition("host", "salt").sortWithinPartitions("host", "salt").select("host", "blob").mapInArrow(join, PICKLED)
-    whole = some.repartition("host").sortWithinPartitions("host").mapInArrow(join, PICKLED)
-    return whole.withColumnRenamed("blob", "table").join(picked, "host").select("host", "table", "blob").mapInArrow(close, PICKLED)
+    some = salted.repartition("host", "salt").sortWithinPartitions("host", "salt").select("host", "blob").mapInArrow(tidy(join), PICKLED)
+    whole = some.repartition("host").sortWithinPartitions("host").mapInArrow(tidy(join), PICKLED)
+    return whole.withColumnRenamed("blob", "table").join(picked, "host").select("host", "table", "blob").mapInArrow(tidy(close), PICKLED)
 
 
 def html_extraction(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -612,4 +612,4 @@ def html_extraction(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
             )
 
     rows = own if small is not None else beside(own, made, "page_id url")
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_template long")
+    return rows.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long, n_template long")

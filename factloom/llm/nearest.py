@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import small_batches, written
+from factloom.llm.common import small_batches, tidy, written
 
 #: Queries that a pass sends to every task, and their bytes.
 CHUNK, CHUNK_BYTES = 32_768, 256_000_000
@@ -138,7 +138,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], ["query_id", "vec_id", "score"])
 
-        part = rows.mapInArrow(run, "query_id long, vec_id long, score double")
+        part = rows.mapInArrow(tidy(run), "query_id long, vec_id long, score double")
         found = part if found is None else found.union(part)
         if len(got) < step:
             break

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import byte_texts, small_batches, written
+from factloom.llm.common import byte_texts, joined_hot, small_batches, tidy, written
 from factloom.llm.suffix_dedup import grouped_rows, keyed, mixed, renamed, rows_of
 
 WORDS = 5
@@ -170,7 +170,7 @@ def summaries(docs: DataFrame, shared: tuple[frozenset[int], ...] = ()) -> DataF
                 ["doc_id", "uid", "n", "node", "check", "sketch", "values"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, uid long, n long, node long, check long, sketch binary, values array<int>")
+    return docs.mapInArrow(tidy(run), "doc_id long, uid long, n long, node long, check long, sketch binary, values array<int>")
 
 
 def frequent(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +221,7 @@ def sent(docs: DataFrame, tasks: int, shared: tuple[frozenset[int], ...] = (), o
         if signs:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "task int, names binary, nodes binary")
+    return docs.select("text").mapInArrow(tidy(run), "task int, names binary, nodes binary")
 
 
 def bucketed(blocks: DataFrame, tasks: int) -> DataFrame:
@@ -280,7 +280,7 @@ def bucketed(blocks: DataFrame, tasks: int) -> DataFrame:
         if parts:
             yield from flush()
 
-    return blocks.repartition(tasks, "task").sortWithinPartitions("task").mapInArrow(run, "bucket long, i int, j int, node long")
+    return blocks.repartition(tasks, "task").sortWithinPartitions("task").mapInArrow(tidy(run), "bucket long, i int, j int, node long")
 
 
 class Sketches:
@@ -356,27 +356,28 @@ def candidates(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
         yield from edge_batches(pairs())
 
     rows = buckets.dropDuplicates([*key, "node"]).join(nodes.select("node", "n", "sketch"), "node")
-    return rows.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(run, "a long, b long")
+    return rows.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(tidy(run), "a long, b long")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """node, root: the smallest node of each node's component, for nodes that have edges.
 
-    Large and small stars in turn: each node's neighbours are linked to the smallest of them, until nothing changes.
+    Large and small stars in turn: each node's neighbours are linked to the smallest of them, until nothing changes. Nodes
+    with very many neighbours are salted.
     """
     edges = written(edges.distinct(), name)
-    before = None
+    before, total = None, 2 * edges.count()
     while True:
         both = edges.union(edges.select("b", "a").toDF("a", "b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = joined_hot(both, least, "a", ("b",), total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = written(small, name)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
-        before = now
+        before, total = now, 2 * now[0]
     return edges.toDF("node", "root").union(edges.select("b", "b").distinct().toDF("node", "root"))
 
 
@@ -468,7 +469,7 @@ def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
     places = groups.groupBy("uid", "node").agg(F.collect_list(F.struct(*key, "side")).alias("places"))
     placed = docs.select("uid", "text").join(places, "uid").select("node", "text", F.inline("places"))
-    return placed.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(run, "a long, b long")
+    return placed.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(tidy(run), "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import small_batches, texts_of, written
+from factloom.llm.common import small_batches, texts_of, tidy, written
 
 CAPACITY = 1024
 END = 2
@@ -36,9 +36,9 @@ FEW, GROUPS, GROUP_ROWS = 500, 64, 200_000
 #: Groups up to which their first ranks are sent to every task.
 BROADCAST_ROWS = 500_000
 #: Entries of a worker's memory of tokenized words; it starts afresh beyond that.
-MEMORY = 600_000
+MEMORY = 300_000
 #: Code points that are tokenized at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
 #: White space besides spaces and line ends.
 OTHER_WHITE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Fixed value: the rule by which byte-level vocabularies of this kind cut texts.
@@ -166,7 +166,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     small_batches(docs.sparkSession)
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return texts_of(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Rooms:

@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factloom.llm.common import small_batches, texts_of
+from factloom.llm.common import small_batches, texts_of, tidy
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -347,7 +347,7 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     small_batches(docs.sparkSession)
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts_of(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decoded(rows: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -359,7 +359,7 @@ def decoded(rows: DataFrame, model: str, id_col: str = "doc_id", ids_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.decode(x or ()) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     small_batches(rows.sparkSession)
-    return rows.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{ids_col}` as array<int>) as ids").mapInArrow(run, "doc_id long, text string")
+    return rows.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{ids_col}` as array<int>) as ids").mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def round_trips(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,4 +374,4 @@ def round_trips(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "ids_crc32", "same"])
 
     small_batches(docs.sparkSession)
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, same boolean")
+    return texts_of(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_pieces long, ids_crc32 long, same boolean")

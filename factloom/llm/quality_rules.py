@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import byte_texts, small_batches, texts_of
+from factloom.llm.common import byte_texts, small_batches, texts_of, tidy
 
 #: Bound on the labelled rows that the trees are fitted on.
 TRAIN_ROWS = 20_000
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             f = [text_stats(t)[1] for t in byte_texts(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(f, pa.list_(pa.float64()))], ["doc_id", "label", "features"])
 
-    rows = label_sample(docs, labels, "quality", train_rows, id_col, text_col).mapInArrow(features, "doc_id long, label int, features array<double>")
+    rows = label_sample(docs, labels, "quality", train_rows, id_col, text_col).mapInArrow(tidy(features), "doc_id long, label int, features array<double>")
     got = one_an_id(rows, "label", "features").toPandas().sort_values("doc_id")
     got = got.assign(k=[tuple(f) for f in got.features])
     return fit_trees(np.array(got.k.tolist(), float).reshape(len(got), len(FEATURES)), got.label.to_numpy(float), [s for _, s in FEATURES])
@@ -221,7 +221,7 @@ def judge(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, (*s.T, failed, score, ~failed & (score >= keep_at)))], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"])
 
     small_batches(docs.sparkSession)
-    return texts_of(docs, id_col, text_col).mapInArrow(run, f"doc_id long, {STATS}, base_failed boolean, score double, kept boolean")
+    return texts_of(docs, id_col, text_col).mapInArrow(tidy(run), f"doc_id long, {STATS}, base_failed boolean, score double, kept boolean")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -244,4 +244,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             yield b.filter(pa.array(~failed & (trees.score(np.array(features)) >= 0.5)))
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import byte_texts, small_batches, texts_of, written
+from factloom.llm.common import byte_texts, joined_hot, small_batches, texts_of, tidy, written
 
 WIDTH = 200
 SEED = 56
@@ -153,7 +153,7 @@ def positions(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFram
         if held:
             yield batch(held)
 
-    return docs.mapInArrow(run, "to long, rank long, name long, uid long, low int, high int, state byte")
+    return docs.mapInArrow(tidy(run), "to long, rank long, name long, uid long, low int, high int, state byte")
 
 
 def repeating(sampled: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def repeating(sampled: DataFrame) -> DataFrame:
         if held is not None:
             yield from kept(held)
 
-    return sampled.repartition("to").sortWithinPartitions("to").mapInArrow(run, "rank long, name long, uid long, low int, high int")
+    return sampled.repartition("to").sortWithinPartitions("to").mapInArrow(tidy(run), "rank long, name long, uid long, low int, high int")
 
 
 def windows(found: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -213,7 +213,7 @@ def windows(found: DataFrame, width: int = WIDTH) -> DataFrame:
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["rank", "deal", "uid", "low", "alone", "names", "at"])
 
-    return found.mapInArrow(run, "rank long, deal int, uid long, low int, alone boolean, names binary, at binary")
+    return found.mapInArrow(tidy(run), "rank long, deal int, uid long, low int, alone boolean, names binary, at binary")
 
 
 def repeated_starts(dealt: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ def repeated_starts(dealt: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([x.astype(np.int32) for _, x in out], pa.list_(pa.int32()))], ["uid", "starts"])
 
-    return dealt.repartition("rank", "deal").sortWithinPartitions("rank", "deal").mapInArrow(run, "uid long, starts array<int>")
+    return dealt.repartition("rank", "deal").sortWithinPartitions("rank", "deal").mapInArrow(tidy(run), "uid long, starts array<int>")
 
 
 def grouped_rows(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict[str, list]]]:
@@ -291,7 +291,8 @@ def repeated(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame
     ranked = written(ranked.select("rank", (F.col("n") == 1).alias("alone"), "own.*"), "extents")
     # Round 2: starts of the extents in groups where one is alone and another may hold its windows.
     mixed_ranks = ranked.groupBy("rank").agg(F.count("*").alias("n"), F.max("alone").alias("some")).where("n > 1 and some").select("rank", "n")
-    parts = ranked.join(mixed_ranks, "rank").groupBy("uid").agg(F.collect_list(F.struct("low", "high", "rank", "alone", "n")).alias("parts"))
+    total = ranked.count()
+    parts = joined_hot(ranked, mixed_ranks, "rank", ("uid", "low"), total).groupBy("uid").agg(F.collect_list(F.struct("low", "high", "rank", "alone", "n")).alias("parts"))
     starts = repeated_starts(windows(docs.select("uid", "doc_id", "text").join(parts, "uid").select("uid", "text", "parts"), width))
     starts = starts.groupBy("uid").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     lone = ranked.where("alone").groupBy("uid").agg(F.collect_list("low").alias("lone"))
@@ -330,7 +331,7 @@ def cut(docs: DataFrame, spans: DataFrame, width: int = WIDTH, rows: bool = Fals
     else:
         schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())])
     own = docs if rows else docs.select("uid", "doc_id", "text")
-    return own.join(spans, "uid", "left").mapInArrow(run, schema)
+    return own.join(spans, "uid", "left").mapInArrow(tidy(run), schema)
 
 
 def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:

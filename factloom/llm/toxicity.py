@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import in_fold, small_batches
+from factloom.llm.common import in_fold, small_batches, tidy, written
 from factloom.llm.quality_rules import label_sample, one_an_id, texts_of
 
 #: Bounds on the labelled rows that the grammar is fitted on, and on the bytes of their texts.
@@ -319,8 +319,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Grammar fitted on labelled rows that are not held out: at most train_rows, and train_bytes of text."""
     small_batches(docs.sparkSession)
     train = labels.where("crc32(cast(doc_id as string)) % 3 <> 1")
-    sample = label_sample(docs, train, "toxic", train_rows, id_col, text_col)
-    one = one_an_id(sample.withColumn("row", F.xxhash64(F.coalesce("text", F.lit("")))), "label", "row").select("doc_id", "label", "row")
+    sample = label_sample(docs, train, "toxic", train_rows, id_col, text_col).withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
+    sample = written(sample, "labelled")  # so that docs are read once
+    one = one_an_id(sample, "label", "row").select("doc_id", "label", "row")
     size = sample.groupBy("doc_id").agg(F.max(F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("size"), F.xxhash64("doc_id").alias("place")).orderBy("place", "doc_id").collect()
     kept, total = [], 0
     for r in size:  # at most train_rows rows of numbers
@@ -328,7 +329,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             total += r["size"]
             kept.append((r.doc_id,))
     asked = F.broadcast(docs.sparkSession.createDataFrame(kept, "doc_id long"))
-    own = sample.withColumn("row", F.xxhash64(F.coalesce("text", F.lit("")))).join(asked, "doc_id").join(F.broadcast(one), ["doc_id", "label", "row"])
+    own = sample.join(asked, "doc_id").join(F.broadcast(one), ["doc_id", "label", "row"])
     rows = sorted({(r.doc_id, r.label, r.text or "") for r in own.select("doc_id", "label", "text").toPandas().itertuples()})
     return fit_grammar([t for _, _, t in rows], [y for _, y, _ in rows])
 
@@ -344,7 +345,7 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([i is not None and in_fold(i) for i in ids], pa.bool_()), pa.array(s, pa.float64()), pa.array([int(x >= toxic_at) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     small_batches(docs.sparkSession)
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return texts_of(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,4 +364,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             yield b.filter(pa.array([not t or next(quick.iter(t.lower()), None) is None or grammar.score(t) < TOXIC_AT for t in b.column(at).to_pylist()], pa.bool_()))
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

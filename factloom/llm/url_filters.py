@@ -8,7 +8,7 @@ The host's posterior is a beta distribution; a page is blocked where even the lo
 without labelled pages have their domain's rate, and unknown domains their suffix's, and unknown suffixes the overall
 rate, with wide bounds: those of the prior, whose variance adds up the spread of every level that wasn't seen. Pages are
 joined with their hosts' bounds by host; hosts with over a thousandth of all pages, of which there are fewer than a
-thousand, are dealt over ``SALTS`` tasks.
+thousand, are dealt over many tasks by their paths and ids.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, which no rule fits, and the overall rate
 alone; repeated rows are judged each; several labels of a page count each; without labels nothing is blocked but by
@@ -23,14 +23,12 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import written
+from factloom.llm.common import joined_hot, written
 
 Rule = tuple[str, str, str]  # host, path, verdict
 
 LIMIT = 0.2
 Z = 1.645
-#: Hosts with more than one in so many pages are salted, over so many tasks.
-HOT, SALTS = 1000, 64
 # Suffixes of two names under which domains are registered.
 SUFFIXES = frozenset("co.uk org.uk ac.uk gov.uk ltd.uk me.uk com.au net.au org.au edu.au gov.au co.nz org.nz ac.nz co.jp ne.jp or.jp ac.jp go.jp com.br net.br org.br gov.br com.cn net.cn org.cn gov.cn edu.cn com.mx org.mx co.in net.in org.in ac.in gov.in co.za org.za co.kr or.kr ac.kr com.tr org.tr com.ar com.tw org.tw com.hk org.hk com.sg edu.sg com.my co.id or.id co.th in.th com.vn com.ph com.pl org.pl net.pl com.ua com.ru co.il org.il ac.il com.eg com.ng co.ke com.pk com.bd com.co com.pe com.ve com.uy com.ec com.es org.es nom.es com.pt com.gr com.cy com.mt".split())
 
@@ -120,12 +118,7 @@ def url_filters(
     total = own.agg(F.sum("pages")).first()[0] or 0
     known = own.join(hosts, "host", "left").join(domains, "domain", "left").join(ends, "suffix", "left")
     bound = F.coalesce("host_bound", "domain_bound", "suffix_bound", F.lit(any_bound).cast("double"))
-    known = known.select("host", F.coalesce("host_rate", "domain_rate", "suffix_rate", F.lit(overall)).alias("bad_rate"), bound.alias("bound"), (F.col("pages") * HOT > total).alias("hot"))
-    last = F.when(F.col("hot"), SALTS - 1).otherwise(0)
-    salted = known.select("host", "bad_rate", "bound", F.explode(F.sequence(F.lit(0), last)).alias("salt"))
-    hot = F.broadcast(own.where(F.col("pages") * HOT > total).select("host", F.lit(True).alias("hot")))  # fewer than HOT rows
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")).otherwise(0)
-    dealt = judged.join(hot, "host", "left").withColumn("salt", salt)
+    known = known.select("host", F.coalesce("host_rate", "domain_rate", "suffix_rate", F.lit(overall)).alias("bad_rate"), bound.alias("bound"), F.col("pages").alias("n"))
     name, verdict = fitting(F.col("host"), F.col("path"), rules)
     blocked = F.when(F.col("bound") > limit, "block").otherwise("allow")
-    return dealt.join(salted, ["host", "salt"]).select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, blocked).alias("verdict"), "bad_rate", "bound")
+    return joined_hot(judged, known, "host", ("page_id", "path"), total).select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, blocked).alias("verdict"), "bad_rate", "bound")
