@@ -239,7 +239,14 @@ def methods(args: Column, default: str) -> Column:
 def routes_of(content: Column) -> Column:
     """array<struct<path, method, line, o, offset>> of a file's routes."""
     python, script = F.col("suffix") == ".py", F.col("suffix").isin(*SCRIPTS)
-    row = lambda x, raw, method, o, line=None, offset=None: F.struct(x["g1"].alias("router"), raw.alias("raw"), method.alias("method"), (x["line"] if line is None else line).alias("line"), F.lit(o).alias("o"), (x["offset"] if offset is None else offset).alias("offset"))
+    row = lambda x, raw, method, o, line=None, offset=None: F.struct(
+        x["g1"].alias("router"),
+        raw.alias("raw"),
+        method.alias("method"),
+        (x["line"] if line is None else line).alias("line"),
+        F.lit(o).alias("o"),
+        (x["offset"] if offset is None else offset).alias("offset"),
+    )
     listed = lambda rule, default, o: F.flatten(F.transform(matches(content, rule), lambda x: F.transform(methods(x["g3"], default), lambda m: row(x, x["g2"], m, o))))
 
     def chained(x: Column) -> Column:
@@ -255,7 +262,10 @@ def routes_of(content: Column) -> Column:
         F.when(script, F.flatten(F.transform(matches(content, CHAIN), chained))).otherwise(nothing),
     )
     prefix = lambda known, r: F.coalesce(F.get(F.filter(known, lambda k: k["router"] == r), F.lit(0))["prefix"], F.lit(""))
-    whole = lambda known: F.transform(rows, lambda x: F.struct(join_route_parts(prefix(known, x["router"]), x["raw"]).alias("path"), x["method"].alias("method"), x["line"].alias("line"), x["o"].alias("o"), x["offset"].alias("offset")))
+    whole = lambda known: F.transform(
+        rows,
+        lambda x: F.struct(join_route_parts(prefix(known, x["router"]), x["raw"]).alias("path"), x["method"].alias("method"), x["line"].alias("line"), x["o"].alias("o"), x["offset"].alias("offset")),
+    )
     return let(of_file(content), whole)
 
 
@@ -269,7 +279,13 @@ def listed_of(content: Column, rules: tuple[Rule, ...]) -> Column:
 def marks_of(content: Column, rules: tuple[tuple[Rule, str], ...], words: tuple[tuple[str, str], ...], sure: float, unsure: float) -> Column:
     """array<struct<label, line, evidence, confidence, o, offset>>: the first match of each pattern, then the first place of
     each word; of a label, the first of these counts."""
-    row = lambda label, sure_, o, before: F.struct(F.lit(label).alias("label"), (newlines(before) + 1).alias("line"), F.lit(sure_).alias("confidence"), F.lit(o).alias("o"), F.length(before).alias("offset"))
+    row = lambda label, sure_, o, before: F.struct(
+        F.lit(label).alias("label"),
+        (newlines(before) + 1).alias("line"),
+        F.lit(sure_).alias("confidence"),
+        F.lit(o).alias("o"),
+        F.length(before).alias("offset"),
+    )
 
     def by_rule(rule: Rule, label: str, o: int) -> Column:
         return let(F.split(content, rule.java(), 2), lambda x: F.when(F.size(x) > 1, row(label, sure, o, F.get(x, F.lit(0)))))
@@ -279,7 +295,14 @@ def marks_of(content: Column, rules: tuple[tuple[Rule, str], ...], words: tuple[
 
     each = [by_rule(r, label, o) for o, (r, label) in enumerate(rules)] + [by_word(w, label, 100 + o) for o, (w, label) in enumerate(words)]
     first = lambda xs: F.filter(xs, lambda x, i: ~F.exists(F.slice(xs, F.lit(1), i), lambda y: y["label"] == x["label"]))
-    shown = lambda lines, x: F.struct(x["label"].alias("label"), x["line"].alias("line"), line_snippet(lines, x["line"]).alias("evidence"), x["confidence"].alias("confidence"), x["o"].alias("o"), x["offset"].alias("offset"))
+    shown = lambda lines, x: F.struct(
+        x["label"].alias("label"),
+        x["line"].alias("line"),
+        line_snippet(lines, x["line"]).alias("evidence"),
+        x["confidence"].alias("confidence"),
+        x["o"].alias("o"),
+        x["offset"].alias("offset"),
+    )
     return let(F.split(content, "\n", -1), lambda lines: F.transform(let(F.array_compact(F.array(*each)), first), lambda x: shown(lines, x)))
 
 

@@ -240,7 +240,14 @@ def surface_insights(surfaces: DataFrame) -> DataFrame:
     public, safe, admin = c("exposure") == "public", F.size("auth_signals") > 0, c("category") == "admin"
     low = F.lower("route")
     rules = (
-        ("admin_action_without_auth", public & (F.upper("method").isin(*STATE_CHANGING) | admin) & ~safe & (admin | has_any(low, ADMIN_PARTS)), " - public, no auth", 6, "insight:admin-without-auth", "critical"),
+        (
+            "admin_action_without_auth",
+            public & (F.upper("method").isin(*STATE_CHANGING) | admin) & ~safe & (admin | has_any(low, ADMIN_PARTS)),
+            " - public, no auth",
+            6,
+            "insight:admin-without-auth",
+            "critical",
+        ),
         ("trust_boundary_violation", public & has_any(wrapped(c("file")), INTERNAL_PARTS), " - internal by path, public", 5, "insight:trust-boundary-violation", "high"),
         ("stale_or_contradictory_signal", safe & has_any(low, BENIGN_PARTS), " - auth on a benign route", 5, "insight:stale-signal", "informational"),
     )

@@ -26,12 +26,50 @@ from factloom.sources.adapters import Scan
 from factloom.sources.staged import settled, settled_together
 
 # How many entries of each list a report shows, and the path score from which hops are to be validated.
-SHOWN = {"strengths": 4, "findings": 3, "hotspots": 2, "lines": 12, "chains": 3, "actions": 4, "all_actions": 5, "assets": 8, "controls": 8, "absent": 6, "insights": 6, "opportunities": 5, "edges": 10, "routes": 10, "targets": 25}
+SHOWN = {
+    "strengths": 4,
+    "findings": 3,
+    "hotspots": 2,
+    "lines": 12,
+    "chains": 3,
+    "actions": 4,
+    "all_actions": 5,
+    "assets": 8,
+    "controls": 8,
+    "absent": 6,
+    "insights": 6,
+    "opportunities": 5,
+    "edges": 10,
+    "routes": 10,
+    "targets": 25,
+}
 STRONG_PATH = 22.0
 # Headings of the reports.
 ARCHITECTURE = ("# Architecture Summary", "## Overview", "## Entry Point Concentration", "## Likely Review Starting Point", "## Inferred Trust Boundaries", "## Analyst Notes")
-SURFACE = ("# Attack Surface", "## Priority View", "## Highest-Risk Entry Points", "## Auth And Privileged Routes", "## Public Application Routes", "## Operational And Internal Routes", "## External Dependencies", "## Secrets And Auth Hints")
-REVIEW = ("# Defensive Review", "## System Overview", "## Notable Observations", "## ATT&CK Techniques Mapped", "## Detection Opportunities", "## Asset Inventory", "## Defensive Controls", "## Strengths", "## Weaknesses / Risk Hotspots", "## Key Evidence Chains", "## Recommendations", "## Analyst Notes")
+SURFACE = (
+    "# Attack Surface",
+    "## Priority View",
+    "## Highest-Risk Entry Points",
+    "## Auth And Privileged Routes",
+    "## Public Application Routes",
+    "## Operational And Internal Routes",
+    "## External Dependencies",
+    "## Secrets And Auth Hints",
+)
+REVIEW = (
+    "# Defensive Review",
+    "## System Overview",
+    "## Notable Observations",
+    "## ATT&CK Techniques Mapped",
+    "## Detection Opportunities",
+    "## Asset Inventory",
+    "## Defensive Controls",
+    "## Strengths",
+    "## Weaknesses / Risk Hotspots",
+    "## Key Evidence Chains",
+    "## Recommendations",
+    "## Analyst Notes",
+)
 
 HOPS = "- Check every hop of the attack paths for authentication, authorization and the least rights its service needs."
 TESTS = "- Test the riskiest routes and service edges, so that their guards don't get lost."
@@ -113,7 +151,12 @@ def weaknesses(scored: DataFrame, surfaces: DataFrame) -> DataFrame:
     one = first_rows(pool, ["repo", "route", "file", "category", "exposure"], order).drop("rn")
     hot = first_rows(one, ["repo"], order, SHOWN["hotspots"]).withColumn("place", c("rn") + 100)
     own = F.concat_ws(", ", *(F.concat(F.lit(f"{k}="), F.when(c("provenance") == k, "100").otherwise("0"), F.lit("%")) for k in ("observed_runtime", "protocol_derived", "low_quality")))
-    spots = numbered(hot, text("- Hotspot [score ", one_decimal(c("score")), "]: ", c("method"), " ", c("route"), " (", location(c("file"), c("line")), ") -> ", c("category"), " / ", c("risk")), text("- Reason: ", c("reasons")), text("- Provenance: ", own))
+    spots = numbered(
+        hot,
+        text("- Hotspot [score ", one_decimal(c("score")), "]: ", c("method"), " ", c("route"), " (", location(c("file"), c("line")), ") -> ", c("category"), " / ", c("risk")),
+        text("- Reason: ", c("reasons")),
+        text("- Provenance: ", own),
+    )
     return first_rows(said.union(spots), ["repo"], ["place"], SHOWN["lines"]).select("repo", F.col("rn").alias("place"), "line")
 
 
@@ -225,7 +268,14 @@ def attack_surface(scan: Scan, surfaces: DataFrame) -> DataFrame:
     count = lambda on, name: F.count_if(on).alias(name)
     of = surfaces.groupBy("repo").agg(count(c("risk") == "high", "high"), count(c("exposure") == "public", "public"), count(c("exposure") == "internal", "internal"), count(c("data_store"), "data"), count(c("outbound"), "out"))
     rows = joined(scan, of).na.fill(0).withColumn("place", F.lit(0))
-    view = numbered(rows, text("- High-risk entry points: ", s("high")), text("- Public routes: ", s("public")), text("- Internal routes: ", s("internal")), text("- Routes with data access: ", s("data")), text("- Routes with outbound calls: ", s("out")))
+    view = numbered(
+        rows,
+        text("- High-risk entry points: ", s("high")),
+        text("- Public routes: ", s("public")),
+        text("- Internal routes: ", s("internal")),
+        text("- Routes with data access: ", s("data")),
+        text("- Routes with outbound calls: ", s("out")),
+    )
     told = traits(surfaces)
     order = [rank_of(c("risk"), RISKS), "route", "method", "seq"]
 
@@ -300,10 +350,18 @@ def review(scan: Scan, surfaces: DataFrame, findings: DataFrame, paths: DataFram
     ).union(more(ranked, SHOWN["opportunities"], " more."))
     held = first_rows(overlay.assets, ["repo"], [rank_of(c("criticality"), CRITICALITY), "kind", "id"], SHOWN["assets"])
     why = F.array_join(F.slice("evidence", 1, 3), "; ")
-    inventory = held.select("repo", F.col("rn").alias("place"), text("- **", c("name"), "** (", c("kind"), ", criticality=", c("criticality"), ")", F.when(why != "", text(": ", why)).otherwise("")).alias("line"))
+    inventory = held.select(
+        "repo",
+        F.col("rn").alias("place"),
+        text("- **", c("name"), "** (", c("kind"), ", criticality=", c("criticality"), ")", F.when(why != "", text(": ", why)).otherwise("")).alias("line"),
+    )
     by_strength = [rank_of(c("strength"), STRENGTHS), "kind", "name", "id"]
     present = first_rows(overlay.controls.where(there), ["repo"], by_strength, SHOWN["controls"])
-    seen = present.select("repo", F.col("rn").alias("place"), text("- `", c("kind"), "` ", c("name"), " (strength=", c("strength"), "), in ", F.size("placements").cast("string"), " file(s)").alias("line"))
+    seen = present.select(
+        "repo",
+        F.col("rn").alias("place"),
+        text("- `", c("kind"), "` ", c("name"), " (strength=", c("strength"), "), in ", F.size("placements").cast("string"), " file(s)").alias("line"),
+    )
     absent = first_rows(overlay.controls.where(~there), ["repo"], by_strength, SHOWN["absent"])
     missed = absent.select("repo", (F.col("rn") + 200_000).alias("place"), text("- `", c("kind"), "` ", c("name"), ": ", c("notes")).alias("line"))
     head = lambda df, place, line: df.select("repo").distinct().select("repo", F.lit(place).alias("place"), F.lit(line).alias("line"))

@@ -14,11 +14,46 @@ from factloom.sources.adapters import FAMILIES, Scan
 
 # Asset kinds with name, criticality, and the parts of secret names, route paths and file paths that tell them.
 ASSETS = (
-    ("session", "Authentication tokens / session material", "critical", ("jwt_secret", "session_secret", "cookie_secret", "auth_secret", "refresh_secret", "signing_key"), ("/login", "/signin", "/token", "/oauth", "/session", "/refresh", "/logout"), ("auth/", "session/", "/jwt")),
-    ("credentials", "User credentials at rest", "critical", ("password_pepper", "hash_secret"), ("/password", "/signup", "/register", "/reset-password", "/forgot"), ("models/user", "models/account", "entities/user", "entities/account", "user_repository", "auth/password")),
-    ("payment", "Payment / billing records", "critical", ("stripe", "paypal", "braintree", "adyen", "billing_key"), ("/payment", "/checkout", "/billing", "/invoice", "/subscription", "/charge"), ("models/payment", "models/invoice", "models/order", "entities/payment", "entities/invoice", "entities/order", "billing/")),
-    ("user_pii", "User PII / profile data", "high", (), ("/users", "/user/", "/profile", "/account", "/me", "/contacts", "/address"), ("models/user", "models/profile", "models/contact", "entities/user", "entities/profile", "user_repository", "user_service")),
-    ("internal_secret", "Internal service / API secrets", "high", ("api_key", "private_key", "webhook_secret", "signing_secret", "service_token", "admin_token", "internal_key", "encryption_key", "master_key", "deploy_key"), (), ("vault/", "kms/", "/keys/")),
+    (
+        "session",
+        "Authentication tokens / session material",
+        "critical",
+        ("jwt_secret", "session_secret", "cookie_secret", "auth_secret", "refresh_secret", "signing_key"),
+        ("/login", "/signin", "/token", "/oauth", "/session", "/refresh", "/logout"),
+        ("auth/", "session/", "/jwt"),
+    ),
+    (
+        "credentials",
+        "User credentials at rest",
+        "critical",
+        ("password_pepper", "hash_secret"),
+        ("/password", "/signup", "/register", "/reset-password", "/forgot"),
+        ("models/user", "models/account", "entities/user", "entities/account", "user_repository", "auth/password"),
+    ),
+    (
+        "payment",
+        "Payment / billing records",
+        "critical",
+        ("stripe", "paypal", "braintree", "adyen", "billing_key"),
+        ("/payment", "/checkout", "/billing", "/invoice", "/subscription", "/charge"),
+        ("models/payment", "models/invoice", "models/order", "entities/payment", "entities/invoice", "entities/order", "billing/"),
+    ),
+    (
+        "user_pii",
+        "User PII / profile data",
+        "high",
+        (),
+        ("/users", "/user/", "/profile", "/account", "/me", "/contacts", "/address"),
+        ("models/user", "models/profile", "models/contact", "entities/user", "entities/profile", "user_repository", "user_service"),
+    ),
+    (
+        "internal_secret",
+        "Internal service / API secrets",
+        "high",
+        ("api_key", "private_key", "webhook_secret", "signing_secret", "service_token", "admin_token", "internal_key", "encryption_key", "master_key", "deploy_key"),
+        (),
+        ("vault/", "kms/", "/keys/"),
+    ),
     ("audit_log", "Audit / security logs", "medium", (), ("/audit", "/security/log", "/events"), ("audit/", "/audit_log", "security/log", "logs/security")),
     ("configuration", "Security-relevant configuration", "medium", ("config_signing", "feature_flag_secret"), (), (".env", "config/secrets", "secrets.yml", "secrets.yaml", "config/security")),
 )
@@ -34,7 +69,12 @@ SECRET_ASSETS = (
 CONTROLS = (
     ("authentication", "Password hashing (bcrypt/argon2/scrypt)", "strong", r"\b(bcrypt|argon2|scrypt|pbkdf2)\b"),
     ("authentication", "JWT verification", "moderate", r"jwt[._-]?(verify|decode|sign)|jsonwebtoken"),
-    ("authentication", "Auth middleware / guards", "moderate", r"\b(passport|require[_-]?auth|requireauth|@login_required|@auth\.login_required|authenticate_user|ensureauthenticated|@auth_required|isauthenticated)\b"),
+    (
+        "authentication",
+        "Auth middleware / guards",
+        "moderate",
+        r"\b(passport|require[_-]?auth|requireauth|@login_required|@auth\.login_required|authenticate_user|ensureauthenticated|@auth_required|isauthenticated)\b",
+    ),
     ("mfa", "Multi-factor authentication", "strong", r"\b(mfa|totp|2fa|webauthn|fido2|otp)\b"),
     ("authorization", "Role / permission checks", "moderate", r"\b(haspermission|require_role|requireroles?|@permission_required|@requires_role|hasrole|abilities|policy_check|authorize\()\b"),
     ("rbac", "Role-based access control", "moderate", r"\b(rbac|role_based|access_control_list|acl_check)\b"),
@@ -76,7 +116,9 @@ def asset_matches(scan: Scan) -> DataFrame:
         return df.where(~low_quality_ext(c("file"))).select("repo", F.explode(kinds).alias("kind"), "file", evidence.alias("evidence"))
 
     files = scan.route.select("repo", "file").union(scan.secret_hint.select("repo", "file")).union(family(scan, "framework", "service", "auth").select("repo", "file")).distinct()
-    return union([part(scan.secret_hint, F.lower("name"), text("secret:", c("name"), " (", place, ")"), 3), part(scan.route, path(c("path")), text("route:", c("method"), " ", c("path"), " (", place, ")"), 4), part(files, path(c("file")), text("file:", c("file")), 5)])
+    return union(
+        [part(scan.secret_hint, F.lower("name"), text("secret:", c("name"), " (", place, ")"), 3), part(scan.route, path(c("path")), text("route:", c("method"), " ", c("path"), " (", place, ")"), 4), part(files, path(c("file")), text("file:", c("file")), 5)]
+    )
 
 
 def rule_assets(scan: Scan) -> DataFrame:
@@ -97,7 +139,15 @@ def secret_assets(scan: Scan) -> DataFrame:
     rows = scan.secret_hint.where(~low_quality_ext(F.col("file"))).withColumns({"i": which, "low": low}).where("i is not null")
     one = rows.groupBy("repo", "low").agg(F.min_by(F.struct("i", "name", "file", "line"), "seq").alias("r")).select("repo", "low", "r.*")
     kind, name, criticality = (F.array(*(F.lit(r[k]) for r in SECRET_ASSETS))[F.col("i")] for k in (1, 2, 3))
-    return one.select("repo", text("asset:secret:", F.col("low")).alias("id"), kind.alias("kind"), text(name, ": ", F.col("name")).alias("name"), criticality.alias("criticality"), F.array("file").alias("locations"), F.array(text("secret:", F.col("name"), " (", location(F.col("file"), F.col("line")), ")")).alias("evidence"))
+    return one.select(
+        "repo",
+        text("asset:secret:", F.col("low")).alias("id"),
+        kind.alias("kind"),
+        text(name, ": ", F.col("name")).alias("name"),
+        criticality.alias("criticality"),
+        F.array("file").alias("locations"),
+        F.array(text("secret:", F.col("name"), " (", location(F.col("file"), F.col("line")), ")")).alias("evidence"),
+    )
 
 
 def detect_assets(scan: Scan) -> DataFrame:
@@ -106,7 +156,9 @@ def detect_assets(scan: Scan) -> DataFrame:
     db = scan.database_hint.where(~low_quality_ext(F.col("file"))).join(found.where(F.col("kind").isin(*SENSITIVE)).select("repo").distinct(), "repo", "left_anti")
     kinds = db.groupBy("repo").agg(F.transform(sorted_set("kind"), lambda k: F.concat(F.lit("datastore:"), k)).alias("evidence"))  # a few kinds
     rest = kinds.join(first_values(db, ["repo"], F.col("file"), 8, "locations"), "repo")
-    return found.unionByName(rest.select("repo", F.lit("asset:business_data").alias("id"), F.lit("business_data").alias("kind"), F.lit("Business / operational data store").alias("name"), F.lit("medium").alias("criticality"), "locations", "evidence"))
+    return found.unionByName(
+        rest.select("repo", F.lit("asset:business_data").alias("id"), F.lit("business_data").alias("kind"), F.lit("Business / operational data store").alias("name"), F.lit("medium").alias("criticality"), "locations", "evidence")
+    )
 
 
 CRITICALITY = ("critical", "high", "medium", "low")
@@ -136,10 +188,26 @@ def present_controls(scan: Scan) -> DataFrame:
     kind, name, strength = (F.array(*(F.lit(r[k]) for r in CONTROLS))[F.col("i")] for k in range(3))
     slug = F.replace(F.replace(F.lower(name), F.lit(" "), F.lit("_")), F.lit("/"), F.lit("_"))
     scope = F.when(F.col("n") >= 3, "global").when(F.col("n") > 1, "module").otherwise("route")
-    return found.select("repo", text("control:", kind, ":", slug).alias("id"), kind.alias("kind"), name.alias("name"), strength.alias("strength"), scope.alias("scope"), F.col("p").alias("placements"), F.col("e").alias("evidence"))
-
-
-ABSENT = (("rate_limiting", "Rate limiting"), ("authentication", "Authentication enforcement"), ("csrf_protection", "CSRF protection"), ("audit_logging", "Audit logging"), ("encryption_at_rest", "Encryption at rest"), ("mfa", "Multi-factor authentication"))
+    return found.select(
+        "repo",
+        text("control:", kind, ":", slug).alias("id"),
+        kind.alias("kind"),
+        name.alias("name"),
+        strength.alias("strength"),
+        scope.alias("scope"),
+        F.col("p").alias("placements"),
+        F.col("e").alias("evidence"),
+    )
+
+
+ABSENT = (
+    ("rate_limiting", "Rate limiting"),
+    ("authentication", "Authentication enforcement"),
+    ("csrf_protection", "CSRF protection"),
+    ("audit_logging", "Audit logging"),
+    ("encryption_at_rest", "Encryption at rest"),
+    ("mfa", "Multi-factor authentication"),
+)
 
 
 #: Why a control is missed.

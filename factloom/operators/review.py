@@ -313,7 +313,21 @@ def evidence_pack(scan: Scan, surfaces: DataFrame, findings: DataFrame, paths: D
     ways = paths.where(F.col("place") <= PROMPT_SHOWN["paths"]).withColumn("steps", F.slice("steps", 1, SHOWN["steps"]))
     parts = [
         listed(ways.withColumn("id", ident("path")), "attack_paths", "id", "name", "steps"),
-        listed(shown_surfaces(surfaces, PROMPT_SHOWN["surfaces"]).withColumn("id", ident("surface")), "attack_surfaces", "id", "method", "route", "file", "category", "exposure", "risk", "evidence_class", "auth_signals", "data_store", "outbound"),
+        listed(
+            shown_surfaces(surfaces, PROMPT_SHOWN["surfaces"]).withColumn("id", ident("surface")),
+            "attack_surfaces",
+            "id",
+            "method",
+            "route",
+            "file",
+            "category",
+            "exposure",
+            "risk",
+            "evidence_class",
+            "auth_signals",
+            "data_store",
+            "outbound",
+        ),
         prompt_counts(surfaces).select("repo", F.struct(*sorted(k for k in CLASSES if k != "inferred")).alias("evidence_counts")),
         listed(found.withColumn("id", ident("finding")), "findings", "id", "title", "severity", "confidence", "evidence", "mitigation"),
     ]

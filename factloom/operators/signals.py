@@ -34,7 +34,27 @@ MERGE = (
 KEYS = {r.attr: list(r.keys) for r in MERGE}
 
 # Hints that are kept among auth hints but say nothing of auth.
-NOT_AUTH = ("service_name:", "service_role:", "entrypoint:", "edge:", "handler_type:", "handler_visibility:", "handler_visibility_basis:", "controller:", "service:", "omeka_", "laminas_", "atproto_namespace:", "atproto_namespace_ref:", "atproto_xrpc_ref:", "atproto_lexicon:", "atproto_event_stream:", "atproto_service_note:", "atproto_service_edge:", "atproto_repo:")
+NOT_AUTH = (
+    "service_name:",
+    "service_role:",
+    "entrypoint:",
+    "edge:",
+    "handler_type:",
+    "handler_visibility:",
+    "handler_visibility_basis:",
+    "controller:",
+    "service:",
+    "omeka_",
+    "laminas_",
+    "atproto_namespace:",
+    "atproto_namespace_ref:",
+    "atproto_xrpc_ref:",
+    "atproto_lexicon:",
+    "atproto_event_stream:",
+    "atproto_service_note:",
+    "atproto_service_edge:",
+    "atproto_repo:",
+)
 AUTH_WORDS = "auth|jwt|oauth|token|session|password|bearer|authorization|mfa|passport|login_required"
 
 
@@ -117,7 +137,19 @@ def all_signals(scan: Scan) -> DataFrame:
     none, sure = F.lit(None).cast("string"), F.lit(0.7)
 
     def part(df: DataFrame, kind: Column, label: Column, confidence: Column = sure, method: Column = none, path: Column = none, db: Column = none) -> DataFrame:
-        return df.select("repo", kind.alias("kind"), label.alias("label"), "file", "line", confidence.cast("double").alias("confidence"), method.alias("method"), path.alias("path"), db.alias("db_kind"), location(F.col("file"), F.col("line")).alias("place"), "seq")
+        return df.select(
+            "repo",
+            kind.alias("kind"),
+            label.alias("label"),
+            "file",
+            "line",
+            confidence.cast("double").alias("confidence"),
+            method.alias("method"),
+            path.alias("path"),
+            db.alias("db_kind"),
+            location(F.col("file"), F.col("line")).alias("place"),
+            "seq",
+        )
 
     c = F.col
     return (
@@ -130,7 +162,17 @@ def all_signals(scan: Scan) -> DataFrame:
 
 
 #: Family that holds the hints of a prefix besides the auth hints.
-PREFIX_FAMILY = (("service_", "service"), ("edge:", "edge"), ("entrypoint:", "entrypoint"), ("atproto_", "protocol"), ("protocol:", "protocol"), ("controller:", "framework"), ("service:", "framework"), ("omeka_", "framework"), ("laminas_", "framework"))
+PREFIX_FAMILY = (
+    ("service_", "service"),
+    ("edge:", "edge"),
+    ("entrypoint:", "entrypoint"),
+    ("atproto_", "protocol"),
+    ("protocol:", "protocol"),
+    ("controller:", "framework"),
+    ("service:", "framework"),
+    ("omeka_", "framework"),
+    ("laminas_", "framework"),
+)
 
 
 def prefixed_hints(scan: Scan, prefix: str) -> DataFrame:
@@ -148,7 +190,14 @@ def edge_hints(scan: Scan) -> DataFrame:
     rows = family(scan, "edge", "auth").where(F.col("hint").startswith("edge:") & raw.contains("->"))
     source = F.substring_index(raw, "->", 1)
     target = F.substring(raw, F.length(source) + 3, F.length(raw))
-    return rows.select("repo", clean(source).alias("source"), clean(target).alias("target"), "file", F.when(F.col("family") == "edge", 0).otherwise(1).alias("ord"), "seq").where("source <> '' and target <> ''")
+    return rows.select(
+        "repo",
+        clean(source).alias("source"),
+        clean(target).alias("target"),
+        "file",
+        F.when(F.col("family") == "edge", 0).otherwise(1).alias("ord"),
+        "seq",
+    ).where("source <> '' and target <> ''")
 
 
 def file_services(scan: Scan, notes: bool = False) -> DataFrame:

@@ -101,7 +101,12 @@ def identify_attack_surfaces(scan: Scan) -> DataFrame:
 
 def traits(surfaces: DataFrame) -> DataFrame:
     """Surfaces with a one-line summary of auth, data store and outbound reach."""
-    text = F.concat_ws("; ", F.when(F.size("auth_signals") > 0, F.concat(F.lit("auth signals: "), F.array_join("auth_signals", ", "))).otherwise("no auth signals observed"), F.when(F.col("data_store"), "data store reachable"), F.when(F.col("outbound"), "external trust boundary"))
+    text = F.concat_ws(
+        "; ",
+        F.when(F.size("auth_signals") > 0, F.concat(F.lit("auth signals: "), F.array_join("auth_signals", ", "))).otherwise("no auth signals observed"),
+        F.when(F.col("data_store"), "data store reachable"),
+        F.when(F.col("outbound"), "external trust boundary"),
+    )
     return surfaces.withColumn("traits", text)
 
 

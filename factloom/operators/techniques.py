@@ -71,17 +71,49 @@ DETECTIONS = {
 RESIDUAL = ("detect:findings:residual", "log", "Detection coverage for findings without a paired insight")
 #: Of each kind: why to watch, and what; {routes} are the insight's first three, or the words given as the third item.
 ADVICE = {
-    "shared_secret_blast_radius": ("One key in many services should change everywhere at once; where it differs, an old or stolen one may be in use.", "Compare a hash of the secret between services each day. Alert if they differ, and on tokens signed by a key that is no longer current."),
-    "sensitive_asset_reachability": ("A guard that code doesn't show can be looked for in traffic: no request without a session should succeed here.", "Alert on success status for routes ({routes}) where neither an authorization header nor a session cookie came along.", "the listed routes"),
+    "shared_secret_blast_radius": (
+        "One key in many services should change everywhere at once; where it differs, an old or stolen one may be in use.",
+        "Compare a hash of the secret between services each day. Alert if they differ, and on tokens signed by a key that is no longer current.",
+    ),
+    "sensitive_asset_reachability": (
+        "A guard that code doesn't show can be looked for in traffic: no request without a session should succeed here.",
+        "Alert on success status for routes ({routes}) where neither an authorization header nor a session cookie came along.",
+        "the listed routes",
+    ),
     "control_bypass": ("Watching that the control runs for each request finds a bypass without listing the routes.", "Give the control a span of its own, and alert on requests whose trace lacks it."),
-    "defense_gap_in_chain": ("Code alone can't tell whether a control runs; traces between entry and sink can.", "Trace the entry handler and the data call. Alert if no span of authentication or rate limiting is above the data call's."),
-    "asymmetric_protection": ("Whoever looks for the open method leaves many unauthenticated requests to it.", "For each route, alert when one method has ten times the unauthenticated requests of another."),
-    "trust_boundary_violation": ("What should be internal is best watched at the border itself.", "At the edge, alert on requests for routes or hosts of the internal inventory, and on flows from the internet to internal workloads."),
-    "audit_gap": ("Without records of access there is nothing to detect anything by.", "Record actor, action, asset and outcome at each access, collect the records, and alert on unusual hours, places or amounts."),
-    "control_strength_mismatch": ("While code lacks the controls, the deployed settings can be watched.", "Each day, assert that policies, encryption at rest and log subscriptions are in place for the modules of these assets."),
-    "single_point_of_failure": ("A key that everything rests on gets riskier with each day it isn't changed.", "Report the age of the secret, alert beyond the rotation policy, and on tokens signed by an earlier version."),
-    "stale_or_contradictory_signal": ("There is nothing to detect here; clearer marks make the next scan better.", "Keep a list of routes with their categories as the one source of truth, and test handlers against it."),
-    "admin_action_without_auth": ("A change of rights without a known actor should never succeed, so the first one counts.", "Alert at once on successful POST, PUT, PATCH or DELETE for routes ({routes}) without an authenticated actor.", "admin routes"),
+    "defense_gap_in_chain": (
+        "Code alone can't tell whether a control runs; traces between entry and sink can.",
+        "Trace the entry handler and the data call. Alert if no span of authentication or rate limiting is above the data call's.",
+    ),
+    "asymmetric_protection": (
+        "Whoever looks for the open method leaves many unauthenticated requests to it.",
+        "For each route, alert when one method has ten times the unauthenticated requests of another.",
+    ),
+    "trust_boundary_violation": (
+        "What should be internal is best watched at the border itself.",
+        "At the edge, alert on requests for routes or hosts of the internal inventory, and on flows from the internet to internal workloads.",
+    ),
+    "audit_gap": (
+        "Without records of access there is nothing to detect anything by.",
+        "Record actor, action, asset and outcome at each access, collect the records, and alert on unusual hours, places or amounts.",
+    ),
+    "control_strength_mismatch": (
+        "While code lacks the controls, the deployed settings can be watched.",
+        "Each day, assert that policies, encryption at rest and log subscriptions are in place for the modules of these assets.",
+    ),
+    "single_point_of_failure": (
+        "A key that everything rests on gets riskier with each day it isn't changed.",
+        "Report the age of the secret, alert beyond the rotation policy, and on tokens signed by an earlier version.",
+    ),
+    "stale_or_contradictory_signal": (
+        "There is nothing to detect here; clearer marks make the next scan better.",
+        "Keep a list of routes with their categories as the one source of truth, and test handlers against it.",
+    ),
+    "admin_action_without_auth": (
+        "A change of rights without a known actor should never succeed, so the first one counts.",
+        "Alert at once on successful POST, PUT, PATCH or DELETE for routes ({routes}) without an authenticated actor.",
+        "admin routes",
+    ),
 }
 RESIDUAL_ADVICE = ("No insight covers these findings, yet run-time records can.", "Log finding, route and status at the handlers concerned, and collect the records.")
 

@@ -98,7 +98,14 @@ def generate_findings(scan: Scan, surfaces: DataFrame) -> DataFrame:
     titled = [F.create_map(*(F.lit(x) for k, v in FINDINGS.items() for x in (k, v[i])))[c("rule")] for i in range(3)]
     plain = plain.select("repo", "rule", titled[0].alias("title"), titled[1].alias("severity"), titled[2].alias("confidence"), "evidence")
     chained = [
-        top.select("repo", F.lit(k).alias("rule"), F.lit(title).alias("title"), F.when(c("sink").isin(*high), "high").otherwise("medium").alias("severity"), F.when(c("confidence") >= 0.7, "high").otherwise("medium").alias("level"), F.array_join(F.concat(F.array(percent(c("confidence"))), F.slice("evidence", 1, 6)), " | ").alias("evidence")).withColumnRenamed("level", "confidence")
+        top.select(
+            "repo",
+            F.lit(k).alias("rule"),
+            F.lit(title).alias("title"),
+            F.when(c("sink").isin(*high), "high").otherwise("medium").alias("severity"),
+            F.when(c("confidence") >= 0.7, "high").otherwise("medium").alias("level"),
+            F.array_join(F.concat(F.array(percent(c("confidence"))), F.slice("evidence", 1, 6)), " | ").alias("evidence"),
+        ).withColumnRenamed("level", "confidence")
         for (k, (title, high)), top in zip(CHAIN_FINDINGS.items(), chains_of(scan).values(), strict=True)
     ]
     found = reduce(DataFrame.unionByName, [plain, *chained])
@@ -123,9 +130,19 @@ def generate_attack_paths(scan: Scan, surfaces: DataFrame) -> DataFrame:
     hop = F.when(c("next_service").isNotNull(), step("Propagation", "Service trust edge lets the request reach `", c("next_service"), "`"))
     env = F.when(c("env_risk").isNotNull(), step("Config risk", "Behavior depends on env-configured endpoint ", c("env_risk")))
     steps = {
-        "atproto": F.array_compact(F.array(entry, step("Namespace", "Endpoint is exposed in AT Protocol namespace `", c("namespace"), "`"), step("Service entry", "XRPC request is handled by service `", c("entry_service"), "`"), hop, env, step("Sink", "Influence reaches ", c("sink"), " through protocol-driven service flow"), proof)),
-        "service": F.array_compact(F.array(entry, step("Service entry", "Request is handled by service `", c("entry_service"), "`"), hop, env, step("Sink", "Influence reaches ", c("sink"), " by an unauthorized downstream action"), proof)),
-        "framework": F.array(entry, step("Routing", "Framework routing maps the request to ", F.coalesce("controller", F.lit("framework controller mapping")), " (", F.coalesce("action", F.lit("application action")), ")"), step("Execution", "Controller path likely invokes ", F.coalesce("service", F.lit("framework service/factory"))), step("Sink", "Request influence reaches ", c("sink"), " and may change state"), proof),
+        "atproto": F.array_compact(
+            F.array(entry, step("Namespace", "Endpoint is exposed in AT Protocol namespace `", c("namespace"), "`"), step("Service entry", "XRPC request is handled by service `", c("entry_service"), "`"), hop, env, step("Sink", "Influence reaches ", c("sink"), " through protocol-driven service flow"), proof)
+        ),
+        "service": F.array_compact(
+            F.array(entry, step("Service entry", "Request is handled by service `", c("entry_service"), "`"), hop, env, step("Sink", "Influence reaches ", c("sink"), " by an unauthorized downstream action"), proof)
+        ),
+        "framework": F.array(
+            entry,
+            step("Routing", "Framework routing maps the request to ", F.coalesce("controller", F.lit("framework controller mapping")), " (", F.coalesce("action", F.lit("application action")), ")"),
+            step("Execution", "Controller path likely invokes ", F.coalesce("service", F.lit("framework service/factory"))),
+            step("Sink", "Request influence reaches ", c("sink"), " and may change state"),
+            proof,
+        ),
     }
     parts, taken = [], None
     for k, top in chains_of(scan).items():
@@ -134,7 +151,14 @@ def generate_attack_paths(scan: Scan, surfaces: DataFrame) -> DataFrame:
         taken = top.select("repo") if taken is None else taken.union(top.select("repo"))
     basic = surfaces.where(~low_quality(c("file"))).join(taken.distinct(), "repo", "left_anti")
     public = c("exposure") == "public"
-    cases = {"webhook": c("category") == "webhook", "admin": c("category") == "admin", "auth": c("category") == "auth", "upload": c("category") == "upload", "public_data": public & c("data_store") & (c("category") != "health"), "integration": public & c("outbound")}
+    cases = {
+        "webhook": c("category") == "webhook",
+        "admin": c("category") == "admin",
+        "auth": c("category") == "auth",
+        "upload": c("category") == "upload",
+        "public_data": public & c("data_store") & (c("category") != "health"),
+        "integration": public & c("outbound"),
+    }
     key = F.struct("file", "route", "method")
     first = basic.groupBy("repo").agg(*(F.min_by(F.when(w, key), F.when(w, c("seq"))).alias(k) for k, w in cases.items()))
     # The claims follow a fixed order, so each candidate is compared with the claims before it.
@@ -149,12 +173,39 @@ def generate_attack_paths(scan: Scan, surfaces: DataFrame) -> DataFrame:
         claims.append((new, c(k)))
     at = lambda k: (c(f"{k}.method"), " ", c(f"{k}.route"), " in ", c(f"{k}.file"))
     basic_steps = {
-        "webhook": F.array_compact(F.array(step("Entry", "An attacker reaches ", *at("webhook"), ", which takes untrusted events"), step("Weak point", F.lit("The event is trusted before it is verified")), F.when(c("public_data").isNotNull(), step("Propagation", F.lit("Attacker input is processed close to a data store"))), F.when(c("integration").isNotNull(), step("Propagation", F.lit("The request can also steer outbound service calls"))), step("Impact", F.lit("Business actions run without a trusted event")))),
-        "admin": F.array(step("Entry", "An attacker reaches ", *at("admin"), ", a privileged route"), step("Weak point", F.lit("Authorization is bypassed or enforced too late")), step("Propagation", F.lit("Administrative actions run with attacker influence")), step("Impact", F.lit("Privileged changes follow from one foothold"))),
-        "auth": F.array(step("Entry", "An attacker targets ", *at("auth"), ", which controls login, tokens, or session state"), step("Weak point", F.lit("Credentials or tokens are checked weakly")), step("Propagation", F.lit("The weakness becomes an authenticated foothold")), step("Impact", F.lit("Protected behavior can be reached"))),
-        "upload": F.array(step("Entry", "An attacker submits content to ", *at("upload")), step("Weak point", F.lit("Files are accepted or parsed too broadly")), step("Propagation", F.lit("Parsers or storage trust the content")), step("Impact", F.lit("Malicious content runs or persists"))),
-        "public_data": F.array(step("Entry", "An attacker uses ", *at("public_data"), " as a public foothold"), step("Weak point", F.lit("Validation is weaker than the exposure asks")), step("Propagation", F.lit("Attacker data reaches code close to the data store")), step("Impact", F.lit("Guarantees about application data weaken"))),
-        "integration": F.array(step("Entry", "An attacker influences ", *at("integration"), ", near an outbound integration"), step("Weak point", F.lit("External answers are trusted too far")), step("Propagation", F.lit("Steered third-party calls affect internal logic")), step("Impact", F.lit("Unsafe decisions follow from a weak external boundary"))),
+        "webhook": F.array_compact(
+            F.array(step("Entry", "An attacker reaches ", *at("webhook"), ", which takes untrusted events"), step("Weak point", F.lit("The event is trusted before it is verified")), F.when(c("public_data").isNotNull(), step("Propagation", F.lit("Attacker input is processed close to a data store"))), F.when(c("integration").isNotNull(), step("Propagation", F.lit("The request can also steer outbound service calls"))), step("Impact", F.lit("Business actions run without a trusted event")))
+        ),
+        "admin": F.array(
+            step("Entry", "An attacker reaches ", *at("admin"), ", a privileged route"),
+            step("Weak point", F.lit("Authorization is bypassed or enforced too late")),
+            step("Propagation", F.lit("Administrative actions run with attacker influence")),
+            step("Impact", F.lit("Privileged changes follow from one foothold")),
+        ),
+        "auth": F.array(
+            step("Entry", "An attacker targets ", *at("auth"), ", which controls login, tokens, or session state"),
+            step("Weak point", F.lit("Credentials or tokens are checked weakly")),
+            step("Propagation", F.lit("The weakness becomes an authenticated foothold")),
+            step("Impact", F.lit("Protected behavior can be reached")),
+        ),
+        "upload": F.array(
+            step("Entry", "An attacker submits content to ", *at("upload")),
+            step("Weak point", F.lit("Files are accepted or parsed too broadly")),
+            step("Propagation", F.lit("Parsers or storage trust the content")),
+            step("Impact", F.lit("Malicious content runs or persists")),
+        ),
+        "public_data": F.array(
+            step("Entry", "An attacker uses ", *at("public_data"), " as a public foothold"),
+            step("Weak point", F.lit("Validation is weaker than the exposure asks")),
+            step("Propagation", F.lit("Attacker data reaches code close to the data store")),
+            step("Impact", F.lit("Guarantees about application data weaken")),
+        ),
+        "integration": F.array(
+            step("Entry", "An attacker influences ", *at("integration"), ", near an outbound integration"),
+            step("Weak point", F.lit("External answers are trusted too far")),
+            step("Propagation", F.lit("Steered third-party calls affect internal logic")),
+            step("Impact", F.lit("Unsafe decisions follow from a weak external boundary")),
+        ),
     }
     rows = F.array_compact(F.array(*(F.when(live[k], F.struct(F.lit(k).alias("kind"), F.lit(PATHS[k]).alias("name"), basic_steps[k].alias("steps"))) for k in cases)))
     simple = first.select("repo", F.posexplode(F.slice(rows, 1, 5)).alias("p", "x")).select("repo", (c("p") + 1).alias("place"), "x.kind", "x.name", "x.steps")

@@ -17,11 +17,28 @@ from factloom.operators.extract import Rule
 from factloom.plans.oracles import any_of, q
 
 TEMPLATES = (
-    (".py", 'root = APIRouter(\n  tags=["x"], prefix="/v<k>")\nchild = APIRouter()\nroot.include_router(child, prefix="c/")\n@child.get("/items")\ndef f(): pass\n@root.api_route("x//y", methods=["GET", "post"])\n@root.api_route("/all")\nkey = os.getenv("API_TOKEN")\nrequests.get("https://h<k>/a")\n@lone.Delete( "gone" )\n'),
-    (".js", 'const app = e();\napp.use("/m<k>", r);\nr.all("/z", h);\nr.route("/w")\n  .get(a)\n  .post(b)\napp.get("top", process.env.APP_KEY)\nfetch("https://f<k>"); axios.post("https://g")\nnew Pool(1)\n'),
-    (".py", 'bp = Blueprint("b", __name__, url_prefix="b<k>")\nsub = Blueprint("s", __name__)\napp.register_blueprint(bp, url_prefix="/api")\nbp.register_blueprint(sub)\n@bp.route("/x")\n@sub.route("/y", methods=["PUT", "ALL"])\n@login_required\ndef f(): sqlite3.connect("a")\n'),
+    (
+        ".py",
+        'root = APIRouter(\n  tags=["x"], prefix="/v<k>")\nchild = APIRouter()\nroot.include_router(child,'
+        ' prefix="c/")\n@child.get("/items")\ndef f(): pass\n@root.api_route("x//y", methods=["GET",'
+        ' "post"])\n@root.api_route("/all")\nkey = os.getenv("API_TOKEN")\nrequests.get("https://h<k>/a")\n@lone.Delete( "gone" )\n',
+    ),
+    (
+        ".js",
+        'const app = e();\napp.use("/m<k>", r);\nr.all("/z", h);\nr.route("/w")\n  .get(a)\n  .post(b)\napp.get("top",'
+        ' process.env.APP_KEY)\nfetch("https://f<k>"); axios.post("https://g")\nnew Pool(1)\n',
+    ),
+    (
+        ".py",
+        'bp = Blueprint("b", __name__, url_prefix="b<k>")\nsub = Blueprint("s", __name__)\napp.register_blueprint(bp,'
+        ' url_prefix="/api")\nbp.register_blueprint(sub)\n@bp.route("/x")\n@sub.route("/y", methods=["PUT",'
+        ' "ALL"])\n@login_required\ndef f(): sqlite3.connect("a")\n',
+    ),
     (".ts", "".join(f'r{i}.use("/p{i}", r{i + 1});\n' for i in range(20)) + 'r20.get("/deep", f)\na.use("/a", b);\nb.use("/b", a);\nb.put("/ring", g)\nr3.route("/chain").all(a)\n'),
-    (".py", 'create_engine("postgresql+driver")\npsycopg2.connect("")\nMongoClient("")\nredis.Redis()\n@jwt_required\nDepends( get_current_user )\nOAuth2PasswordBearer("")\nrequest.authorization\nheaders["Authorization"]\n  ' + "long " * 40 + ' os.getenv("DB_PASSWORD")\n'),
+    (
+        ".py",
+        'create_engine("postgresql+driver")\npsycopg2.connect("")\nMongoClient("")\nredis.Redis()\n@jwt_required\nDepends( get_current_user )\nOAuth2PasswordBearer("")\nrequest.authorization\nheaders["Authorization"]\n  ' + "long " * 40 + ' os.getenv("DB_PASSWORD")\n',
+    ),
     (".tsx", 'new  PrismaClient()\nmongoose.connect("")\nnew Pool()\npassport.authenticate("x")\nverifyToken()\nauthMiddleware\nprocess.env.aSecret_1 + process.env.OTHER\n'),
     (".js", "// mysql, redis and sqlite; bearer, apikey, mfa and Auth0 by name only\nx.use('no double quotes', y)\n"),
     (".md", 'app.get("/never", f)\nos.getenv("DOC_KEY")\n'),
@@ -40,7 +57,10 @@ FILE = f"concat({case('(doc_id * 5)', tuple(q(f) for f in FOLDERS))}, CASE WHEN
 def made(text: Callable[[str], str]) -> str:
     """The files as SQL; text writes a literal."""
     content = case("doc_id", tuple(text(t) for _, t in TEMPLATES))
-    return f"SELECT concat('r', doc_id % 20) AS repo, {FILE} AS file, {SUFFIX} AS suffix, concat(replace({content}, '<k>', CAST(doc_id % 3 AS STRING)), '# ', coalesce(text, '')) AS content, doc_id FROM "
+    return (
+        f"SELECT concat('r', doc_id % 20) AS repo, {FILE} AS file, {SUFFIX} AS suffix, concat(replace({content}, '<k>', CAST(doc_id % 3 AS STRING)), '# ',"
+        f" coalesce(text, '')) AS content, doc_id FROM "
+    )
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +75,10 @@ def accepted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SKIPPED = " OR ".join(f"list_contains(string_split(file, '/'), '{x}')" for x in extract.SKIPPED)
-SOURCE = f"source_file AS MATERIALIZED ({made(q)} documents WHERE doc_id IS NOT NULL), kept AS MATERIALIZED (SELECT * FROM source_file WHERE NOT starts_with(string_split(file, '/')[-1], '.') AND NOT ({SKIPPED}) AND suffix IN ('.py', '.js', '.ts', '.tsx'))"
+SOURCE = (
+    f"source_file AS MATERIALIZED ({made(q)} documents WHERE doc_id IS NOT NULL), kept AS MATERIALIZED (SELECT * FROM source_file"
+    f" WHERE NOT starts_with(string_split(file, '/')[-1], '.') AND NOT ({SKIPPED}) AND suffix IN ('.py', '.js', '.ts', '.tsx'))"
+)
 
 
 def found(rule: Rule, where: str, pattern: str | None = None) -> str:
@@ -64,8 +87,10 @@ def found(rule: Rule, where: str, pattern: str | None = None) -> str:
     groups = ", ".join(f"regexp_extract_all(content, {p}, {g}) AS a{g}" for g in range(1, rule.groups + 1))
     taken = ", ".join(f"a{g}[i] AS g{g}" for g in range(1, rule.groups + 1))
     return (
-        f"SELECT repo, file, content, i, {taken}, whole[i] AS whole, pre, 1 + length(pre) - length(replace(pre, '\n', '')) AS line FROM (SELECT *, array_to_string(pieces[:i], '') || array_to_string(whole[:i - 1], '') AS pre "
-        f"FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM (SELECT repo, file, content, string_split_regex(content, {p}) AS pieces, regexp_extract_all(content, {p}, 0) AS whole, {groups} FROM kept WHERE {where})))"
+        f"SELECT repo, file, content, i, {taken}, whole[i] AS whole, pre, 1 + length(pre) - length(replace(pre, '\n', '')) AS line FROM (SELECT *,"
+        f" array_to_string(pieces[:i], '') || array_to_string(whole[:i - 1], '') AS pre "
+        f"FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM (SELECT repo, file, content, string_split_regex(content, {p}) AS pieces,"
+        f" regexp_extract_all(content, {p}, 0) AS whole, {groups} FROM kept WHERE {where})))"
     )
 
 
@@ -111,7 +136,10 @@ WITH_ROUTES = f"WITH RECURSIVE {SOURCE}, {ROUTING}{ROUTES}"
 
 def values(rules: tuple[Rule, ...]) -> str:
     text = "regexp_replace(string_split(content, '\n')[line], '^\\s+|\\s+$', '', 'g')"
-    return " UNION ALL ".join(f"SELECT repo, g1 AS value, file, line, CASE WHEN length({text}) > 160 THEN left({text}, 159) || '…' ELSE {text} END AS evidence FROM ({found(r, 'true')})" for r in rules)
+    return " UNION ALL ".join((
+        f"SELECT repo, g1 AS value, file, line, CASE WHEN length({text}) > 160 THEN left({text}, 159) || '…' ELSE {text} END AS evidence"
+        f" FROM ({found(r, 'true')})"
+    ) for r in rules)
 
 
 def marks(rules: tuple[tuple[Rule, str], ...], words: tuple[tuple[str, str], ...]) -> str:
@@ -120,7 +148,10 @@ def marks(rules: tuple[tuple[Rule, str], ...], words: tuple[tuple[str, str], ...
     by_rule = [f"SELECT repo, file, {q(label)} AS label, {before(r.plain())} AS pre, {o} AS o FROM kept WHERE regexp_matches(content, {q(r.plain())})" for o, (r, label) in enumerate(rules)]
     by_word = [f"SELECT repo, file, {q(label)}, left(content, strpos(lower(content), {q(w)}) - 1), {100 + o} FROM kept WHERE {any_of('lower(content)', (w,))}" for o, (w, label) in enumerate(words)]
     rows = " UNION ALL ".join(by_rule + by_word)
-    return f"SELECT repo, file, label, 1 + length(pre) - length(replace(pre, '\n', '')) AS line, o >= 100 AS by_word FROM (SELECT *, row_number() OVER (PARTITION BY repo, file, label ORDER BY o) AS rn FROM ({rows})) WHERE rn = 1"
+    return (
+        f"SELECT repo, file, label, 1 + length(pre) - length(replace(pre, '\n', '')) AS line, o >= 100 AS by_word FROM (SELECT *,"
+        f" row_number() OVER (PARTITION BY repo, file, label ORDER BY o) AS rn FROM ({rows})) WHERE rn = 1"
+    )
 
 
 RULES_OF_ROUTES = {"ext_fastapi_decorator": 0, "ext_fastapi_api_route": 1, "ext_flask_route": 2, "ext_express_direct": 3, "ext_express_chain": 4}
@@ -144,7 +175,14 @@ def register(queries: dict, oracles: dict) -> None:
     add("src_prune", lambda f: f.select("repo", "file", "suffix"), plain + "SELECT repo, file, suffix FROM kept")
     add("src_suffix_filter", lambda f: extract.accepted(f, (".ts", ".tsx")).select("repo", "file"), plain + "SELECT repo, file FROM kept WHERE suffix IN ('.ts', '.tsx')", source_files)
     size = lambda f: extract.decoded(binary(f)).select("repo", "file", F.length("content").alias("n_chars"), F.md5("content").alias("digest"))
-    add("src_decode_utf8", size, plain + "SELECT repo, file, CASE WHEN doc_id % 5 > 0 THEN length(t) END::INTEGER AS n_chars, CASE WHEN doc_id % 5 > 0 THEN md5(t) END AS digest FROM (SELECT *, regexp_replace(content, '\r\n?', '\n', 'g') AS t FROM kept)")
+    add(
+        "src_decode_utf8",
+        size,
+        plain + (
+            "SELECT repo, file, CASE WHEN doc_id % 5 > 0 THEN length(t) END::INTEGER AS n_chars, CASE WHEN doc_id % 5 > 0 THEN md5(t) END AS digest FROM (SELECT *,"
+            " regexp_replace(content, '\r\n?', '\n', 'g') AS t FROM kept)"
+        ),
+    )
     by_repo = f"SELECT repo, array_to_string(list_sort(list(DISTINCT {LANGUAGE})), ', ') AS languages, count(*) AS files_scanned FROM kept GROUP BY repo"
     add("src_language_tag", lambda f: extract.scanned(f).select("repo", F.array_join("languages", ", ").alias("languages"), "files_scanned"), plain + by_repo)
     add("src_files_scanned", lambda f: extract.scanned(f).select("repo", "files_scanned"), plain + "SELECT repo, count(*) AS files_scanned FROM kept GROUP BY repo")
@@ -161,7 +199,11 @@ def register(queries: dict, oracles: dict) -> None:
         add(name, lambda f, w=word: extract.extract_databases(f).where(F.col("by_word") == w).drop("by_word"), plain + f"SELECT repo, label AS kind, file, line FROM ({stores}) WHERE by_word = {word}")
     for name, word in (("ext_auth_patterns", False), ("ext_auth_keywords", True)):
         sure = extract.UNSURE if word else extract.SURE
-        add(name, lambda f, s=sure: extract.extract_auth(f).where(F.col("confidence") == s), plain + f"SELECT repo, label AS hint, file, line, {sure}::DOUBLE AS confidence FROM ({auth}) WHERE by_word = {word}")
+        add(
+            name,
+            lambda f, s=sure: extract.extract_auth(f).where(F.col("confidence") == s),
+            plain + f"SELECT repo, label AS hint, file, line, {sure}::DOUBLE AS confidence FROM ({auth}) WHERE by_word = {word}",
+        )
     # The patterns one by one: what each makes of its groups, where each match is, and what becomes of verbs and paths.
     for name, rule, columns, where in (
         ("ext_fastapi_router_prefix", extract.ROUTER, ("router", "prefix"), PY),
@@ -182,8 +224,23 @@ def register(queries: dict, oracles: dict) -> None:
     add(
         "ext_method_list",
         lambda f: f.where(PY).select("repo", "file", F.inline(extract.matches(extract.clean(F.col("content")), extract.API_ROUTE))).select("repo", "file", "line", F.array_join(extract.methods(F.col("g3"), "ANY"), ",").alias("methods")),
-        plain + f"SELECT repo, file, line, CASE WHEN len({verbs}) = 0 THEN 'ANY' ELSE array_to_string(list_transform({verbs}, lambda x: {ANY.format('x')}), ',') END AS methods FROM ({found(extract.API_ROUTE, PY)})",
+        plain + (
+            f"SELECT repo, file, line, CASE WHEN len({verbs}) = 0 THEN 'ANY' ELSE array_to_string(list_transform({verbs}, lambda x: {ANY.format('x')}), ',') END"
+            f" AS methods FROM ({found(extract.API_ROUTE, PY)})"
+        ),
+    )
+    add(
+        "ext_normalize_path",
+        lambda f: direct(f).select("repo", "file", "line", expressions.normalize_path(F.concat(F.lit("  "), "g3", F.lit("//x/ "))).alias("path")),
+        plain + f"SELECT repo, file, line, {normal(chr(39) + '  ' + chr(39) + ' || g3 || ' + q('//x/ '))} AS path FROM ({found(extract.DIRECT, JS)})",
+    )
+    add(
+        "ext_join_route_parts",
+        lambda f: direct(f).select("repo", "file", "line", expressions.join_route_parts(F.col("g1"), F.col("g3")).alias("path")),
+        plain + f"SELECT repo, file, line, {joined('g1', 'g3')} AS path FROM ({found(extract.DIRECT, JS)})",
+    )
+    add(
+        "ext_route_dispatch",
+        lambda f: extract.extract_routes(f).groupBy(F.substring_index("file", ".", -1).alias("kind"), F.when(F.col("seq.o") < 3, "python").otherwise("script").alias("family")).agg(F.count("*").alias("n")),
+        WITH_ROUTES + "SELECT string_split(file, '.')[-1] AS kind, CASE WHEN o < 3 THEN 'python' ELSE 'script' END AS family, count(*) AS n FROM routes GROUP BY ALL",
     )
-    add("ext_normalize_path", lambda f: direct(f).select("repo", "file", "line", expressions.normalize_path(F.concat(F.lit("  "), "g3", F.lit("//x/ "))).alias("path")), plain + f"SELECT repo, file, line, {normal(chr(39) + '  ' + chr(39) + ' || g3 || ' + q('//x/ '))} AS path FROM ({found(extract.DIRECT, JS)})")
-    add("ext_join_route_parts", lambda f: direct(f).select("repo", "file", "line", expressions.join_route_parts(F.col("g1"), F.col("g3")).alias("path")), plain + f"SELECT repo, file, line, {joined('g1', 'g3')} AS path FROM ({found(extract.DIRECT, JS)})")
-    add("ext_route_dispatch", lambda f: extract.extract_routes(f).groupBy(F.substring_index("file", ".", -1).alias("kind"), F.when(F.col("seq.o") < 3, "python").otherwise("script").alias("family")).agg(F.count("*").alias("n")), WITH_ROUTES + "SELECT string_split(file, '.')[-1] AS kind, CASE WHEN o < 3 THEN 'python' ELSE 'script' END AS family, count(*) AS n FROM routes GROUP BY ALL")

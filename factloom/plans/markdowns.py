@@ -56,7 +56,17 @@ def architecture_sql() -> str:
     h = markdown.ARCHITECTURE
     told = f"(SELECT repo, {counts({'routes': 'route', 'secrets': 'secret_hint'})}, {words('hint')} FROM repo r)"
     shape = "CASE WHEN routes > 0 THEN 'web-facing' ELSE 'non-web' END"
-    overview = several(told, "0", f"'- A ' || {shape} || ' repository with ' || routes || ' entry point(s).'", "'- Files scanned: 0'", "'- Languages: none'", "'- Datastores: ' || stores", "'- External targets: ' || targets", "'- Auth hints: ' || auth", "'- Secret-like names read from the environment: ' || secrets")
+    overview = several(
+        told,
+        "0",
+        f"'- A ' || {shape} || ' repository with ' || routes || ' entry point(s).'",
+        "'- Files scanned: 0'",
+        "'- Languages: none'",
+        "'- Datastores: ' || stores",
+        "'- External targets: ' || targets",
+        "'- Auth hints: ' || auth",
+        "'- Secret-like names read from the environment: ' || secrets",
+    )
     files = cut("(SELECT repo, file, count(*) AS n, min(seq) AS s FROM route GROUP BY ALL)", "n DESC, s", 3)
     edges = """(SELECT DISTINCT repo, 'repo -> web (contains)' AS e FROM route UNION ALL SELECT DISTINCT repo, 'repo -> db_' || kind || ' (uses)' FROM database_hint
       UNION ALL SELECT repo, 'repo -> external_' || row_number() OVER (PARTITION BY repo ORDER BY seq) || ' (calls)' FROM external_call)"""
@@ -73,12 +83,29 @@ def architecture_sql() -> str:
 
 def surface_sql() -> str:
     h, n = markdown.SURFACE, SHOWN["routes"]
-    traits = "CASE WHEN len(auth_signals) > 0 THEN 'auth signals: ' || array_to_string(auth_signals, ', ') ELSE 'no auth signals observed' END || CASE WHEN data_store THEN '; data store reachable' ELSE '' END || CASE WHEN outbound THEN '; external trust boundary' ELSE '' END"
+    traits = (
+        "CASE WHEN len(auth_signals) > 0 THEN 'auth signals: ' || array_to_string(auth_signals, ', ') ELSE 'no auth signals observed' END || CASE"
+        " WHEN data_store THEN '; data store reachable' ELSE '' END || CASE WHEN outbound THEN '; external trust boundary' ELSE '' END"
+    )
     where = "method || ' ' || route || ' (' || file || ') -> ' || category"
     full = f"'- [' || upper(risk) || '] ' || {where} || ', ' || exposure || '; ' || {traits}"
     listed = lambda on, line=full: f"SELECT repo, rn AS place, {line} AS line FROM {cut(f'(SELECT * FROM surf WHERE {on})', f'{BY_RISK}, route, method, seq', n)}"
-    view = {"high": "(SELECT * FROM surf WHERE risk = 'high')", "public": "(SELECT * FROM surf WHERE exposure = 'public')", "internal": "(SELECT * FROM surf WHERE exposure = 'internal')", "data": "(SELECT * FROM surf WHERE data_store)", "out": "(SELECT * FROM surf WHERE outbound)"}
-    priority = several(f"(SELECT repo, {counts(view)} FROM repo r)", "0", "'- High-risk entry points: ' || high", "'- Public routes: ' || public", "'- Internal routes: ' || internal", "'- Routes with data access: ' || data", "'- Routes with outbound calls: ' || out")
+    view = {
+        "high": "(SELECT * FROM surf WHERE risk = 'high')",
+        "public": "(SELECT * FROM surf WHERE exposure = 'public')",
+        "internal": "(SELECT * FROM surf WHERE exposure = 'internal')",
+        "data": "(SELECT * FROM surf WHERE data_store)",
+        "out": "(SELECT * FROM surf WHERE outbound)",
+    }
+    priority = several(
+        f"(SELECT repo, {counts(view)} FROM repo r)",
+        "0",
+        "'- High-risk entry points: ' || high",
+        "'- Public routes: ' || public",
+        "'- Internal routes: ' || internal",
+        "'- Routes with data access: ' || data",
+        "'- Routes with outbound calls: ' || out",
+    )
     targets = f"SELECT repo, rn AS place, '- ' || target AS line FROM {cut('(SELECT DISTINCT repo, target FROM external_call)', 'target', SHOWN['targets'])}"
     secrets = f"""SELECT repo, rn AS place, '- Secret read from the environment: ' || name || ' (' || file || ')' AS line FROM {cut("secret_hint", "seq", SHOWN["targets"])}
       UNION ALL SELECT repo, 0, '- No secret-like names are read from the environment' FROM repo WHERE repo NOT IN (SELECT repo FROM secret_hint)
@@ -98,7 +125,10 @@ def surface_sql() -> str:
 
 def strengths_sql() -> str:
     auth = "(SELECT DISTINCT repo, hint FROM clean WHERE family = 'auth')"
-    few = f"(SELECT repo, string_agg(hint, ', ' ORDER BY hint) AS hints, max(n) AS n FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY hint) AS rn, count(*) OVER (PARTITION BY repo) AS n FROM {auth}) WHERE rn <= 6 GROUP BY repo)"
+    few = (
+        f"(SELECT repo, string_agg(hint, ', ' ORDER BY hint) AS hints, max(n) AS n FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY hint) AS rn,"
+        f" count(*) OVER (PARTITION BY repo) AS n FROM {auth}) WHERE rn <= 6 GROUP BY repo)"
+    )
     of = lambda on: f"(SELECT repo, count(*) AS n FROM surf WHERE {on} GROUP BY repo)"
     items = [
         f"SELECT repo, 9.0::DOUBLE + least(n, 5) AS score, 0 AS o, '- Signals of authentication or identity are in the code (' || hints || ').' AS line FROM {few}",
@@ -120,20 +150,44 @@ def register(add: Callable, class_sql: str, surface_factors: str, path_factors:
     count = ", ".join(f"count(*) FILTER (WHERE {class_sql} = '{k}') AS {k}" for k in sources)
     LIBRARY["related_sources"] = f"SELECT repo, rule, count(*) AS n, {count} FROM related GROUP BY repo, rule"
     total = "greatest(observed_runtime + protocol_derived + low_quality, 1)"
-    label = f"CASE WHEN r.n IS NULL THEN 'inferred-weak' WHEN observed_runtime / {total} * 100 >= 50 THEN 'observed' WHEN protocol_derived / {total} * 100 >= 50 THEN 'inferred-protocol' WHEN low_quality / {total} * 100 >= 50 THEN 'low-quality-evidence' ELSE 'mixed-evidence' END"
+    label = (
+        f"CASE WHEN r.n IS NULL THEN 'inferred-weak' WHEN observed_runtime / {total} * 100 >= 50 THEN 'observed'"
+        f" WHEN protocol_derived / {total} * 100 >= 50 THEN 'inferred-protocol' WHEN low_quality / {total} * 100 >= 50 THEN 'low-quality-evidence'"
+        f" ELSE 'mixed-evidence' END"
+    )
     percent = " || ', ' || ".join(f"'{k}=' || coalesce(round_even({k} / r.n * 100, 0)::INTEGER, 0) || '%'" for k in sources)
-    LIBRARY["labelled"] = f"SELECT s.repo, s.rule, s.title, f.severity, s.factors, s.score, {label} AS label, {percent} AS provenance, {mapped('s.rule', review.MITIGATIONS)} AS action FROM (SELECT *, {even('list_sum(list_transform(factors, lambda x: x.value))', 2)} AS score FROM scored) s JOIN finding f USING (repo, rule) LEFT JOIN related_sources r USING (repo, rule)"
-    top = lambda factors, n: f"array_to_string(list_transform(list_filter(list_slice(list_sort(list_transform(list_zip({factors}, range(1, len({factors}) + 1)), lambda z: struct_pack(down := -z[1].value, i := z[2], name := z[1].name))), 1, {n}), lambda x: x.down < 0), lambda x: x.name || '=' || {one('-x.down')}), ', ')"
+    LIBRARY["labelled"] = (
+        f"SELECT s.repo, s.rule, s.title, f.severity, s.factors, s.score, {label} AS label, {percent} AS provenance, {mapped('s.rule', review.MITIGATIONS)}"
+        f" AS action FROM (SELECT *, {even('list_sum(list_transform(factors, lambda x: x.value))', 2)} AS score FROM scored) s JOIN finding f USING (repo, rule)"
+        f" LEFT JOIN related_sources r USING (repo, rule)"
+    )
+    top = lambda factors, n: (
+        f"array_to_string(list_transform(list_filter(list_slice(list_sort(list_transform(list_zip({factors}, range(1, len({factors}) + 1)),"
+        f" lambda z: struct_pack(down := -z[1].value, i := z[2], name := z[1].name))), 1, {n}), lambda x: x.down < 0),"
+        f" lambda x: x.name || '=' || {one('-x.down')}), ', ')"
+    )
     first = cut("labelled", f"score DESC, {BY_SEVERITY}, title, rule", SHOWN["findings"])
     said = several(first, "rn", f"'- [' || upper(severity) || ' | score ' || {one('score')} || '] ' || title", f"'- Reason: ' || {top('factors', 3)}", "'- Provenance: ' || provenance")
-    pool = f"(SELECT *, {class_sql} AS source, {surface_factors} AS factors, {even(f'list_sum(list_transform({surface_factors}, lambda x: x.value))', 2)} AS score FROM surf s WHERE NOT {low('s.file')} OR NOT EXISTS (SELECT 1 FROM surf t WHERE t.repo = s.repo AND NOT {low('t.file')}))"
+    pool = (
+        f"(SELECT *, {class_sql} AS source, {surface_factors} AS factors, {even(f'list_sum(list_transform({surface_factors}, lambda x: x.value))', 2)} AS score"
+        f" FROM surf s WHERE NOT {low('s.file')} OR NOT EXISTS (SELECT 1 FROM surf t WHERE t.repo = s.repo AND NOT {low('t.file')}))"
+    )
     order = f"score DESC, {BY_RISK}, route DESC, seq"
     distinct = f"(SELECT * EXCLUDE (rn) FROM {cut(pool, order, 1, 'repo, route, file, category, exposure')})"
     place = "(file || CASE WHEN line IS NULL THEN '' ELSE ':' || line END)"
     own = " || ', ' || ".join(f"'{k}=' || CASE WHEN source = '{k}' THEN 100 ELSE 0 END || '%'" for k in sources)
-    spots = several(cut(distinct, order, SHOWN["hotspots"]), "(rn + 100)", f"'- Hotspot [score ' || {one('score')} || ']: ' || method || ' ' || route || ' (' || {place} || ') -> ' || category || ' / ' || risk", f"'- Reason: ' || {top('factors', 2)}", f"'- Provenance: ' || {own}")
+    spots = several(
+        cut(distinct, order, SHOWN["hotspots"]),
+        "(rn + 100)",
+        f"'- Hotspot [score ' || {one('score')} || ']: ' || method || ' ' || route || ' (' || {place} || ') -> ' || category || ' / ' || risk",
+        f"'- Reason: ' || {top('factors', 2)}",
+        f"'- Provenance: ' || {own}",
+    )
     add("rnk_weaknesses", lambda a: markdown.weaknesses(a.scored_findings, a.surfaces), f"SELECT repo, rn::INTEGER AS place, line FROM {cut(f'({said} UNION ALL {spots})', 'place', SHOWN['lines'])}")
-    LIBRARY["path_scored"] = f"SELECT *, {even('list_sum(list_transform(factors, lambda x: x.value))', 2)} AS score FROM (SELECT *, {path_factors} AS factors FROM (SELECT *, lower(name || ' ' || array_to_string(steps, ' ')) AS said FROM path))"
+    LIBRARY["path_scored"] = (
+        f"SELECT *, {even('list_sum(list_transform(factors, lambda x: x.value))', 2)} AS score FROM (SELECT *, {path_factors} AS factors FROM (SELECT *,"
+        f" lower(name || ' ' || array_to_string(steps, ' ')) AS said FROM path))"
+    )
     chains = cut("(SELECT *, place AS given FROM path_scored)", "score DESC, given", SHOWN["chains"])
     lines = several(chains, "rn", f"'- [score ' || {one('score')} || '] ' || name || ': ' || {mapped('kind', threats.IMPACTS)}", f"'- Reason: ' || {top('factors', 3)}", "'- Key step: ' || steps[1]")
     add("rnk_evidence_chains", lambda a: markdown.evidence_chains(a.paths), f"SELECT repo, place::INTEGER AS place, line FROM ({lines})")
@@ -141,13 +195,19 @@ def register(add: Callable, class_sql: str, surface_factors: str, path_factors:
     acts = f"(SELECT *, '- [' || label || '] ' || action AS line FROM labelled WHERE action IS NOT NULL)"  # noqa: F541
     ranked = f"{weak}, score DESC, {BY_SEVERITY}, title, rule"
     few = cut(f"(SELECT * EXCLUDE (rn) FROM {cut(acts, ranked, 1, 'repo, line')})", ranked, SHOWN["actions"])
-    rows = f"(SELECT repo, rn AS p, line FROM {few} UNION ALL SELECT DISTINCT repo, 5, {q(markdown.HOPS)} FROM path_scored WHERE score >= {markdown.STRONG_PATH}::DOUBLE UNION ALL SELECT repo, 6, {q(markdown.TESTS)} FROM repo)"
+    rows = (
+        f"(SELECT repo, rn AS p, line FROM {few} UNION ALL SELECT DISTINCT repo, 5, {q(markdown.HOPS)} FROM path_scored"
+        f" WHERE score >= {markdown.STRONG_PATH}::DOUBLE UNION ALL SELECT repo, 6, {q(markdown.TESTS)} FROM repo)"
+    )
     add("rnk_recommendations", lambda a: markdown.recommendations(a.clean, a.scored_findings, a.paths), f"SELECT repo, rn::INTEGER AS place, line FROM {cut(rows, 'p', SHOWN['all_actions'])}")
     # The whole review: how many lines each part has, and the length of the lists that are cut.
     capped = lambda table, n, per, where="true": f"SELECT repo, least(count(*), {n}) * {per} + CASE WHEN count(*) > {n} THEN 1 ELSE 0 END AS n FROM {table} WHERE {where} GROUP BY repo"
     sizes = {
         "Asset Inventory": capped("asset", SHOWN["assets"], 1),
-        "ATT&CK Techniques Mapped": "SELECT repo, count(DISTINCT t) AS n FROM (SELECT repo, unnest(techniques) AS t FROM ins_tech UNION ALL SELECT repo, unnest(techniques) FROM fnd_tech) GROUP BY repo",
+        "ATT&CK Techniques Mapped": (
+            "SELECT repo, count(DISTINCT t) AS n FROM (SELECT repo, unnest(techniques) AS t FROM ins_tech UNION ALL SELECT repo, unnest(techniques) FROM fnd_tech)"
+            " GROUP BY repo"
+        ),
         "Strengths": f"SELECT repo, count(*) AS n FROM ({strengths_sql()}) GROUP BY repo",
     }
     numbers = {"Asset Inventory": 5, "ATT&CK Techniques Mapped": 3, "Strengths": 7}

@@ -52,7 +52,10 @@ def even(x: str, digits: int) -> str:
 
 
 def top(source: str, keys: str, order: str, value: str, n: int, name: str = "evidence") -> str:
-    return f"SELECT {keys}, string_agg(v, ' | ' ORDER BY rn) AS {name} FROM (SELECT {keys}, {value} AS v, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rn FROM {source}) WHERE rn <= {n} GROUP BY {keys}"
+    return (
+        f"SELECT {keys}, string_agg(v, ' | ' ORDER BY rn) AS {name} FROM (SELECT {keys}, {value} AS v, row_number() OVER (PARTITION BY {keys} ORDER BY {order})"
+        f" AS rn FROM {source}) WHERE rn <= {n} GROUP BY {keys}"
+    )
 
 
 def category(path: str) -> str:
@@ -85,14 +88,25 @@ def surface(hints: str) -> str:
       LEFT JOIN (SELECT repo, list_sort(list(DISTINCT hint)) AS h FROM {hints} GROUP BY ALL) rs ON rs.repo = r.repo))"""
 
 
-AUTH_LIKE = f"CASE WHEN starts_with(lower(hint), 'atproto_auth:') THEN true WHEN {' OR '.join(f'starts_with(lower(hint), {q(p)})' for p in signals.NOT_AUTH)} THEN false ELSE regexp_matches(lower(hint), {q(signals.AUTH_WORDS)}) END"
-EVIDENCE = "(method || ' ' || route || ' in ' || file || CASE WHEN len(auth_signals) > 0 THEN '; auth signals: ' || array_to_string(auth_signals, ', ') ELSE '; no auth signals observed' END || CASE WHEN data_store THEN '; data store reachable' ELSE '' END || CASE WHEN outbound THEN '; external integration reachable' ELSE '' END)"
+AUTH_LIKE = (
+    f"CASE WHEN starts_with(lower(hint), 'atproto_auth:') THEN true"
+    f" WHEN {' OR '.join(f'starts_with(lower(hint), {q(p)})' for p in signals.NOT_AUTH)} THEN false ELSE regexp_matches(lower(hint),"
+    f" {q(signals.AUTH_WORDS)}) END"
+)
+EVIDENCE = (
+    "(method || ' ' || route || ' in ' || file || CASE WHEN len(auth_signals) > 0 THEN '; auth signals: ' || array_to_string(auth_signals, ', ')"
+    " ELSE '; no auth signals observed' END || CASE WHEN data_store THEN '; data store reachable' ELSE '' END || CASE"
+    " WHEN outbound THEN '; external integration reachable' ELSE '' END)"
+)
 SENSITIVE = f"(criticality IN ('critical', 'high') OR {isin('kind', overlay.SENSITIVE)})"
 
 
 def prefixed(prefix: str) -> str:
     other = next((f for p, f in signals.PREFIX_FAMILY if prefix.startswith(p)), "auth")
-    return f"SELECT repo, substr(hint, {len(prefix) + 1}) AS value, file, min((CASE family WHEN 'auth' THEN 0 ELSE 1 END, seq)) AS o FROM hint WHERE starts_with(hint, {q(prefix)}) AND family IN ('auth', {q(other)}) GROUP BY repo, value, file"
+    return (
+        f"SELECT repo, substr(hint, {len(prefix) + 1}) AS value, file, min((CASE family WHEN 'auth' THEN 0 ELSE 1 END, seq)) AS o FROM hint"
+        f" WHERE starts_with(hint, {q(prefix)}) AND family IN ('auth', {q(other)}) GROUP BY repo, value, file"
+    )
 
 
 def service_of(file: str) -> str:
@@ -107,8 +121,14 @@ def module_key(file: str) -> str:
 def sink_ctes(tag: str, services: str) -> dict[str, str]:
     return {
         f"db_{tag}": f"SELECT d.repo, s.service, arg_min(d.kind || ' (' || d.file || ')', d.seq) AS db FROM database_hint d JOIN {services} s ON s.repo = d.repo AND s.file = d.file GROUP BY ALL",
-        f"out_{tag}": f"SELECT d.repo, s.service, arg_min(d.target || ' (' || d.file || ')', d.seq) AS out FROM external_call d JOIN {services} s ON s.repo = d.repo AND s.file = d.file WHERE NOT starts_with(d.target, 'env://') GROUP BY ALL",
-        f"env_{tag}": f"SELECT d.repo, s.service, arg_min(d.target, d.seq) AS env_risk FROM external_call d JOIN {services} s ON s.repo = d.repo AND s.file = d.file WHERE starts_with(d.target, 'env://') GROUP BY ALL",
+        f"out_{tag}": (
+            f"SELECT d.repo, s.service, arg_min(d.target || ' (' || d.file || ')', d.seq) AS out FROM external_call d JOIN {services} s ON s.repo = d.repo"
+            f" AND s.file = d.file WHERE NOT starts_with(d.target, 'env://') GROUP BY ALL"
+        ),
+        f"env_{tag}": (
+            f"SELECT d.repo, s.service, arg_min(d.target, d.seq) AS env_risk FROM external_call d JOIN {services} s ON s.repo = d.repo AND s.file = d.file"
+            f" WHERE starts_with(d.target, 'env://') GROUP BY ALL"
+        ),
     }
 
 
@@ -118,18 +138,36 @@ RUNTIME = f"(SELECT * FROM route WHERE NOT {low('file')})"
 
 def chain_ctes() -> dict[str, str]:
     out = {
-        "edge": "SELECT repo, lower(trim(string_split(substr(hint, 6), '->')[1])) AS source, lower(trim(substr(hint, 6 + position('->' IN substr(hint, 6)) + 1))) AS target, file, CASE family WHEN 'edge' THEN 0 ELSE 1 END AS ord, seq FROM hint WHERE family IN ('edge', 'auth') AND starts_with(hint, 'edge:') AND contains(substr(hint, 6), '->')",
+        "edge": (
+            "SELECT repo, lower(trim(string_split(substr(hint, 6), '->')[1])) AS source, lower(trim(substr(hint, 6 + position('->' IN substr(hint, 6)) + 1)))"
+            " AS target, file, CASE family WHEN 'edge' THEN 0 ELSE 1 END AS ord, seq FROM hint WHERE family IN ('edge', 'auth') AND starts_with(hint, 'edge:')"
+            " AND contains(substr(hint, 6), '->')"
+        ),
         "edge1": "SELECT repo, source, arg_min(target, (ord, seq)) AS target FROM edge WHERE source <> '' AND target <> '' GROUP BY ALL",
         "named": f"SELECT repo, file, arg_max(lower(value), o) AS service FROM ({prefixed('service_name:')}) GROUP BY ALL",
         "files": "SELECT repo, file FROM named UNION SELECT repo, file FROM route UNION SELECT repo, file FROM database_hint UNION SELECT repo, file FROM external_call",
-        "services": f"SELECT * FROM (SELECT f.repo, f.file, coalesce(n.service, {service_of('f.file')}) AS service FROM files f LEFT JOIN named n ON n.repo = f.repo AND n.file = f.file) WHERE service IS NOT NULL",
+        "services": (
+            f"SELECT * FROM (SELECT f.repo, f.file, coalesce(n.service, {service_of('f.file')}) AS service FROM files f LEFT JOIN named n ON n.repo = f.repo"
+            f" AND n.file = f.file) WHERE service IS NOT NULL"
+        ),
         "noted": f"SELECT repo, file, arg_min(lower(value), o) AS note FROM ({prefixed('atproto_service_note:')}) GROUP BY ALL",
-        "services_noted": f"SELECT * FROM (SELECT coalesce(x.repo, n.repo) AS repo, coalesce(x.file, n.file) AS file, coalesce(x.service, n.note) AS service FROM (SELECT f.repo, f.file, coalesce(n.service, {service_of('f.file')}) AS service FROM files f LEFT JOIN named n ON n.repo = f.repo AND n.file = f.file) x FULL JOIN noted n ON n.repo = x.repo AND n.file = x.file) WHERE service IS NOT NULL",
-        "anywhere": "SELECT coalesce(d.repo, c.repo) AS repo, any_db, any_call FROM (SELECT repo, arg_min(kind || ' (' || file || ')', seq) AS any_db FROM database_hint GROUP BY repo) d FULL JOIN (SELECT repo, arg_min(target || ' (' || file || ')', seq) AS any_call FROM external_call GROUP BY repo) c ON c.repo = d.repo",
+        "services_noted": (
+            f"SELECT * FROM (SELECT coalesce(x.repo, n.repo) AS repo, coalesce(x.file, n.file) AS file, coalesce(x.service, n.note) AS service FROM (SELECT f.repo,"
+            f" f.file, coalesce(n.service, {service_of('f.file')}) AS service FROM files f LEFT JOIN named n ON n.repo = f.repo AND n.file = f.file) x FULL"
+            f" JOIN noted n ON n.repo = x.repo AND n.file = x.file) WHERE service IS NOT NULL"
+        ),
+        "anywhere": (
+            "SELECT coalesce(d.repo, c.repo) AS repo, any_db, any_call FROM (SELECT repo, arg_min(kind || ' (' || file || ')', seq) AS any_db FROM database_hint"
+            " GROUP BY repo) d FULL JOIN (SELECT repo, arg_min(target || ' (' || file || ')', seq) AS any_call FROM external_call"
+            " GROUP BY repo) c ON c.repo = d.repo"
+        ),
         **sink_ctes("s", "services"),
         **sink_ctes("a", "services_noted"),
     }
-    sink = "CASE WHEN db IS NOT NULL THEN 'database' WHEN out IS NOT NULL THEN 'external dependency' WHEN any_db IS NOT NULL THEN 'database' WHEN any_call IS NOT NULL THEN 'external dependency' ELSE 'privileged downstream action' END"
+    sink = (
+        "CASE WHEN db IS NOT NULL THEN 'database' WHEN out IS NOT NULL THEN 'external dependency' WHEN any_db IS NOT NULL THEN 'database'"
+        " WHEN any_call IS NOT NULL THEN 'external dependency' ELSE 'privileged downstream action' END"
+    )
     out["service_chain"] = f"""
   SELECT repo, method, path, file, entry_service, next_service, {sink} AS sink,
     least(0.35::DOUBLE + CASE WHEN named THEN 0.25::DOUBLE ELSE 0.1::DOUBLE END + CASE WHEN next_service IS NOT NULL THEN 0.15::DOUBLE ELSE 0::DOUBLE END + CASE WHEN db IS NOT NULL THEN 0.2::DOUBLE WHEN out IS NOT NULL THEN 0.15::DOUBLE WHEN any_db IS NOT NULL OR any_call IS NOT NULL THEN 0.05::DOUBLE ELSE 0::DOUBLE END + CASE WHEN env_risk IS NOT NULL THEN 0.05::DOUBLE ELSE 0::DOUBLE END, 0.95::DOUBLE) AS confidence,
@@ -177,17 +215,26 @@ def finding_cte() -> str:
     f = threats.FINDINGS
     run = f"(SELECT * FROM surf WHERE NOT {low('file')})"
     cases = {
-        "webhook": "category = 'webhook' AND exposure = 'public' AND method IN ('POST', 'PUT', 'PATCH', 'DELETE', 'ANY') AND (data_store OR outbound) AND NOT list_has_any(auth_signals, ['jwt', 'oauth', 'authorization', 'service_auth'])",
+        "webhook": (
+            "category = 'webhook' AND exposure = 'public' AND method IN ('POST', 'PUT', 'PATCH', 'DELETE', 'ANY') AND (data_store OR outbound)"
+            " AND NOT list_has_any(auth_signals, ['jwt', 'oauth', 'authorization', 'service_auth'])"
+        ),
         "admin": "category = 'admin'",
         "upload": "category = 'upload'",
         "auth_gap": f"category = 'auth' AND repo NOT IN (SELECT repo FROM {run} WHERE category = 'auth' AND len(auth_signals) > 0)",
         "integration": "exposure = 'public' AND outbound AND repo NOT IN (SELECT repo FROM clean WHERE family = 'auth' AND hint IN ('jwt', 'oauth', 'bearer', 'token'))",
         "public_data": "exposure = 'public' AND data_store AND category <> 'health'",
     }
-    parts = [f"SELECT repo, {q(k)} AS rule, {q(f[k][0])} AS title, {q(f[k][1])} AS severity, {q(f[k][2])} AS confidence, evidence FROM ({top(f'(SELECT * FROM {run} WHERE {w})', 'repo', 'seq', EVIDENCE, 10)})" for k, w in cases.items()]
+    parts = [(
+        f"SELECT repo, {q(k)} AS rule, {q(f[k][0])} AS title, {q(f[k][1])} AS severity, {q(f[k][2])} AS confidence, evidence"
+        f" FROM ({top(f'(SELECT * FROM {run} WHERE {w})', 'repo', 'seq', EVIDENCE, 10)})"
+    ) for k, w in cases.items()]
     k = "secret_env"
     parts.append(f"SELECT repo, {q(k)}, {q(f[k][0])}, {q(f[k][1])}, {q(f[k][2])}, evidence FROM ({top('secret_hint', 'repo', 'seq', "name || ' in ' || file", 10)})")
-    parts += [f"SELECT repo, {q(k)}, {q(t)}, CASE WHEN {isin('sink', high)} THEN 'high' ELSE 'medium' END, CASE WHEN confidence >= 0.7 THEN 'high' ELSE 'medium' END, array_to_string(list_concat(['confidence=' || printf('%.2f', confidence)], list_slice(evidence, 1, 6)), ' | ') FROM ctop_{k}" for k, (t, high) in threats.CHAIN_FINDINGS.items()]
+    parts += [(
+        f"SELECT repo, {q(k)}, {q(t)}, CASE WHEN {isin('sink', high)} THEN 'high' ELSE 'medium' END, CASE WHEN confidence >= 0.7 THEN 'high' ELSE 'medium' END,"
+        f" array_to_string(list_concat(['confidence=' || printf('%.2f', confidence)], list_slice(evidence, 1, 6)), ' | ') FROM ctop_{k}"
+    ) for k, (t, high) in threats.CHAIN_FINDINGS.items()]
     return " UNION ALL ".join(parts)
 
 
@@ -197,16 +244,34 @@ def path_cte() -> str:
     hop = "CASE WHEN next_service IS NOT NULL THEN 'Propagation: Service trust edge lets the request reach `' || next_service || '`' END"
     env = "CASE WHEN env_risk IS NOT NULL THEN 'Config risk: Behavior depends on env-configured endpoint ' || env_risk END"
     steps = {
-        "atproto": f"[{entry}, 'Namespace: Endpoint is exposed in AT Protocol namespace `' || namespace || '`', 'Service entry: XRPC request is handled by service `' || entry_service || '`', {hop}, {env}, 'Sink: Influence reaches ' || sink || ' through protocol-driven service flow', {proof}]",
-        "service": f"[{entry}, 'Service entry: Request is handled by service `' || entry_service || '`', {hop}, {env}, 'Sink: Influence reaches ' || sink || ' by an unauthorized downstream action', {proof}]",
-        "framework": f"[{entry}, 'Routing: Framework routing maps the request to ' || coalesce(controller, 'framework controller mapping') || ' (' || coalesce(action, 'application action') || ')', 'Execution: Controller path likely invokes ' || coalesce(service, 'framework service/factory'), 'Sink: Request influence reaches ' || sink || ' and may change state', {proof}]",
+        "atproto": (
+            f"[{entry}, 'Namespace: Endpoint is exposed in AT Protocol namespace `' || namespace || '`',"
+            f" 'Service entry: XRPC request is handled by service `' || entry_service || '`', {hop}, {env},"
+            f" 'Sink: Influence reaches ' || sink || ' through protocol-driven service flow', {proof}]"
+        ),
+        "service": (
+            f"[{entry}, 'Service entry: Request is handled by service `' || entry_service || '`', {hop}, {env},"
+            f" 'Sink: Influence reaches ' || sink || ' by an unauthorized downstream action', {proof}]"
+        ),
+        "framework": (
+            f"[{entry}, 'Routing: Framework routing maps the request to ' || coalesce(controller, 'framework controller mapping') || ' (' || coalesce(action,"
+            f" 'application action') || ')', 'Execution: Controller path likely invokes ' || coalesce(service, 'framework service/factory'),"
+            f" 'Sink: Request influence reaches ' || sink || ' and may change state', {proof}]"
+        ),
     }
     parts, before = [], []
     for k, s in steps.items():
         gate = " AND ".join(f"repo NOT IN (SELECT repo FROM top_{b})" for b in before) or "true"
         parts.append(f"SELECT repo, 1 AS place, {q(k)} AS kind, {q(threats.PATHS[k])} AS name, list_filter({s}, lambda x: x IS NOT NULL) AS steps FROM top_{k} WHERE {gate}")
         before.append(k)
-    conds = {"webhook": "category = 'webhook'", "admin": "category = 'admin'", "auth": "category = 'auth'", "upload": "category = 'upload'", "public_data": "exposure = 'public' AND data_store AND category <> 'health'", "integration": "exposure = 'public' AND outbound"}
+    conds = {
+        "webhook": "category = 'webhook'",
+        "admin": "category = 'admin'",
+        "auth": "category = 'auth'",
+        "upload": "category = 'upload'",
+        "public_data": "exposure = 'public' AND data_store AND category <> 'health'",
+        "integration": "exposure = 'public' AND outbound",
+    }
     firsts = ", ".join(f"arg_min((file, route, method), seq) FILTER (WHERE {w}) AS k_{k}" for k, w in conds.items())
     gate = " AND ".join(f"repo NOT IN (SELECT repo FROM top_{b})" for b in before)
     at = lambda k: f"struct_extract(k_{k}, 3) || ' ' || struct_extract(k_{k}, 2) || ' in ' || struct_extract(k_{k}, 1)"
@@ -215,15 +280,42 @@ def path_cte() -> str:
         live[k] = f"(k_{k} IS NOT NULL AND NOT " + " AND NOT ".join(f"coalesce(k_{k} = {c}, false)" for c in claims) + ")"
         claims.append(f"CASE WHEN {live[k]} THEN k_{k} END")
     basic = {
-        "webhook": f"['Entry: An attacker reaches ' || {at('webhook')} || ', which takes untrusted events', 'Weak point: The event is trusted before it is verified', CASE WHEN k_public_data IS NOT NULL THEN 'Propagation: Attacker input is processed close to a data store' END, CASE WHEN k_integration IS NOT NULL THEN 'Propagation: The request can also steer outbound service calls' END, 'Impact: Business actions run without a trusted event']",
-        "admin": f"['Entry: An attacker reaches ' || {at('admin')} || ', a privileged route', 'Weak point: Authorization is bypassed or enforced too late', 'Propagation: Administrative actions run with attacker influence', 'Impact: Privileged changes follow from one foothold']",
-        "auth": f"['Entry: An attacker targets ' || {at('auth')} || ', which controls login, tokens, or session state', 'Weak point: Credentials or tokens are checked weakly', 'Propagation: The weakness becomes an authenticated foothold', 'Impact: Protected behavior can be reached']",
-        "upload": f"['Entry: An attacker submits content to ' || {at('upload')}, 'Weak point: Files are accepted or parsed too broadly', 'Propagation: Parsers or storage trust the content', 'Impact: Malicious content runs or persists']",
-        "public_data": f"['Entry: An attacker uses ' || {at('public_data')} || ' as a public foothold', 'Weak point: Validation is weaker than the exposure asks', 'Propagation: Attacker data reaches code close to the data store', 'Impact: Guarantees about application data weaken']",
-        "integration": f"['Entry: An attacker influences ' || {at('integration')} || ', near an outbound integration', 'Weak point: External answers are trusted too far', 'Propagation: Steered third-party calls affect internal logic', 'Impact: Unsafe decisions follow from a weak external boundary']",
+        "webhook": (
+            f"['Entry: An attacker reaches ' || {at('webhook')} || ', which takes untrusted events', 'Weak point: The event is trusted before it is verified', CASE"
+            f" WHEN k_public_data IS NOT NULL THEN 'Propagation: Attacker input is processed close to a data store' END, CASE"
+            f" WHEN k_integration IS NOT NULL THEN 'Propagation: The request can also steer outbound service calls' END,"
+            f" 'Impact: Business actions run without a trusted event']"
+        ),
+        "admin": (
+            f"['Entry: An attacker reaches ' || {at('admin')} || ', a privileged route', 'Weak point: Authorization is bypassed or enforced too late',"
+            f" 'Propagation: Administrative actions run with attacker influence', 'Impact: Privileged changes follow from one foothold']"
+        ),
+        "auth": (
+            f"['Entry: An attacker targets ' || {at('auth')} || ', which controls login, tokens, or session state',"
+            f" 'Weak point: Credentials or tokens are checked weakly', 'Propagation: The weakness becomes an authenticated foothold',"
+            f" 'Impact: Protected behavior can be reached']"
+        ),
+        "upload": (
+            f"['Entry: An attacker submits content to ' || {at('upload')}, 'Weak point: Files are accepted or parsed too broadly',"
+            f" 'Propagation: Parsers or storage trust the content', 'Impact: Malicious content runs or persists']"
+        ),
+        "public_data": (
+            f"['Entry: An attacker uses ' || {at('public_data')} || ' as a public foothold', 'Weak point: Validation is weaker than the exposure asks',"
+            f" 'Propagation: Attacker data reaches code close to the data store', 'Impact: Guarantees about application data weaken']"
+        ),
+        "integration": (
+            f"['Entry: An attacker influences ' || {at('integration')} || ', near an outbound integration', 'Weak point: External answers are trusted too far',"
+            f" 'Propagation: Steered third-party calls affect internal logic', 'Impact: Unsafe decisions follow from a weak external boundary']"
+        ),
     }
-    rows = " UNION ALL ".join(f"SELECT repo, {i} AS o, {q(k)} AS kind, {q(threats.PATHS[k])} AS name, list_filter({basic[k]}, lambda x: x IS NOT NULL) AS steps FROM cand WHERE {live[k]}" for i, k in enumerate(conds))
-    cand = f"SELECT *, k_webhook IS NOT NULL AND (k_public_data IS NOT NULL OR k_integration IS NOT NULL) AS w FROM (SELECT repo, {firsts} FROM surf_raw WHERE NOT {low('file')} AND {gate} GROUP BY repo)"
+    rows = " UNION ALL ".join((
+        f"SELECT repo, {i} AS o, {q(k)} AS kind, {q(threats.PATHS[k])} AS name, list_filter({basic[k]}, lambda x: x IS NOT NULL) AS steps FROM cand"
+        f" WHERE {live[k]}"
+    ) for i, k in enumerate(conds))
+    cand = (
+        f"SELECT *, k_webhook IS NOT NULL AND (k_public_data IS NOT NULL OR k_integration IS NOT NULL) AS w FROM (SELECT repo, {firsts} FROM surf_raw"
+        f" WHERE NOT {low('file')} AND {gate} GROUP BY repo)"
+    )
     parts.append(f"SELECT repo, place::INTEGER, kind, name, steps FROM (WITH cand AS ({cand}) SELECT *, row_number() OVER (PARTITION BY repo ORDER BY o) AS place FROM ({rows})) WHERE place <= 5")
     return " UNION ALL ".join(parts)
 
@@ -233,14 +325,28 @@ def asset_ctes() -> dict[str, str]:
         return " UNION ALL ".join(f"SELECT repo, {q(r[0])} AS kind, file, {evidence} AS evidence FROM {source} WHERE NOT {low_ext('file')} AND {any_of(value, r[k])}" for r in overlay.ASSETS if r[k])
 
     files = "(SELECT repo, file FROM route UNION SELECT repo, file FROM secret_hint UNION SELECT repo, file FROM clean WHERE family IN ('framework', 'service', 'auth'))"
-    match = " UNION ALL ".join((matches("secret_hint", "lower(name)", f"'secret:' || name || ' (' || {place()} || ')'", 3), matches("route", "lower(path)", f"'route:' || method || ' ' || path || ' (' || {place()} || ')'", 4), matches(files, "lower(file)", "'file:' || file", 5)))
+    match = " UNION ALL ".join(
+        (matches("secret_hint", "lower(name)", f"'secret:' || name || ' (' || {place()} || ')'", 3), matches("route", "lower(path)", f"'route:' || method || ' ' || path || ' (' || {place()} || ')'", 4), matches(files, "lower(file)", "'file:' || file", 5))
+    )
     pick = lambda i: "CASE kind " + " ".join(f"WHEN {q(r[0])} THEN {q(r[i])}" for r in overlay.ASSETS) + " END"
     which = "CASE " + " ".join(f"WHEN regexp_matches(lower(name), {q(r[0])}) THEN {i}" for i, r in enumerate(overlay.SECRET_ASSETS)) + " END"
     of = lambda k: "CASE i " + " ".join(f"WHEN {i} THEN {q(r[k])}" for i, r in enumerate(overlay.SECRET_ASSETS)) + " END"
     return {
-        "rule_asset": f"SELECT repo, 'asset:' || kind AS id, kind, {pick(1)} AS name, {pick(2)} AS criticality, list_sort(list(DISTINCT file)) AS locations, list_slice(list_sort(list(DISTINCT evidence)), 1, 12) AS evidence FROM ({match}) GROUP BY repo, kind",
-        "secret_asset": f"SELECT repo, 'asset:secret:' || lower(name) AS id, {of(1)} AS kind, {of(2)} || ': ' || name AS name, {of(3)} AS criticality, [file] AS locations, ['secret:' || name || ' (' || {place()} || ')'] AS evidence FROM (SELECT *, {which} AS i, row_number() OVER (PARTITION BY repo, lower(name) ORDER BY seq) AS rn FROM secret_hint WHERE NOT {low_ext('file')} AND {which} IS NOT NULL) WHERE rn = 1",
-        "asset": f"SELECT * FROM rule_asset UNION ALL SELECT * FROM secret_asset UNION ALL SELECT repo, 'asset:business_data', 'business_data', 'Business / operational data store', 'medium', list_slice(list_sort(list(DISTINCT file)), 1, 8), list_transform(list_sort(list(DISTINCT kind)), lambda k: 'datastore:' || k) FROM database_hint WHERE NOT {low_ext('file')} AND repo NOT IN (SELECT repo FROM rule_asset WHERE {isin('kind', overlay.SENSITIVE)} UNION SELECT repo FROM secret_asset WHERE {isin('kind', overlay.SENSITIVE)}) GROUP BY repo",
+        "rule_asset": (
+            f"SELECT repo, 'asset:' || kind AS id, kind, {pick(1)} AS name, {pick(2)} AS criticality, list_sort(list(DISTINCT file)) AS locations,"
+            f" list_slice(list_sort(list(DISTINCT evidence)), 1, 12) AS evidence FROM ({match}) GROUP BY repo, kind"
+        ),
+        "secret_asset": (
+            f"SELECT repo, 'asset:secret:' || lower(name) AS id, {of(1)} AS kind, {of(2)} || ': ' || name AS name, {of(3)} AS criticality, [file] AS locations,"
+            f" ['secret:' || name || ' (' || {place()} || ')'] AS evidence FROM (SELECT *, {which} AS i, row_number() OVER (PARTITION BY repo, lower(name)"
+            f" ORDER BY seq) AS rn FROM secret_hint WHERE NOT {low_ext('file')} AND {which} IS NOT NULL) WHERE rn = 1"
+        ),
+        "asset": (
+            f"SELECT * FROM rule_asset UNION ALL SELECT * FROM secret_asset UNION ALL SELECT repo, 'asset:business_data', 'business_data',"
+            f" 'Business / operational data store', 'medium', list_slice(list_sort(list(DISTINCT file)), 1, 8), list_transform(list_sort(list(DISTINCT kind)),"
+            f" lambda k: 'datastore:' || k) FROM database_hint WHERE NOT {low_ext('file')} AND repo NOT IN (SELECT repo FROM rule_asset"
+            f" WHERE {isin('kind', overlay.SENSITIVE)} UNION SELECT repo FROM secret_asset WHERE {isin('kind', overlay.SENSITIVE)}) GROUP BY repo"
+        ),
     }
 
 
@@ -248,11 +354,26 @@ def control_ctes() -> dict[str, str]:
     blob = "(SELECT repo, hint AS label, file, line FROM clean UNION ALL SELECT repo, path, file, line FROM route)"
     hits = " UNION ALL ".join(f"SELECT repo, {i} AS i, file, label || ' (' || {place()} || ')' AS e FROM {blob} WHERE regexp_matches(label, {q('(?i)' + r[3])})" for i, r in enumerate(overlay.CONTROLS))
     of = lambda k: "CASE i " + " ".join(f"WHEN {i} THEN {q(r[k])}" for i, r in enumerate(overlay.CONTROLS)) + " END"
-    need = (("rate_limiting", "exposure = 'public'", 0), ("authentication", "category IN ('admin', 'auth')", 0), ("csrf_protection", "exposure = 'public' AND upper(method) IN ('POST', 'PUT', 'PATCH', 'DELETE')", 0), ("audit_logging", SENSITIVE, 1), ("encryption_at_rest", SENSITIVE, 1), ("mfa", "category IN ('admin', 'auth')", 0))
+    need = (
+        ("rate_limiting", "exposure = 'public'", 0),
+        ("authentication", "category IN ('admin', 'auth')", 0),
+        ("csrf_protection", "exposure = 'public' AND upper(method) IN ('POST', 'PUT', 'PATCH', 'DELETE')", 0),
+        ("audit_logging", SENSITIVE, 1),
+        ("encryption_at_rest", SENSITIVE, 1),
+        ("mfa", "category IN ('admin', 'auth')", 0),
+    )
     names = dict(overlay.ABSENT)
-    missing = " UNION ALL ".join(f"SELECT DISTINCT repo, 'control:absent:{k}' AS id, '{k}' AS kind, {q(names[k])} AS name FROM {('surf', 'asset')[t]} WHERE {w} AND repo NOT IN (SELECT repo FROM present WHERE kind = '{k}')" for k, w, t in need)
+    missing = " UNION ALL ".join((
+        f"SELECT DISTINCT repo, 'control:absent:{k}' AS id, '{k}' AS kind, {q(names[k])} AS name FROM {('surf', 'asset')[t]} WHERE {w}"
+        f" AND repo NOT IN (SELECT repo FROM present WHERE kind = '{k}')"
+    ) for k, w, t in need)
     return {
-        "present": f"SELECT repo, 'control:' || {of(0)} || ':' || replace(replace(lower({of(1)}), ' ', '_'), '/', '_') AS id, {of(0)} AS kind, {of(1)} AS name, {of(2)} AS strength, CASE WHEN len(p) >= 3 THEN 'global' WHEN len(p) > 1 THEN 'module' ELSE 'route' END AS scope, list_slice(p, 1, 12) AS placements, list_slice(e, 1, 8) AS evidence FROM (SELECT repo, i, list_sort(list(DISTINCT file)) AS p, list_sort(list(DISTINCT e)) AS e FROM ({hits}) GROUP BY repo, i)",
+        "present": (
+            f"SELECT repo, 'control:' || {of(0)} || ':' || replace(replace(lower({of(1)}), ' ', '_'), '/', '_') AS id, {of(0)} AS kind, {of(1)} AS name, {of(2)}"
+            f" AS strength, CASE WHEN len(p) >= 3 THEN 'global' WHEN len(p) > 1 THEN 'module' ELSE 'route' END AS scope, list_slice(p, 1, 12) AS placements,"
+            f" list_slice(e, 1, 8) AS evidence FROM (SELECT repo, i, list_sort(list(DISTINCT file)) AS p, list_sort(list(DISTINCT e)) AS e FROM ({hits})"
+            f" GROUP BY repo, i)"
+        ),
         "absent": missing,
         "control": "SELECT * FROM present UNION ALL SELECT repo, id, kind, name, 'absent', 'global', [], [] FROM absent",
     }
@@ -286,14 +407,20 @@ def insight_ctes() -> dict[str, str]:
     there = lambda kind: f"repo IN (SELECT repo FROM control WHERE kind = {q(kind)} AND strength <> 'absent')"
     public = "exposure = 'public'"
     of = lambda *names: {k: k for k in names}
-    near = f"SELECT s.repo, s.name, list(DISTINCT a.id) AS ids FROM secret_hint s JOIN (SELECT repo, id, unnest(locations) AS file FROM asset) a ON a.repo = s.repo AND a.file = s.file WHERE NOT {low_ext('s.file')} GROUP BY ALL"
+    near = (
+        f"SELECT s.repo, s.name, list(DISTINCT a.id) AS ids FROM secret_hint s JOIN (SELECT repo, id, unnest(locations) AS file FROM asset) a ON a.repo = s.repo"
+        f" AND a.file = s.file WHERE NOT {low_ext('s.file')} GROUP BY ALL"
+    )
     secret = f"""(SELECT f.*, x.ids FROM (SELECT *, row_number() OVER (PARTITION BY repo, lower(name) ORDER BY first) AS rn FROM (
       SELECT repo, name, count(DISTINCT {module("file")}) AS modules, count(DISTINCT file) AS files, min(seq) AS first, list_slice(list_sort(list(DISTINCT {place()})), 1, 8) AS e
       FROM secret_hint WHERE NOT {low_ext("file")} GROUP BY repo, name) WHERE modules >= 3) f LEFT JOIN ({near}) x USING (repo, name) WHERE rn = 1)"""
     open_ = f"""SELECT s.*, m.asset, m.asset_name, m.criticality FROM surf s JOIN (SELECT DISTINCT repo, id AS asset, name AS asset_name, criticality, {module("l")} AS module
       FROM (SELECT *, unnest(locations) AS l FROM asset WHERE {SENSITIVE})) m ON m.repo = s.repo AND m.module = {module("s.file")} WHERE {public} AND len(auth_signals) = 0"""
     missing = " || ".join(f"CASE WHEN {there(k)} THEN '' ELSE ', {k}' END" for k in insights.ON_THE_WAY)
-    gap = f"(SELECT *, name AS path, substr(m, 3) AS missing FROM (SELECT *, {missing} AS m FROM path WHERE place <= 8 AND {any_of("lower(array_to_string(steps, ' '))", insights.DATA_WORDS)}) WHERE m <> '')"
+    gap = (
+        f"(SELECT *, name AS path, substr(m, 3) AS missing FROM (SELECT *, {missing} AS m FROM path WHERE place <= 8"
+        f" AND {any_of("lower(array_to_string(steps, ' '))", insights.DATA_WORDS)}) WHERE m <> '')"
+    )
     expected = " UNION ALL ".join(f"SELECT {q(a)} AS akind, {i} AS o, {q(k)} AS ckind" for a, ks in overlay.EXPECTED.items() for i, k in enumerate(ks))
     mismatch = f"""(SELECT a.repo, a.id AS asset_id, a.name AS asset, a.criticality, string_agg(x.ckind, ', ' ORDER BY x.o) AS expected, string_agg('asset:' || a.id || ' expects ' || x.ckind, ' | ' ORDER BY x.o) AS e,
       string_agg(CASE WHEN c.weak IS NULL THEN x.ckind || ' (absent)' WHEN c.weak THEN x.ckind || ' (weak only)' END, ', ' ORDER BY x.o) AS gaps FROM asset a JOIN ({expected}) x ON x.akind = a.kind
@@ -301,30 +428,104 @@ def insight_ctes() -> dict[str, str]:
       WHERE a.criticality IN ('critical', 'high') GROUP BY a.repo, a.id, a.name, a.criticality HAVING gaps IS NOT NULL)"""
     methods = lambda w: f"array_to_string(list_sort(list(DISTINCT method) FILTER (WHERE {w})), ', ')"
     safe, bare = "len(auth_signals) > 0", "len(auth_signals) = 0"
-    split = f'(SELECT repo, route, count(*) FILTER (WHERE {safe}) AS guarded, count(*) FILTER (WHERE {bare}) AS open, {methods(safe)} AS w, {methods(bare)} AS o FROM surf GROUP BY ALL HAVING count(*) FILTER (WHERE {safe}) > 0 AND count(*) FILTER (WHERE {bare}) > 0)'
+    split = (
+        f'(SELECT repo, route, count(*) FILTER (WHERE {safe}) AS guarded, count(*) FILTER (WHERE {bare}) AS open, {methods(safe)} AS w, {methods(bare)} AS o'
+        f' FROM surf GROUP BY ALL HAVING count(*) FILTER (WHERE {safe}) > 0 AND count(*) FILTER (WHERE {bare}) > 0)'
+    )
     order = rank("criticality", overlay.CRITICALITY)
     unlogged = f"""(SELECT repo, count(*) AS n, left(array_to_string(list_sort(list(DISTINCT name)), ', '), 160) AS names, list(id ORDER BY {order}, kind, id) AS ids,
       list('asset:' || id || ' (' || criticality || ')' ORDER BY {order}, kind, id) AS e FROM asset WHERE (criticality IN ('critical', 'high') OR {isin("kind", insights.PROTECTED_KINDS)}) AND NOT {there("audit_logging")} GROUP BY repo)"""
     alone = f"(SELECT repo, min(name) AS name FROM secret_hint WHERE NOT {low_ext('file')} AND {any_of('lower(name)', overlay.AUTH_SECRET_WORDS)} GROUP BY repo HAVING count(DISTINCT name) = 1)"
-    admin = f"SELECT * FROM surf WHERE {public} AND (upper(method) IN ('POST', 'PUT', 'PATCH', 'DELETE') OR category = 'admin') AND {bare} AND (category = 'admin' OR {any_of('lower(route)', overlay.ADMIN_PARTS)})"
+    admin = (
+        f"SELECT * FROM surf WHERE {public} AND (upper(method) IN ('POST', 'PUT', 'PATCH', 'DELETE') OR category = 'admin') AND {bare} AND (category = 'admin'"
+        f" OR {any_of('lower(route)', overlay.ADMIN_PARTS)})"
+    )
     inside = f"SELECT * FROM surf WHERE {public} AND {any_of(wrap('file'), overlay.INTERNAL_PARTS)}"
     stale = f"SELECT * FROM surf WHERE {safe} AND {any_of('lower(route)', overlay.BENIGN_PARTS)}"
     there_placed = f"SELECT DISTINCT repo, kind AS control, unnest(placements) AS file FROM control WHERE {isin('kind', insights.BYPASSED)} AND strength <> 'absent'"
     prone = f"""SELECT s.*, b.control, b.files FROM surf s JOIN (SELECT repo, control, count(*) AS files FROM ({there_placed}) GROUP BY ALL HAVING count(*) >= 2) b ON b.repo = s.repo
       WHERE {public} AND {any_of("lower(route)", overlay.BYPASS_PARTS)} AND NOT EXISTS (SELECT 1 FROM ({there_placed}) p WHERE p.repo = s.repo AND p.control = b.control AND p.file = s.file)"""
-    bypass = f"(SELECT * FROM ({lines(prone, 'repo, control, files', ' - not in this file', 5)}) JOIN (SELECT repo, kind AS control, list_sort(list(DISTINCT id)) AS ids FROM control WHERE strength <> 'absent' GROUP BY ALL) USING (repo, control))"
+    bypass = (
+        f"(SELECT * FROM ({lines(prone, 'repo, control, files', ' - not in this file', 5)}) JOIN (SELECT repo, kind AS control, list_sort(list(DISTINCT id))"
+        f" AS ids FROM control WHERE strength <> 'absent' GROUP BY ALL) USING (repo, control))"
+    )
     return {
-        "ins_shared_secret": insight("shared_secret_blast_radius", "'insight:shared-secret:' || lower(name)", f"CASE WHEN {any_of('lower(name)', overlay.SECRET_WORDS)} THEN 'high' ELSE 'medium' END", "array_to_string(list_transform(e, lambda x: name || ' (' || x || ')'), ' | ')", secret, of("name", "modules", "files"), "CASE WHEN modules >= 4 THEN 'high' ELSE 'medium' END", "list_sort(coalesce(ids, []))"),
-        "ins_asset_reachability": insight("sensitive_asset_reachability", "'insight:asset-reachable:' || asset", "CASE WHEN criticality = 'critical' THEN 'critical' ELSE 'high' END", "evidence", f"({lines(open_, 'repo, asset, asset_name, criticality', ' - public, no auth', 5)})", {"asset": "asset_name", "criticality": "criticality", "n": "n"}, assets="[asset]", routes="routes"),
-        "ins_defense_gap": insight("defense_gap_in_chain", "'insight:defense-gap:' || place", "CASE WHEN contains(missing, 'authentication') THEN 'high' ELSE 'medium' END", "array_to_string(list_slice(steps, 1, 6), ' | ')", gap, of("path", "missing")),
-        "ins_strength_mismatch": insight("control_strength_mismatch", "'insight:strength-mismatch:' || asset_id", "CASE WHEN criticality = 'critical' THEN 'high' ELSE 'medium' END", "e", mismatch, of("asset", "criticality", "gaps", "expected"), assets="[asset_id]"),
-        "ins_asymmetric": insight("asymmetric_protection", "'insight:asymmetric:' || route", "'medium'", "'guarded: ' || w || ' | open: ' || o", split, {"route": "route", "guarded": "guarded", "with": "w", "open": "open", "without": "o"}, routes="[route]"),
+        "ins_shared_secret": insight(
+            "shared_secret_blast_radius",
+            "'insight:shared-secret:' || lower(name)",
+            f"CASE WHEN {any_of('lower(name)', overlay.SECRET_WORDS)} THEN 'high' ELSE 'medium' END",
+            "array_to_string(list_transform(e, lambda x: name || ' (' || x || ')'), ' | ')",
+            secret,
+            of("name", "modules", "files"),
+            "CASE WHEN modules >= 4 THEN 'high' ELSE 'medium' END",
+            "list_sort(coalesce(ids, []))",
+        ),
+        "ins_asset_reachability": insight(
+            "sensitive_asset_reachability",
+            "'insight:asset-reachable:' || asset",
+            "CASE WHEN criticality = 'critical' THEN 'critical' ELSE 'high' END",
+            "evidence",
+            f"({lines(open_, 'repo, asset, asset_name, criticality', ' - public, no auth', 5)})",
+            {"asset": "asset_name", "criticality": "criticality", "n": "n"},
+            assets="[asset]",
+            routes="routes",
+        ),
+        "ins_defense_gap": insight(
+            "defense_gap_in_chain",
+            "'insight:defense-gap:' || place",
+            "CASE WHEN contains(missing, 'authentication') THEN 'high' ELSE 'medium' END",
+            "array_to_string(list_slice(steps, 1, 6), ' | ')",
+            gap,
+            of("path", "missing"),
+        ),
+        "ins_strength_mismatch": insight(
+            "control_strength_mismatch",
+            "'insight:strength-mismatch:' || asset_id",
+            "CASE WHEN criticality = 'critical' THEN 'high' ELSE 'medium' END",
+            "e",
+            mismatch,
+            of("asset", "criticality", "gaps", "expected"),
+            assets="[asset_id]",
+        ),
+        "ins_asymmetric": insight(
+            "asymmetric_protection",
+            "'insight:asymmetric:' || route",
+            "'medium'",
+            "'guarded: ' || w || ' | open: ' || o",
+            split,
+            {"route": "route", "guarded": "guarded", "with": "w", "open": "open", "without": "o"},
+            routes="[route]",
+        ),
         "ins_audit_gap": insight("audit_gap", "'insight:audit-gap:global'", "'medium'", "array_to_string(list_slice(e, 1, 6), ' | ')", unlogged, of("n", "names"), assets="ids"),
         "ins_spof": insight("single_point_of_failure", "'insight:spof:' || lower(name)", "'high'", "'secret:' || name", f"(SELECT * FROM {alone} WHERE {there('authentication')})", of("name")),
-        "ins_admin_no_auth": insight("admin_action_without_auth", "'insight:admin-without-auth'", "'critical'", "evidence", f"({lines(admin, 'repo', ' - public, no auth', 6)})", of("n"), routes="routes"),
+        "ins_admin_no_auth": insight(
+            "admin_action_without_auth",
+            "'insight:admin-without-auth'",
+            "'critical'",
+            "evidence",
+            f"({lines(admin, 'repo', ' - public, no auth', 6)})",
+            of("n"),
+            routes="routes",
+        ),
         "ins_control_bypass": insight("control_bypass", "'insight:control-bypass:' || control", "'medium'", "evidence", bypass, of("n", "control", "files"), controls="ids", routes="routes"),
-        "ins_trust_boundary": insight("trust_boundary_violation", "'insight:trust-boundary-violation'", "'high'", "evidence", f"({lines(inside, 'repo', ' - internal by path, public', 5)})", of("n"), routes="routes"),
-        "ins_stale_signal": insight("stale_or_contradictory_signal", "'insight:stale-signal'", "'informational'", "evidence", f"({lines(stale, 'repo', ' - auth on a benign route', 5)})", of("n"), routes="routes"),
+        "ins_trust_boundary": insight(
+            "trust_boundary_violation",
+            "'insight:trust-boundary-violation'",
+            "'high'",
+            "evidence",
+            f"({lines(inside, 'repo', ' - internal by path, public', 5)})",
+            of("n"),
+            routes="routes",
+        ),
+        "ins_stale_signal": insight(
+            "stale_or_contradictory_signal",
+            "'insight:stale-signal'",
+            "'informational'",
+            "evidence",
+            f"({lines(stale, 'repo', ' - auth on a benign route', 5)})",
+            of("n"),
+            routes="routes",
+        ),
     }
 
 
@@ -344,7 +545,11 @@ def technique_ctes() -> dict[str, str]:
 def library() -> dict[str, str]:
     """All named relations, each after those it reads."""
     out = dict(oracle_ctes())
-    out["clean"] = f"SELECT repo, family, hint, file, CASE WHEN family = 'auth' THEN NULL ELSE line END AS line, CASE WHEN family = 'auth' THEN 0.7::DOUBLE ELSE confidence END AS confidence, seq FROM hint h WHERE family <> 'auth' OR (({AUTH_LIKE}) AND NOT EXISTS (SELECT 1 FROM hint o WHERE o.family <> 'auth' AND o.repo = h.repo AND o.hint = h.hint AND o.file = h.file))"
+    out["clean"] = (
+        f"SELECT repo, family, hint, file, CASE WHEN family = 'auth' THEN NULL ELSE line END AS line, CASE WHEN family = 'auth' THEN 0.7::DOUBLE"
+        f" ELSE confidence END AS confidence, seq FROM hint h WHERE family <> 'auth' OR (({AUTH_LIKE}) AND NOT EXISTS (SELECT 1 FROM hint o"
+        f" WHERE o.family <> 'auth' AND o.repo = h.repo AND o.hint = h.hint AND o.file = h.file))"
+    )
     out["surf"], out["surf_raw"] = surface("clean"), surface("hint")
     raw = chain_ctes()
     out |= raw
@@ -353,7 +558,10 @@ def library() -> dict[str, str]:
         out[f"c{name}"] = own(sql, raw)
     out["found"] = finding_cte()
     title, severity, confidence = threats.FINDINGS["fallback"]
-    out["finding"] = f"SELECT * FROM found UNION ALL SELECT repo, 'fallback', {q(title)}, {q(severity)}, {q(confidence)}, 'No strong pattern was found.' FROM repo WHERE repo NOT IN (SELECT repo FROM found)"
+    out["finding"] = (
+        f"SELECT * FROM found UNION ALL SELECT repo, 'fallback', {q(title)}, {q(severity)}, {q(confidence)}, 'No strong pattern was found.' FROM repo"
+        f" WHERE repo NOT IN (SELECT repo FROM found)"
+    )
     out["path"] = path_cte()
     out |= asset_ctes() | control_ctes() | insight_ctes()
     out["insight"] = " UNION ALL ".join(f"SELECT * FROM {n}" for n in insight_ctes())

@@ -90,7 +90,11 @@ def register(add: Callable) -> None:
         ("tax_insight_map", lambda a: overlay.insight_techniques(a.insights), "ins_tech", "id"),
         ("tax_finding_map", lambda a: overlay.finding_techniques(a.findings), "fnd_tech", "rule"),
     ):
-        add(key, lambda a, b=build, o=own: b(a).select("repo", o, F.array_join("techniques", ",").alias("techniques")), f"SELECT repo, {own}, array_to_string(techniques, ',') AS techniques FROM {relation}")
+        add(
+            key,
+            lambda a, b=build, o=own: b(a).select("repo", o, F.array_join("techniques", ",").alias("techniques")),
+            f"SELECT repo, {own}, array_to_string(techniques, ',') AS techniques FROM {relation}",
+        )
     # Every third row has techniques already; those stay.
     given = "CASE WHEN length(id) % 3 = 0 THEN array('T1071') END"
     add(
@@ -110,14 +114,16 @@ def register(add: Callable) -> None:
     add(
         "det_generators",
         lambda a: paired(a).select("repo", "id", "signal", "title", "rationale", "rule", "insight", "techniques"),
-        f"SELECT repo, 'detect:' || id AS id, {SIGNAL} AS signal, {TITLE} AS title, {WHY} AS rationale, {WHAT} AS rule, id AS insight, array_to_string(techniques, ',') AS techniques FROM {ONE_A_KIND}",
+        f"SELECT repo, 'detect:' || id AS id, {SIGNAL} AS signal, {TITLE} AS title, {WHY} AS rationale, {WHAT} AS rule, id AS insight,"
+        f" array_to_string(techniques, ',') AS techniques FROM {ONE_A_KIND}",
     )
     add("det_first_per_kind", lambda a: paired(a).select("repo", "insight"), f"SELECT repo, id AS insight FROM {ONE_A_KIND}")
     word = "len(list_filter(string_split_regex(lower(o.t), '\\s+'), lambda w: length(w) > 4 AND contains(lower(t.title), w))) > 0"
     add(
         "det_fold_findings",
         lambda a: paired(a).select("repo", "insight", "findings"),
-        f"SELECT o.repo, o.id AS insight, coalesce((SELECT string_agg(title, ' | ' ORDER BY r, title) FROM (SELECT t.* FROM {TITLES} t WHERE t.repo = o.repo AND {word} ORDER BY r, title LIMIT 3)), '') AS findings "
+        f"SELECT o.repo, o.id AS insight, coalesce((SELECT string_agg(title, ' | ' ORDER BY r, title) FROM (SELECT t.* FROM {TITLES} t WHERE t.repo = o.repo"
+        f" AND {word} ORDER BY r, title LIMIT 3)), '') AS findings "
         f"FROM (SELECT *, {TITLE} AS t FROM {ONE_A_KIND}) o",
     )
     add(

@@ -91,7 +91,13 @@ def register(add: Callable, queries: dict, oracles: dict) -> None:
             out = out.join(df.groupBy("repo").agg(F.count("*").alias(name)), "repo", "left")
         return out.na.fill(0)
 
-    distinct = {"n_routes": ("routes", "path, method, file"), "n_calls": (f"({values(extract.CALLS)})", "value, file"), "n_databases": (f"({stores})", "label, file"), "n_hints": (f"({auth})", "label, file"), "n_secrets": (f"({values(extract.SECRETS)})", "value, file")}
+    distinct = {
+        "n_routes": ("routes", "path, method, file"),
+        "n_calls": (f"({values(extract.CALLS)})", "value, file"),
+        "n_databases": (f"({stores})", "label, file"),
+        "n_hints": (f"({auth})", "label, file"),
+        "n_secrets": (f"({values(extract.SECRETS)})", "value, file"),
+    }
     counts = " ".join(f"LEFT JOIN (SELECT repo, count(*) AS {n} FROM (SELECT DISTINCT repo, {keys} FROM {t}) GROUP BY repo) USING (repo)" for n, (t, keys) in distinct.items())
     put(
         "mrg_analyze_repository",

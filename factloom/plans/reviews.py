@@ -22,7 +22,10 @@ def counts(prefix: str = "") -> str:
 def basis(prefix: str) -> str:
     total = f"greatest({' + '.join(f'coalesce({prefix}{k}, 0)' for k in CLASSES)}, 1)"
     half = lambda *names: f"({' + '.join(f'coalesce({prefix}{n}, 0)' for n in names)}) * 2 >= {total}"
-    return f"CASE WHEN {half('observed_runtime_public', 'observed_runtime_internal')} THEN 'observed' WHEN {half('inferred_protocol')} THEN 'inferred_protocol' WHEN {half('low_quality')} THEN 'low_quality' ELSE 'mixed' END"
+    return (
+        f"CASE WHEN {half('observed_runtime_public', 'observed_runtime_internal')} THEN 'observed' WHEN {half('inferred_protocol')} THEN 'inferred_protocol'"
+        f" WHEN {half('low_quality')} THEN 'low_quality' ELSE 'mixed' END"
+    )
 
 
 def mapped(column: str, values: dict[str, str]) -> str:
@@ -58,7 +61,10 @@ def scored() -> str:
         "source_quality_penalty": f"CASE WHEN {low('f.claim')} AND coalesce(s.low_quality, 0) = coalesce(s.n, 0) THEN -10.0::DOUBLE ELSE 0.0::DOUBLE END",
     }
     listed = ", ".join(f"struct_pack(name := {q(k)}, value := {number(f'({v})')})" for k, v in terms.items())
-    return f"SELECT f.repo, f.rule, f.title, coalesce(s.n, 0) AS n, [{listed}] AS factors FROM claims f LEFT JOIN ({stats}) s ON s.repo = f.repo AND s.rule = f.rule LEFT JOIN ({depths}) d ON d.repo = f.repo AND d.rule = f.rule"
+    return (
+        f"SELECT f.repo, f.rule, f.title, coalesce(s.n, 0) AS n, [{listed}] AS factors FROM claims f LEFT JOIN ({stats}) s ON s.repo = f.repo"
+        f" AND s.rule = f.rule LEFT JOIN ({depths}) d ON d.repo = f.repo AND d.rule = f.rule"
+    )
 
 
 def factor_list(terms: tuple[str, ...]) -> str:
@@ -97,10 +103,16 @@ def register(put: Callable[[str, Callable[[Any], Any], str | None], None], class
 
     LIBRARY["classed"] = f"SELECT *, {class_of} AS class FROM surf"
     LIBRARY["claims"] = f"SELECT *, {CLAIM} AS claim FROM finding"
-    LIBRARY["related"] = "SELECT f.repo, f.rule, f.claim, s.* EXCLUDE (repo) FROM claims f JOIN classed s ON f.repo = s.repo WHERE contains(f.claim, lower(s.route)) OR contains(f.claim, lower(s.file)) OR contains(f.claim, lower(s.category))"
+    LIBRARY["related"] = (
+        "SELECT f.repo, f.rule, f.claim, s.* EXCLUDE (repo) FROM claims f JOIN classed s ON f.repo = s.repo WHERE contains(f.claim, lower(s.route))"
+        " OR contains(f.claim, lower(s.file)) OR contains(f.claim, lower(s.category))"
+    )
     LIBRARY["every"] = f"SELECT repo, {counts('all_')} FROM classed GROUP BY repo"
     LIBRARY["related_counts"] = f"SELECT repo, rule, {counts()} FROM related GROUP BY repo, rule"
-    LIBRARY["of_basis"] = f"SELECT f.*, CASE WHEN r.low_quality IS NULL THEN {basis('e.all_')} ELSE {basis('r.')} END AS basis FROM finding f LEFT JOIN related_counts r ON r.repo = f.repo AND r.rule = f.rule LEFT JOIN every e ON e.repo = f.repo"
+    LIBRARY["of_basis"] = (
+        f"SELECT f.*, CASE WHEN r.low_quality IS NULL THEN {basis('e.all_')} ELSE {basis('r.')} END AS basis FROM finding f LEFT"
+        f" JOIN related_counts r ON r.repo = f.repo AND r.rule = f.rule LEFT JOIN every e ON e.repo = f.repo"
+    )
     joined = "lower(array_to_string(p.steps, ' '))"
     LIBRARY["routed"] = f"SELECT DISTINCT x.repo, x.rule, p.place FROM related x JOIN path p ON p.repo = x.repo WHERE x.route <> '' AND contains({joined}, lower(x.route))"
     LIBRARY["related_path"] = """SELECT f.repo, f.rule, p.place, p.name, p.steps FROM claims f JOIN path p ON p.repo = f.repo LEFT JOIN routed x ON x.repo = f.repo AND x.rule = f.rule AND x.place = p.place
@@ -110,50 +122,84 @@ def register(put: Callable[[str, Callable[[Any], Any], str | None], None], class
 
     add("rvj_evidence_class", lambda a: a.surfaces.select("repo", "route", "method", "file", review.evidence_class().alias("class")), f"SELECT repo, route, method, file, class FROM {classed}")
     add("rvj_evidence_counts", lambda a: review.evidence_counts(a.surfaces), f"SELECT repo, {counts()} FROM {classed} GROUP BY repo")
-    add("rnk_related_surfaces", lambda a: review.related_surfaces(a.findings, a.surfaces).groupBy("repo", "rule").agg(F.count("*").alias("n")), f"SELECT repo, rule, count(*) AS n FROM {related} GROUP BY repo, rule")
+    add(
+        "rnk_related_surfaces",
+        lambda a: review.related_surfaces(a.findings, a.surfaces).groupBy("repo", "rule").agg(F.count("*").alias("n")),
+        f"SELECT repo, rule, count(*) AS n FROM {related} GROUP BY repo, rule",
+    )
     add(
         "rnk_related_paths",
         lambda a: review.related_paths(a.findings, a.surfaces, a.paths),
         "SELECT repo, rule, place, name FROM related_path",
     )
-    add("rnk_numeric_confidence", lambda a: a.findings.select("repo", "rule", review.numeric_confidence(F.col("evidence")).alias("value")), "SELECT repo, rule, try_cast(regexp_extract(lower(evidence), 'confidence=([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE) AS value FROM finding")
+    add(
+        "rnk_numeric_confidence",
+        lambda a: a.findings.select("repo", "rule", review.numeric_confidence(F.col("evidence")).alias("value")),
+        "SELECT repo, rule, try_cast(regexp_extract(lower(evidence), 'confidence=([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE) AS value FROM finding",
+    )
     LIBRARY["scored"] = scored()
     total = " + ".join(f"list_filter(factors, lambda x: x.name = {q(k)})[1].value" for k in FACTORS)
     score = even(total, 2)
-    add("rnk_finding", lambda a: review.finding_scores(a.findings, a.surfaces, a.paths).select("repo", "rule", "title", "score", "n_related"), f"SELECT repo, rule, title, {score} AS score, n AS n_related FROM scored")
+    add(
+        "rnk_finding",
+        lambda a: review.finding_scores(a.findings, a.surfaces, a.paths).select("repo", "rule", "title", "score", "n_related"),
+        f"SELECT repo, rule, title, {score} AS score, n AS n_related FROM scored",
+    )
     best = "list_slice(list_sort(list_transform(list_zip(factors, range(1, len(factors) + 1)), lambda z: struct_pack(down := -z[1].value, i := z[2], name := z[1].name))), 1, 3)"
     reasons = f"array_to_string(list_transform(list_filter({best}, lambda x: x.down < 0), lambda x: x.name || '=' || printf('%.1f', {even('-x.down', 1)})), ', ')"
     add("rnk_top_reasons", lambda a: review.finding_scores(a.findings, a.surfaces, a.paths).select("repo", "rule", "reasons"), f"SELECT repo, rule, {reasons} AS reasons FROM scored")
     add("rnk_path", lambda a: ranking.path_scores(a.paths).select("repo", "place", "name", "score"), path_score()[0])
     add("rvj_related", lambda a: review.with_basis(a.findings, a.surfaces).select("repo", "rule", "basis"), f"SELECT repo, rule, basis FROM {of_basis}")
     add("rvj_basis", lambda a: review.evidence_counts(a.surfaces).select("repo", review.basis().alias("basis")), f"SELECT repo, {basis('all_')} AS basis FROM {every}")
-    add("rvj_weaknesses", lambda a: review.weaknesses(a.findings, a.surfaces), f"SELECT repo, rn::INTEGER AS place, title, severity, confidence, basis, evidence, {acts} AS mitigation FROM (SELECT *, {PLACED} AS rn FROM {of_basis}) WHERE rn <= 8")
+    add(
+        "rvj_weaknesses",
+        lambda a: review.weaknesses(a.findings, a.surfaces),
+        f"SELECT repo, rn::INTEGER AS place, title, severity, confidence, basis, evidence, {acts} AS mitigation FROM (SELECT *, {PLACED} AS rn FROM {of_basis}) WHERE rn <= 8",
+    )
     add(
         "rvj_recommendations",
         lambda a: review.recommendations(a.findings, a.surfaces),
-        f"SELECT repo, rn::INTEGER AS place, severity AS priority, basis, action, title AS finding FROM (SELECT *, {PLACED} AS rn FROM (SELECT *, {acts} AS action, row_number() OVER (PARTITION BY repo, {acts} ORDER BY {rank('severity', threats.SEVERITIES)}, title, rule) AS first FROM {of_basis}) WHERE first = 1) WHERE rn <= 8",
+        f"SELECT repo, rn::INTEGER AS place, severity AS priority, basis, action, title AS finding FROM (SELECT *, {PLACED} AS rn FROM (SELECT *, {acts}"
+        f" AS action, row_number() OVER (PARTITION BY repo, {acts} ORDER BY {rank('severity', threats.SEVERITIES)}, title, rule) AS first FROM {of_basis})"
+        f" WHERE first = 1) WHERE rn <= 8",
     )
     risk = rank("risk", surfaces.RISKS)
     add(
         "rvj_hotspots",
         lambda a: review.hotspots(a.surfaces),
-        f"SELECT repo, rn::INTEGER AS place, method, route, file, category, risk, exposure, class FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {risk}, exposure <> 'public', route, seq) AS rn FROM {classed} s WHERE NOT {low('file')} OR NOT EXISTS (SELECT 1 FROM surf t WHERE t.repo = s.repo AND NOT {low('t.file')})) WHERE rn <= 6",
+        f"SELECT repo, rn::INTEGER AS place, method, route, file, category, risk, exposure, class FROM (SELECT *, row_number() OVER (PARTITION BY repo"
+        f" ORDER BY {risk}, exposure <> 'public', route, seq) AS rn FROM {classed} s WHERE NOT {low('file')} OR NOT EXISTS (SELECT 1 FROM surf t"
+        f" WHERE t.repo = s.repo AND NOT {low('t.file')})) WHERE rn <= 6",
     )
     said = "lower(array_to_string(steps, ' '))"
-    add("rvj_evidence_chains", lambda a: review.evidence_chains(a.paths).withColumn("steps", F.array_join("steps", " | ")), f"SELECT repo, place, name, CASE WHEN contains({said}, 'entry:') AND contains({said}, 'confidence=') THEN 'observed_plus_inferred' WHEN contains({said}, 'entry:') THEN 'observed' ELSE 'inferred' END AS basis, array_to_string(steps[:8], ' | ') AS steps FROM path WHERE place <= 6")
-    few = lambda source, order, value, n: f"SELECT repo, string_agg(v, ' | ' ORDER BY rn) AS evidence FROM (SELECT repo, {value} AS v, row_number() OVER (PARTITION BY repo ORDER BY {order}) AS rn FROM {source}) WHERE rn <= {n} GROUP BY repo"
+    add(
+        "rvj_evidence_chains",
+        lambda a: review.evidence_chains(a.paths).withColumn("steps", F.array_join("steps", " | ")),
+        f"SELECT repo, place, name, CASE WHEN contains({said}, 'entry:') AND contains({said}, 'confidence=') THEN 'observed_plus_inferred' WHEN contains({said},"
+        f" 'entry:') THEN 'observed' ELSE 'inferred' END AS basis, array_to_string(steps[:8], ' | ') AS steps FROM path WHERE place <= 6",
+    )
+    few = lambda source, order, value, n: (
+        f"SELECT repo, string_agg(v, ' | ' ORDER BY rn) AS evidence FROM (SELECT repo, {value} AS v, row_number() OVER (PARTITION BY repo ORDER BY {order})"
+        f" AS rn FROM {source}) WHERE rn <= {n} GROUP BY repo"
+    )
     parts = {
         "auth": (1, "observed", few("(SELECT DISTINCT repo, hint FROM clean WHERE family = 'auth')", "hint", "hint", 8)),
         "internal": (2, "inferred", few("(SELECT * FROM surf WHERE exposure = 'internal')", "seq", f"method || ' ' || route || ' (' || {place()} || ')'", 6)),
         "secret": (3, "observed", few("secret_hint", "seq", "name || ' (' || file || ')'", 8)),
     }
     strong = " UNION ALL ".join(f"SELECT repo, {i} AS place, {q(review.SAID[k])} AS statement, '{b}' AS basis, evidence FROM ({sql})" for k, (i, b, sql) in parts.items())
-    add("rvj_strengths", lambda a: review.strengths(a.clean, a.surfaces), f"{strong} UNION ALL SELECT repo, 1, {q(review.SAID['none'])}, 'inferred', '' FROM repo WHERE repo NOT IN (SELECT repo FROM ({strong}))")
+    add(
+        "rvj_strengths",
+        lambda a: review.strengths(a.clean, a.surfaces),
+        f"{strong} UNION ALL SELECT repo, 1, {q(review.SAID['none'])}, 'inferred', '' FROM repo WHERE repo NOT IN (SELECT repo FROM ({strong}))",
+    )
     has = lambda marks: f"bool_or({any_of('w', marks)})"
     add(
         "ctx_domain_hints",
         lambda a: review.domain_hints(a.clean).select("repo", F.array_join("tags", ",").alias("tags")),
-        f"SELECT repo, CASE WHEN a OR b OR l THEN concat_ws(',', CASE WHEN a THEN 'atproto' END, CASE WHEN b THEN 'bluesky' END, CASE WHEN l THEN 'laminas' END) ELSE 'general' END AS tags FROM (SELECT r.repo, {has(review.ATPROTO_MARKS + review.BLUESKY_MARKS)} AS a, {has(review.BLUESKY_MARKS)} AS b, {has(review.LAMINAS_MARKS)} AS l"
+        f"SELECT repo, CASE WHEN a OR b OR l THEN concat_ws(',', CASE WHEN a THEN 'atproto' END, CASE WHEN b THEN 'bluesky' END, CASE WHEN l THEN 'laminas' END)"
+        f" ELSE 'general' END AS tags FROM (SELECT r.repo, {has(review.ATPROTO_MARKS + review.BLUESKY_MARKS)} AS a, {has(review.BLUESKY_MARKS)} AS b,"
+        f" {has(review.LAMINAS_MARKS)} AS l"
         " FROM repo r LEFT JOIN (SELECT repo, lower(path || ' ' || file) AS w FROM route UNION ALL SELECT repo, lower(hint) FROM clean WHERE family = 'auth') x ON x.repo = r.repo GROUP BY r.repo)",
     )
     n = lambda name, table, more="": f"'{name}=' || (SELECT count(*) FROM {table} x WHERE x.repo = r.repo{more})"
@@ -161,11 +207,17 @@ def register(put: Callable[[str, Callable[[Any], Any], str | None], None], class
     add(
         "prm_repo_context",
         lambda a: review.repo_context(a.clean),
-        f"SELECT repo, concat_ws('; ', 'root=' || repo, 'files_scanned=' || (SELECT count(DISTINCT file) FROM ({files}) x WHERE x.repo = r.repo), {n('routes', 'route')}, {n('external_calls', 'external_call')}, 'datastores=' || coalesce((SELECT string_agg(kind, ', ' ORDER BY kind) FROM (SELECT DISTINCT repo, kind FROM database_hint) x WHERE x.repo = r.repo), 'none'), "
+        f"SELECT repo, concat_ws('; ', 'root=' || repo, 'files_scanned=' || (SELECT count(DISTINCT file) FROM ({files}) x WHERE x.repo = r.repo),"
+        f" {n('routes', 'route')}, {n('external_calls', 'external_call')}, 'datastores=' || coalesce((SELECT string_agg(kind, ', ' ORDER BY kind)"
+        f" FROM (SELECT DISTINCT repo, kind FROM database_hint) x WHERE x.repo = r.repo), 'none'), "
         + n("auth_hints", "clean", " AND x.family = 'auth'") + ", " + n("secret_hints", "secret_hint") + ") AS context FROM repo r",
     )
     kept = ", ".join(f"count(*) FILTER (WHERE class = '{k}') AS {k}" for k in CLASSES if k != "inferred")
-    add("prm_evidence_counts", lambda a: review.prompt_counts(a.surfaces), f"SELECT repo, {kept} FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY seq) AS rn FROM {classed}) WHERE rn <= 50 GROUP BY repo")
+    add(
+        "prm_evidence_counts",
+        lambda a: review.prompt_counts(a.surfaces),
+        f"SELECT repo, {kept} FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY seq) AS rn FROM {classed}) WHERE rn <= 50 GROUP BY repo",
+    )
     documents(add)
 
 
@@ -225,9 +277,13 @@ def documents(add: Callable) -> None:
     add(
         "ctx_build",
         lambda a: pack(a).select("repo", *(F.get_json_object("pack", p).alias(k) for k, p in said.items())),
-        f"SELECT r.repo, 'review_context_pack' AS artifact, {q(review.PACK_VERSION)} AS version, r.repo AS root, '/examples/' AS segment, {q(review.LIMITATIONS[0])} AS limits, '[\"' || replace(tags, ',', '\",\"') || '\"]' AS tags FROM repo r JOIN ({tagged}) t USING (repo)",
+        f"SELECT r.repo, 'review_context_pack' AS artifact, {q(review.PACK_VERSION)} AS version, r.repo AS root, '/examples/' AS segment,"
+        f" {q(review.LIMITATIONS[0])} AS limits, '[\"' || replace(tags, ',', '\",\"') || '\"]' AS tags FROM repo r JOIN ({tagged}) t USING (repo)",
+    )
+    placed = (
+        f"SELECT *, 'finding:' || place AS id, {acts} AS mitigation FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {by}, title, rule) AS place"
+        f" FROM finding) WHERE place <= {review.PROMPT_SHOWN['findings']}"
     )
-    placed = f"SELECT *, 'finding:' || place AS id, {acts} AS mitigation FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {by}, title, rule) AS place FROM finding) WHERE place <= {review.PROMPT_SHOWN['findings']}"
     shown = {
         "attack_paths": f"SELECT *, 'path:' || place AS id FROM path WHERE place <= {review.PROMPT_SHOWN['paths']}",
         "attack_surfaces": f"SELECT *, 'surface:' || place AS id FROM ({few(review.PROMPT_SHOWN['surfaces'])})",

@@ -58,10 +58,12 @@ def demand_sql() -> str:
     for i, d in enumerate(DEMANDS):
         get = lambda k, f, default=None: d.get(k, {}).get(f, default)  # noqa: E731, B023
         rows.append(
-            f"SELECT {i} AS kind, {q(get('grounding', 'citation_pattern', rubric.CITATION))} AS pattern, {listed(get('grounding', 'allowed_ids'))} AS allowed, {get('grounding', 'min_citations', 0)} AS least, "
+            f"SELECT {i} AS kind, {q(get('grounding', 'citation_pattern', rubric.CITATION))} AS pattern, {listed(get('grounding', 'allowed_ids'))} AS allowed,"
+            f" {get('grounding', 'min_citations', 0)} AS least, "
             f"{q(get('observed_inferred', 'observed_token', rubric.OBSERVED))} AS seen, {q(get('observed_inferred', 'inferred_token', rubric.INFERRED))} AS guessed, "
             f"{get('observed_inferred', 'min_observed', 0)} AS least_seen, {get('observed_inferred', 'min_inferred', 0)} AS least_guessed, "
-            f"{get('strengths', 'min_items', 0)} AS ns, {listed(get('strengths', 'required_keywords'))} AS ws, {get('weaknesses_hotspots', 'min_items', 0)} AS nw, {listed(get('weaknesses_hotspots', 'required_terms'))} AS ww, "
+            f"{get('strengths', 'min_items', 0)} AS ns, {listed(get('strengths', 'required_keywords'))} AS ws, {get('weaknesses_hotspots', 'min_items', 0)} AS nw,"
+            f" {listed(get('weaknesses_hotspots', 'required_terms'))} AS ww, "
             f"{get('recommendations', 'min_items', 0)} AS nr, {listed(get('recommendations', 'action_verbs'))} AS wr, "
             f"{listed(get('false_positive_control', 'banned_phrases'))} AS banned, {listed(get('false_positive_control', 'required_cautions'))} AS cautions"
         )
@@ -123,7 +125,10 @@ def register(queries: dict, oracles: dict) -> None:
     queries["evl_section"] = lambda spark, sf_dir: cases(spark, sf_dir).where("text is not null").select("fixture_id", *(rubric.section(F.col("text"), h).alias(k) for k, h in rubric.HEADINGS.items()))
     oracles["evl_section"] = SQL + "SELECT 'fixture-' || conv_id AS fixture_id, s AS strengths, w AS weaknesses, r AS recommendations FROM cut"
     queries["evl_bullets"] = lambda spark, sf_dir: rubric.evaluate(cases(spark, sf_dir)).where("text is not null").select("fixture_id", "n_strengths", "n_weaknesses", "n_recommendations")
-    oracles["evl_bullets"] = SQL + f"SELECT 'fixture-' || conv_id AS fixture_id, {items('s')}::INTEGER AS n_strengths, {items('w')}::INTEGER AS n_weaknesses, {items('r')}::INTEGER AS n_recommendations FROM cut"
+    oracles["evl_bullets"] = SQL + (
+        f"SELECT 'fixture-' || conv_id AS fixture_id, {items('s')}::INTEGER AS n_strengths, {items('w')}::INTEGER AS n_weaknesses, {items('r')}::INTEGER"
+        f" AS n_recommendations FROM cut"
+    )
     queries["evl_score"] = lambda spark, sf_dir: rubric.evaluate(cases(spark, sf_dir)).select("fixture_id", "score", "passed_checks", "total_checks", "status")
     oracles["evl_score"] = SQL + "SELECT fixture_id, score, passed_checks, total_checks, status FROM scored"
     queries["evl_suite"] = lambda spark, sf_dir: rubric.suite(rubric.evaluate(cases(spark, sf_dir)))
