@@ -188,16 +188,23 @@ class Table:
             edge[side] = int(own.bin.to_numpy()[enough[0]]) if len(enough) else 0
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
             for b in batches:
                 if not b.num_rows:
                     continue
                 x, ids, z = scored(b)
                 for side, own in ((0, -z), (1, z)):
                     best = np.flatnonzero((own > SURE) & (((own - SURE) * BIN).astype(np.int64).clip(0, BINS) >= edge[side]))
-                    if len(best) and most[side]:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), side, np.int32)), pa.array(own[best]), pa.array(ids[best]), pa.array(list(x[best]), pa.list_(pa.float32()))], ["side", "z", "doc_id", "x"])
-
-        # Rows at the threshold may tie in any number: they are limited in many groups, then in one.
+                    found = own[best], ids[best], x[best]
+                    if side in held:
+                        found = tuple(np.concatenate(c) for c in zip(held[side], found, strict=True))
+                    first = np.lexsort((found[1], -found[0]))[: most[side]]
+                    held[side] = tuple(c[first] for c in found)
+            for side, (own, ids, x) in held.items():
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), side, np.int32)), pa.array(own), pa.array(ids), pa.array(list(x), pa.list_(pa.float32()))], ["side", "z", "doc_id", "x"])
+
+        # Rows at the threshold may tie in any number: they are limited in each task, in many groups, then in one.
         found = self.rows.mapInArrow(tidy(run), "side int, z double, doc_id long, x array<float>").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
         for keys in (["side", "salt"], ["side"]):
             first = Window.partitionBy(*keys).orderBy(F.desc("z"), "doc_id", "x")

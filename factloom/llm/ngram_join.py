@@ -57,6 +57,8 @@ VALUES, OFTEN, LEAST_OFTEN = 1 << 20, 4, 64
 ENTRIES = 1_000_000
 BLOCK = 500_000
 MEMBERS = 8192
+#: Words whose names a task remembers, and signatures that a task collects before it sends them.
+WORDS_HELD, SENT = 150_000, 400_000
 #: Cost of a probe against that of a step of the merge, as DivideSkip weighs them.
 MU = 0.0085
 
@@ -65,7 +67,7 @@ class WordNames(dict):
     """64-bit hashes of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > WORDS_HELD:
             self.clear()
         self[word] = x = xxhash.xxh3_64_intdigest(word)
         return x
@@ -215,7 +217,7 @@ def sent(docs: DataFrame, tasks: int, shared: tuple[frozenset[int], ...] = (), o
                 nodes[node] = len(signs)
                 signs.append(signatures(s, held.value))
                 size += len(signs[-1])
-                if size >= ENTRIES or len(signs) == 1 << 16:
+                if size >= SENT or len(signs) == 1 << 16:
                     yield flush()
                     signs, nodes, size = [], {}, 0
         if signs:
@@ -481,7 +483,7 @@ def classes(docs: DataFrame) -> DataFrame:
             break
         shared = (*shared, frozenset(x % 2**64 for x in clashes))
     total = own.agg(F.sum("n")).first()[0] or 0
-    tasks = max(16, -(-int(total) // (2 * ENTRIES)))
+    tasks = max(16, -(-int(total) // ENTRIES))
     nodes = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("uid"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = written(nodes, "nodes")
     near = components(candidates(bucketed(sent(docs, tasks, shared, frequent(own)), tasks), nodes), "near")
