@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from factloom.llm.common import byte_texts, in_fold, small_batches, tidy, written
 from factloom.llm.quality_rules import FEATURES, one_an_id, text_stats
 
-#: Bound on the labelled rows.
-TRAIN_ROWS = 12_000
+#: Bound on the labelled rows, and the number of labelled ids up to which they are sent to every task.
+TRAIN_ROWS, SENT_IDS = 12_000, 1_000_000
 ROUNDS = 5
 SURE_PER_ROUND = 400
 META = ("lang", "source", "n_chars")
@@ -280,8 +280,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     x = np.array([tuple(v) for v in got.x], float).reshape(len(got), cut + LANGS + SOURCES + 3)
     label = got.label.to_numpy().astype(float)
     spare = np.array([zlib.crc32(f"spare {i}".encode()) % 4 == 0 for i in got.doc_id], bool) if len(got) else np.zeros(0, bool)
-    unlabelled = own.where("doc_id is not null").join(given.select("doc_id").distinct(), "doc_id", "left_anti")
-    pool = Table(written(unlabelled.mapInArrow(tidy(narrow), "doc_id long, x array<float>"), "pool"), cut)
+    # Texts aren't joined: features are, with the ids of labelled rows, which are sent to all tasks if they are few.
+    known = given.select("doc_id").distinct()
+    known = F.broadcast(known) if known.count() <= SENT_IDS else known
+    unlabelled = own.where("doc_id is not null").mapInArrow(tidy(narrow), "doc_id long, x array<float>").join(known, "doc_id", "left_anti")
+    pool = Table(written(unlabelled, "pool"), cut)
     return co_train_with(x[:, :cut], x[:, cut:], label, spare, pool)
 
 
