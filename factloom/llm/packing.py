@@ -36,9 +36,9 @@ FEW, GROUPS, GROUP_ROWS = 500, 64, 200_000
 #: Groups up to which their first ranks are sent to every task.
 BROADCAST_ROWS = 500_000
 #: Entries of a worker's memory of tokenized words; it starts afresh beyond that.
-MEMORY = 60_000
+MEMORY = 600_000
 #: Code points that are tokenized at once.
-AT_ONCE = 500_000
+AT_ONCE = 4_000_000
 #: White space besides spaces and line ends.
 OTHER_WHITE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Fixed value: the rule by which byte-level vocabularies of this kind cut texts.
