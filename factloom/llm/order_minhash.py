@@ -139,18 +139,14 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     firsts = [F.first(c).alias(c) for c in ("n_chars", "entries")]
     rows = written(entries.groupBy("doc_id", "digest").agg(*firsts, F.count("*").alias("copies")), "fingerprints")
     pairs = next_of(rows.select("doc_id", F.hex("digest").alias("sha"), F.shiftright("n_chars", 1).alias("half"), "copies", "entries"))
-    texts = read.groupBy("doc_id", "digest").agg(F.first("_text").alias("_text"))
-    pairs = pairs.select(F.col("doc_id").alias("of_id"), F.unhex("sha").alias("of_digest"), "half", F.col("to_id").alias("doc_id"), F.unhex("to_sha").alias("digest"), "times", "near_next")
-
-    def joined(left: DataFrame, right: DataFrame, *names: str) -> DataFrame:
-        """By id, null being one, and digest."""
-        on = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.digest") == F.col("b.digest"))
-        return left.alias("a").join(right.alias("b"), on).select("a.*", *(f"b.{n}" for n in names))
-
-    lent = joined(pairs, texts, "_text").select(F.col("of_id").alias("doc_id"), F.col("of_digest").alias("digest"), F.substring("_text", F.lit(1), F.col("half")).alias("lent"), "times", "near_next")
-    met = joined(joined(texts, lent, "lent", "times", "near_next"), rows, "n_chars", "entries")
+    # keys without nulls, so that grouped texts stay where they are for both joins
+    key = lambda i, digest: F.struct(i.isNotNull().alias("named"), F.coalesce(i, F.lit(0).cast("long")).alias("id"), digest.alias("digest")).alias("_key")
+    texts = read.select(key(F.col("doc_id"), F.col("digest")), "_text").groupBy("_key").agg(F.first("_text").alias("_text"))
+    wanted = pairs.select(key(F.col("doc_id"), F.unhex("sha")).alias("_of"), "half", key(F.col("to_id"), F.unhex("to_sha")), "times", "near_next")
+    lent = wanted.join(texts, "_key").select(F.col("_of").alias("_key"), F.substring("_text", F.lit(1), F.col("half")).alias("lent"), "times", "near_next")
+    met = texts.join(lent, "_key").join(rows.select(key(F.col("doc_id"), F.col("digest")), "n_chars", "entries"), "_key")
     kept = F.substring("_text", F.lit(1), F.col("n_chars") - F.shiftright("n_chars", 1))
-    edited = met.select("doc_id", F.col("n_chars").cast("long"), "entries", "times", "near_next", F.concat(kept, F.col("lent")).alias("_text"))
+    edited = met.select(F.when(F.col("_key.named"), F.col("_key.id")).alias("doc_id"), F.col("n_chars").cast("long"), "entries", "times", "near_next", F.concat(kept, F.col("lent")).alias("_text"))
     out = fingerprinted(edited.withColumn("edited_sha256", F.sha2("_text", 256)), "_text", "edited").drop("_text")
     out = out.withColumn("fingerprint", shown(F.col("entries"))).withColumn("edited_fingerprint", shown(F.col("edited"))).withColumn("near_edited", likeness(F.col("entries"), F.col("edited")))
     many = out.withColumn("_span", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright(F.col("times") - 1, 16)))).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(1 << 16).cast("long"), F.col("times") - F.shiftleft("_span", 16)))))
