@@ -59,10 +59,12 @@ CELLS, PAIRS = 4096, 50_000
 #: Hosts and bytes of reference pages that a task holds before it sends them on.
 HELD_HOSTS, HELD_BYTES = 2000, 64_000_000
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^>\"'])*>?", re.S)
+#: A tag is a name and attributes; quotes count only where a value begins, so an apostrophe elsewhere swallows nothing.
+VALUE = r"\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]++|)"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*+(?:[\s/]++|=?[^\s=>/]++(?:{VALUE})?+|=)*+>?", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-#: Attributes one by one; a quoted text without a name is taken whole, so that nothing within it is read as an attribute.
-ATTRIBUTE = re.compile(r"\"[^\"]*\"|'[^']*'|([^\s=>/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Attributes one by one.
+ATTRIBUTE = re.compile(r"=?([^\s=>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 # Element names of HTML, and common class and id names of page furniture.
 BLOCK = frozenset("html body article section nav aside header footer main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption form fieldset blockquote pre figure figcaption address hr details summary dialog menu center".split())
@@ -133,6 +135,7 @@ def parse(text: str) -> Node:
     inside = 0  # articles that are open
     opened: Counter[str] = Counter()
     link = plain = False
+    unclosed: set[str] = set()  # elements without a further end tag
 
     def flush() -> None:
         nonlocal plain
@@ -179,7 +182,9 @@ def parse(text: str) -> Node:
             continue
         if tag in RAW or tag in DROPPED and tag not in BLOCK and tag not in ("label", "object"):
             if not token.endswith("/>"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(text, pos)
+                end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(text, pos)
+                if end is None:
+                    unclosed.add(tag)
                 pos = end.end() if end else len(text) if tag in RAW else pos
             words.append(" ")
             continue

@@ -123,3 +123,17 @@ def test_repeated_rows_empty_table_and_clashing_columns(spark):
     frame = spark.createDataFrame(rows, PAGES).selectExpr("*", "1 as host", "'x' as text", "2 as salt", "3 as blob")
     assert [r.text for r in H.html_extraction(frame).collect()] == ["same"] * 6
     assert H.html_extraction(frame.limit(0)).count() == 0
+
+
+def test_quotes_count_where_a_value_begins():
+    read = lambda page: H.main_text(H.finish(H.parse(page)), None)[0]
+    assert read("<main><p>It is <a title=it's>ok</a> that's</p></main>") == "It is ok that's"
+    assert read("<main><p class='a>b' title=\"x>y\">one</p><p 'odd name>two</p><p a=\"b>three</p></main>").startswith("one\ntwo")
+    assert read("<main><p data-x = 'it > is' b=c'd e=\"'\">four</p><p title=>five</p></main>") == "four\nfive"
+    assert read("<main><p>5 o'clock <b class=x'y>six</b> o'clock</p></main>") == "5 o'clock six o'clock"
+
+
+def test_unclosed_elements_are_read_once():
+    began = time.time()
+    H.parse("<main>" + "<button>b <svg><select>" * 20_000)
+    assert time.time() - began < 5
