@@ -35,10 +35,11 @@ END = 2
 FEW, GROUPS, GROUP_ROWS = 500, 64, 200_000
 #: Groups up to which their first ranks are sent to every task.
 BROADCAST_ROWS = 500_000
-#: Entries of a worker's memory of tokenized words; it starts afresh beyond that.
-MEMORY = 600_000
-#: Code points that are tokenized at once.
-AT_ONCE = 4_000_000
+#: Bytes of a worker's memory of tokenized words, with what Python needs for each; it starts afresh beyond that. Longer words
+#: than LONG characters aren't kept.
+MEMORY, ENTRY, LONG = 128_000_000, 200, 1000
+#: Code points that are tokenized at once; a longer text is alone.
+AT_ONCE = 2_000_000
 #: White space besides spaces and line ends.
 OTHER_WHITE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Fixed value: the rule by which byte-level vocabularies of this kind cut texts.
@@ -70,6 +71,7 @@ class Ids:
         #: By id: whether the token begins with a space, which byte-level vocabularies write as a letter of their own.
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "")[:1] == "\u0120" for i in range(self.tokenizer.get_vocab_size())])
         self.known: dict[str, bytes] = {}
+        self.held = 0  # bytes that the known words take
         self.encode = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         own = json.loads(self.tokenizer.to_str())
         model = own["model"]
@@ -114,12 +116,17 @@ class Ids:
         cut = pc.split_pattern(pa.array([("\n" + t).replace("\n", " \n")[1:] for t in texts], pa.large_string()), " ")
         coded = cut.values.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.known) > MEMORY:
+        if self.held > MEMORY:
             self.known.clear()
+            self.held = 0
         known = self.known
         if new := [w for w in words if w not in known]:
             self.learn(new)
         data = [known[w] for w in words]
+        self.held += sum(ENTRY + len(w) + len(known[w]) for w in new)
+        for w in [w for w in new if len(w) > LONG]:
+            del known[w]
+            known.pop(w[:-1], None)
         size = np.fromiter(map(len, data), np.int64, len(data)) // 4
         begin, flat = np.cumsum(size) - size, np.frombuffer(b"".join(data), "<u4")
         code = coded.indices.to_numpy()
