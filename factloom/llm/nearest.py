@@ -1,7 +1,8 @@
 """Nearest neighbours by block matrix join: int8 product tiles bound every distance, survivors are computed exactly.
 
 Queries go to the tasks in the order of their ids, in chunks of at most ``CHUNK`` rows and ``CHUNK_BYTES`` bytes; each
-pass over the table holds one chunk against all candidates, batch by batch. A vector is its int8 codes times a scale plus a remainder of known length, so the product of
+pass over the table holds one chunk against all candidates, batch by batch, and writes what it finds, so the driver and
+each task hold one chunk (at most ``CHUNK_BYTES``, its codes an eighth of that, and a tile of distances). A vector is its int8 codes times a scale plus a remainder of known length, so the product of
 two tiles of codes (whole numbers, exact in 32-bit floats up to 1040 components, in 64-bit ones beyond) gives each
 distance up to the two remainders' lengths. Candidates whose lower bound is above the k-th smallest upper bound, or
 above the k-th distance found so far, are out; for the others the Euclidean distance of the original vectors is
@@ -138,7 +139,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], ["query_id", "vec_id", "score"])
 
-        part = rows.mapInArrow(tidy(run), "query_id long, vec_id long, score double")
+        part = written(rows.mapInArrow(tidy(run), "query_id long, vec_id long, score double"), "pass")
+        sent.destroy()  # what the pass found is written; the driver and the executors hold one chunk of queries at a time
         found = part if found is None else found.union(part)
         if len(got) < step:
             break
