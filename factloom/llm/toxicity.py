@@ -18,7 +18,7 @@ whose labels ignore them wins over the prior. The document's score joins its cla
 
 Insults are learned as stems, word prefixes that mark labelled toxic texts, from a sample bounded in rows
 (``TRAIN_ROWS``) and bytes (``TRAIN_BYTES``), in the order of a hash of the id. A stem that a few toxic texts share needs
-three families of them (two if the sample has ``FEW_FAMILIES`` or less, as chance pairs are rare there).
+three families of them, however large the sample is.
 
 Edge cases: a null or empty text has no clause and scores the base rate of texts without a match; without labelled
 rows, or with labels of one class only, there are no insults, and only threats score; a null id is not held out
@@ -47,8 +47,6 @@ from factloom.llm.quality_rules import label_sample, one_an_id, texts_of
 
 #: Bounds on the labelled rows that the grammar is fitted on, and on the bytes of their texts.
 TRAIN_ROWS, TRAIN_BYTES = 12_000, 128_000_000
-#: Families of toxic texts up to which two of them make a stem.
-FEW_FAMILIES = 200
 TOXIC_AT = 0.7
 LETTERS = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n\r]+")
@@ -241,7 +239,7 @@ def learn_stems(texts: list[str], toxic: list[int], sure: int = 8, purity: float
     """Word prefixes whose texts are nearly all toxic, each grown to what its words share, with log odds as weight.
 
     Support counts families of texts, not texts, so that copies of one toxic text don't make its other words insults: a
-    family is the smallest hash of a text's words. A stem needs ``sure`` families, or three (two where labels are few)
+    family is the smallest hash of a text's words. A stem needs ``sure`` families, or three
     that no stem of more support explains.
     """
     prefixes = lambda found: {w[:k] for w in found for k in range(SHORT, min(len(w), SEED) + 1)}
@@ -254,7 +252,7 @@ def learn_stems(texts: list[str], toxic: list[int], sure: int = 8, purity: float
             for p in prefixes(found):
                 posts[p].append(len(family))
             family.append(min(zlib.crc32(w.encode()) for w in found))
-    least = 3 if len(set(family)) > FEW_FAMILIES else 2
+    least = 3
     posts = {p: d for p, d in posts.items() if len(d) >= least}
     clean: Counter[str] = Counter()
     live, heads, seen = posts.keys(), {p[:SHORT] for p in posts}, 0
