@@ -10,8 +10,8 @@ rate, with wide bounds: those of the prior, whose variance adds up the spread of
 joined with their hosts' bounds by host; hosts with over a thousandth of all pages, of which there are fewer than a
 thousand, are dealt over many tasks by their paths and ids.
 
-Edge cases: a null url, or one without ``://``, has an empty host and path, which no rule fits, and the overall rate
-alone; repeated rows are judged each; several labels of a page count each; without labels nothing is blocked but by
+Edge cases: a null url, or one without ``://``, has an empty host and path, which no rule fits; the pages of the empty host
+are judged by their own outcomes like those of any other, under an empty domain and suffix; repeated rows are judged each; several labels of a page count each; without labels nothing is blocked but by
 rules; pages without an id count as not labelled.
 """
 
