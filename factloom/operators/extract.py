@@ -1,15 +1,17 @@
 """Extraction: routes, calls, datastores, auth marks and secrets from source files by regular expressions, in Spark alone.
 
 ``source_file`` rows are (repo, file, suffix, content). Each file is one row until its facts are known: a pattern's
-matches are marked in the text by one replacement, the marked text is cut, and one aggregate over the pieces keeps the
-offset and line of each match. Prefixes of routers are found among the matches of the file. So all that a file says is
-one projection, without a join or shuffle and without Python on the executors, and only facts are exploded.
+matches are marked in the text by one replacement, the marked text is cut, and sums over the pieces, by doubling, give the
+offset and line of each match. Prefixes of routers are found among the matches of the file, names being looked up by
+sorting them with the names they are looked for in. So all that a file says is one projection, without a join or shuffle
+and without Python on the executors; its time grows as the number of matches and its logarithm, and only facts are exploded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,28 +141,33 @@ def none() -> Column:
     return F.array().cast(f"array<{MATCH}>")
 
 
+def running(sizes: Column) -> Column:
+    """Sums of an array's numbers up to each, in as many rounds as doubling needs: each adds what stands further before."""
+    rounds = F.when(F.size(sizes) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(sizes))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    far = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    return F.aggregate(rounds, sizes, lambda sums, k: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - far(k)), F.lit(0))))
+
+
 def matches(content: Column, rule: Rule, o: int = 0) -> Column:
     """The pattern's matches in a clean text, in order: rule's number o, offset in code points from 0, line from 1, groups."""
     fields = FIELD.join([f"${i + 1}" for i in range(rule.groups)] + ["$0"])
     cut = F.split(F.regexp_replace(content, F.lit(rule.java()), F.lit(MARK + fields + END)), MARK, -1)
+    both = lambda size, text: F.shiftleft(size.cast("long"), 32) + newlines(text)  # noqa: E731  characters and lines in one number
 
-    def step(state: Column, piece: Column) -> Column:
-        def with_fields(x: Column) -> Column:
-            rest = F.get(x, F.lit(rule.groups))
-            whole = F.substring_index(rest, END, 1)
-            size = F.length(rest) - 1  # without the end mark
-            group = [F.get(x, F.lit(i)) if i < rule.groups else F.lit(None).cast("string") for i in range(3)]
-            found = F.struct(F.lit(o).alias("o"), state["offset"].alias("offset"), (state["lines"] + 1).alias("line"), *(g.alias(f"g{i + 1}") for i, g in enumerate(group)), whole.alias("whole"))
-            return F.struct((state["offset"] + size).alias("offset"), (state["lines"] + newlines(rest)).alias("lines"), F.concat(state["found"], F.array(found.cast(MATCH))).alias("found"))
+    def found(pieces: Column, sums: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            group = [F.get(x, F.lit(k)) if k < rule.groups else F.lit(None).cast("string") for k in range(3)]
+            at = F.get(sums, i)
+            return F.struct(F.lit(o).alias("o"), F.shiftright(at, 32).cast("int").alias("offset"), (at.bitwiseAND(F.lit((1 << 32) - 1)).cast("int") + 1).alias("line"), *(g.alias(f"g{k + 1}") for k, g in enumerate(group)), F.substring_index(F.get(x, F.lit(rule.groups)), END, 1).alias("whole"))
 
-        return let(F.split(piece, FIELD, -1), with_fields)
+        return F.transform(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.split(p, FIELD, -1)), one)
 
-    def walked(pieces: Column) -> Column:
-        first = F.get(pieces, F.lit(0))
-        start = F.struct(F.length(first).alias("offset"), newlines(first).alias("lines"), none().alias("found"))
-        return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, step)["found"]
+    def summed(pieces: Column) -> Column:
+        rest = lambda p: F.substring_index(p, FIELD, -1)  # noqa: E731  a match and what comes after it; the end mark isn't of the text
+        sizes = F.transform(pieces, lambda p, i: both(F.length(rest(p)) - F.when(i > 0, 1).otherwise(0), rest(p)))
+        return F.when(F.size(pieces) > 1, let(let(sizes, running), lambda sums: found(pieces, sums))).otherwise(none())
 
-    return let(cut, walked)
+    return let(cut, summed)
 
 
 def line_snippet(lines: Column, line: Column, most: int = SNIPPET) -> Column:
@@ -172,55 +179,91 @@ def line_snippet(lines: Column, line: Column, most: int = SNIPPET) -> Column:
 # Prefixes of routers, among the matches of one file
 
 
-def last(found: Column, name: Column) -> Column:
-    """Group 2 of the last match whose group 1 is name, else null."""
-    return F.get(F.reverse(F.filter(found, lambda x: x["g1"] == name)), F.lit(0))["g2"]
+def lasts(pairs: Column) -> Column:
+    """Of pairs (k, v) the last of each k, by k."""
+    ordered = F.array_sort(F.transform(pairs, lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["v"].alias("v"))))
+    ends = lambda xs: F.filter(xs, lambda x, i: ~F.get(xs, i + 1)["k"].eqNullSafe(x["k"]))
+    return let(ordered, lambda xs: F.transform(ends(xs), lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v"))))
 
 
-def resolved(local: Column, mounts: Column) -> Column:
-    """array<struct<router, prefix>> of a file's routers, from their own prefixes and their mounts (parent, router, extra).
+def looked_up(keys: Column, pairs: Column) -> Column:
+    """Of each key the v of its pair (k, v), else null, in the keys' order. Keys and pairs are sorted together: a pair stands
+    before the keys that look for it, so each run of equal ones is read from its start."""
+    nothing = F.when(F.lit(False), F.get(pairs, F.lit(0))["v"])
+    asked = F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"), nothing.alias("v")))
+    known = F.transform(pairs, lambda x: F.struct(x["k"].alias("k"), F.lit(-1).alias("i"), x["v"].alias("v")))
+
+    def answered(xs: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(xs) - 1), lambda j: (j == 0) | ~F.get(xs, j)["k"].eqNullSafe(F.get(xs, j - 1)["k"]))
+        run = lambda s, end: let(F.get(xs, s)["v"], lambda v: F.transform(F.sequence(s, end - 1), lambda j: F.struct(F.get(xs, j)["i"].alias("i"), v.alias("v"))))
+        return let(starts, lambda ss: F.flatten(F.transform(ss, lambda s, n: run(s, F.coalesce(F.get(ss, n + 1), F.size(xs))))))
+
+    found = F.filter(let(F.array_sort(F.concat(known, asked)), answered), lambda x: x["i"] >= 0)
+    return F.when(F.size(keys) > 0, F.transform(F.array_sort(found), lambda x: x["v"]))
 
-    The last mount of a router counts. A router's mounts are walked up to the one that is mounted nowhere: every round
-    doubles the mounts that a walk has passed. One that ends at a mounted router is in a cycle, and keeps its own prefix.
-    """
-    own = lambda r: F.coalesce(last(local, r), F.lit(""))
-    counting = F.filter(mounts, lambda x, i: ~F.exists(F.slice(mounts, i + 2, F.size(mounts)), lambda y: y["router"] == x["router"]))
 
-    def with_edges(edges: Column) -> Column:
-        walk = F.transform(edges, lambda x: F.struct(x["router"].alias("router"), x["parent"].alias("at"), join_route_parts(x["extra"], own(x["router"])).alias("path")))
-        rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(edges) + F.lit(2))).cast("int"))
+def pair(k: Column, v: Column) -> Column:
+    return F.struct(k.alias("k"), v.alias("v"))
 
-        def further(w: Column, _: Column) -> Column:
-            def one(x: Column) -> Column:
-                up = F.get(F.filter(w, lambda y: y["router"] == x["at"]), F.lit(0))
-                return let(up, lambda u: F.when(u.isNull(), x).otherwise(F.struct(x["router"].alias("router"), u["at"].alias("at"), join_route_parts(u["path"], x["path"]).alias("path"))))
 
-            return F.transform(w, one)
+def field(array: str, name: str) -> Column:
+    return F.transform(array, lambda x: x[name])
 
-        done = F.aggregate(rounds, walk, further)
-        ended = lambda x: ~F.exists(edges, lambda e: e["router"] == x["at"])
-        return F.transform(done, lambda x: F.struct(x["router"].alias("router"), F.when(ended(x), join_route_parts(own(x["at"]), x["path"])).otherwise(own(x["router"])).alias("prefix")))
 
-    mounted = let(counting, with_edges)
-    alone = F.transform(F.array_distinct(F.transform(local, lambda x: x["g1"])), lambda r: F.struct(r.alias("router"), own(r).alias("prefix")))
-    return let(mounted, lambda m: F.concat(m, F.filter(alone, lambda a: ~F.exists(m, lambda x: x["router"] == a["router"]))))
+def empty(x: Column) -> Column:
+    return F.coalesce(x, F.lit(""))
 
 
-def of_file(content: Column) -> Column:
-    """A file's routers with their prefixes."""
-    python = F.col("suffix") == ".py"
-    script = F.col("suffix").isin(*SCRIPTS)
+@cache
+def router_steps() -> list[dict[str, Column]]:
+    """The columns that each projection of with_routers adds or replaces; built once, as building them takes longer than a small scan."""
+    content, python, script = F.col("content"), F.col("suffix") == ".py", F.col("suffix").isin(*SCRIPTS)
     some = lambda on, *found: F.when(on, F.concat(*found)).otherwise(none())
-    local = some(python, matches(content, ROUTER, 0), matches(content, BLUEPRINT, 1))
-    mount = lambda x, router, extra: F.struct(x["g1"].alias("parent"), x[router].alias("router"), F.coalesce(x[extra], F.lit("")).alias("extra"))
+    mount = lambda x, router, extra: pair(x[router], F.struct(x["g1"].alias("parent"), empty(x[extra]).alias("extra")))
     nested = F.transform(some(python, matches(content, INCLUDE, 0), matches(content, REGISTER, 1)), lambda x: mount(x, "g2", "g3"))
     used = F.transform(some(script, matches(content, USE, 2)), lambda x: mount(x, "g3", "g2"))
-    return let(local, lambda loc: let(F.concat(nested, used), lambda m: resolved(loc, m)))
+    local = F.transform(some(python, matches(content, ROUTER, 0), matches(content, BLUEPRINT, 1)), lambda x: pair(x["g1"], empty(x["g2"])))
+    walk = lambda own_of: F.transform("edges", lambda e, i: F.struct(e["k"].alias("router"), e["v"]["parent"].alias("at"), join_route_parts(e["v"]["extra"], empty(F.get(own_of, i))).alias("path")))
+
+    def further(walk: Column, _: Column) -> Column:
+        """Each walk goes on with the walk of the router it has come to."""
+        ways = F.transform(walk, lambda x: pair(x["router"], F.struct(x["at"].alias("at"), x["path"].alias("path"))))
+        longer = lambda x, up: F.when(up.isNull(), x).otherwise(F.struct(x["router"].alias("router"), up["at"].alias("at"), join_route_parts(up["path"], x["path"]).alias("path")))
+        return let(looked_up(F.transform(walk, lambda x: x["at"]), ways), lambda ups: F.transform(walk, lambda x, i: longer(x, F.get(ups, i))))
+
+    rounds = F.when(F.size("walk") > 0, F.sequence(F.lit(1), F.ceil(F.log2(F.size("walk") + F.lit(2))).cast("int"))).otherwise(F.array().cast("array<int>"))
+    at = field("walk", "at")
+    prefix = lambda x, i, own_of, above, top: F.when(F.get(above, i).isNull(), join_route_parts(empty(F.get(top, i)), x["path"])).otherwise(empty(F.get(own_of, i)))
+    under = let(F.struct("own_of", "above", "top"), lambda s: F.transform("walk", lambda x, i: pair(x["router"], prefix(x, i, s["own_of"], s["above"], s["top"]))))
+    alone = let(F.col("mounted"), lambda m: F.filter("own", lambda x, i: F.get(m, i).isNull()))
+    return [
+        {"content": clean(content)},
+        {"own": lasts(local), "edges": lasts(F.concat(nested, used))},
+        {"own_of": looked_up(field("edges", "k"), F.col("own"))},
+        {"walk": let(F.col("own_of"), walk)},
+        {"walk": F.aggregate(rounds, F.col("walk"), further)},
+        {"above": looked_up(at, F.col("edges")), "top": looked_up(at, F.col("own")), "mounted": looked_up(field("own", "k"), F.col("edges"))},
+        {"known": F.concat(under, alone)},
+    ]
+
+
+def with_routers(files: DataFrame, *kept: str) -> DataFrame:
+    """kept, suffix, content (clean), and `known`: pairs (k, v) of a file's routers and their prefixes.
+
+    The last mount of a router counts. A router's mounts are walked up to the one that is mounted nowhere: every round
+    doubles the mounts that a walk has passed. One that ends at a mounted router is in a cycle, and keeps its own prefix.
+    Each step is a projection of the same rows, as deeply nested functions are slow to plan.
+    """
+    kept = (*kept, "suffix", "content")
+    df = files.select(*kept)
+    for columns in router_steps():
+        df = df.withColumns(columns)
+    return df.select(*kept, "known")
 
 
 def prefixes(files: DataFrame) -> DataFrame:
     """repo, file, router, prefix: what the mounts above a router and its own prefix make together."""
-    return files.select("repo", "file", F.inline(of_file(clean(F.col("content")))))
+    return rows_of(with_routers(files, "repo", "file").select("repo", "file", F.transform("known", lambda x: F.struct(x["k"].alias("router"), x["v"].alias("prefix"))).alias("known")), "known", "router")
 
 
 # Routes
@@ -236,9 +279,10 @@ def methods(args: Column, default: str) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(default)))
 
 
-def routes_of(content: Column) -> Column:
-    """array<struct<path, method, line, o, offset>> of a file's routes."""
-    python, script = F.col("suffix") == ".py", F.col("suffix").isin(*SCRIPTS)
+@cache
+def route_steps() -> list[dict[str, Column]]:
+    """The columns of with_routes, like router_steps."""
+    content, python, script = F.col("content"), F.col("suffix") == ".py", F.col("suffix").isin(*SCRIPTS)
     row = lambda x, raw, method, o, line=None, offset=None: F.struct(
         x["g1"].alias("router"),
         raw.alias("raw"),
@@ -261,12 +305,48 @@ def routes_of(content: Column) -> Column:
         F.when(script, F.transform(matches(content, DIRECT), lambda x: row(x, x["g3"], verb(x["g2"]), 3))).otherwise(nothing),
         F.when(script, F.flatten(F.transform(matches(content, CHAIN), chained))).otherwise(nothing),
     )
-    prefix = lambda known, r: F.coalesce(F.get(F.filter(known, lambda k: k["router"] == r), F.lit(0))["prefix"], F.lit(""))
-    whole = lambda known: F.transform(
-        rows,
-        lambda x: F.struct(join_route_parts(prefix(known, x["router"]), x["raw"]).alias("path"), x["method"].alias("method"), x["line"].alias("line"), x["o"].alias("o"), x["offset"].alias("offset")),
-    )
-    return let(of_file(content), whole)
+    path = lambda prefix, x: F.struct(join_route_parts(empty(prefix), x["raw"]).alias("path"), x["method"].alias("method"), x["line"].alias("line"), x["o"].alias("o"), x["offset"].alias("offset"))
+    whole = let(F.col("before"), lambda before: F.transform("routes", lambda x, i: path(F.get(before, i), x)))
+    return [{"routes": rows}, {"before": looked_up(field("routes", "router"), F.col("known"))}, {"routes": whole}]
+
+
+def with_routes(files: DataFrame, *kept: str) -> DataFrame:
+    """kept, content (clean), and routes: array<struct<path, method, line, o, offset>> of each file."""
+    df = with_routers(files, *kept)
+    for columns in route_steps():
+        df = df.withColumns(columns)
+    return df.select(*kept, "content", "routes")
+
+
+@cache
+def call_marks() -> Column:
+    return listed_of(F.col("content"), CALLS)
+
+
+@cache
+def secret_marks() -> Column:
+    return listed_of(F.col("content"), SECRETS)
+
+
+@cache
+def store_marks() -> Column:
+    return marks_of(F.col("content"), DATABASES, DATABASE_WORDS, STORE_SURE, STORE_SURE)
+
+
+@cache
+def auth_marks() -> Column:
+    return marks_of(F.col("content"), AUTH, tuple((w, w) for w in AUTH_WORDS), SURE, UNSURE)
+
+
+def rows_of(df: DataFrame, found: str, never_null: str) -> DataFrame:
+    """repo, file and the fields of an array's structs, a row for each. Rows of empty arrays go afterwards: a filter on the
+    array itself would be planned as one on the text, with the array's whole expression once more."""
+    return df.select("repo", "file", F.inline_outer(found)).where(F.col(never_null).isNotNull())
+
+
+def said(files: DataFrame, marks: Column) -> DataFrame:
+    """repo, file and the columns of marks in the clean content, a row for each."""
+    return rows_of(files.select("repo", "file", clean(F.col("content")).alias("content")).select("repo", "file", marks.alias("marks")), "marks", "line")
 
 
 def listed_of(content: Column, rules: tuple[Rule, ...]) -> Column:
@@ -313,47 +393,38 @@ def place(file: Column, x: str = "") -> Column:
 
 def extract_routes(files: DataFrame) -> DataFrame:
     """repo, path, method, file, line, seq of all routes of both families."""
-    rows = files.select("repo", "file", F.inline(routes_of(clean(F.col("content")))))
+    rows = rows_of(with_routes(files, "repo", "file").select("repo", "file", "routes"), "routes", "line")
     return rows.select("repo", "path", "method", "file", "line", place(F.col("file")))
 
 
 def extract_calls(files: DataFrame) -> DataFrame:
     """repo, target, file, line, evidence of literal outbound targets."""
-    rows = files.select("repo", "file", F.inline(listed_of(clean(F.col("content")), CALLS)))
+    rows = said(files, call_marks())
     return rows.select("repo", F.col("value").alias("target"), "file", "line", "evidence")
 
 
 def extract_secrets(files: DataFrame) -> DataFrame:
     """repo, name, file, line, evidence of secret names that code asks its environment for."""
-    rows = files.select("repo", "file", F.inline(listed_of(clean(F.col("content")), SECRETS)))
+    rows = said(files, secret_marks())
     return rows.select("repo", F.col("value").alias("name"), "file", "line", "evidence")
 
 
 def extract_databases(files: DataFrame) -> DataFrame:
     """repo, kind, file, line, by_word (whether a word tells, not a pattern) of datastores, each once a file."""
-    rows = files.select("repo", "file", F.inline(marks_of(clean(F.col("content")), DATABASES, DATABASE_WORDS, STORE_SURE, STORE_SURE)))
+    rows = said(files, store_marks())
     return rows.select("repo", F.col("label").alias("kind"), "file", "line", (F.col("o") >= 100).alias("by_word"))
 
 
 def extract_auth(files: DataFrame) -> DataFrame:
     """repo, hint, file, line, confidence: sure by a pattern, unsure by a word."""
-    rows = files.select("repo", "file", F.inline(marks_of(clean(F.col("content")), AUTH, tuple((w, w) for w in AUTH_WORDS), SURE, UNSURE)))
+    rows = said(files, auth_marks())
     return rows.select("repo", F.col("label").alias("hint"), "file", "line", "confidence")
 
 
 def facts(files: DataFrame, *more: str) -> DataFrame:
-    """repo, file, more, and arrays of all that each file says, in one projection over its text."""
-    content = clean(F.col("content"))
-    return files.select(
-        "repo",
-        "file",
-        *more,
-        routes_of(content).alias("routes"),
-        listed_of(content, CALLS).alias("calls"),
-        marks_of(content, DATABASES, DATABASE_WORDS, STORE_SURE, STORE_SURE).alias("stores"),
-        marks_of(content, AUTH, tuple((w, w) for w in AUTH_WORDS), SURE, UNSURE).alias("auth"),
-        listed_of(content, SECRETS).alias("secrets"),
-    )
+    """repo, file, more, and arrays of all that each file says, in projections over its text alone."""
+    marks = {"calls": call_marks(), "stores": store_marks(), "auth": auth_marks(), "secrets": secret_marks()}
+    return with_routes(files, "repo", "file", *more).select("repo", "file", *more, "routes", *(c.alias(n) for n, c in marks.items()))
 
 
 def scan_files(files: DataFrame) -> Scan:

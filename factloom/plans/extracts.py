@@ -215,15 +215,15 @@ def register(queries: dict, oracles: dict) -> None:
         named = ", ".join(f"coalesce(g{i + 1}, '') AS {c}" for i, c in enumerate(columns))
         add(
             name,
-            lambda f, r=rule, w=where, c=columns: f.where(w).select("repo", "file", F.inline(extract.matches(extract.clean(F.col("content")), r))).select("repo", "file", "line", *(F.col(f"g{i + 1}").alias(x) for i, x in enumerate(c))),
+            lambda f, r=rule, w=where, c=columns: extract.said(f.where(w), extract.matches(F.col("content"), r)).select("repo", "file", "line", *(F.col(f"g{i + 1}").alias(x) for i, x in enumerate(c))),
             plain + f"SELECT repo, file, line, {named} FROM ({found(rule, where)})",
         )
-    direct = lambda f: f.where(JS).select("repo", "file", F.inline(extract.matches(extract.clean(F.col("content")), extract.DIRECT)))
+    direct = lambda f: extract.said(f.where(JS), extract.matches(F.col("content"), extract.DIRECT))
     add("ext_line_of", lambda f: direct(f).select("repo", "file", "offset", "line"), plain + f"SELECT repo, file, length(pre)::INTEGER AS offset, line FROM ({found(extract.DIRECT, JS)})")
     verbs = f"regexp_extract_all(g3, {q(extract.METHOD.plain())}, 1)"
     add(
         "ext_method_list",
-        lambda f: f.where(PY).select("repo", "file", F.inline(extract.matches(extract.clean(F.col("content")), extract.API_ROUTE))).select("repo", "file", "line", F.array_join(extract.methods(F.col("g3"), "ANY"), ",").alias("methods")),
+        lambda f: extract.said(f.where(PY), extract.matches(F.col("content"), extract.API_ROUTE)).select("repo", "file", "line", F.array_join(extract.methods(F.col("g3"), "ANY"), ",").alias("methods")),
         plain + (
             f"SELECT repo, file, line, CASE WHEN len({verbs}) = 0 THEN 'ANY' ELSE array_to_string(list_transform({verbs}, lambda x: {ANY.format('x')}), ',') END"
             f" AS methods FROM ({found(extract.API_ROUTE, PY)})"
