@@ -1,8 +1,11 @@
 """A source of files: directory trees read by executors, as rows (repo, file, suffix, content).
 
 Spark's own binary source drops every path with a part that begins with a dot or an underscore, so packages would lose
-their ``__init__.py``; this source lists folders itself. The driver lists the roots and their first level; each task
-walks the folders it is dealt, so listing is as parallel as reading. Paths must be ones that driver and executors see.
+their ``__init__.py``; this source lists folders itself. Planning lists the tree level by level, the folders of a level side
+by side, with names and sizes alone; files are dealt to tasks by bytes, so one folder that holds all is read by as many tasks
+as its bytes ask for. Suffixes and repositories are chosen by options and applied to the list, so other files aren't
+opened; they aren't taken from filters, as Spark 4.1 keeps a reader that took filters for later reads of the same frame
+without them. Paths must be ones that driver and executors see.
 
 Files in folders of other people's or built code, hidden ones, and those of other suffixes aren't read (the rule is
 ``extract.accepted``, applied to the path below the root). Links to folders aren't followed. A folder without such files
@@ -11,8 +14,10 @@ gives no rows; a file that can't be read fails the job.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -20,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "repo string, file string, suffix string, content binary"
-#: Tasks at most, and bytes of a batch at about.
-MOST_TASKS, BATCH_BYTES = 10_000, 16_000_000
+#: Bytes of a task and of a batch at about, what opening a file counts as, and folders listed at once.
+TASK_BYTES, BATCH_BYTES, OPENING, LISTED = 64_000_000, 16_000_000, 64_000, 32
 
 
 def accepts(name: str, suffixes: tuple[str, ...]) -> bool:
@@ -30,10 +35,9 @@ def accepts(name: str, suffixes: tuple[str, ...]) -> bool:
 
 @dataclass
 class Share(InputPartition):
-    """Folders that a task walks, and folders of which it reads the files alone: (repo, root, path below it)."""
+    """Files that a task reads: (repo, root, path below it)."""
 
-    deep: list[tuple[str, str, str]]
-    flat: list[tuple[str, str, str]]
+    files: list[tuple[str, str, str]]
 
 
 class TreeReader(DataSourceReader):
@@ -44,38 +48,45 @@ class TreeReader(DataSourceReader):
         self.each = options.get("each", "false") == "true"
         self.repo = options.get("repo") or os.path.basename(self.path)
         self.suffixes = tuple(options["suffixes"].split(",")) if options.get("suffixes") else tuple(LANGUAGES)
+        self.task_bytes = int(options.get("task_bytes") or TASK_BYTES)
         self.skipped = frozenset(SKIPPED)
+        self.repos = frozenset(json.loads(options["repos"])) if options.get("repos") else None
         if not os.path.isdir(self.path):
             raise ValueError(f"{self.path} isn't a folder")
 
-    def folders(self, path: str) -> list[str]:
-        with os.scandir(path) as found:
-            return sorted(e.name for e in found if e.is_dir(follow_symlinks=False) and e.name not in self.skipped)
+    def listed(self, folder: str) -> tuple[list[str], list[tuple[str, int]]]:
+        """Folders in a folder that are walked, and its accepted files with their sizes."""
+        folders, files = [], []
+        with os.scandir(folder) as found:
+            for e in found:
+                if e.is_dir(follow_symlinks=False):
+                    if e.name not in self.skipped:
+                        folders.append(e.name)
+                elif accepts(e.name, self.suffixes) and e.is_file():
+                    files.append((e.name, e.stat().st_size))
+        return sorted(folders), sorted(files)
+
+    def walked(self) -> Iterator[tuple[str, str, str, int]]:
+        """repo, root, path below the root and size of each file, level by level."""
+        roots = [(n, os.path.join(self.path, n)) for n in self.listed(self.path)[0]] if self.each else [(self.repo, self.path)]
+        level = [(repo, root, "") for repo, root in roots if self.repos is None or repo in self.repos]
+        with ThreadPoolExecutor(LISTED) as pool:
+            while level:
+                below = []
+                for (repo, root, sub), (folders, files) in zip(level, pool.map(lambda x: self.listed(os.path.join(x[1], x[2])), level), strict=True):
+                    yield from ((repo, root, os.path.join(sub, name), size) for name, size in files)
+                    below += [(repo, root, os.path.join(sub, name)) for name in folders]
+                level = below
 
     def partitions(self) -> list[InputPartition]:
-        roots = [(n, os.path.join(self.path, n)) for n in self.folders(self.path)] if self.each else [(self.repo, self.path)]
-        deep = [(repo, root, sub) for repo, root in roots for sub in self.folders(root)]
-        flat = [(repo, root, "") for repo, root in roots]
-        n = max(1, min(MOST_TASKS, len(deep) + len(flat)))
-        shares = [Share([], []) for _ in range(n)]
-        for i, x in enumerate(deep):
-            shares[i % n].deep.append(x)
-        for i, x in enumerate(flat):
-            shares[(len(deep) + i) % n].flat.append(x)
-        return shares
-
-    def files(self, share: Share) -> Iterator[tuple[str, str, str]]:
-        """repo, root, path below the root of each accepted file."""
-        for repo, root, _ in share.flat:
-            with os.scandir(root) as found:
-                yield from ((repo, root, e.name) for e in sorted(found, key=lambda e: e.name) if e.is_file() and accepts(e.name, self.suffixes))
-        for repo, root, sub in share.deep:
-            for folder, folders, names in os.walk(os.path.join(root, sub)):
-                folders[:] = sorted(f for f in folders if f not in self.skipped)
-                for name in sorted(names):
-                    full = os.path.join(folder, name)
-                    if accepts(name, self.suffixes) and os.path.isfile(full):
-                        yield repo, root, os.path.relpath(full, root)
+        shares, files, size = [], [], 0
+        for repo, root, file, own in self.walked():
+            if files and size + own + OPENING > self.task_bytes:
+                shares.append(Share(files))
+                files, size = [], 0
+            files.append((repo, root, file))
+            size += own + OPENING
+        return [*shares, Share(files)] if files or not shares else shares
 
     def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
         names = ["repo", "file", "suffix", "content"]
@@ -86,7 +97,7 @@ class TreeReader(DataSourceReader):
             columns = [pa.array([r[k] for r in held], pa.binary() if k == 3 else pa.string()) for k in range(4)]
             return pa.RecordBatch.from_arrays(columns, names)
 
-        for repo, root, file in self.files(partition):
+        for repo, root, file in partition.files:
             with open(os.path.join(root, file), "rb") as f:
                 data = f.read()
             held.append((repo, file.replace(os.sep, "/"), os.path.splitext(file)[1], data))
@@ -99,8 +110,8 @@ class TreeReader(DataSourceReader):
 
 
 class SourceTree(DataSource):
-    """Format ``source_tree``; options: path, repo (a name; else the folder's), each (every folder in path is a repository)
-    and suffixes (comma-separated)."""
+    """Format ``source_tree``; options: path, repo (a name; else the folder's), each (every folder in path is a repository),
+    repos (a JSON list of those wanted), suffixes (comma-separated) and task_bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -113,12 +124,14 @@ class SourceTree(DataSource):
         return TreeReader(self.options)
 
 
-def read_tree(spark: SparkSession, path: str, each: bool = False, suffixes: tuple[str, ...] | None = None, repo: str | None = None) -> DataFrame:
-    """repo, file, suffix, content (bytes) of the accepted files below path."""
+def read_tree(spark: SparkSession, path: str, each: bool = False, suffixes: tuple[str, ...] | None = None, repo: str | None = None, repos: tuple[str, ...] | None = None) -> DataFrame:
+    """repo, file, suffix, content (bytes) of the accepted files below path; suffixes and repos are those wanted, if not all."""
     spark.dataSource.register(SourceTree)
     reader = spark.read.format("source_tree").option("each", str(each).lower())
     if suffixes is not None:
         reader = reader.option("suffixes", ",".join(sorted(suffixes)))
     if repo:
         reader = reader.option("repo", repo)
+    if repos is not None:
+        reader = reader.option("repos", json.dumps(sorted(repos)))
     return reader.load(path)

@@ -10,7 +10,7 @@ from factloom import registry
 from factloom.operators import extract
 from factloom.operators.signals import MergeRule, merge_results
 from factloom.registry import BUILT_IN, Metadata, metadata_of
-from factloom.sources.trees import read_tree
+from factloom.sources.trees import OPENING, TreeReader, read_tree
 
 
 @pytest.fixture()
@@ -45,6 +45,24 @@ def test_trees_are_read_whole(spark, tree):
         read_tree(spark, str(tree / "nowhere")).count()
 
 
+def test_files_are_dealt_by_bytes_and_options_leave_the_others_closed(spark, tmp_path):
+    deep = tmp_path / "mono" / "packages" / "all"
+    deep.mkdir(parents=True)
+    for i in range(10_000):
+        (deep / f"f{i}.{'py' if i % 100 else 'ts'}").write_bytes(b"x" * (i % 7))
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "a.py").write_bytes(b"y" * 100)
+    reader = TreeReader({"path": str(tmp_path), "each": "true", "task_bytes": str(50 * (OPENING + 10))})
+    shares = reader.partitions()
+    assert 200 <= len(shares) <= 203 and max(len(s.files) for s in shares) <= 51 and sum(len(s.files) for s in shares) == 10_001
+    wanted = TreeReader({"path": str(tmp_path), "each": "true", "suffixes": ".ts", "repos": '["mono", "x"]'})
+    assert sorted(f for s in wanted.partitions() for _, _, f in s.files) == sorted(f"packages/all/f{i}.ts" for i in range(0, 10_000, 100))
+    assert read_tree(spark, str(tmp_path), each=True, suffixes=(".ts",), repos=("mono",)).count() == 100
+    assert read_tree(spark, str(tmp_path), each=True, repos=("other",)).first().content == b"y" * 100
+    files = read_tree(spark, str(tmp_path), each=True)
+    assert files.where("suffix = '.md'").count() == 0 and files.count() == 10_001
+
+
 def test_built_in_analyzers_over_a_tree(spark, tree):
     found = registry.analyze(read_tree(spark, str(tree), each=True), BUILT_IN)
     meta = {r.repo: (r.languages, r.files_scanned) for r in found.meta.collect()}
