@@ -15,20 +15,20 @@ DEMANDS = (
     {
         "grounding": {"allowed_ids": [f"surface:{i}" for i in range(1, 5)], "min_citations": 2},
         "observed_inferred": {"min_observed": 2, "min_inferred": 1},
-        "strengths": {"min_items": 1, "required_keywords": ["Guard"]},
-        "weaknesses_hotspots": {"min_items": 1, "required_terms": ["hotspot"]},
-        "recommendations": {"min_items": 1, "action_verbs": ["enforce", "rotate"]},
-        "false_positive_control": {"banned_phrases": ["guaranteed compromise"], "required_cautions": ["heuristic"]},
+        "strengths": {"min_items": 1, "required_keywords": ["Latch"]},
+        "weaknesses_hotspots": {"min_items": 1, "required_terms": ["leak"]},
+        "recommendations": {"min_items": 1, "action_verbs": ["sign", "rotate"]},
+        "false_positive_control": {"banned_phrases": ["surely broken"], "required_cautions": ["by name"]},
     },
     {
         "grounding": {"citation_pattern": "finding:[0-9]+", "allowed_ids": ["finding:1", "finding:2"], "min_citations": 1},
         "observed_inferred": {"observed_token": "observed|seen", "inferred_token": "inferred", "min_observed": 3, "min_inferred": 2},
         "strengths": {"min_items": 2, "required_keywords": []},
-        "weaknesses_hotspots": {"min_items": 0, "required_terms": ["hotspot", "edge"]},
+        "weaknesses_hotspots": {"min_items": 0, "required_terms": ["leak", "door"]},
         "recommendations": {"min_items": 0, "action_verbs": ["rotate"]},
-        "false_positive_control": {"banned_phrases": [], "required_cautions": ["LOW-QUALITY", "heuristic"]},
+        "false_positive_control": {"banned_phrases": [], "required_cautions": ["NOT RUN", "by name"]},
     },
-    {"recommendations": {"min_items": 0, "action_verbs": ["limit", "constrain"]}, "false_positive_control": {"banned_phrases": ["definite"]}},
+    {"recommendations": {"min_items": 0, "action_verbs": ["limit", "seal"]}, "false_positive_control": {"banned_phrases": ["definite"]}},
 )
 LACKING = 7  # conversations of so many have no review
 HEADS = ("Strengths", "Weaknesses / Risk Hotspots", "Prioritized Recommendations", "System Overview")
@@ -36,9 +36,9 @@ HEADS = ("Strengths", "Weaknesses / Risk Hotspots", "Prioritized Recommendations
 #: A turn as part of a review; the same text in Spark and in the oracle.
 TURN = """concat('## ', CASE turn % 4 WHEN 0 THEN 'Strengths' WHEN 1 THEN 'Weaknesses / Risk Hotspots' WHEN 2 THEN 'Prioritized Recommendations' ELSE 'System Overview' END,
   CASE WHEN conv_id % 5 = 0 THEN '  ' ELSE '' END, '\n',
-  CASE WHEN turn % 3 = 0 THEN '- OBSERVED: a guard' WHEN turn % 3 = 1 THEN '  - inferred hotspot at the edge' ELSE 'no bullet, but seen' END, ' [', CASE WHEN conv_id % 3 = 1 THEN 'finding:' ELSE 'Surface:' END, turn % 6 + 1, ']\n',
-  CASE WHEN turn % 4 = 2 THEN CASE WHEN conv_id % 2 = 0 THEN '- Enforce it, limit it\n' ELSE '- 1. Rotate keys\n' END WHEN turn % 4 = 3 THEN 'This is heuristic; low-quality marks count less.\n' ELSE '- surface:1 was Observed' END,
-  CASE WHEN conv_id % 11 = 3 THEN '\nA guaranteed compromise, definite.\n' ELSE '\n' END)"""
+  CASE WHEN turn % 3 = 0 THEN '- OBSERVED: a latch' WHEN turn % 3 = 1 THEN '  - inferred leak at the door' ELSE 'no bullet, but seen' END, ' [', CASE WHEN conv_id % 3 = 1 THEN 'finding:' ELSE 'Surface:' END, turn % 6 + 1, ']\n',
+  CASE WHEN turn % 4 = 2 THEN CASE WHEN conv_id % 2 = 0 THEN '- Sign it, limit it\n' ELSE '- 1. Rotate keys\n' END WHEN turn % 4 = 3 THEN 'It was not run; some is told by name.\n' ELSE '- surface:1 was Observed' END,
+  CASE WHEN conv_id % 11 = 3 THEN '\nIt is surely broken, definite.\n' ELSE '\n' END)"""
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
