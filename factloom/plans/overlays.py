@@ -85,7 +85,6 @@ def register(add: Callable) -> None:
     )
     values = ", ".join(f"({q(i)}, {q(n)}, {q(t)})" for i, n, t in techniques.CATALOG)
     catalog = f"(SELECT *, 'https://attack.mitre.org/techniques/' || replace(technique, '.', '/') || '/' AS link FROM (VALUES {values}) t(technique, name, tactic))"
-    add("tax_catalog", lambda a: techniques.catalog(a.scan.repo.sparkSession), f"SELECT * FROM {catalog}")
     for key, build, relation, own in (
         ("tax_insight_map", lambda a: overlay.insight_techniques(a.insights), "ins_tech", "id"),
         ("tax_finding_map", lambda a: overlay.finding_techniques(a.findings), "fnd_tech", "rule"),
@@ -109,6 +108,14 @@ def register(add: Callable) -> None:
         "SELECT repo, rule, CASE WHEN length(title) % 2 = 0 THEN 'T1485,T1071' ELSE array_to_string(techniques, ',') END AS techniques FROM fnd_tech",
     )
     used = "SELECT repo, technique, count(*) AS n FROM (SELECT repo, unnest(techniques) AS technique FROM ins_tech UNION ALL SELECT repo, unnest(techniques) FROM fnd_tech) GROUP BY ALL"
+
+    def in_use(a) -> DataFrame:
+        """The catalog, with how often its techniques are named and in how many repositories."""
+        uses = overlay.technique_use(a.insights, a.findings).groupBy("technique").agg(F.sum("n").alias("n"), F.count("*").alias("n_repos"))
+        return techniques.catalog(a.scan.repo.sparkSession).join(uses, "technique", "left").na.fill(0, ["n", "n_repos"])
+
+    totals = f"SELECT technique, sum(n)::BIGINT AS n, count(*) AS n_repos FROM ({used}) GROUP BY technique"
+    add("tax_catalog", in_use, f"SELECT k.*, coalesce(n, 0) AS n, coalesce(n_repos, 0) AS n_repos FROM {catalog} k LEFT JOIN ({totals}) USING (technique)")
     add("tax_flatten", lambda a: overlay.technique_use(a.insights, a.findings), f"SELECT u.*, name, tactic, link FROM ({used}) u JOIN {catalog} USING (technique)")
     paired = lambda a: a.opportunities.where("insight is not null")
     add(

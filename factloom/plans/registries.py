@@ -106,11 +106,14 @@ def register(add: Callable, queries: dict, oracles: dict) -> None:
         f"LEFT JOIN (SELECT repo, array_to_string(list_sort(list(DISTINCT {LANGUAGE})), ', ') AS languages, count(*) AS files_scanned FROM kept GROUP BY repo) USING (repo) {counts}",
     )
     rows = ", ".join(f"({i}, {q(a.name)}, {q(', '.join(a.metadata.ecosystems))}, {a.metadata.priority})" for i, a in enumerate(registry.BUILT_IN, 1))
-    put(
-        "src_module_listing",
-        lambda spark, sf_dir: registry.listing(spark, registry.BUILT_IN).select("place", "name", F.array_join("ecosystems", ", ").alias("ecosystems"), "priority"),
-        f"SELECT * FROM (VALUES {rows}) t(place, name, ecosystems, priority)",
-    )
+
+    def on_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The analyzers, with how many files each runs on."""
+        files = accepted_files(spark, sf_dir)
+        n = [registry.runs_on(a, files).agg(F.count("*").alias("n_files")).withColumn("name", F.lit(a.name)) for a in registry.BUILT_IN]
+        return registry.listing(spark, registry.BUILT_IN).select("place", "name", F.array_join("ecosystems", ", ").alias("ecosystems"), "priority").join(union(n), "name")
+
+    put("src_module_listing", on_files, f"WITH {SOURCE} SELECT t.*, n_files FROM (VALUES {rows}) t(place, name, ecosystems, priority), (SELECT count(*) AS n_files FROM kept)")
 
     class Wanted:
         """An analyzer that runs where there are scripts."""
