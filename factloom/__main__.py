@@ -89,7 +89,7 @@ def main(args: list[str] | None = None) -> int:
             narrative.backend_of(given.backend)
         except (ImportError, ValueError) as failure:
             parser.error(str(failure))
-    spark = SparkSession.builder.getOrCreate()
+    spark = SparkSession.builder.config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     if given.command == "tables":
         scan = queries.analysis(spark, given.data).scan
         write(given.out, Result(scan, extract.scanned(scan.route.selectExpr("repo", "'' AS suffix", "file").limit(0))), None, given.backend)

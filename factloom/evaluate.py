@@ -24,7 +24,7 @@ def main(args: list[str] | None = None) -> int:
     one = given.rubrics.endswith(".json")
     if one != given.reviews.endswith(".md"):
         parser.error("give two folders, or a .json and a .md file")
-    spark = SparkSession.builder.getOrCreate()
+    spark = SparkSession.builder.config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     rubrics, reviews = rubric.load_rubrics(spark, given.rubrics), rubric.load_reviews(spark, given.reviews)
     pairs = rubrics.join(reviews.select("text"), F.lit(True), "left") if one else rubric.paired(rubrics, reviews)
     done = rubric.evaluate(pairs).persist()
