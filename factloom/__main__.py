@@ -38,19 +38,20 @@ def write(out: str, found: Result, analyzers: DataFrame | None = None, backend:
     relations = {"routes": scan.route, "external_calls": scan.external_call, "databases": scan.database_hint, "hints": scan.hint, "secrets": scan.secret_hint, "meta": found.meta}
     derived = {"surfaces": surf, "findings": known, "paths": paths, "assets": assets, "controls": controls, "insights": insights, "opportunities": opportunities}
     reports.write_tables(out, **relations, **derived, summary=reports.console_summary(findings, paths))
+    each = f"{out}/reports"  # a folder for each repository, with files of these names
     documents = settled(review.review_json(clean, surf, findings, paths), "review")
-    reports.write_documents(out, "defensive-review.json", documents, "review")
-    reports.write_documents(out, "review-context-pack.json", review.context_pack(clean, documents, analyzers), "pack")
+    reports.write_named(each, "defensive-review.json", documents, "review")
+    reports.write_named(each, "review-context-pack.json", review.context_pack(clean, documents, analyzers), "pack")
     for name, lines in (
         ("architecture.md", markdown.architecture(scan, found.meta)),
         ("attack-surface.md", markdown.attack_surface(clean, surf)),
         ("defensive-review.md", markdown.review(clean, surf, findings, paths, whole, found.meta)),
     ):
-        reports.write_documents(out, name, markdown.rendered(lines), "text")
+        reports.write_named(each, name, markdown.rendered(lines), "text")
     if backend:
         told = settled(narrative.narrated(review.prompts(review.evidence_pack(clean, surf, findings, paths)), narrative.backend_of(backend), backend), "narratives")
-        reports.write_documents(out, "narrative-review.md", told.where("narrative is not null"), "narrative")
-        reports.write_documents(out, "narrative-review.json", told, "meta")
+        reports.write_named(each, "narrative-review.md", told.where("narrative is not null"), "narrative")
+        reports.write_named(each, "narrative-review.json", told, "meta")
     for line in reports.console_lines(found, findings, paths):
         print(line)
 

@@ -7,6 +7,7 @@ import pytest
 
 from factloom import __main__ as cli
 from factloom.operators import narrative, review
+from factloom.sources import reports
 from factloom.sources.reports import PACK_SECTIONS, REVIEW_SECTIONS
 
 APP = """from fastapi import FastAPI
@@ -19,13 +20,21 @@ KEY = os.getenv("JWT_SECRET")
 """
 
 
-def texts(folder):
-    out = {}
-    for repo in os.listdir(folder):
-        if repo.startswith("repo="):
-            parts = [f for f in os.listdir(f"{folder}/{repo}") if f.startswith("part-")]
-            out[repo.removeprefix("repo=")] = "".join(open(f"{folder}/{repo}/{f}").read() for f in parts)
-    return out
+def texts(file):
+    """By repository, the report of that name."""
+    return {folder.name: (folder / file.name).read_text() for folder in (file.parent / "reports").iterdir() if (folder / file.name).exists()}
+
+
+def test_named_files_are_whole_or_not_there(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "one\r\n"), ("b/../c", "two"), ("..", None), (None, "lost")], "repo string, text string")
+    for _ in range(2):  # once more over what is there
+        reports.write_named(str(tmp_path / "r"), "x.md", rows, "text")
+    assert {p.name: (p / "x.md").read_bytes() for p in (tmp_path / "r").iterdir()} == {"a": b"one\r\n", "b%2F..%2Fc": b"two", "%2E%2E": b""}
+    assert all(len(list(p.iterdir())) == 1 for p in (tmp_path / "r").iterdir())
+    failing = rows.where("repo = 'a'").selectExpr("repo", "raise_error('no') AS text")
+    with pytest.raises(Exception, match="no"):
+        reports.write_named(str(tmp_path / "f"), "x.md", failing, "text")
+    assert not (tmp_path / "f" / "a" / "x.md").exists()
 
 
 def test_analyze_writes_reports_of_every_repository(spark, tmp_path, capsys):
