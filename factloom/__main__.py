@@ -26,9 +26,9 @@ def write(out: str, found: Result, analyzers: DataFrame | None = None, backend:
     """All that is derived of a result, below the folder out."""
     scan = found.scan
     clean = signals.auth_filtered(scan)
-    surf = settled(surfaces.identify_attack_surfaces(clean), "surfaces")
+    surf = settled(surfaces.classified(clean), "surfaces")
     findings = settled(threats.generate_findings(clean, surf), "findings")
-    paths = settled(threats.generate_attack_paths(scan, surfaces.identify_attack_surfaces(scan)), "paths")
+    paths = settled(threats.generate_attack_paths(scan, surfaces.classified(scan)), "paths")
     assets = settled(overlay.detect_assets(clean), "assets")
     controls = settled(overlay.detect_controls(clean, surf, assets), "controls")
     insights = settled(overlay.insight_techniques(overlay.generate_insights(clean, surf, paths, assets, controls)), "insights")
@@ -36,7 +36,7 @@ def write(out: str, found: Result, analyzers: DataFrame | None = None, backend:
     opportunities = settled(overlay.detection_opportunities(insights, known), "opportunities")
     whole = overlay.Overlay(assets, controls, insights, known, opportunities)
     relations = {"routes": scan.route, "external_calls": scan.external_call, "databases": scan.database_hint, "hints": scan.hint, "secrets": scan.secret_hint, "meta": found.meta}
-    derived = {"surfaces": surf, "findings": known, "paths": paths, "assets": assets, "controls": controls, "insights": insights, "opportunities": opportunities}
+    derived = {"surfaces": surfaces.expanded(surf, clean), "findings": known, "paths": paths, "assets": assets, "controls": controls, "insights": insights, "opportunities": opportunities}
     reports.write_tables(out, **relations, **derived, summary=reports.console_summary(findings, paths))
     each = f"{out}/reports"  # a folder for each repository, with files of these names
     documents = settled(review.review_json(clean, surf, findings, paths), "review")

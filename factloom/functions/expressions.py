@@ -104,7 +104,11 @@ def first_values(df: DataFrame, keys: list[str], value: Column, n: int, name: st
 
 def top_text(df: DataFrame, keys: list[str], order: list[str | Column], value: Column, n: int, name: str, sep: str = " | ") -> DataFrame:
     """The values of the first n rows of each key, joined in order."""
-    few = first_rows(df.withColumn("_v", value), keys, order, n)
+    return in_order(first_rows(df.withColumn("_v", value), keys, order, n), keys, name, sep)
+
+
+def in_order(few: DataFrame, keys: list[str], name: str, sep: str = " | ") -> DataFrame:
+    """The values _v of each key's rows, joined in order of rn."""
     return few.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "_v"))), lambda x: x["_v"]), sep).alias(name))
 
 

@@ -173,7 +173,7 @@ def asset_reachability(surfaces: DataFrame, assets: DataFrame) -> DataFrame:
     """Sensitive assets with a public surface without auth signals in one of their modules."""
     held = assets.where(sensitive()).select("repo", F.col("id").alias("asset"), F.col("name").alias("asset_name"), "criticality", F.explode("locations").alias("l"))
     modules = held.withColumn("module", module_of(F.col("l"))).drop("l").distinct()
-    open_ = surfaces.where((F.col("exposure") == "public") & (F.size("auth_signals") == 0)).withColumn("module", module_of(F.col("file")))
+    open_ = surfaces.where((F.col("exposure") == "public") & ~F.col("guarded")).withColumn("module", module_of(F.col("file")))
     g = top_lines(open_.join(modules, ["repo", "module"]), ["repo", "asset", "asset_name", "criticality"], surface_line(" - public, no auth"), 5)
     values = {"asset": F.col("asset_name"), "criticality": F.col("criticality"), "n": F.col("n")}
     severity = F.when(F.col("criticality") == "critical", "critical").otherwise("high")
@@ -209,7 +209,7 @@ def strength_mismatch(assets: DataFrame, controls: DataFrame) -> DataFrame:
 
 
 def asymmetric(surfaces: DataFrame) -> DataFrame:
-    safe = F.size("auth_signals") > 0
+    safe = F.col("guarded")
     methods = lambda on: F.array_join(sorted_set(F.when(on, F.col("method"))), ", ")
     g = surfaces.groupBy("repo", "route").agg(F.count_if(safe).alias("p"), F.count_if(~safe).alias("u"), methods(safe).alias("w"), methods(~safe).alias("o"))
     values = {"route": F.col("route"), "guarded": F.col("p"), "with": F.col("w"), "open": F.col("u"), "without": F.col("o")}
@@ -237,7 +237,7 @@ def single_point(scan: Scan, controls: DataFrame) -> DataFrame:
 def surface_insights(surfaces: DataFrame) -> DataFrame:
     """The three rules that look at one surface at a time, in one pass: privileged, internal by folder, harmless."""
     c = F.col
-    public, safe, admin = c("exposure") == "public", F.size("auth_signals") > 0, c("category") == "admin"
+    public, safe, admin = c("exposure") == "public", F.col("guarded"), c("category") == "admin"
     low = F.lower("route")
     rules = (
         (

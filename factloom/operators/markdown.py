@@ -19,7 +19,7 @@ from factloom.operators.protection import CRITICALITY, STRENGTHS
 from factloom.operators.ranking import basis_label, entrypoint_class, path_scores, shares, surface_scores
 from factloom.operators.review import finding_scores, mitigation, related_surfaces
 from factloom.operators.signals import family
-from factloom.operators.surfaces import RISKS, architecture_graph, traits
+from factloom.operators.surfaces import RISKS, architecture_graph, expanded, traits
 from factloom.operators.techniques import catalog, technique_use
 from factloom.operators.threats import IMPACTS, SEVERITIES, finding_order
 from factloom.sources.adapters import Scan
@@ -108,7 +108,7 @@ def strengths(scan: Scan, surfaces: DataFrame) -> DataFrame:
     c = F.col
     hints = family(scan, "auth").select("repo", "hint").distinct()
     few = first_rows(hints, ["repo"], ["hint"], 6).groupBy("repo").agg(F.array_join(F.array_sort(F.collect_list("hint")), ", ").alias("hints"))
-    safe = F.size("auth_signals") > 0
+    safe = F.col("guarded")
     of = surfaces.groupBy("repo").agg(F.count_if(safe).alias("safe"), F.count_if(c("exposure") == "internal").alias("internal"), F.count_if(c("risk") == "low").alias("low"))
     rows = joined(scan, few, count_of(hints, "n_hints"), of, count_of(scan.secret_hint, "n_secrets"))
     n = lambda k: F.coalesce(k, F.lit(0))
@@ -276,11 +276,10 @@ def attack_surface(scan: Scan, surfaces: DataFrame) -> DataFrame:
         text("- Routes with data access: ", s("data")),
         text("- Routes with outbound calls: ", s("out")),
     )
-    told = traits(surfaces)
     order = [rank_of(c("risk"), RISKS), "route", "method", "seq"]
 
     def listed(on: Column, level: bool = True) -> DataFrame:
-        few = first_rows(told.where(on), ["repo"], order, SHOWN["routes"])
+        few = traits(expanded(first_rows(surfaces.where(on), ["repo"], order, SHOWN["routes"]), scan))
         where = text(c("method"), " ", c("route"), " (", c("file"), ") -> ", c("category"))
         line = text("- [", F.upper("risk"), "] ", where, ", ", c("exposure"), "; ", c("traits")) if level else text("- ", where, "; ", c("traits"))
         return few.select("repo", F.col("rn").alias("place"), line.alias("line"))

@@ -15,7 +15,7 @@ HOP_WORDS = ("propagation", "service", "edge", "external", "config risk", "sink"
 
 
 def protocol_derived() -> Column:
-    return F.lower("file").contains("lexicon") | F.lower("route").contains("/xrpc/") | F.lower(F.concat_ws(" ", "auth_signals")).contains("atproto_")
+    return F.lower("file").contains("lexicon") | F.lower("route").contains("/xrpc/") | F.col("protocol_auth")
 
 
 def provenance() -> Column:
@@ -79,7 +79,7 @@ def surface_scores(surfaces: DataFrame) -> DataFrame:
             "reachability": one(public, 3.0, 1.5),
             "trust_boundary": both * 1.5,
             "chain_depth": one(F.col("data_store") & F.col("outbound"), 2.0, 1.0),
-            "confidence": one(F.size("auth_signals") > 0, 2.0, 1.0),
+            "confidence": one(F.col("guarded"), 2.0, 1.0),
             "source_quality": quality,
         }
     )

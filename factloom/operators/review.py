@@ -16,7 +16,7 @@ from factloom.functions.expressions import first_rows, has_any, location, low_qu
 from factloom.operators.chains import text
 from factloom.operators.ranking import protocol_derived, summed, top_reasons
 from factloom.operators.signals import family, scan_meta
-from factloom.operators.surfaces import RISKS
+from factloom.operators.surfaces import RISKS, expanded
 from factloom.operators.threats import SEVERITIES, finding_order
 from factloom.sources.adapters import Scan
 
@@ -246,8 +246,8 @@ def listed(df: DataFrame, name: str, *columns: str) -> DataFrame:
     return df.groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", *columns))), lambda x: F.struct(*(x[k].alias(k) for k in sorted(columns)))).alias(name))
 
 
-def shown_surfaces(surfaces: DataFrame, n: int) -> DataFrame:
-    rows = first_rows(surfaces, ["repo"], ["seq"], n)
+def shown_surfaces(surfaces: DataFrame, scan: Scan, n: int) -> DataFrame:
+    rows = expanded(first_rows(surfaces, ["repo"], ["seq"], n), scan)
     return rows.withColumns({"place": F.col("rn"), "evidence_class": evidence_class()})
 
 
@@ -255,7 +255,7 @@ def review_json(scan: Scan, surfaces: DataFrame, findings: DataFrame, paths: Dat
     """repo, review: the JSON review of each repository. It shows cut lists only; whole relations are written as tables."""
     parts = [
         evidence_counts(surfaces).select("repo", F.struct(*CLASSES).alias("evidence_class_counts")),
-        listed(shown_surfaces(surfaces, SHOWN["surfaces"]), "surfaces", "method", "route", "file", "line", "category", "exposure", "risk", "evidence_class", "auth_signals", "data_store", "outbound"),
+        listed(shown_surfaces(surfaces, scan, SHOWN["surfaces"]), "surfaces", "method", "route", "file", "line", "category", "exposure", "risk", "evidence_class", "auth_signals", "data_store", "outbound"),
         listed(strengths(scan, surfaces), "strengths", "statement", "basis", "evidence"),
         listed(weaknesses(findings, surfaces), "weaknesses", "title", "severity", "confidence", "basis", "evidence", "mitigation"),
         listed(hotspots(surfaces), "risk_hotspots", "method", "route", "file", "category", "risk", "exposure", "class"),
@@ -314,7 +314,7 @@ def evidence_pack(scan: Scan, surfaces: DataFrame, findings: DataFrame, paths: D
     parts = [
         listed(ways.withColumn("id", ident("path")), "attack_paths", "id", "name", "steps"),
         listed(
-            shown_surfaces(surfaces, PROMPT_SHOWN["surfaces"]).withColumn("id", ident("surface")),
+            shown_surfaces(surfaces, scan, PROMPT_SHOWN["surfaces"]).withColumn("id", ident("surface")),
             "attack_surfaces",
             "id",
             "method",

@@ -1,4 +1,9 @@
-"""Attack surfaces: one row for each route, classified by path, hints and what the repository reaches."""
+"""Attack surfaces: one row for each route, classified by path, hints and what the repository reaches.
+
+A surface's auth signals are those of its file, else all of its repository's, so many surfaces share one set. ``classified``
+names the set (``own_auth``: the file's or the repository's) and says of it what rules ask; its rows don't grow with the
+hints of a repository. ``expanded`` puts the signals and what is told of them to the rows that are shown.
+"""
 
 from __future__ import annotations
 
@@ -21,6 +26,8 @@ CATEGORIES = (
 )
 # Hints of handlers that face inward.
 INTERNAL_HANDLERS = ("handler_visibility:internal", "handler_type:internal_handler", "service_role:worker", "service_role:event_consumer", "service_role:internal_handler")
+# Auth hints that show who sends a webhook.
+TRUSTED = ("jwt", "oauth", "authorization", "service_auth")
 WHY = {
     "webhook": "Webhooks take events from anyone on the internet.",
     "admin": "Administrative routes give access to privileged actions.",
@@ -45,43 +52,72 @@ def flags(scan: Scan) -> DataFrame:
     return db.withColumn("has_db", F.lit(True)).join(call.withColumn("has_call", F.lit(True)), "repo", "full").na.fill(False)
 
 
-def attributed(scan: Scan, names: tuple[str, ...], column: str) -> DataFrame:
-    """The scan's routes with the sorted hints of the families in their file, else in all of the repository."""
+def attributed(scan: Scan, names: tuple[str, ...], column: str, rows: DataFrame | None = None) -> DataFrame:
+    """rows (the scan's routes) with the sorted hints of the families in their file, else in all of the repository."""
     hints = family(scan, *names).select("repo", "file", "hint")
     here = hints.groupBy("repo", "file").agg(sorted_set("hint").alias("_here"))
     anywhere = hints.groupBy("repo").agg(sorted_set("hint").alias("_repo"))
-    joined = scan.route.join(here, ["repo", "file"], "left").join(anywhere, "repo", "left")
+    joined = (scan.route if rows is None else rows).join(here, ["repo", "file"], "left").join(anywhere, "repo", "left")
     return joined.withColumn(column, F.coalesce("_here", "_repo", F.array().cast("array<string>"))).drop("_here", "_repo")
 
 
+#: What is said of a set of auth signals: whether there are any, whether one shows who sends, whether one is of a protocol.
+SAID = ("guarded", "trusted", "protocol_auth")
+
+
+def said_of(hint: Column) -> list[Column]:
+    return [hint.isNotNull(), hint.isin(*TRUSTED), F.lower(hint).contains("atproto_")]
+
+
 def marked(scan: Scan, routes: DataFrame) -> DataFrame:
-    """routes with faces_in and faces_out: whether a hint of their file, else any of their repository, says so of handlers."""
-    hints = family(scan, *FAMILIES)
-    said = {"faces_in": F.col("hint").isin(*INTERNAL_HANDLERS), "faces_out": F.col("hint") == "handler_visibility:public"}
-    here = hints.groupBy("repo", "file").agg(*(F.bool_or(on).alias(f"{k}_here") for k, on in said.items()))
-    anywhere = hints.groupBy("repo").agg(*(F.bool_or(on).alias(f"{k}_repo") for k, on in said.items()))
-    rows = routes.join(here, ["repo", "file"], "left").join(anywhere, "repo", "left")
-    return rows.withColumns({k: F.coalesce(f"{k}_here", f"{k}_repo", F.lit(False)) for k in said})
+    """routes with own_auth (whether their file has auth hints) and flags of hints: faces_in and faces_out of the file's hints, else
+    of the repository's; SAID of the file's auth hints, else of the repository's."""
+    hint, auth = F.col("hint"), F.col("family") == "auth"
+    faces = {"faces_in": hint.isin(*INTERNAL_HANDLERS), "faces_out": hint == "handler_visibility:public"}
+    said = faces | {"auth": auth} | {k: auth & on for k, on in zip(SAID, said_of(hint), strict=True)}
+    here = family(scan, *FAMILIES).groupBy("repo", "file").agg(*(F.bool_or(on).alias(f"{k}_here") for k, on in said.items()))
+    anywhere = here.groupBy("repo").agg(*(F.bool_or(f"{k}_here").alias(f"{k}_repo") for k in said))
+    rows = routes.join(here, ["repo", "file"], "left").join(anywhere, "repo", "left").withColumn("own_auth", F.coalesce("auth_here", F.lit(False)))
+    of_set = {k: F.coalesce(F.when(F.col("own_auth"), F.col(f"{k}_here")).otherwise(F.col(f"{k}_repo")), F.lit(False)) for k in SAID}
+    return rows.withColumns({k: F.coalesce(f"{k}_here", f"{k}_repo", F.lit(False)) for k in faces} | of_set)
+
+
+def flagged(surfaces: DataFrame) -> DataFrame:
+    """Surfaces that come with auth_signals alone, with SAID of them."""
+    any_of = lambda i: F.exists("auth_signals", lambda h: F.coalesce(said_of(h)[i], F.lit(False)))
+    return surfaces.withColumns({k: any_of(i) for i, k in enumerate(SAID)})
+
+
+def expanded(surfaces: DataFrame, scan: Scan) -> DataFrame:
+    """Surfaces of a scan with auth_signals and rationale; those that have them already as they are."""
+    if "auth_signals" in surfaces.columns:
+        return surfaces
+    rows = attributed(scan, ("auth",), "auth_signals", surfaces)
+    rationale = F.concat_ws(
+        " ",
+        F.create_map(*(F.lit(x) for kv in WHY.items() for x in kv))[category_of(F.col("route"))],
+        F.when(F.col("inward"), "Handler metadata says that the route faces inward."),
+        F.when(F.col("guarded"), F.concat(F.lit("Auth indicators: "), F.array_join("auth_signals", ", "), F.lit("."))).otherwise("No auth indicators near this route."),
+        F.when(F.col("data_store"), "A datastore is used in the repository."),
+        F.when(F.col("outbound"), "Outbound calls are made in the repository."),
+    )
+    return rows.withColumn("rationale", rationale)
 
 
 def identify_attack_surfaces(scan: Scan) -> DataFrame:
-    """repo, route, method, file, line, category, exposure, risk, auth_signals, data_store, outbound, rationale, seq."""
-    rows = attributed(scan, ("auth",), "auth_signals").join(flags(scan), "repo", "left").na.fill(False, ["has_db", "has_call"])
-    rows = marked(scan, rows)
+    """The columns of classified, with auth_signals (sorted) and rationale."""
+    return expanded(classified(scan), scan)
+
+
+def classified(scan: Scan) -> DataFrame:
+    """repo, route, method, file, line, category, exposure, risk, inward, own_auth, guarded, trusted, protocol_auth, data_store,
+    outbound, seq: rows of a bounded size, whatever the repository's hints."""
+    rows = marked(scan, scan.route.join(flags(scan), "repo", "left").na.fill(False, ["has_db", "has_call"]))
     first = category_of(F.col("path"))
     inward = F.col("faces_in") & ~F.col("faces_out") & ~first.isin("admin", "auth", "webhook")
-    safe = F.size("auth_signals") > 0
+    safe = F.col("guarded")
     risk = F.when(first.isin("webhook", "admin", "upload"), "high").when(first == "auth", F.when(safe, "medium").otherwise("high")).when(first == "internal", "medium").when(first == "health", "low").otherwise(F.when(F.col("has_db") | F.col("has_call"), "medium").otherwise("low"))
     category = F.when(inward & (first == "public_api"), "internal").otherwise(first)
-    why = F.create_map(*(F.lit(x) for kv in WHY.items() for x in kv))[first]
-    rationale = F.concat_ws(
-        " ",
-        why,
-        F.when(inward, "Handler metadata says that the route faces inward."),
-        F.when(safe, F.concat(F.lit("Auth indicators: "), F.array_join("auth_signals", ", "), F.lit("."))).otherwise("No auth indicators near this route."),
-        F.when(F.col("has_db"), "A datastore is used in the repository."),
-        F.when(F.col("has_call"), "Outbound calls are made in the repository."),
-    )
     return rows.select(
         "repo",
         F.col("path").alias("route"),
@@ -91,16 +127,17 @@ def identify_attack_surfaces(scan: Scan) -> DataFrame:
         category.alias("category"),
         F.when(inward | (first == "internal"), "internal").otherwise("public").alias("exposure"),
         F.when(inward, F.when(category == "health", "low").otherwise("medium")).otherwise(risk).alias("risk"),
-        "auth_signals",
+        inward.alias("inward"),
+        "own_auth",
+        *SAID,
         F.col("has_db").alias("data_store"),
         F.col("has_call").alias("outbound"),
-        rationale.alias("rationale"),
         "seq",
     )
 
 
 def traits(surfaces: DataFrame) -> DataFrame:
-    """Surfaces with a one-line summary of auth, data store and outbound reach."""
+    """Expanded surfaces with a one-line summary of auth, data store and outbound reach."""
     text = F.concat_ws(
         "; ",
         F.when(F.size("auth_signals") > 0, F.concat(F.lit("auth signals: "), F.array_join("auth_signals", ", "))).otherwise("no auth signals observed"),
@@ -113,7 +150,7 @@ def traits(surfaces: DataFrame) -> DataFrame:
 RISKS = ("high", "medium", "low")
 
 
-def surface_summary(surfaces: DataFrame, n: int = 10) -> DataFrame:
+def surface_summary(surfaces: DataFrame, scan: Scan, n: int = 10) -> DataFrame:
     """repo, section, place, method, route, file, traits: the first n of four lists by risk, route and method."""
     sections = F.array_compact(
         F.array(
@@ -123,9 +160,9 @@ def surface_summary(surfaces: DataFrame, n: int = 10) -> DataFrame:
             F.when(F.col("category").isin("health", "internal"), "operational"),
         )
     )
-    rows = traits(surfaces).withColumn("section", F.explode(sections))
+    rows = surfaces.withColumn("section", F.explode(sections))
     few = first_rows(rows, ["repo", "section"], [rank_of(F.col("risk"), RISKS), "route", "method", "seq"], n)
-    return few.select("repo", "section", F.col("rn").alias("place"), "method", "route", "file", "traits")
+    return traits(expanded(few, scan)).select("repo", "section", F.col("rn").alias("place"), "method", "route", "file", "traits")
 
 
 def surface_counts(surfaces: DataFrame) -> DataFrame:

@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.expressions import low_quality, rank_of, top_text
+from factloom.functions.expressions import first_rows, in_order, low_quality, rank_of, top_text
 from factloom.operators.chains import atproto_chains, framework_chains, service_chains, text, top_chain
 from factloom.operators.signals import auth_filtered, family
-from factloom.operators.surfaces import identify_attack_surfaces
+from factloom.operators.surfaces import classified, expanded
 from factloom.sources.adapters import Scan
 from factloom.sources.staged import settled_together
 
@@ -78,10 +78,9 @@ def generate_findings(scan: Scan, surfaces: DataFrame) -> DataFrame:
     runtime = surfaces.where(~low_quality(F.col("file")))
     c = F.col
     public = c("exposure") == "public"
-    trusted = F.arrays_overlap("auth_signals", F.array(*map(F.lit, ("jwt", "oauth", "authorization", "service_auth"))))
     rules = F.array_compact(
         F.array(
-            F.when((c("category") == "webhook") & public & c("method").isin("POST", "PUT", "PATCH", "DELETE", "ANY") & (c("data_store") | c("outbound")) & ~trusted, "webhook"),
+            F.when((c("category") == "webhook") & public & c("method").isin("POST", "PUT", "PATCH", "DELETE", "ANY") & (c("data_store") | c("outbound")) & ~c("trusted"), "webhook"),
             *(F.when(c("category") == x, x if x != "auth" else "auth_gap") for x in ("admin", "upload", "auth")),
             F.when(public & c("outbound"), "integration"),
             F.when(public & c("data_store") & (c("category") != "health"), "public_data"),
@@ -89,10 +88,11 @@ def generate_findings(scan: Scan, surfaces: DataFrame) -> DataFrame:
     )
     hit = runtime.withColumn("rule", F.explode(rules))
     # Two rules hold for a repository as a whole.
-    guarded = runtime.where((c("category") == "auth") & (F.size("auth_signals") > 0)).select("repo", F.lit("auth_gap").alias("rule"))
+    guarded = runtime.where((c("category") == "auth") & c("guarded")).select("repo", F.lit("auth_gap").alias("rule"))
     signed = family(scan, "auth").where(c("hint").isin("jwt", "oauth", "bearer", "token")).select("repo", F.lit("integration").alias("rule"))
     hit = hit.join(guarded.union(signed).distinct(), ["repo", "rule"], "left_anti")
-    parts = [top_text(hit, ["repo", "rule"], ["seq"], evidence_of(), MOST, "evidence")]
+    few = expanded(first_rows(hit, ["repo", "rule"], ["seq"], MOST), scan).withColumn("_v", evidence_of())
+    parts = [in_order(few, ["repo", "rule"], "evidence")]
     parts.append(top_text(scan.secret_hint.withColumn("rule", F.lit("secret_env")), ["repo", "rule"], ["seq"], text(c("name"), " in ", c("file")), MOST, "evidence"))
     plain = reduce(DataFrame.unionByName, parts)
     titled = [F.create_map(*(F.lit(x) for k, v in FINDINGS.items() for x in (k, v[i])))[c("rule")] for i in range(3)]
@@ -215,5 +215,5 @@ def generate_attack_paths(scan: Scan, surfaces: DataFrame) -> DataFrame:
 def translated(scan: Scan) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Surfaces and findings over auth-filtered hints; paths over the scan as it is."""
     clean = auth_filtered(scan)
-    surfaces = identify_attack_surfaces(clean)
-    return surfaces, generate_findings(clean, surfaces), generate_attack_paths(scan, identify_attack_surfaces(scan))
+    surfaces = classified(clean)
+    return surfaces, generate_findings(clean, surfaces), generate_attack_paths(scan, classified(scan))

@@ -62,10 +62,9 @@ def register(add: Callable) -> None:
         if key == "asymmetric":  # auth signals fall back to the whole repository's, so it can't fire on the scan's own surfaces
             continue
         add(f"ins_{key}", lambda a, k=kind: text(a.insights.where(c("kind") == k)), f"SELECT * FROM ins_{key}")
-    some = "CASE WHEN seq % 3 = 0 THEN cast(array() AS array<string>) ELSE array('jwt') END"
     add(
         "ins_asymmetric",
-        lambda a: text(insights.asymmetric(a.surfaces.withColumn("auth_signals", F.expr(some)))),
+        lambda a: text(insights.asymmetric(a.surfaces.withColumn("guarded", F.expr("seq % 3 <> 0")))),
         LIBRARY["ins_asymmetric"].replace("FROM surf ", "FROM (SELECT * REPLACE (CASE WHEN seq % 3 = 0 THEN [] ELSE ['jwt'] END AS auth_signals) FROM surf) "),
     )
     add(

@@ -44,11 +44,11 @@ class Analysis:
 
     @cached_property
     def surfaces(self) -> DataFrame:
-        return settled(surfaces.identify_attack_surfaces(self.clean), "surfaces")
+        return settled(surfaces.classified(self.clean), "surfaces")
 
     @cached_property
     def raw_surfaces(self) -> DataFrame:
-        return settled(surfaces.identify_attack_surfaces(self.scan), "raw_surfaces")
+        return settled(surfaces.classified(self.scan), "raw_surfaces")
 
     @cached_property
     def findings(self) -> DataFrame:
@@ -162,13 +162,13 @@ add("xlt_auth_filter", lambda a: a.clean.hint.select("repo", "family", "hint", "
 SURFACE = ("repo", "route", "method", "file", "line", "category", "exposure", "risk", "data_store", "outbound", "rationale")
 
 
-def whole(df: DataFrame) -> DataFrame:
-    return df.select(*SURFACE, *text_of("auth_signals"))
+def whole(df: DataFrame, scan: Scan) -> DataFrame:
+    return surfaces.expanded(df, scan).select(*SURFACE, *text_of("auth_signals"))
 
 
 SURFACE_SQL = f"SELECT {', '.join(SURFACE)}, array_to_string(auth_signals, ', ') AS auth_signals FROM "
-add("identify_attack_surfaces", lambda a: whole(a.raw_surfaces), SURFACE_SQL + "surf_raw")
-add("xlt_to_surface", lambda a: whole(a.surfaces), SURFACE_SQL + "surf")
+add("identify_attack_surfaces", lambda a: whole(a.raw_surfaces, a.scan), SURFACE_SQL + "surf_raw")
+add("xlt_to_surface", lambda a: whole(a.surfaces, a.clean), SURFACE_SQL + "surf")
 for key, columns in (
     ("sur_category", "category"),
     ("sur_risk", "category, risk"),
@@ -177,7 +177,7 @@ for key, columns in (
     ("sur_flags", "data_store, outbound"),
     ("sur_rationale", "rationale"),
 ):
-    add(key, lambda a, k=columns: a.surfaces.groupBy("repo", *k.split(", ")).agg(F.count("*").alias("n")), f"SELECT repo, {columns}, count(*) AS n FROM surf GROUP BY ALL")
+    add(key, lambda a, k=columns: (surfaces.expanded(a.surfaces, a.clean) if k == "rationale" else a.surfaces).groupBy("repo", *k.split(", ")).agg(F.count("*").alias("n")), f"SELECT repo, {columns}, count(*) AS n FROM surf GROUP BY ALL")
 add(
     "sur_auth_attribution",
     lambda a: surfaces.attributed(a.clean, ("auth",), "h").select("repo", "path", "method", "file", F.array_join("h", ",").alias("hints")),
@@ -219,7 +219,7 @@ TRAITS = (
 )
 add(
     "surface_summary",
-    lambda a: surfaces.surface_summary(a.surfaces),
+    lambda a: surfaces.surface_summary(a.surfaces, a.clean),
     " UNION ALL ".join((
         f"SELECT repo, '{k}' AS section, rn::INTEGER AS place, method, route, file, {TRAITS} AS traits FROM (SELECT *, row_number() OVER (PARTITION BY repo"
         f" ORDER BY {rank('risk', surfaces.RISKS)}, route, method, seq) AS rn FROM surf WHERE {w}) WHERE rn <= 10"
@@ -232,7 +232,7 @@ add(
     " count(*) FILTER (WHERE exposure = 'internal') AS n_internal, count(*) FILTER (WHERE data_store) AS n_data, count(*) FILTER (WHERE outbound)"
     " AS n_outbound FROM surf GROUP BY repo",
 )
-add("surface_traits", lambda a: surfaces.traits(a.surfaces).select("repo", "traits").distinct(), f"SELECT DISTINCT repo, {TRAITS} AS traits FROM surf")
+add("surface_traits", lambda a: surfaces.traits(surfaces.expanded(a.surfaces, a.clean)).select("repo", "traits").distinct(), f"SELECT DISTINCT repo, {TRAITS} AS traits FROM surf")
 
 # Chains
 
@@ -300,7 +300,7 @@ for key, build, name, own in (
 add("xlt_to_findings", lambda a: a.findings, "SELECT repo, rule, title, severity, confidence, evidence FROM finding")
 for rule, key in {**{k: f"fnd_{k}" for k in threats.FINDINGS}, **{k: f"fnd_{k}_chain" for k in threats.CHAIN_FINDINGS}}.items():
     add(key, lambda a, r=rule: a.findings.where(c("rule") == r).drop("rule"), f"SELECT repo, title, severity, confidence, evidence FROM finding WHERE rule = '{rule}'")
-add("fnd_evidence_text", lambda a: a.surfaces.select("repo", threats.evidence_of().alias("evidence")), "SELECT repo, " + EVIDENCE + " AS evidence FROM surf")
+add("fnd_evidence_text", lambda a: surfaces.expanded(a.surfaces, a.clean).select("repo", threats.evidence_of().alias("evidence")), "SELECT repo, " + EVIDENCE + " AS evidence FROM surf")
 add(
     "fnd_order",
     lambda a: E.first_rows(a.findings, ["repo"], threats.finding_order(), 50).select("repo", c("rn").alias("place"), "title"),

@@ -50,6 +50,27 @@ def test_auth_signals_fall_back_to_the_repository(spark):
     assert got == {"/a": ["jwt"], "/b": ["jwt", "oauth"]}
 
 
+def test_classified_rows_hold_flags_of_the_set_not_the_set(spark):
+    hints = [("r", "auth", h, f, 1, 0.9, i) for i, (h, f) in enumerate((("bearer", "f"), ("oauth", "h"), ("ATPROTO_x", "h"), (None, "n")))]
+    s = scan(spark, route=[("r", f"/{f}", "GET", f, 1, i) for i, f in enumerate("fgn")], hint=[*hints, ("r", "service", "jwt", "g", 1, 0.9, 9)])
+    rows = surfaces.classified(s)
+    assert not [f.name for f in rows.schema if f.dataType.typeName() == "array"] and "rationale" not in rows.columns
+    got = {r.route: (r.own_auth, r.guarded, r.trusted, r.protocol_auth) for r in rows.collect()}
+    # A file's own set counts alone; a hint of another family, as in g, is no auth set; a set of nulls, as in n, is empty.
+    assert got == {"/f": (True, True, False, False), "/g": (False, True, True, True), "/n": (True, False, False, False)}
+    full = {r.route: (r.auth_signals, "No auth" in r.rationale) for r in surfaces.expanded(rows, s).collect()}
+    assert full == {"/f": (["bearer"], False), "/g": (["ATPROTO_x", "bearer", "oauth"], False), "/n": ([], True)}
+
+
+def test_classified_rows_do_not_grow_with_hints(spark, tmp_path):
+    def size(n):
+        s = scan(spark, route=[("r", f"/p{i}", "GET", "f", 1, i) for i in range(300)], hint=[("r", "auth", f"signal_{i}", "g", 1, 0.9, i) for i in range(n)])
+        surfaces.classified(s).coalesce(1).write.parquet(str(tmp_path / str(n)))
+        return sum(f.stat().st_size for f in (tmp_path / str(n)).glob("*.parquet"))
+
+    assert size(2000) == size(1)
+
+
 def test_empty_scan_gives_the_fallback_finding(spark):
     s = scan(spark)
     found = surfaces.identify_attack_surfaces(s)

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from factloom.operators import review
+from factloom.operators.surfaces import flagged
 from factloom.sources import reports
 
 SURFACE = "repo string, route string, method string, file string, line int, category string, exposure string, risk string, auth_signals array<string>, data_store boolean, outbound boolean, rationale string, seq long"
@@ -18,19 +19,19 @@ def surface(route, file="a.py", exposure="public", category="public_api", risk="
 
 def test_hotspots_take_tests_only_without_others(spark):
     rows = [surface("/a", "tests/a.py", risk="high"), surface("/b", seq=2), surface("/t", "tests/a.py", repo="q")]
-    got = review.hotspots(spark.createDataFrame(rows, SURFACE)).select("repo", "route").collect()
+    got = review.hotspots(flagged(spark.createDataFrame(rows, SURFACE))).select("repo", "route").collect()
     assert sorted(map(tuple, got)) == [("q", "/t"), ("r", "/b")]
 
 
 def test_classes_and_basis(spark):
     rows = [surface("/xrpc/x"), surface("/i", exposure="internal", seq=2), surface("/p", "x/fixtures/f.py", seq=3), surface("/o", seq=4)]
-    s = spark.createDataFrame(rows, SURFACE)
+    s = flagged(spark.createDataFrame(rows, SURFACE))
     assert [r["class"] for r in s.orderBy("seq").select(review.evidence_class().alias("class")).collect()] == ["inferred_protocol", "observed_runtime_internal", "low_quality", "observed_runtime_public"]
     assert review.evidence_counts(s).select(review.basis()).first()[0] == "observed"
 
 
 def test_finding_without_related_surface_falls_back_to_all(spark):
-    s = spark.createDataFrame([surface("/x", "tests/z.py")], SURFACE)
+    s = flagged(spark.createDataFrame([surface("/x", "tests/z.py")], SURFACE))
     f = spark.createDataFrame([("r", "upload", "Other", "low", "low", "e")], FINDING)
     assert review.with_basis(f, s).first()["basis"] == "low_quality"
     p = spark.createDataFrame([], PATH)
@@ -39,7 +40,7 @@ def test_finding_without_related_surface_falls_back_to_all(spark):
 
 
 def test_paths_join_by_route_of_related_surface(spark):
-    s = spark.createDataFrame([surface("/pay")], SURFACE)
+    s = flagged(spark.createDataFrame([surface("/pay")], SURFACE))
     f = spark.createDataFrame([("r", "admin", "T", "high", "high", "GET /pay in a.py | confidence=0.25")], FINDING)
     p = spark.createDataFrame([("r", 1, "k", "one", ["Entry: GET /pay"]), ("r", 2, "k", "two", ["Entry: GET /other"])], PATH)
     assert [r.name for r in review.related_paths(f, s, p).collect()] == ["one"]
