@@ -11,6 +11,7 @@ from factloom.functions.expressions import first_values, has_any, location, low_
 from factloom.operators.chains import text
 from factloom.operators.signals import family
 from factloom.sources.adapters import FAMILIES, Scan
+from factloom.sources.staged import settled
 
 # Asset kinds with name, criticality, and the parts of secret names, route paths and file paths that tell them.
 ASSETS = (
@@ -123,7 +124,7 @@ def asset_matches(scan: Scan) -> DataFrame:
 
 def rule_assets(scan: Scan) -> DataFrame:
     """repo, id, kind, name, criticality, locations, evidence (the first twelve): one asset for each kind found."""
-    matched = asset_matches(scan)
+    matched = settled(asset_matches(scan).distinct(), "asset_matches")  # read twice; the words are looked for once
     keys = ["repo", "kind"]
     found = matched.groupBy(*keys).agg(sorted_set("file").alias("locations")).join(first_values(matched, keys, F.col("evidence"), 12, "evidence"), keys)
     name, criticality = (F.create_map(*(F.lit(x) for r in ASSETS for x in (r[0], r[i])))[F.col("kind")] for i in (1, 2))
@@ -152,7 +153,7 @@ def secret_assets(scan: Scan) -> DataFrame:
 
 def detect_assets(scan: Scan) -> DataFrame:
     """All assets, with one for the business data where a repository has a database but nothing more sensitive."""
-    found = rule_assets(scan).unionByName(secret_assets(scan))
+    found = settled(rule_assets(scan).unionByName(secret_assets(scan)), "found_assets")
     db = scan.database_hint.where(~low_quality_ext(F.col("file"))).join(found.where(F.col("kind").isin(*SENSITIVE)).select("repo").distinct(), "repo", "left_anti")
     kinds = db.groupBy("repo").agg(F.transform(sorted_set("kind"), lambda k: F.concat(F.lit("datastore:"), k)).alias("evidence"))  # a few kinds
     rest = kinds.join(first_values(db, ["repo"], F.col("file"), 8, "locations"), "repo")
@@ -181,7 +182,7 @@ def present_controls(scan: Scan) -> DataFrame:
     """repo, id, kind, name, strength, scope, placements (the first twelve), evidence (the first eight)."""
     which = F.array_compact(F.array(*(F.when(F.col("label").rlike("(?i)" + p), i) for i, (*_, p) in enumerate(CONTROLS))))
     place = text(F.col("label"), " (", location(F.col("file"), F.col("line")), ")")
-    rows = signal_text(scan).select("repo", "file", place.alias("e"), F.explode(which).alias("i"))
+    rows = settled(signal_text(scan).select("repo", "file", place.alias("e"), F.explode(which).alias("i")).distinct(), "said_controls")  # read three times
     keys = ["repo", "i"]
     found = rows.groupBy(*keys).agg(F.count_distinct("file").alias("n"))
     found = found.join(first_values(rows, keys, F.col("file"), 12, "p"), keys).join(first_values(rows, keys, F.col("e"), 8, "e"), keys)
@@ -234,7 +235,7 @@ def absent_controls(surfaces: DataFrame, assets: DataFrame, present: DataFrame)
 
 
 def detect_controls(scan: Scan, surfaces: DataFrame, assets: DataFrame) -> DataFrame:
-    present = present_controls(scan)
+    present = settled(present_controls(scan), "present_controls")
     none = F.array().cast("array<string>")
     missing = absent_controls(surfaces, assets, present).select("repo", "id", "kind", "name", F.lit("absent").alias("strength"), F.lit("global").alias("scope"), none.alias("placements"), none.alias("evidence"))
     notes = F.create_map(*(F.lit(x) for kv in MISSED.items() for x in kv))[F.col("kind")]
