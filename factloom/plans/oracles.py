@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from factloom.operators import insights, overlay, signals, surfaces, threats
 from factloom.sources.adapters import oracle_ctes
 
@@ -578,6 +581,19 @@ def own(sql: str, names: dict[str, str]) -> str:
 LIBRARY = library()
 
 
+def row_text(df: DataFrame, relation: str, columns: tuple[str, ...]) -> DataFrame:
+    """repo, relation, content: the rows of a relation as one text each; lists are joined by commas, nulls are dashes."""
+    lists = {f.name for f in df.schema if f.dataType.typeName() == "array"}
+    value = lambda k: F.array_join(k, ", ") if k in lists else F.col(k).cast("string")
+    return df.select("repo", F.lit(relation).alias("relation"), F.concat_ws(" | ", *(F.coalesce(value(k), F.lit("-")) for k in columns)).alias("content"))
+
+
+def row_sql(table: str, relation: str, columns: tuple[str, ...], lists: tuple[str, ...] = ()) -> str:
+    """The same in SQL; lists names the columns that hold lists there."""
+    value = lambda k: f"array_to_string({k}, ', ')" if k in lists else f"{k}::VARCHAR"
+    return f"SELECT repo, {q(relation)} AS relation, concat_ws(' | ', {', '.join(f'coalesce({value(k)}, {q("-")})' for k in columns)}) AS content FROM {table}"
+
+
 def oracle(select: str) -> str:
     """A statement over the library; only what it needs is named."""
     needed: set[str] = set()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import expressions as E
 from factloom.operators import insights, overlay, techniques, threats
-from factloom.plans.oracles import LIBRARY, q, rank, said
+from factloom.plans.oracles import LIBRARY, q, rank, row_sql, row_text, said
 
 INSIGHTS = {
     "shared_secret": "shared_secret_blast_radius",
@@ -138,12 +138,17 @@ def register(add: Callable) -> None:
         f"SELECT * FROM (SELECT repo, 'detect:findings:residual' AS id, 'log' AS signal, string_agg(t, ',' ORDER BY p) FILTER (WHERE p <= 6) AS techniques FROM {FIRST_TECHNIQUES} GROUP BY repo) "
         f"JOIN (SELECT repo, string_agg(title, ' | ' ORDER BY rn) FILTER (WHERE rn <= 5) AS findings FROM {PLACED_FINDING} GROUP BY repo) USING (repo)",
     )
-    # The overlay as a whole: how many rows of each relation a repository has.
-    parts = {"asset": "asset", "control": "control", "insight": "insight", "finding": "finding"}
-    counts = " UNION ALL ".join(f"SELECT repo, '{k}' AS relation, count(*) AS n FROM {t} GROUP BY repo" for k, t in parts.items())
+    # The overlay as a whole: the rows of its relations.
+    parts = {
+        "assets": ("asset", ("id", "kind", "name", "criticality", "locations", "evidence")),
+        "controls": ("control", ("id", "kind", "name", "strength", "scope")),
+        "insights": ("ins_tech", ("id", "kind", "severity", "confidence", "assets", "controls", "routes", "techniques")),
+        "findings": ("fnd_tech", ("rule", "title", "severity", "confidence", "evidence", "techniques")),
+    }
+    paired_sql = row_sql(f"(SELECT repo, 'detect:' || id AS id, {SIGNAL} AS signal, {TITLE} AS title, id AS insight FROM {ONE_A_KIND})", "opportunities", ("id", "signal", "title", "insight"))
 
     def whole(a) -> DataFrame:
-        relations = {"asset": a.assets, "control": a.controls, "insight": a.insights, "finding": a.findings}
-        return overlay.union([df.groupBy("repo").agg(F.count("*").alias("n")).withColumn("relation", F.lit(k)) for k, df in relations.items()])
+        rows = [row_text(getattr(a.overlay, k), k, columns) for k, (_, columns) in parts.items()]
+        return overlay.union([*rows, row_text(paired(a), "opportunities", ("id", "signal", "title", "insight"))])
 
-    add("overlay_build", whole, counts)
+    add("overlay_build", whole, " UNION ALL ".join([*(row_sql(t, k, columns, ("locations", "evidence", "techniques") if k != "findings" else ("techniques",)) for k, (t, columns) in parts.items()), paired_sql]))

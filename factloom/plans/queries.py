@@ -18,7 +18,7 @@ from factloom.plans import overlays as overlay_plans
 from factloom.plans import registries as registry_plans
 from factloom.plans import reviews as review_plans
 from factloom.plans import rubrics as rubric_plans
-from factloom.plans.oracles import AUTH_LIKE, EVIDENCE, even, low, low_ext, oracle, rank
+from factloom.plans.oracles import AUTH_LIKE, EVIDENCE, even, low, low_ext, oracle, rank, row_sql, row_text
 from factloom.sources.adapters import FAMILIES, Scan, load
 from factloom.sources.staged import settled, settled_together
 
@@ -177,7 +177,7 @@ for key, columns in (
     ("sur_flags", "data_store, outbound"),
     ("sur_rationale", "rationale"),
 ):
-    add(key, lambda a, k=columns: (surfaces.expanded(a.surfaces, a.clean) if k == "rationale" else a.surfaces).groupBy("repo", *k.split(", ")).agg(F.count("*").alias("n")), f"SELECT repo, {columns}, count(*) AS n FROM surf GROUP BY ALL")
+    add(key, lambda a, k=columns: (surfaces.expanded(a.surfaces, a.clean) if k == "rationale" else a.surfaces).select("repo", "route", "method", "file", *k.split(", ")), f"SELECT repo, route, method, file, {columns} FROM surf")
 add(
     "sur_auth_attribution",
     lambda a: surfaces.attributed(a.clean, ("auth",), "h").select("repo", "path", "method", "file", F.array_join("h", ",").alias("hints")),
@@ -368,17 +368,22 @@ add("ast_location", lambda a: a.scan.secret_hint.select("repo", "name", E.locati
 add("ast_normalize", lambda a: a.scan.secret_hint.select("file", E.wrapped(c("file")).alias("path")).distinct(), f"SELECT DISTINCT file, '/' || {PATH} || '/' AS path FROM secret_hint")
 
 
+#: The relations of a translation: their tables in the oracles, and their columns.
+TRANSLATED = {
+    "surface": ("surf", (*SURFACE[1:], "auth_signals")),
+    "finding": ("finding", ("rule", "title", "severity", "confidence", "evidence")),
+    "path": ("path", ("place", "kind", "name", "steps")),
+}
+
+
 def translated(a: Analysis) -> DataFrame:
-    """How many surfaces, findings and paths a repository has, when all three are made of its scan at once."""
-    made = dict(zip(("surfaces", "findings", "paths"), threats.translated(a.scan), strict=True))
-    return overlay.union([df.groupBy("repo").agg(F.count("*").alias("n")).withColumn("relation", F.lit(k)) for k, df in made.items()])
+    """The rows of all surfaces, findings and paths, when the three are made of a scan at once."""
+    surf, *rest = threats.translated(a.scan)
+    made = (surfaces.expanded(surf, a.clean), *rest)
+    return overlay.union([row_text(df, k, columns) for df, (k, (_, columns)) in zip(made, TRANSLATED.items(), strict=True)])
 
 
-add(
-    "xlt_translate",
-    translated,
-    " UNION ALL ".join(f"SELECT repo, '{k}' AS relation, count(*) AS n FROM {t} GROUP BY repo" for k, t in (("surfaces", "surf"), ("findings", "finding"), ("paths", "path"))),
-)
+add("xlt_translate", translated, " UNION ALL ".join(row_sql(t, k, columns, ("auth_signals", "steps")) for k, (t, columns) in TRANSLATED.items()))
 
 # Insights, techniques and detections
 
