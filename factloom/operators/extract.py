@@ -433,13 +433,13 @@ def scan_files(files: DataFrame) -> Scan:
 
 
 def scan_of(known: DataFrame, repos: DataFrame) -> Scan:
-    """The scan that facts make."""
+    """The scan that facts make; all families but routes with evidence, the line that says so."""
     rows = lambda name, *columns: known.select("repo", "file", F.inline(name)).select("repo", *columns, place(F.col("file")))
     return Scan(
         repos,
         rows("routes", "path", "method", "file", "line"),
-        rows("calls", F.col("value").alias("target"), "file", "line"),
-        rows("stores", F.col("label").alias("kind"), "file", "line"),
-        rows("auth", F.lit("auth").alias("family"), F.col("label").alias("hint"), "file", "line", "confidence"),
-        rows("secrets", F.col("value").alias("name"), "file", "line", F.lit(SECRET_SURE).alias("confidence")),
+        rows("calls", F.col("value").alias("target"), "file", "line", "evidence"),
+        rows("stores", F.col("label").alias("kind"), "file", "line", "evidence"),
+        rows("auth", F.lit("auth").alias("family"), F.col("label").alias("hint"), "file", "line", "confidence", "evidence"),
+        rows("secrets", F.col("value").alias("name"), "file", "line", F.lit(SECRET_SURE).alias("confidence"), "evidence"),
     )

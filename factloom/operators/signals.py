@@ -80,7 +80,7 @@ class Result:
 def in_turn(scans: list[Scan], attr: str) -> DataFrame:
     """A family's rows of all scans, one below the other; seq is the scan's place, then the row's own."""
     rows = [getattr(s, attr).withColumn("seq", F.struct(F.lit(i).alias("turn"), F.col("seq").alias("own"))) for i, s in enumerate(scans)]
-    return reduce(DataFrame.unionByName, rows)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
 
 
 def merge_results(results: list[Result], repos: DataFrame) -> Result:
@@ -133,7 +133,8 @@ def auth_filtered(scan: Scan) -> Scan:
 
 
 def all_signals(scan: Scan) -> DataFrame:
-    """repo, kind, label, file, line, confidence, method, path, db_kind, place, seq: all families, one below the other."""
+    """repo, kind, label, file, line, confidence, method, path, db_kind, place, evidence (null where a scan has none), seq: all
+    families, one below the other."""
     none, sure = F.lit(None).cast("string"), F.lit(0.7)
 
     def part(df: DataFrame, kind: Column, label: Column, confidence: Column = sure, method: Column = none, path: Column = none, db: Column = none) -> DataFrame:
@@ -148,6 +149,7 @@ def all_signals(scan: Scan) -> DataFrame:
             path.alias("path"),
             db.alias("db_kind"),
             location(F.col("file"), F.col("line")).alias("place"),
+            (F.col("evidence") if "evidence" in df.columns else none).alias("evidence"),
             "seq",
         )
 

@@ -134,12 +134,12 @@ ROUTES = f"""routes AS (SELECT r.*, {joined("p.prefix", "r.raw")} AS path FROM (
 WITH_ROUTES = f"WITH RECURSIVE {SOURCE}, {ROUTING}{ROUTES}"
 
 
+LINE_TEXT = "regexp_replace(string_split(content, '\n')[line], '^\\s+|\\s+$', '', 'g')"
+SNIPPET = f"CASE WHEN length({LINE_TEXT}) > 160 THEN left({LINE_TEXT}, 159) || '…' ELSE {LINE_TEXT} END"
+
+
 def values(rules: tuple[Rule, ...]) -> str:
-    text = "regexp_replace(string_split(content, '\n')[line], '^\\s+|\\s+$', '', 'g')"
-    return " UNION ALL ".join((
-        f"SELECT repo, g1 AS value, file, line, CASE WHEN length({text}) > 160 THEN left({text}, 159) || '…' ELSE {text} END AS evidence"
-        f" FROM ({found(r, 'true')})"
-    ) for r in rules)
+    return " UNION ALL ".join(f"SELECT repo, g1 AS value, file, line, {SNIPPET} AS evidence, {o} AS o FROM ({found(r, 'true')})" for o, r in enumerate(rules))
 
 
 def marks(rules: tuple[tuple[Rule, str], ...], words: tuple[tuple[str, str], ...]) -> str:

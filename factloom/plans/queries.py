@@ -149,7 +149,7 @@ add("mrg_counts", lambda a: signals.scan_meta(signals.merged(a.scan)), """SELECT
 PLACE = "file || CASE WHEN line IS NULL THEN '' ELSE ':' || line END"
 STREAM = f"""SELECT repo, 'route' AS kind, method || ' ' || path AS label, {PLACE} AS place, 0.7::DOUBLE AS confidence, method, path, NULL AS db_kind FROM route UNION ALL SELECT repo, 'external_call', target, {PLACE}, 0.7::DOUBLE, NULL, NULL, NULL FROM external_call
   UNION ALL SELECT repo, 'database', kind, {PLACE}, 0.7::DOUBLE, NULL, NULL, kind FROM database_hint UNION ALL SELECT repo, family, hint, {PLACE}, confidence, NULL, NULL, NULL FROM hint UNION ALL SELECT repo, 'secret', name, {PLACE}, confidence, NULL, NULL, NULL FROM secret_hint"""
-add("mrg_all_signals", lambda a: signals.all_signals(a.scan).drop("file", "line", "seq"), STREAM)
+add("mrg_all_signals", lambda a: signals.all_signals(a.scan).drop("file", "line", "evidence", "seq"), STREAM)
 add("mrg_location", lambda a: a.scan.route.select("repo", "path", "method", E.location(c("file"), c("line")).alias("place")), f"SELECT repo, path, method, {PLACE} AS place FROM route")
 
 # Translation

@@ -12,7 +12,7 @@ from factloom import registry
 from factloom.operators import extract, signals
 from factloom.operators.overlay import union
 from factloom.operators.signals import MERGE, Result
-from factloom.plans.extracts import AUTH_WORDS, LANGUAGE, SOURCE, WITH_ROUTES, accepted_files, marks, source_files, values
+from factloom.plans.extracts import AUTH_WORDS, LANGUAGE, SNIPPET, SOURCE, WITH_ROUTES, accepted_files, marks, source_files, values
 from factloom.plans.oracles import q
 from factloom.sources.adapters import Scan
 
@@ -83,6 +83,20 @@ def register(add: Callable, queries: dict, oracles: dict) -> None:
     relations = {"routes": "routes", "external_calls": f"({values(extract.CALLS)})", "databases": f"({stores})", "auth": f"({auth})", "secrets": f"({values(extract.SECRETS)})"}
     put("src_file_analyzers", families, WITH_ROUTES + " UNION ALL ".join(f"SELECT repo, '{k}' AS family, count(*) AS n FROM {t} GROUP BY repo" for k, t in relations.items()))
 
+    def with_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """All merged signals of the files, with the lines that say so."""
+        scan = registry.analyze(source_files(spark, sf_dir), registry.BUILT_IN).scan
+        return signals.all_signals(scan).where("kind <> 'route'").select("repo", "kind", "label", "file", "line", "confidence", "evidence")
+
+    once = lambda kind, rules, sure: (
+        f"SELECT repo, '{kind}' AS kind, value AS label, file, line, {sure}::DOUBLE AS confidence, evidence FROM (SELECT *, row_number() OVER"
+        f" (PARTITION BY repo, value, file ORDER BY o, line) AS rn FROM ({values(rules)})) WHERE rn = 1"
+    )
+    each = lambda kind, of, sure: f"SELECT repo, '{kind}', label, file, line, {sure}::DOUBLE, {SNIPPET} FROM ({of}) JOIN kept USING (repo, file)"
+    evidence = [once("external_call", extract.CALLS, 0.7), once("secret", extract.SECRETS, extract.SECRET_SURE), each("database", stores, 0.7)]
+    evidence.append(each("auth", auth, f"(CASE WHEN by_word THEN {extract.UNSURE} ELSE {extract.SURE} END)"))
+    put("mrg_evidence", with_evidence, f"WITH {SOURCE} " + " UNION ALL ".join(evidence))
+
     def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = registry.analyze(source_files(spark, sf_dir), registry.BUILT_IN)
         scan = found.scan

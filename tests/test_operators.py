@@ -172,3 +172,13 @@ def test_partitioning_does_not_matter(spark):
     b = Scan(a.repo, a.route.repartition(7), a.external_call.repartition(5), a.database_hint.repartition(3), a.hint.repartition(1), a.secret_hint.repartition(4))
     assert sorted(map(str, signals.merged(a).hint.collect())) == sorted(map(str, signals.merged(b).hint.collect()))
     assert sorted(map(str, surfaces.identify_attack_surfaces(a).collect())) == sorted(map(str, surfaces.identify_attack_surfaces(b).collect()))
+
+
+def test_evidence_goes_with_the_first_row_of_a_key(spark):
+    plain = scan(spark, secret_hint=[("r", "A_KEY", "f", 3, 0.8, 1)])
+    told = scan(spark, secret_hint=[("r", "A_KEY", "f", 9, 0.8, 1), ("r", "B_KEY", "f", 4, 0.8, 2)])
+    told = told.__class__(**vars(told) | {"secret_hint": told.secret_hint.selectExpr("*", "concat('line ', line) AS evidence")})
+    meta = spark.createDataFrame([("r", ["python"], 1)], "repo string, languages array<string>, files_scanned long")
+    for turns, want in (([plain, told], {"A_KEY": None, "B_KEY": "line 4"}), ([told, plain], {"A_KEY": "line 9", "B_KEY": "line 4"})):
+        found = signals.merge_results([signals.Result(s, meta) for s in turns], plain.repo)
+        assert {r.label: r.evidence for r in signals.all_signals(found.scan).collect()} == want
