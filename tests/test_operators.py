@@ -182,3 +182,19 @@ def test_evidence_goes_with_the_first_row_of_a_key(spark):
     for turns, want in (([plain, told], {"A_KEY": None, "B_KEY": "line 4"}), ([told, plain], {"A_KEY": "line 9", "B_KEY": "line 4"})):
         found = signals.merge_results([signals.Result(s, meta) for s in turns], plain.repo)
         assert {r.label: r.evidence for r in signals.all_signals(found.scan).collect()} == want
+
+
+def test_rows_come_with_the_size_of_their_group(spark):
+    rows = spark.createDataFrame([("r", "a"), ("r", "a"), ("r", None), ("q", "a")], "repo string, k string").repartition(3)
+    assert sorted(E.with_count(rows, ["repo", "k"]).collect(), key=str) == sorted([("r", "a", 2), ("r", "a", 2), ("r", None, 1), ("q", "a", 1)], key=str)
+    got = plans.queries()["sur_internal_override"](spark, SMALL).collect()
+    sizes = {}
+    for r in got:
+        key = r.repo, r.category, r.exposure, r.risk
+        sizes[key] = sizes.get(key, 0) + 1
+    assert got and all(r.n == sizes[r.repo, r.category, r.exposure, r.risk] for r in got)
+
+
+@pytest.mark.parametrize("name", ["sur_internal_override"])
+def test_oracle_of_whole_relations(spark, name):
+    test_oracle(spark, name)
