@@ -195,6 +195,17 @@ def test_rows_come_with_the_size_of_their_group(spark):
     assert got and all(r.n == sizes[r.repo, r.category, r.exposure, r.risk] for r in got)
 
 
-@pytest.mark.parametrize("name", ["sur_internal_override"])
+def test_the_overlay_is_whole(spark):
+    a = plans.analysis(spark, SMALL)
+    got = {}
+    for r in plans.queries()["overlay_build"](spark, SMALL).collect():
+        got.setdefault(r.relation, []).append(r)
+    for name in ("assets", "controls", "insights", "findings", "opportunities"):
+        relation = getattr(a.overlay, name)
+        assert len(got.get(name, ())) == relation.count() and all(r.content.count(" | ") >= len(relation.columns) - 2 for r in got[name]), name
+        assert {r.repo: r.n for r in got[name]} == {r.repo: r["count"] for r in relation.groupBy("repo").count().collect()}, name
+
+
+@pytest.mark.parametrize("name", ["sur_internal_override", "overlay_build"])
 def test_oracle_of_whole_relations(spark, name):
     test_oracle(spark, name)
