@@ -3,6 +3,7 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.operators import extract
 
@@ -52,3 +53,31 @@ def test_mounts_are_walked(spark, content, paths):
 def test_no_files(spark):
     assert extract.extract_routes(files(spark, (".js", "x")).limit(0)).collect() == []
     assert extract.prefixes(files(spark, (".js", "x"))).collect() == []
+
+
+def test_every_match_holds_a_word_that_its_rule_needs(spark):
+    said = {
+        "a.py": 'root = APIRouter(prefix="/v")\nRoot.INCLUDE_ROUTER(child, prefix="c")\n@child.GET("/x")\nbp = Blueprint("b", n, url_prefix="p")\napp.register_blueprint(bp)\n@bp.route("/y")\n@root.api_route("/z")\n',
+        "b.js": 'app.use("/m", r)\nr.route("/w")\n  .get(a)\napp.All("top")\nrequests.get("u"); axios.put("v"); fetch("w")\nOS.getenv("A_KEY") + process.env.B_KEY\n',
+    }
+    rules = [v for v in vars(extract).values() if isinstance(v, extract.Rule) and v.needs]
+    rules += [*extract.CALLS, *extract.SECRETS, *(r for r, _ in (*extract.DATABASES, *extract.AUTH))]
+    said["c.py"] = 'create_engine("MYSQL+x")\nsqlite3.Connect(\npsycopg.connect(\nMongoClient(AsyncIOMotorClient(\nredis.StrictRedis(\nnew  PrismaClient(\nmongoose.connect(\nnew Pool(\n@login_required\n@jwt_required\nDepends( verify_token )\nOAuth2PasswordBearer(\nrequest.authorization\nAuthorization"]\npassport.authenticate(\nverifyToken\nauthMiddleware\n'
+    files = spark.createDataFrame(list(said.items()), "file string, content string")
+    assert all(r.needs for r in rules)
+    for rule in rules:
+        plain = files.where(F.col("content").rlike(f"(?U{rule.flags}){rule.pattern}")).count()
+        assert plain and plain == files.where(extract.may_match(F.col("content"), rule) & F.col("content").rlike(rule.java())).count(), rule
+
+
+def test_letters_that_are_one_with_ascii_are_found(spark):
+    files = spark.createDataFrame([("r", "a.py", ".py", "ſqlİte3.connect(\nx = APIRouter()\n@x.get('/a')")], "repo string, file string, suffix string, content string")
+    assert [r.kind for r in extract.extract_databases(files).where("not by_word").collect()] == ["sqlite"]
+    assert [r.path for r in extract.extract_routes(files).collect()] == ["/a"]
+
+
+def test_a_long_word_is_tried_once(spark):
+    files = spark.createDataFrame([("r", "a.py", ".py", "x" * 300_000 + "\ny = APIRouter(prefix='/v')\n@y.get('/a')\n")], "repo string, file string, suffix string, content string")
+    begin = time.monotonic()
+    assert [r.path for r in extract.extract_routes(files).collect()] == ["/v/a"]
+    assert time.monotonic() - begin < 60
