@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import review
 from factloom.operators.surfaces import flagged
+from factloom.plans import queries as plans
 from factloom.sources import reports
 
 SURFACE = "repo string, route string, method string, file string, line int, category string, exposure string, risk string, auth_signals array<string>, data_store boolean, outbound boolean, rationale string, seq long"
@@ -57,3 +58,10 @@ def test_documents_have_their_sections(spark, tmp_path):
     assert set(got) == {"q", "n"} and got["q"] == list(reports.PACK_SECTIONS)
     reports.write_documents(str(tmp_path), "pack", docs, "pack")
     assert json.loads(next((tmp_path / "pack" / "repo=r").glob("*.txt")).read_text())["review"] == 1
+
+
+def test_parts_of_a_document_are_written_by_themselves(spark):
+    a = plans.analysis(spark, "/root/testdata/sf0.001")
+    for df in (review.review_json(a.clean, a.surfaces, a.findings, a.paths), review.evidence_pack(a.clean, a.surfaces, a.findings, a.paths)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(x in plan for x in ("Window", "Aggregate", "Generate"))
