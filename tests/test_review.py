@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from factloom.operators import review
+from factloom.operators import protection, review
 from factloom.operators.surfaces import flagged
 from factloom.plans import queries as plans
 from factloom.sources import reports
@@ -65,3 +65,12 @@ def test_parts_of_a_document_are_written_by_themselves(spark):
     for df in (review.review_json(a.clean, a.surfaces, a.findings, a.paths), review.evidence_pack(a.clean, a.surfaces, a.findings, a.paths)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert not any(x in plan for x in ("Window", "Aggregate", "Generate"))
+
+
+def test_control_patterns_are_tried_once_on_what_is_said_often(spark, monkeypatch):
+    seen, settled = [], protection.settled
+    monkeypatch.setattr(protection, "settled", lambda df, name: seen.append(df) or settled(df, name))
+    a = plans.analysis(spark, "/root/testdata/sf0.001")
+    assert protection.present_controls(a.clean).count()
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Generate") :]
