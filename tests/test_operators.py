@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.functions import expressions as E
 from factloom.operators import extract, overlay, signals, surfaces, threats
@@ -206,6 +207,45 @@ def test_the_overlay_is_whole(spark):
         assert {r.repo: r.n for r in got[name]} == {r.repo: r["count"] for r in relation.groupBy("repo").count().collect()}, name
 
 
+def overlay_sql(con, spark, insights, findings):
+    """The rows of opportunities that overlay_build's own SQL makes of these insights and findings, without the relations before them."""
+    insights = overlay.insight_techniques(insights).withColumn("routes", F.array_join("routes", ", "))
+    for name, df in (("ins_tech", insights), ("fnd_tech", overlay.finding_techniques(findings)), ("finding", findings)):
+        types = ["text[]" if t.startswith("array") else "text" for _, t in df.dtypes]
+        con.execute(f"create table {name}({', '.join(f'{c} {t}' for c, t in zip(df.columns, types))})")
+        for r in df.collect():
+            con.execute(f"insert into {name} values ({', '.join('?' * len(r))})", list(r))
+    sql = plans.oracle_sql()["overlay_build"]
+    return con.sql(sql[sql.rindex("SELECT repo, 'opportunities' AS relation") : -1]).fetchall()
+
+
+def test_opportunities_of_the_whole_overlay_name_all_they_relate_to(spark):
+    levels, routes = ("high", "low", "medium"), [f"/r{i}" for i in range(5)]
+    words = ("webhook", "admin secret", "command", "plain", "upload", "login", "exfil")
+    found = [(repo, f"x{i}", f"{w} routes", levels[i % 3], "high", "") for repo in "rq" for i, w in enumerate(words)]
+    findings = spark.createDataFrame(found, FOUND)
+    insights = spark.createDataFrame([("r", "insight:a", "sensitive_asset_reachability", "a", "high", "high", "", routes)], INSIGHT + ", routes array<string>")
+    order = [t for _, t in sorted((("high", "medium", "low").index(r[3]), r[2]) for r in found[:7])]
+    ids = ["T1078", "T1068", "T1098", "T1552", "T1528", "T1190", "T1199", "T1059", "T1110", "T1556", "T1041"]
+    few = {r.repo: r for r in overlay.detection_opportunities(insights, findings).collect()}
+    assert few["r"].findings == " | ".join(order[:3]) and "`/r2`)" in few["r"].rule and few["q"].findings == " | ".join(order[:5]) and few["q"].techniques.count(",") == 5
+    got = {r.repo: r for r in overlay.detection_opportunities(insights, findings, whole=True).collect()}
+    assert got["r"].findings == got["q"].findings == " | ".join(order) and "(`/r0`, `/r1`, `/r2`, `/r3`, `/r4`)" in got["r"].rule
+    assert sorted(got["q"].techniques.split(",")) == sorted(ids)
+    shown = {(r.repo, "opportunities", " | ".join("-" if v is None else v for v in r[1:])) for r in got.values()}
+    assert shown == set(overlay_sql(duckdb.connect(), spark, insights, findings))
+
+
+def test_the_overlay_cuts_no_opportunity(spark):
+    a = plans.analysis(spark, SMALL)
+    whole = {(r.repo, r.id): " | ".join("-" if v is None else v for v in r[1:]) for r in overlay.detection_opportunities(a.insights, a.findings, whole=True).collect()}
+    rows = [r for r in plans.queries()["overlay_build"](spark, SMALL).collect() if r.relation == "opportunities"]
+    assert whole and {(r.repo, r.content.split(" | ")[0]): r.content for r in rows} == whole
+    sql = plans.oracle_sql()["overlay_build"]
+    own = sql[sql.rindex("SELECT repo, 'opportunities' AS relation") :]
+    assert "LIMIT" not in own and "list_slice" not in own and "<=" not in own
+
+
 @pytest.mark.parametrize("name", ["sur_internal_override", "overlay_build"])
 def test_oracle_of_whole_relations(spark, name):
     test_oracle(spark, name)
